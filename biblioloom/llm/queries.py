@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from biblioloom.llm import packing, quality_rules, simhash
+from biblioloom.llm import decontamination, packing, quality_rules, simhash
 from biblioloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,5 +29,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op7_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_simhash, op7_quality_rules, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
