@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from biblioloom.llm import decontamination, packing, quality_rules, simhash
+from biblioloom.llm import decontamination, packing, pii, quality_rules, simhash
 from biblioloom.llm.common import table
 
 
@@ -25,9 +25,14 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.assess(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_simhash, op7_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_simhash, op7_quality_rules, op9_pii, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
