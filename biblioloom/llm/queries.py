@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from biblioloom.llm import decontamination, packing, pii, quality_rules, simhash
+from biblioloom.llm import chat, decontamination, licenses, packing, pii, quality_rules, simhash, url_filters
 from biblioloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filters(spark, sf_dir):
+    return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontamination(spark, sf_dir):
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,11 +24,19 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_rules.assess(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_chat(spark, sf_dir):
+    return chat.digest(chat.with_extra(table(spark, sf_dir, "conversations")))
+
+
 def op9_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.fit(docs))
@@ -34,5 +46,14 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_simhash, op7_quality_rules, op9_pii, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_decontamination, op3_simhash, op6_licenses, op7_quality_rules, op8_chat, op9_pii, op10_packing,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": url_filters.oracle_sql(),
+    "op6_licenses": licenses.oracle_sql(),
+    "op8_chat": chat.oracle_sql(),
+}
