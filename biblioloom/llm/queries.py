@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from biblioloom.llm import chat, decontamination, licenses, packing, pii, quality_rules, simhash, url_filters
+from biblioloom.llm import chat, decontamination, html_extraction, licenses, packing, pii, quality_rules, simhash, url_filters
 from biblioloom.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark, sf_dir):
+    model = html_extraction.train(html_extraction.labelled_pages())
+    return html_extraction.extract_pages(table(spark, sf_dir, "pages"), model)
+
+
 def op6_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filters, op2_decontamination, op3_simhash, op6_licenses, op7_quality_rules, op8_chat, op9_pii, op10_packing,
+        op1_url_filters, op2_decontamination, op3_simhash, op4_html_extraction, op6_licenses, op7_quality_rules, op8_chat, op9_pii, op10_packing,
     )
 }
 ORACLE_SQL: dict[str, str] = {
