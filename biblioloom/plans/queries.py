@@ -650,11 +650,11 @@ def merge_edges(d):
 
 
 @query("u02_merge_papers", """WITH s AS (SELECT o_custkey AS paper_id, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'METADATA' WHEN 'O' THEN 'STUB' ELSE 'EXPANDED' END AS st,
-CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 ELSE 3 END AS BIGINT) AS r, CAST(o_totalprice AS BIGINT) AS c, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS v FROM orders)
+CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 ELSE 3 END AS BIGINT) AS r, CAST(floor(o_totalprice) AS BIGINT) AS c, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS v FROM orders)
 SELECT paper_id, arg_max(st, r * 1000000000 + seq) AS crawl_state, arg_max(c, r * 1000000000 + seq) AS citation_count, arg_max(v, seq) FILTER (WHERE v IS NOT NULL) AS venue FROM s GROUP BY paper_id""")
 def merge_papers(d):
     o, st = d.orders, F.col("o_orderstatus")
-    s = o.select(F.col("o_custkey").alias("paper_id"), F.col("o_orderkey").alias("seq"), F.when(st == "F", "METADATA").when(st == "O", "STUB").otherwise("EXPANDED").alias("crawl_state"), F.round("o_totalprice").cast("long").alias("citation_count"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("venue"), F.col("o_orderdate").alias("first_seen_at"))
+    s = o.select(F.col("o_custkey").alias("paper_id"), F.col("o_orderkey").alias("seq"), F.when(st == "F", "METADATA").when(st == "O", "STUB").otherwise("EXPANDED").alias("crawl_state"), F.floor("o_totalprice").alias("citation_count"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("venue"), F.col("o_orderdate").alias("first_seen_at"))
     return corpus.merge_papers(s, ("citation_count",), ("venue",)).select("paper_id", "crawl_state", "citation_count", "venue")
 
 
