@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from biblioloom.llm import chat, decontamination, html_extraction, licenses, packing, pii, quality_rules, simhash, url_filters
+from biblioloom.llm import chat, decontamination, html_extraction, licenses, lm_scoring, packing, pii, quality_rules, simhash, url_filters
 from biblioloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_html_extraction(spark, sf_dir):
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"), model)
 
 
+def op5_lm_scoring(spark, sf_dir):
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op6_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filters, op2_decontamination, op3_simhash, op4_html_extraction, op6_licenses, op7_quality_rules, op8_chat, op9_pii, op10_packing,
+        op1_url_filters, op2_decontamination, op3_simhash, op4_html_extraction, op5_lm_scoring, op6_licenses, op7_quality_rules, op8_chat, op9_pii, op10_packing,
     )
 }
 ORACLE_SQL: dict[str, str] = {
