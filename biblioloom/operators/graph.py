@@ -50,10 +50,11 @@ def cocitation(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return coupling(turned, anchors).withColumnRenamed("coupled", "cocited")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85, restart: DataFrame | None = None, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85, restart: DataFrame | None = None) -> DataFrame:
     """(paper_id, rank) after ``rounds`` power steps; dangling mass is dealt like the restart.
 
-    ``restart`` (paper_id) makes it personalised. Lineage is cut every few rounds.
+    ``restart`` (paper_id) makes it personalised. Lineage is cut at every round, so a round reads one
+    small table and the links, whatever came before.
     """
     ids = cut(nodes.select("paper_id").distinct())
     n = ids.count()
@@ -71,19 +72,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0
     links = cut(out.join(out.groupBy("citing_id").agg(F.count("*").alias("n_out")), "citing_id"))
     start = base.join(links.select(F.col("citing_id").alias("paper_id")).distinct().withColumn("_out", F.lit(True)), "paper_id", "left")
     ranks = cut(start.select("paper_id", "share", F.col("_out").isNull().alias("dangling"), F.col("share").alias("rank")))
-    for k in range(rounds):
+    fixed = ranks.drop("rank")
+    for _ in range(rounds):
         lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         given = (
             links.join(ranks.select(F.col("paper_id").alias("citing_id"), "rank"), "citing_id")
             .groupBy(F.col("cited_id").alias("paper_id"))
             .agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
         )
-        ranks = ranks.drop("rank").join(given, "paper_id", "left").select(
-            "paper_id", "share", "dangling",
-            (F.lit(1 - damping) * F.col("share") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("share"))).alias("rank"),
-        )
-        if (k + 1) % every == 0:
-            ranks = cut(ranks)
+        step = F.lit(1 - damping) * F.col("share") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("share"))
+        ranks = cut(fixed.join(given, "paper_id", "left").select("paper_id", "share", "dangling", step.alias("rank")))
     return ranks.select("paper_id", "rank")
 
 
