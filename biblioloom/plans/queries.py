@@ -931,3 +931,162 @@ def activity(d):
     from biblioloom.streaming.replay import activity_stream
 
     return activity_stream(d.events).select(F.col("window.start").alias("hour"), "event_type", "n")
+
+
+# Further lookups, views and ingestion -----------------------------------------------------------
+
+
+@query("p02_nodes_present", f"WITH {REPLAY} SELECT paper_id FROM px_nodes WHERE session_id = 1 AND paper_id IN (SELECT paper_id FROM px_anchors)")
+def nodes_present(d):
+    return nodes_of(d, 1).join(d.px_anchors, "paper_id", "left_semi").select("paper_id")
+
+
+@query("p04_find_by_key", "SELECT paper_id, title FROM px_papers WHERE title IN (SELECT title FROM px_papers WHERE paper_id IN (5, 17))")
+def find_by_key(d):
+    keys = d.px_papers.where("paper_id IN (5, 17)").select("title").distinct()
+    return d.px_papers.join(keys, "title", "left_semi").select("paper_id", "title")
+
+
+@query("p07_navigable", "SELECT paper_id FROM px_papers WHERE crawl_state <> 'STUB' OR citation_count / 100.0 >= 0.3")
+def navigable(d):
+    state = F.when(F.col("crawl_state") == "STUB", "CANDIDATE").otherwise("LIKED")
+    return d.px_papers.where(legacy.visible_at(state, F.col("citation_count") / 100.0, 0.3)).select("paper_id").orderBy("paper_id")
+
+
+@query("p08_clamp", "SELECT paper_id, least(greatest(citation_count, 20), 40) AS clamped FROM px_papers")
+def clamp(d):
+    return d.px_papers.select("paper_id", F.least(F.greatest("citation_count", F.lit(20)), F.lit(40)).alias("clamped"))
+
+
+@query("p11_label_flags", "SELECT paper_id, crawl_state <> 'STUB' OR coalesce(citation_count / 100.0, 0) >= 0.35 AS labelled FROM px_papers")
+def label_flags(d):
+    state = F.when(F.col("crawl_state") == "STUB", "CANDIDATE").otherwise("SEED")
+    return d.px_papers.select("paper_id", legacy.visible_at(state, F.col("citation_count") / 100.0, 0.35).alias("labelled"))
+
+
+@query("p13_unlabelled", f"WITH {REPLAY} SELECT paper_id FROM px_nodes WHERE session_id = 2 AND state = 'CANDIDATE'")
+def unlabelled(d):
+    return nodes_of(d, 2).where("state = 'CANDIDATE'").select("paper_id")
+
+
+@query("p14_j10_graph_payload", f"WITH {REPLAY} SELECT n.paper_id, p.title, n.state, p.year, p.citation_count, p.venue FROM px_nodes n JOIN px_papers p ON p.paper_id = n.paper_id WHERE n.session_id = 1")
+def payload(d):
+    return nodes_of(d, 1).join(d.px_papers, "paper_id").select("paper_id", "title", "state", "year", "citation_count", "venue")
+
+
+@query("j07_pool_exclusion", f"WITH {REPLAY}, gone AS (SELECT paper_id FROM px_nodes WHERE session_id = 1 UNION SELECT paper_id FROM last_known WHERE session_id = 1 AND event_type IN ('REMOVED', 'GC_SWEPT') UNION SELECT paper_id FROM px_anchors) SELECT paper_id FROM px_papers WHERE paper_id NOT IN (SELECT paper_id FROM gone)")
+def exclusion(d):
+    gone = nodes_of(d, 1).select("paper_id").union(events.tombstones(d.px_events).where("session_id = 1").select("paper_id")).union(d.px_anchors)
+    return d.px_papers.select("paper_id").join(gone, "paper_id", "left_anti")
+
+
+@query("a06_pool_accumulation", "SELECT l_partkey AS paper_id, count(DISTINCT l_suppkey) AS anchors, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS intents, bool_or(l_quantity > 45) AS influential FROM lineitem GROUP BY l_partkey")
+def accumulation(d):
+    return d.lineitem.groupBy(F.col("l_partkey").alias("paper_id")).agg(F.countDistinct("l_suppkey").alias("anchors"), F.concat_ws(",", F.array_sort(F.collect_set("l_returnflag"))).alias("intents"), F.bool_or(F.col("l_quantity") > 45).alias("influential"))
+
+
+@query("a08_completeness_by_category", "SELECT category, round(avg(CASE WHEN crawl_state <> 'STUB' THEN 1.0 ELSE 0.0 END), 4) AS completeness FROM px_papers GROUP BY category")
+def completeness_by(d):
+    return d.px_papers.groupBy("category").agg(F.round(F.avg((F.col("crawl_state") != "STUB").cast("double")), 4).alias("completeness"))
+
+
+@query("a15_best_h_index", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE greatest(p_size, 3) END AS h FROM part")
+def best_h(d):
+    authors = F.when(F.col("p_partkey") % 4 == 0, F.array().cast("array<struct<hIndex:int>>")).otherwise(F.array(F.struct(F.col("p_size").alias("hIndex")), F.struct(F.lit(3).alias("hIndex")), F.struct(F.lit(None).cast("int").alias("hIndex"))))
+    return d.part.select("p_partkey", F.coalesce(F.array_max(F.transform(authors, lambda a: a["hIndex"])), F.lit(0)).alias("h"))
+
+
+@query("k03_show_order", f"WITH {REPLAY} SELECT n.paper_id, n.state, row_number() OVER (ORDER BY CASE WHEN n.state = 'SEED' THEN 0 ELSE 1 END, p.citation_count DESC, n.paper_id) AS place FROM px_nodes n JOIN px_papers p ON p.paper_id = n.paper_id WHERE n.session_id = 1")
+def show_order(d):
+    from pyspark.sql import Window
+
+    rows = nodes_of(d, 1).join(d.px_papers, "paper_id")
+    w = Window.orderBy(F.when(F.col("state") == "SEED", 0).otherwise(1), F.desc("citation_count"), "paper_id")
+    return rows.select("paper_id", "state", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("u07_remove_rows", f"WITH {REPLAY} SELECT session_id, count(*) AS n FROM px_nodes WHERE paper_id NOT IN (SELECT paper_id FROM px_anchors) GROUP BY session_id")
+def remove_rows(d):
+    return events.replay(d.px_events).join(d.px_anchors, "paper_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("u09_pool_union", "SELECT cited_id AS paper_id, count(DISTINCT citing_id) AS n FROM px_edges WHERE citing_id IN (SELECT paper_id FROM px_anchors) GROUP BY cited_id")
+def pool_union(d):
+    own = d.px_anchors.withColumnRenamed("paper_id", "citing_id")
+    return d.px_edges.join(own, "citing_id", "left_semi").groupBy(F.col("cited_id").alias("paper_id")).agg(F.countDistinct("citing_id").alias("n"))
+
+
+@query("g14_full_reach", """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_thin UNION SELECT cited_id, citing_id FROM px_thin),
+walk AS (SELECT CAST(3 AS BIGINT) AS p UNION SELECT e.b FROM walk w JOIN e ON e.a = w.p) SELECT p AS paper_id FROM walk""")
+def full_reach(d):
+    return graph.reach(d.px_thin, d.px_anchors.where("paper_id = 3"), None).select("paper_id")
+
+
+@query("g15_explore_node", "SELECT other FROM (SELECT cited_id AS other FROM px_edges WHERE citing_id = 3 UNION SELECT citing_id FROM px_edges WHERE cited_id = 3) x JOIN px_papers p ON p.paper_id = x.other WHERE p.category IN ('STANDARD', 'PROMO')")
+def explore_node(d):
+    near = legacy.neighbours(d.px_edges, d.px_papers.where("paper_id = 3")).select("other").distinct()
+    gate = d.px_papers.where(filters.broad_gate(F.array("category"), ("standard", "promo"))).select(F.col("paper_id").alias("other"))
+    return near.join(gate, "other", "left_semi")
+
+
+@query("g16_quota")
+def expansion_quota(d):
+    from biblioloom.operators import ingest
+
+    n = d.px_edges.where("cited_id < 10").groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("n"))
+    return ingest.quota(n.withColumn("session_id", F.lit(1).cast("long")), 60)
+
+
+INGESTED = f"""WITH rec AS (SELECT citing_id AS center, cited_id AS paper_id FROM px_edges WHERE citing_id < 20), {TITLED.replace('titled AS', 'titled0 AS')},
+titled AS (SELECT * FROM titled0 WHERE paper_id IN (SELECT paper_id FROM rec)), stage AS (SELECT *, {ERA_SQL} AS e, {TYPE_SQL} AS t, {TOPIC_SQL} AS o FROM titled),
+judged AS (SELECT *, CASE WHEN e NOT LIKE 'ACCEPT%' THEN e WHEN t NOT LIKE 'ACCEPT%' THEN t ELSE o END AS v FROM stage) """
+
+
+@query("t06_ingest", INGESTED + "SELECT v LIKE 'ACCEPT%' AS admitted, count(*) AS n FROM judged GROUP BY 1")
+def ingested(d):
+    from biblioloom.operators import ingest
+
+    near = d.px_edges.where("citing_id < 20").select(F.col("citing_id").alias("center"), F.col("cited_id").alias("paper_id"), F.lit("BACKWARD").alias("direction"))
+    _, _, decisions = ingest.ingest(near.join(titled(d), "paper_id"), PROXY, AS_OF_YEAR)
+    return ingest.boundary(decisions)
+
+
+@query("t07_add_seeds", CASCADE_SQL + "SELECT paper_id, CASE WHEN v LIKE 'ACCEPT%' THEN NULL ELSE split_part(v, '|', 3) END AS forced_over FROM judged WHERE paper_id < 100")
+def seeds(d):
+    from biblioloom.operators import ingest
+
+    return ingest.add_seeds(titled(d).where("paper_id < 100"), PROXY, AS_OF_YEAR, True).select("paper_id", "forced_over")
+
+
+@query("t11_labels", "SELECT o_custkey AS paper_id, CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN '1-URGENT' ELSE arg_max(o_orderpriority, o_orderkey) END AS label FROM orders GROUP BY o_custkey")
+def label_table(d):
+    from biblioloom.operators import ingest
+
+    return ingest.labels_table(d.orders.select(F.col("o_custkey").alias("paper_id"), F.col("o_orderpriority").alias("label"), F.col("o_orderkey").alias("seq")), ("1-URGENT",))
+
+
+@query("w07_unique_ranking", f"WITH {RANKED} SELECT case_id, paper_id, rank FROM ranked")
+def unique_ranking(d):
+    ranked = evaluation.baseline(candidates_of(d), "citation_count")
+    twice = ranked.unionByName(ranked.withColumn("rank", F.col("rank") + 100_000))
+    return evaluation.unique_ranking(twice).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("s02_snapshot_watermark", "SELECT count(*) FILTER (WHERE p_partkey % 10 <> 0) AS loaded, count(*) FILTER (WHERE p_partkey % 10 = 0) AS skipped, CASE WHEN count(*) > 0 THEN '2020-01-01' END AS watermark FROM part")
+def watermark(d):
+    k = F.col("p_partkey")
+    good = F.to_json(F.struct(F.concat(F.lit("id"), k.cast("string")).alias("id"), F.lit("cs.X").alias("categories"), F.lit("2020-01-01").alias("update_date")))
+    lines = d.part.select(F.when(k % 10 == 0, F.lit("{")).otherwise(good).alias("value"))
+    loaded = metadata.snapshot(lines).agg(F.count("*").alias("loaded"), F.max("updated").alias("watermark"))
+    return loaded.join(lines.agg(F.count("*").alias("_all"))).select("loaded", (F.col("_all") - F.col("loaded")).alias("skipped"), "watermark")
+
+
+@query("s20_seed_lines", "SELECT count(*) AS n FROM part WHERE p_partkey % 5 <> 0")
+def seed_lines(d):
+    lines = d.part.select(F.when(F.col("p_partkey") % 5 == 0, "# x").otherwise(F.col("p_name")).alias("value"))
+    return lines.where(~F.col("value").startswith("#")).agg(F.count("*").alias("n"))
+
+
+@query("x14_applied_terms", "SELECT doc_id, CASE WHEN contains(lower(text), 'idiot') THEN 'QUARANTINE' ELSE 'ACCEPT' END AS outcome FROM documents")
+def applied_terms(d):
+    return d.documents.select("doc_id", F.when(filters.any_term(F.col("text"), ("idiot",)), "QUARANTINE").otherwise("ACCEPT").alias("outcome"))
