@@ -34,7 +34,7 @@ OCTETS = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 JOIN = "\x01"  # stands for one space or hyphen between two digits
 CARD = rf"(?<![0-9{JOIN}])[0-9](?:{JOIN}?[0-9]){{13,18}}(?![0-9{JOIN}])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-AROUND_AT = r"[^\s@]++@[^\s@]++"
+AROUND_AT = r"(?<![^\s@])[^\s@]++@[^\s@]++"
 NUMBERS = r"[+(]?[0-9][0-9 ().-]*[0-9]"
 CUES = r"(?i)(?:tel|phone|call|fax|mail|card|visa|ip|addr|host)"
 

@@ -134,7 +134,7 @@ def odd_texts():
     atoms = ["a.b@c.d", "x@y.z+d@e.f", "@@", "1.2.3.4", "256.1.1.1", "000255.1.2.3.4.5.6.7", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (555) 123-4567",
              "+1234567890123456", "é", "\U0001f600", " ", "\n", "12", "-", "4111111111111111", "+", "00000000000000", "a@b", "\x01", "1 2 3 4 5 6 7 8 9 0 1 2 3 4"]
     out = ["".join(r.choices(atoms, k=r.randint(1, 12))) for _ in range(400)]
-    return [*out, "", "a" * 100_000, "1" * 100_000, "1 " * 30_000, "a@" * 20_000, "+1(" * 20_000, "x@y.z " * 800]
+    return [*out, "", "a" * 100_000, "1" * 100_000, "1 " * 30_000, "a@" * 20_000, "+1(" * 20_000, "x@y.z " * 800, "a" * 100_000 + " b@c.d", "a@" + "b." * 40_000 + "c", "1." * 40_000]
 
 
 def test_pii_base_spans(spark):
