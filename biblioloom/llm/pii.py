@@ -38,6 +38,8 @@ AROUND_AT = r"(?<![^\s@])[^\s@]++@[^\s@]++"
 NUMBERS = r"[+(]?[0-9][0-9 ().-]*[0-9]"
 CUES = r"(?i)(?:tel|phone|call|fax|mail|card|visa|ip|addr|host)"
 
+#: Matches whose positions are summed one by one.
+BLOCK = 128
 SPANS = "array<struct<s:int,e:int,v:string>>"
 FEATURES = (
     "is_email", "is_ip", "is_card", "is_phone", "digits", "length", "dots", "joins", "parens", "plus", "luhn", "octets",
@@ -45,20 +47,43 @@ FEATURES = (
 )
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def cuts(text: Column, pattern: str) -> Column:
-    """Start, end and value of every match of ``pattern``, from the gaps between matches."""
+    """Start, end and value of every match of ``pattern``, from the gaps between matches.
+
+    Starts are running sums over blocks of ``BLOCK`` matches, so very many matches in one text
+    cost little more than linear time.
+    """
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    size = lambda x: x["g"] + F.length(x["v"])
+
+    def spans(block, start):
+        def step(acc, x):
+            at = acc["at"] + x["g"]
+            span = F.struct(at.alias("s"), (at + F.length(x["v"])).alias("e"), x["v"].alias("v"))
+            return F.struct(span["e"].alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    def step(acc, x):
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["v"])
-        span = F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
 
-    return F.aggregate(both, state, step, lambda acc: acc["out"])
+    def by_blocks(both):
+        count = F.ceil(F.size(both) / F.lit(BLOCK)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(both, b * BLOCK + 1, BLOCK))
+        total = lambda xs, f: F.aggregate(xs, F.lit(0), lambda a, x: a + f(x))
+
+        def placed(bs):
+            sums = F.transform(bs, lambda b: total(b, size))
+            starts = let(sums, lambda own: F.transform(own, lambda _, i: total(F.slice(own, 1, i), lambda x: x)))
+            return F.flatten(F.zip_with(bs, starts, spans))
+
+        return F.when(F.size(both) <= BLOCK, spans(both, F.lit(0))).otherwise(let(blocks, placed))
+
+    both = let(found, lambda vs: F.zip_with(F.slice(gaps, 1, F.size(vs)), vs, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v"))))
+    return let(both, by_blocks)
 
 
 def when_seen(guard: Column, spans: Column) -> Column:
@@ -109,9 +134,11 @@ def with_proposals(found: DataFrame) -> DataFrame:
         F.filter(when_seen(text.rlike("[0-9][0-9 ().-]{5}"), cuts(text, NUMBERS)), lambda x: F.length(digits_of(x["v"])) >= 6),
         lambda x: F.array(*[F.struct(F.lit(k).alias("k"), x.alias("x")) for k in (1, 2, 3)]),
     )
-    base = F.create_map(*[y for k, kind in enumerate(KINDS) for y in (F.lit(k), F.col(f"_{kind}"))])
+    key = lambda k, s, e: (s.cast("long") * (1 << 32) + e) * len(KINDS) + k
+    keyed = lambda k: lambda x: key(F.lit(k), x["s"], x["e"])
+    keys = F.concat(*[F.transform(f"_{kind}", keyed(k)) for k, kind in enumerate(KINDS)])
 
-    def describe(p):
+    def describe(p, keys):
         v, s, e = p["x"]["v"], p["x"]["s"], p["x"]["e"]
         d = digits_of(v)
         before = F.substring(text, F.greatest(s - 19, F.lit(1)), F.least(s, F.lit(20)))
@@ -136,14 +163,15 @@ def with_proposals(found: DataFrame) -> DataFrame:
             "host_parts": F.when(number, F.lit(0)).otherwise(F.size(F.split(F.substring_index(v, "@", -1), r"\.")) - 1),
             "longest_run": F.array_max(F.transform(runs, F.length)),
         }
-        known = F.exists(F.element_at(base, p["k"]), lambda x: (x["s"] == s) & (x["e"] == e))
+        known = F.array_contains(keys, key(p["k"], s, e))
         return F.struct(
             p["k"].alias("k"), s.alias("s"), e.alias("e"), known.alias("y"), *[values[f].cast("double").alias(f) for f in FEATURES]
         )
 
-    return found.withColumn("_all", F.flatten(F.concat(marks, numbers))).withColumn(
-        "_proposals", F.transform("_all", describe)
-    )
+    both = found.withColumn("_all", F.flatten(F.concat(marks, numbers))).withColumn("_keys", keys)
+    # bound outside the inner function, which would else compute the keys anew for each proposal
+    described = let(F.col("_keys"), lambda keys: F.transform("_all", lambda p: describe(p, keys)))
+    return both.withColumn("_proposals", described)
 
 
 class Boosted:
@@ -247,7 +275,7 @@ def with_spans(documents: DataFrame, model: Boosted) -> DataFrame:
     base = F.concat(*[F.transform(F.col(f"_{kind}"), span(F.lit(k))) for k, kind in enumerate(KINDS)])
     added = F.transform(F.expr(f"filter(_proposals, p -> NOT p.y AND {model.accepts('p')})"), lambda p: span(p["k"])(p))
     return found.withColumn("_base", F.array_sort(base)).withColumn(
-        "_spans", F.array_sort(F.array_distinct(F.concat(F.col("_base"), added)))
+        "_spans", F.array_sort(F.concat(F.col("_base"), added))
     )
 
 
