@@ -108,7 +108,7 @@ def oracle_sql() -> str:
     names = ", ".join(f"CASE WHEN {fits(r)} THEN {quote(r[0])} END" for r in RULES)
     first = " ".join(f"WHEN {fits(r)} THEN {quote(r[1])}" for r in RULES)
     return rf"""
-WITH known AS (SELECT map_from_entries([{", ".join(f"({quote(s)}, {quote(i)})" for s, i in SENTENCES.items())}]) AS m),
+WITH known AS (SELECT map_from_entries([{known}]) AS m),
 cut AS (
   SELECT doc_id, string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.!?]+[ \t\r\n]+|\n+') AS parts FROM documents),
 found AS (
@@ -119,4 +119,4 @@ SELECT doc_id, array_to_string(ids, ',') AS sentence_ids,
   CASE WHEN len(ids) > 0 THEN array_to_string([x FOR x IN [{names}] IF x IS NOT NULL], ',') ELSE '' END AS rules,
   CASE WHEN len(ids) > 0 THEN CASE {first} END END AS licence
 FROM lined
-""".replace(known, known)
+"""

@@ -6,8 +6,6 @@ import re
 
 from biblioloom.llm import chat, licenses, pii, url_filters
 
-EXTRA = "url string, rule string"
-
 
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
