@@ -32,7 +32,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 #: Tokens in rests that one block gathers before it is packed.
 BLOCK_TOKENS = 6_000_000
 #: Words whose ids a worker remembers: up to twice as many, the ones of late use first.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 800_000
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
@@ -63,8 +63,11 @@ class Encoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.ids(text).tobytes()
 
     def learn(self, words: list[str]) -> None:
         """Makes ``words`` known; a closing mark after a Latin letter is a piece of its own."""
@@ -83,7 +86,7 @@ class Encoder:
             else:
                 bases[w] = None
         if bases:
-            ids = np.array(self.tokenizer.encode(" " + " ".join(bases), add_special_tokens=False).ids, "<u4")
+            ids = self.ids(" " + " ".join(bases))
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) == len(bases):
                 raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
