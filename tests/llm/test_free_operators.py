@@ -350,3 +350,33 @@ def test_search_recall_against_all_windows(spark):
             if any(own[s : s + len(w)] == w for s in range(len(own) - len(w) + 1)):
                 want.add((d, i))
     assert len(got & want) >= 0.9 * len(want) and len(want) == 60
+
+
+def test_bound_loses_no_pair_that_counts():
+    """The word-set bound against the comparison itself, over random texts, items and blocks."""
+    r, pruned = random.Random(3), 0
+    for _ in range(60):
+        n = r.choice((40, 400, 3000))
+        vocabulary = {w: i for i, w in enumerate(sorted(b"w%d" % i for i in range(n)))}
+        texts = [" ".join(f"w{r.randrange(n)}" for _ in range(r.choice((1, 5, 18, 59, 127, 128, 140)))) for _ in range(r.randint(1, 5))]
+        items = [decontamination.Item(i, t, vocabulary) for i, t in enumerate(texts)]
+        bound, docs = decontamination.Bound(items), []
+        for _ in range(r.randint(1, 5)):
+            own = [r.randrange(-1, n) for _ in range(r.choice((1, 3, 16, 17, 300)))]
+            if r.random() < 0.6:
+                at = r.randrange(len(own) + 1)
+                own[at:at] = r.choice(items).ids.tolist()
+            docs.append(np.array(own, "<i2"))
+        base = np.cumsum([0, *(max(1, -(-len(o) // decontamination.STEP)) for o in docs)])
+        cell = np.concatenate([b + np.arange(len(o)) // decontamination.STEP for b, o in zip(base, docs, strict=False)])
+        total = int(base[-1])
+        for start in range(0, total, step := r.choice((1, 3, total, 1000))):
+            stop = min(total, start + step)
+            p, j = (x.ravel() for x in np.meshgrid(np.arange(stop - start), np.arange(len(items)), indexing="ij"))
+            able = bound.reached(bound.sets(np.concatenate(docs), cell, start, stop), p, j)
+            pruned += int((~able).sum())
+            for p_, j_ in zip(p[~able].tolist(), j[~able].tolist(), strict=True):
+                k = int(np.searchsorted(base, p_ + start, side="right")) - 1
+                at, m = (p_ + start - int(base[k])) * decontamination.STEP, len(items[j_].ids)
+                assert not items[j_].compare(docs[k][max(0, at - m) : at + decontamination.WINDOW + m].tolist())[0]
+    assert pruned > 1000
