@@ -139,12 +139,16 @@ def choose(pool: list[dict], budget: int, policy: Policy) -> list[dict]:
 def allocate(pool: DataFrame, budget: int, policy: Policy) -> DataFrame:
     """``choose`` for each session; only what a choice can take reaches the session's task.
 
-    Beyond the best ``reach`` of a lane no row can be picked, so lanes are cut by windows first.
+    Picks come from the best ``width`` rows of a session and of its lanes. The refill after the source
+    cap goes through the whole pool, but takes no more than ``budget`` rows of one set of sources, and
+    of each the best, so those stay as well.
     """
     width = 8 * max(1, budget)
     w = Window.partitionBy("session_id").orderBy(F.desc("score"), F.asc("paper_id"))
     lanes = Window.partitionBy("session_id", "direction", F.col("age_years") < 1.0).orderBy(F.desc("score"), F.asc("paper_id"))
-    near = pool.withColumn("_all", F.row_number().over(w)).withColumn("_lane", F.row_number().over(lanes)).where((F.col("_all") <= width) | (F.col("_lane") <= width))
+    alike = Window.partitionBy("session_id", "sources").orderBy(F.desc("score"), F.asc("paper_id"))
+    near = pool.withColumn("_all", F.row_number().over(w)).withColumn("_lane", F.row_number().over(lanes)).withColumn("_alike", F.row_number().over(alike))
+    near = near.where((F.col("_all") <= width) | (F.col("_lane") <= width) | (F.col("_alike") <= budget))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = choose(pdf.to_dict("records"), budget, policy)

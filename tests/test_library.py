@@ -189,6 +189,17 @@ def test_allocate_reaches_the_same_choice(spark):
     assert got == [p["paper_id"] for p in ranking.choose(pool, 10, DEFAULT)]
 
 
+def test_allocate_refills_beyond_a_hot_source(spark):
+    """One source holds the best 500 rows of both lanes, over 8 times the budget."""
+    hot = [pick(i, 1000.0 - i, 4.0, "FORWARD" if i % 2 else "BACKWARD", [1]) for i in range(500)]
+    rest = [pick(500 + i, 100.0 - i, 4.0, "FORWARD" if i % 2 else "BACKWARD", [2 + i % 5, 7 + i % 3][: 1 + i % 2]) for i in range(90)]
+    pool = hot + rest
+    table = spark.createDataFrame([(1, p["paper_id"], p["score"], p["age_years"], p["direction"], p["sources"]) for p in pool], "session_id long, paper_id long, score double, age_years double, direction string, sources array<long>")
+    got = [r["paper_id"] for r in ranking.allocate(table, 20, DEFAULT).orderBy("position").collect()]
+    assert got == [p["paper_id"] for p in ranking.choose(pool, 20, DEFAULT)]
+    assert sum(i < 500 for i in got) == 8 and len(got) == 20
+
+
 def test_prescore(spark):
     row = lambda *v: spark.createDataFrame([v], "o int, c long, a double").select(scores.prescore(F.col("o"), F.lit(False), F.lit(None).cast("boolean"), F.col("c"), F.col("a"), 2000)).first()[0]
     assert row(2, 0, 5.0) - row(1, 0, 5.0) == pytest.approx(2.0)
