@@ -32,6 +32,7 @@ class Data:
 def query(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = lambda spark, sf_dir: f(Data(spark, sf_dir))
+        QUERIES[name].of = f
         if sql is not None:
             ORACLE_SQL[name] = proxy.with_views(sql)
         return f
@@ -39,6 +40,17 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def whole(f):
+    """Registers ``f`` over all rows as well, as <name>_all: the SQL of <name> binds it to some ids. No SQL."""
+    name = next(n for n, g in reversed(QUERIES.items()) if g.of is f)
+    QUERIES[f"{name}_all"] = lambda spark, sf_dir: f(Data(spark, sf_dir), True)
+    return f
+
+
+def part(rows: DataFrame, condition: str, all_rows: bool) -> DataFrame:
+    return rows if all_rows else rows.where(condition)
+
+
 def nodes_of(d: Data, session: int) -> DataFrame:
     return events.replay(d.px_events).where(F.col("session_id") == session)
 
@@ -258,17 +270,19 @@ walk AS (SELECT paper_id, paper_id AS r FROM px_papers WHERE paper_id < {n} UNIO
 comp AS (SELECT paper_id, min(r) AS component FROM walk GROUP BY paper_id) """
 
 
+@whole
 @query("g07_components", COMPONENTS.format(n=600) + "SELECT paper_id, component FROM comp")
-def components(d):
-    return graph.components(d.px_papers.where("paper_id < 600"), d.px_thin)
+def components(d, all_rows=False):
+    return graph.components(*((d.px_papers, d.px_edges) if all_rows else (d.px_papers.where("paper_id < 600"), d.px_thin)))
 
 
+@whole
 @query("g06_graph_stats", COMPONENTS.format(n=600) + """, u AS (SELECT count(*) AS m FROM (SELECT DISTINCT least(a, b), greatest(a, b) FROM e WHERE a < 600 AND b < 600))
 SELECT (SELECT count(*) FROM px_papers WHERE paper_id < 600) AS nodes, u.m AS edges, (SELECT count(DISTINCT component) FROM comp) AS components,
 round(2 * u.m / CAST((SELECT count(*) FROM px_papers WHERE paper_id < 600) AS DOUBLE), 4) AS avg_degree,
 round(2 * u.m / (CAST((SELECT count(*) FROM px_papers WHERE paper_id < 600) AS DOUBLE) * ((SELECT count(*) FROM px_papers WHERE paper_id < 600) - 1)), 4) AS density FROM u""")
-def graph_stats(d):
-    return graph.stats(d.px_papers.where("paper_id < 600"), d.px_thin)
+def graph_stats(d, all_rows=False):
+    return graph.stats(*((d.px_papers, d.px_edges) if all_rows else (d.px_papers.where("paper_id < 600"), d.px_thin)))
 
 
 @query("g08_reach", """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_thin UNION SELECT cited_id, citing_id FROM px_thin),
@@ -398,8 +412,8 @@ def cascade(d):
     return filters.cascade(titled(d), PROXY, AS_OF_YEAR).select("paper_id", told(F.col("verdict")).alias("verdict"))
 
 
-def decisions_of(d: Data) -> DataFrame:
-    v = filters.cascade(titled(d), PROXY, AS_OF_YEAR).where("paper_id % 2 = 0")
+def decisions_of(d: Data, all_rows: bool = False) -> DataFrame:
+    v = part(filters.cascade(titled(d), PROXY, AS_OF_YEAR), "paper_id % 2 = 0", all_rows)
     return v.select("paper_id", F.lit(None).cast("long").alias("session_id"), "verdict.*", F.lit(PROXY.version).alias("config_version"))
 
 
@@ -409,16 +423,18 @@ def cached(d):
     return rows.groupBy(told(F.col("verdict")).alias("verdict")).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("evaluated"))
 
 
+@whole
 @query("f12_record", CASCADE_SQL + "SELECT paper_id, CASE WHEN paper_id % 4 = 0 THEN 'ACCEPT' ELSE split_part(v, '|', 1) END AS outcome FROM judged WHERE paper_id % 2 = 0")
-def record(d):
-    old = decisions_of(d)
+def record(d, all_rows=False):
+    old = decisions_of(d, all_rows)
     fresh = old.where("paper_id % 4 = 0").withColumn("outcome", F.lit("ACCEPT"))
     return filters.record(old, fresh).select("paper_id", "outcome")
 
 
+@whole
 @query("f13_non_accepted", CASCADE_SQL + "SELECT paper_id FROM judged WHERE paper_id % 2 = 0 AND v NOT LIKE 'ACCEPT%'")
-def non_accepted(d):
-    return filters.non_accepted(decisions_of(d), 1, PROXY.version)
+def non_accepted(d, all_rows=False):
+    return filters.non_accepted(decisions_of(d, all_rows), 1, PROXY.version)
 
 
 @query("f16_report", CASCADE_SQL + "SELECT split_part(v, '|', 1) AS outcome, split_part(v, '|', 3) AS reason, count(*) AS n FROM judged GROUP BY 1, 2")
@@ -426,9 +442,10 @@ def report(d):
     return filters.report(filters.cascade(titled(d), PROXY, AS_OF_YEAR))
 
 
+@whole
 @query("a03_count_by_reason", CASCADE_SQL + "SELECT split_part(v, '|', 1) AS outcome, split_part(v, '|', 3) AS reason, count(*) AS n FROM judged WHERE paper_id % 2 = 0 GROUP BY 1, 2")
-def count_by_reason(d):
-    return decisions_of(d).groupBy("outcome", "reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+def count_by_reason(d, all_rows=False):
+    return decisions_of(d, all_rows).groupBy("outcome", "reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
 @query("a10_summary", CASCADE_SQL + "SELECT count(*) FILTER (WHERE v LIKE 'ACCEPT%') AS accepted, count(*) FILTER (WHERE v LIKE 'QUARANTINE%') AS quarantined, count(*) FILTER (WHERE v LIKE 'REJECT%') AS rejected FROM judged")
@@ -437,9 +454,10 @@ def summary(d):
     return filters.cascade(titled(d), PROXY, AS_OF_YEAR).agg(*[F.count_if(o == v).alias(n) for v, n in (("ACCEPT", "accepted"), ("QUARANTINE", "quarantined"), ("REJECT", "rejected"))])
 
 
+@whole
 @query("k04_review", CASCADE_SQL + "SELECT paper_id, title, split_part(v, '|', 3) AS reason FROM judged WHERE v NOT LIKE 'ACCEPT%' AND paper_id % 2 = 0 ORDER BY paper_id DESC LIMIT 100")
-def review(d):
-    rows = decisions_of(d).where("outcome <> 'ACCEPT'").join(titled(d).select("paper_id", "title"), "paper_id")
+def review(d, all_rows=False):
+    rows = decisions_of(d, all_rows).where("outcome <> 'ACCEPT'").join(titled(d).select("paper_id", "title"), "paper_id")
     return rows.select("paper_id", "title", "reason").orderBy(F.desc("paper_id")).limit(100)
 
 
@@ -613,17 +631,19 @@ def coverage(d):
     return joined.agg(F.round(F.coalesce(F.count("category") / F.count("paper_id"), F.lit(0.0)), 6).alias("coverage"))
 
 
+@whole
 @query("j08_title_matches", "SELECT p.paper_id AS probe_id, (SELECT min(q.paper_id) FROM px_papers q WHERE lower(q.title) = lower(p.title) AND (q.year IS NULL OR p.year IS NULL OR q.year = p.year)) AS paper_id FROM px_papers p WHERE p.paper_id < 200")
-def title_matches(d):
+def title_matches(d, all_rows=False):
     p = d.px_papers.withColumn("author", F.lit("Ada Lovelace"))
-    return corpus.title_matches(p.where("paper_id < 200").withColumnRenamed("paper_id", "probe_id"), p)
+    return corpus.title_matches(part(p, "paper_id < 200", all_rows).withColumnRenamed("paper_id", "probe_id"), p)
 
 
+@whole
 @query("j11_search_flags", f"WITH {REPLAY}, gone AS (SELECT paper_id FROM last_known WHERE session_id = 1 AND event_type IN ('REMOVED', 'GC_SWEPT')) SELECT p.paper_id, p.paper_id IN (SELECT paper_id FROM px_nodes WHERE session_id = 1) AS in_graph, p.paper_id IN (SELECT paper_id FROM gone) AS removed FROM px_papers p WHERE p.paper_id < 300")
-def search_flags(d):
+def search_flags(d, all_rows=False):
     n = nodes_of(d, 1).select("paper_id", F.lit(True).alias("in_graph"))
     gone = events.tombstones(d.px_events).where("session_id = 1").select("paper_id", F.lit(True).alias("removed"))
-    return d.px_papers.where("paper_id < 300").select("paper_id").join(n, "paper_id", "left").join(gone, "paper_id", "left").na.fill(False)
+    return part(d.px_papers, "paper_id < 300", all_rows).select("paper_id").join(n, "paper_id", "left").join(gone, "paper_id", "left").na.fill(False)
 
 
 @query("j16_review_tombstones", f"WITH {REPLAY} SELECT p.paper_id, p.title, l.event_type FROM last_known l JOIN px_papers p ON p.paper_id = l.paper_id WHERE l.session_id = 1 AND l.event_type IN ('REMOVED', 'GC_SWEPT')")
@@ -862,42 +882,45 @@ ranked AS (SELECT c.case_id, c.paper_id, row_number() OVER (PARTITION BY c.case_
 truth AS (SELECT citing_id AS case_id, cited_id AS paper_id FROM px_edges WHERE citing_id < 50)"""
 
 
-def candidates_of(d: Data) -> DataFrame:
-    e = d.px_edges.where("citing_id < 50").select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"))
-    more = d.px_papers.where("paper_id < 1000").select((F.col("paper_id") % 50).alias("case_id"), "paper_id")
+def candidates_of(d: Data, all_rows: bool = False) -> DataFrame:
+    e = part(d.px_edges, "citing_id < 50", all_rows).select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"))
+    more = part(d.px_papers, "paper_id < 1000", all_rows).select((F.col("paper_id") % 50).alias("case_id"), "paper_id")
     return e.union(more).distinct().join(d.px_papers.select("paper_id", "citation_count", "year"), "paper_id")
 
 
+@whole
 @query("e01_e04_metrics", f"""WITH {RANKED}, h AS (SELECT r.case_id, r.rank FROM ranked r JOIN truth t ON t.case_id = r.case_id AND t.paper_id = r.paper_id),
 n AS (SELECT case_id, count(*) AS n FROM truth GROUP BY case_id),
 g AS (SELECT case_id, count(*) FILTER (WHERE rank <= 20) AS f, min(rank) AS b, sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 20) AS dcg FROM h GROUP BY case_id)
 SELECT n.case_id, round(coalesce(f, 0) / CAST(n AS DOUBLE), 6) AS recall, CAST(coalesce(f, 0) > 0 AS INT) AS hit, round(coalesce(1.0 / b, 0), 6) AS rr,
 round(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM (SELECT unnest(range(1, 21)) AS i) WHERE i <= n.n), 6) AS ndcg FROM n LEFT JOIN g ON g.case_id = n.case_id""")
-def metrics(d):
-    truth = d.px_edges.where("citing_id < 50").select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"))
-    m = evaluation.metrics(evaluation.baseline(candidates_of(d), "citation_count"), truth, 20)
+def metrics(d, all_rows=False):
+    truth = part(d.px_edges, "citing_id < 50", all_rows).select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"))
+    m = evaluation.metrics(evaluation.baseline(candidates_of(d, all_rows), "citation_count"), truth, 20)
     return m.select("case_id", "hit", *[F.round(c, 6).alias(c) for c in ("recall", "rr", "ndcg")])
 
 
 @query("e05_bootstrap")
 def bootstrap(d):
-    scored = d.px_papers.select("category", (F.col("citation_count") / 50.0).alias("v")).where("paper_id < 500")
+    scored = d.px_papers.select("category", (F.col("citation_count") / 50.0).alias("v"))
     return evaluation.bootstrap(scored, "category", "v")
 
 
+@whole
 @query("e06_baseline_citations", f"WITH {RANKED} SELECT case_id, paper_id, rank FROM ranked")
-def citation_baseline(d):
-    return evaluation.baseline(candidates_of(d), "citation_count").withColumn("rank", F.col("rank").cast("long"))
+def citation_baseline(d, all_rows=False):
+    return evaluation.baseline(candidates_of(d, all_rows), "citation_count").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("e06_baseline_random")
 def random_baseline(d):
-    return evaluation.random_baseline(candidates_of(d))
+    return evaluation.random_baseline(candidates_of(d, True))
 
 
+@whole
 @query("e07_cutoff", f"WITH {RANKED} SELECT c.case_id, c.paper_id FROM cand c JOIN px_papers p ON p.paper_id = c.paper_id WHERE p.year IS NOT NULL AND p.year <= 1996")
-def cutoff(d):
-    rows = candidates_of(d).withColumn("date", F.col("year").cast("string")).withColumn("cutoff", F.to_date(F.lit("1996-12-31")))
+def cutoff(d, all_rows=False):
+    rows = candidates_of(d, all_rows).withColumn("date", F.col("year").cast("string")).withColumn("cutoff", F.to_date(F.lit("1996-12-31")))
     return evaluation.enforce_cutoff(rows, "date", "cutoff").select("case_id", "paper_id")
 
 
@@ -912,16 +935,18 @@ def cases(d):
     return evaluation.make_cases(targets, d.px_edges)
 
 
+@whole
 @query("j15_references", "SELECT e.citing_id AS case_id, e.cited_id AS paper_id, CASE WHEN p.paper_id % 2 = 0 THEN '1999-05' ELSE CAST(p.year AS VARCHAR) END AS date FROM px_edges e JOIN px_papers p ON p.paper_id = e.cited_id WHERE e.citing_id < 50")
-def references(d):
+def references(d, all_rows=False):
     p = d.px_papers.select(F.col("paper_id").alias("cited_id"), F.when(F.col("paper_id") % 2 == 0, "1999-05").alias("publication_date"), "year")
-    e = d.px_edges.where("citing_id < 50").join(p, "cited_id")
+    e = part(d.px_edges, "citing_id < 50", all_rows).join(p, "cited_id")
     return e.select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"), F.coalesce("publication_date", F.col("year").cast("string")).alias("date"))
 
 
+@whole
 @query("x14_fuse", "SELECT paper_id, round(sum(1.0 / (60 + rank)), 9) AS fused FROM (SELECT paper_id, row_number() OVER (ORDER BY citation_count DESC, paper_id) AS rank FROM px_papers WHERE paper_id < 500 UNION ALL SELECT paper_id, row_number() OVER (ORDER BY year DESC NULLS LAST, paper_id) FROM px_papers WHERE paper_id < 500) GROUP BY paper_id")
-def fuse(d):
-    p = d.px_papers.where("paper_id < 500").withColumn("case_id", F.lit(0))
+def fuse(d, all_rows=False):
+    p = part(d.px_papers, "paper_id < 500", all_rows).withColumn("case_id", F.lit(0))
     both = evaluation.baseline(p, "citation_count").unionByName(evaluation.baseline(p, "year"))
     return evaluation.fuse(both).select("paper_id", F.round("fused", 9).alias("fused"))
 
@@ -1033,7 +1058,7 @@ def explore_node(d):
 def expansion_quota(d):
     from biblioloom.operators import ingest
 
-    n = d.px_edges.where("cited_id < 10").groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("n"))
+    n = d.px_edges.groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("n"))
     return ingest.quota(n.withColumn("session_id", F.lit(1).cast("long")), 60)
 
 
@@ -1042,20 +1067,22 @@ titled AS (SELECT * FROM titled0 WHERE paper_id IN (SELECT paper_id FROM rec)),
 judged AS (SELECT *, CASE WHEN e NOT LIKE 'ACCEPT%' THEN e WHEN t NOT LIKE 'ACCEPT%' THEN t ELSE o END AS v FROM stage) """
 
 
+@whole
 @query("t06_ingest", INGESTED + "SELECT v LIKE 'ACCEPT%' AS admitted, count(*) AS n FROM judged GROUP BY 1")
-def ingested(d):
+def ingested(d, all_rows=False):
     from biblioloom.operators import ingest
 
-    near = d.px_edges.where("citing_id < 20").select(F.col("citing_id").alias("center"), F.col("cited_id").alias("paper_id"), F.lit("BACKWARD").alias("direction"))
+    near = part(d.px_edges, "citing_id < 20", all_rows).select(F.col("citing_id").alias("center"), F.col("cited_id").alias("paper_id"), F.lit("BACKWARD").alias("direction"))
     _, _, decisions = ingest.ingest(near.join(titled(d), "paper_id"), PROXY, AS_OF_YEAR)
     return ingest.boundary(decisions)
 
 
+@whole
 @query("t07_add_seeds", CASCADE_SQL + "SELECT paper_id, CASE WHEN v LIKE 'ACCEPT%' THEN NULL ELSE split_part(v, '|', 3) END AS forced_over FROM judged WHERE paper_id < 100")
-def seeds(d):
+def seeds(d, all_rows=False):
     from biblioloom.operators import ingest
 
-    return ingest.add_seeds(titled(d).where("paper_id < 100"), PROXY, AS_OF_YEAR, True).select("paper_id", "forced_over")
+    return ingest.add_seeds(part(titled(d), "paper_id < 100", all_rows), PROXY, AS_OF_YEAR, True).select("paper_id", "forced_over")
 
 
 @query("t11_labels", "SELECT o_custkey AS paper_id, CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN '1-URGENT' ELSE arg_max(o_orderpriority, o_orderkey) END AS label FROM orders GROUP BY o_custkey")
@@ -1065,9 +1092,10 @@ def label_table(d):
     return ingest.labels_table(d.orders.select(F.col("o_custkey").alias("paper_id"), F.col("o_orderpriority").alias("label"), F.col("o_orderkey").alias("seq")), ("1-URGENT",))
 
 
+@whole
 @query("w07_unique_ranking", f"WITH {RANKED} SELECT case_id, paper_id, rank FROM ranked")
-def unique_ranking(d):
-    ranked = evaluation.baseline(candidates_of(d), "citation_count")
+def unique_ranking(d, all_rows=False):
+    ranked = evaluation.baseline(candidates_of(d, all_rows), "citation_count")
     twice = ranked.unionByName(ranked.withColumn("rank", F.col("rank") + 100_000))
     return evaluation.unique_ranking(twice).withColumn("rank", F.col("rank").cast("long"))
 
