@@ -50,9 +50,12 @@ def cocitation(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return coupling(turned, anchors).withColumnRenamed("coupled", "cocited")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85, restart: DataFrame | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85, restart: DataFrame | None = None, tolerance: float | None = None) -> DataFrame:
     """(paper_id, rank) after ``rounds`` power steps; dangling mass is dealt like the restart.
 
+    With a ``tolerance`` it stops once a step changes the ranks by less than that for each node (summed
+    over all, as networkx does), and fails if ``rounds`` steps are not enough. Links must have both ends
+    among the nodes (``induced``).
     ``restart`` (paper_id) makes it personalised. Lineage is cut at every round, so a round reads one
     small table and the links, whatever came before.
     """
@@ -81,7 +84,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0
             .agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
         )
         step = F.lit(1 - damping) * F.col("share") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("share"))
-        ranks = cut(fixed.join(given, "paper_id", "left").select("paper_id", "share", "dangling", step.alias("rank")))
+        if tolerance is None:
+            ranks = cut(fixed.join(given, "paper_id", "left").select("paper_id", "share", "dangling", step.alias("rank")))
+            continue
+        both = fixed.join(given, "paper_id", "left").join(ranks.select("paper_id", F.col("rank").alias("_old")), "paper_id")
+        ranks = cut(both.select("paper_id", "share", "dangling", step.alias("rank"), "_old"))
+        change = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
+        ranks = ranks.drop("_old")
+        if change < n * tolerance:
+            return ranks.select("paper_id", "rank")
+    if tolerance is not None:
+        raise ArithmeticError(f"PageRank has not converged in {rounds} steps")
     return ranks.select("paper_id", "rank")
 
 

@@ -255,6 +255,36 @@ def personal_pagerank(d):
     return rounded(graph.pagerank(d.px_papers, d.px_thin, 3, restart=d.px_anchors))
 
 
+def converged(d: Data, edges: DataFrame, restart: DataFrame | None = None) -> DataFrame:
+    """PageRank to the reference's tolerance over the papers that are no stubs and the edges among them."""
+    nodes = d.px_papers.where("crawl_state <> 'STUB'").select("paper_id")
+    return rounded(graph.pagerank(nodes, graph.induced(edges, nodes), 100, restart=restart, tolerance=1e-6))
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("cited_id").alias("citing_id"), F.col("citing_id").alias("cited_id"))
+
+
+@query("g02_pagerank_all")
+def pagerank_all(d):
+    return converged(d, d.px_edges)
+
+
+@query("g03_reverse_pagerank_all")
+def reverse_pagerank_all(d):
+    return converged(d, turned(d.px_edges))
+
+
+@query("g04_undirected_pagerank_all")
+def undirected_pagerank_all(d):
+    return converged(d, d.px_edges.unionByName(turned(d.px_edges)))
+
+
+@query("x14_personal_pagerank_all")
+def personal_pagerank_all(d):
+    return converged(d, d.px_edges, d.px_anchors)
+
+
 @query("g05_completeness", "SELECT round(avg(CASE WHEN crawl_state <> 'STUB' THEN 1.0 ELSE 0.0 END), 4) AS completeness, avg(CASE WHEN crawl_state <> 'STUB' THEN 1.0 ELSE 0.0 END) < 0.6 AS suppressed FROM px_papers")
 def completeness(d):
     return graph.completeness(d.px_papers).select("completeness", (F.col("completeness") < PROXY.completeness_floor).alias("suppressed"))
@@ -285,21 +315,23 @@ def graph_stats(d, all_rows=False):
     return graph.stats(*((d.px_papers, d.px_edges) if all_rows else (d.px_papers.where("paper_id < 600"), d.px_thin)))
 
 
+@whole
 @query("g08_reach", """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_thin UNION SELECT cited_id, citing_id FROM px_thin),
 walk AS (SELECT paper_id, 0 AS k FROM px_anchors UNION SELECT e.b, w.k + 1 FROM walk w JOIN e ON e.a = w.paper_id WHERE w.k < 3)
 SELECT paper_id, min(k) AS distance FROM walk GROUP BY paper_id""")
-def reach(d):
-    return graph.reach(d.px_thin, d.px_anchors, 3)
+def reach(d, all_rows=False):
+    return graph.reach(d.px_edges if all_rows else d.px_thin, d.px_anchors, 3)
 
 
+@whole
 @query("g08_sweep", f"""WITH RECURSIVE {REPLAY}, n AS (SELECT paper_id, state FROM px_nodes WHERE session_id = 1),
 e AS (SELECT citing_id AS a, cited_id AS b FROM px_thin UNION SELECT cited_id, citing_id FROM px_thin),
 walk AS (SELECT paper_id, 0 AS k FROM n WHERE state IN ('SEED', 'LIKED') UNION
   SELECT e.b, w.k + 1 FROM walk w JOIN e ON e.a = w.paper_id JOIN n ON n.paper_id = e.b WHERE w.k < 3)
 SELECT paper_id FROM n WHERE state = 'CANDIDATE' AND paper_id NOT IN (SELECT paper_id FROM walk) AND paper_id % 3 <> 0""")
-def sweep(d):
+def sweep(d, all_rows=False):
     n = nodes_of(d, 1)
-    return graph.sweep(n, d.px_thin, n.where("paper_id % 3 = 0"), 3)
+    return graph.sweep(n, d.px_edges if all_rows else d.px_thin, n.where("paper_id % 3 = 0"), 3)
 
 
 @query("g10_hub_guard", "SELECT count(*) AS n FROM px_edges WHERE cited_id IN (SELECT paper_id FROM px_papers WHERE citation_count <= 40)")
@@ -318,7 +350,7 @@ def seed_metrics(d):
 
 @query("g13_expand_levels")
 def expand_levels(d):
-    return legacy.expand_levels(d.px_thin, d.px_anchors, 2, 25, d.px_papers)
+    return legacy.expand_levels(d.px_edges, d.px_anchors, 2, 25, d.px_papers)
 
 
 @query("a14_neighbour_counts", "SELECT p AS paper_id, count(*) AS n FROM (SELECT citing_id AS p FROM px_edges UNION ALL SELECT cited_id FROM px_edges) GROUP BY p ORDER BY n, paper_id LIMIT 100")
@@ -1041,10 +1073,11 @@ def pool_union(d):
     return d.px_edges.join(own, "citing_id", "left_semi").groupBy(F.col("cited_id").alias("paper_id")).agg(F.countDistinct("citing_id").alias("n"))
 
 
+@whole
 @query("g14_full_reach", """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_thin UNION SELECT cited_id, citing_id FROM px_thin),
 walk AS (SELECT CAST(3 AS BIGINT) AS p UNION SELECT e.b FROM walk w JOIN e ON e.a = w.p) SELECT p AS paper_id FROM walk""")
-def full_reach(d):
-    return graph.reach(d.px_thin, d.px_anchors.where("paper_id = 3"), None).select("paper_id")
+def full_reach(d, all_rows=False):
+    return graph.reach(d.px_edges if all_rows else d.px_thin, d.px_anchors.where("paper_id = 3"), None).select("paper_id")
 
 
 @query("g15_explore_node", "SELECT other FROM (SELECT cited_id AS other FROM px_edges WHERE citing_id = 3 UNION SELECT citing_id FROM px_edges WHERE cited_id = 3) x JOIN px_papers p ON p.paper_id = x.other WHERE p.category IN ('STANDARD', 'PROMO')")

@@ -10,7 +10,7 @@ from tests.test_entry import TABLES, rows
 
 SF = os.environ.get("TEST_WHOLE_DIR", "/root/testdata/sf0.01")
 ALL = sorted(n[:-4] for n in library.QUERIES if n.endswith("_all") and n[:-4] in library.ORACLE_SQL)
-GRAPH = ("g06_graph_stats", "g07_components")
+GRAPH = ("g06_graph_stats", "g07_components", "g08_reach", "g08_sweep", "g14_full_reach", *(n for n in ALL if "pagerank" in n))
 CHOICE = r"(?:\w+\.)?(?:paper_id|citing_id|cited_id)(?: < \d+| % 2 = 0)"
 
 
@@ -62,3 +62,54 @@ def test_queries_without_sql_take_all_rows(spark):
     d = library.Data(spark, SF)
     assert library.QUERIES["g16_quota"](spark, SF).count() == d.px_edges.select("cited_id").distinct().count()
     assert library.QUERIES["e06_baseline_random"](spark, SF).select("paper_id").distinct().count() == d.px_papers.count()
+
+
+def plain_rank(nodes, pairs, restart=None):
+    """The power iteration of networkx: 0.85, 1e-6 for each node, at most 100 steps."""
+    share = {i: 1 / len(restart or nodes) if not restart or i in restart else 0.0 for i in nodes}
+    out, rank = {}, dict(share)
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    for _ in range(100):
+        old, lost = rank, sum(r for i, r in rank.items() if i not in out)
+        rank = {i: (0.15 + 0.85 * lost) * share[i] for i in nodes}
+        for a, bs in out.items():
+            for b in bs:
+                rank[b] += 0.85 * old[a] / len(bs)
+        if sum(abs(rank[i] - old[i]) for i in nodes) < len(nodes) * 1e-6:
+            return rank
+    raise AssertionError("not converged")
+
+
+@pytest.mark.parametrize("name", ["g02_pagerank", "g03_reverse_pagerank", "g04_undirected_pagerank", "x14_personal_pagerank"])
+def test_pagerank_converges(spark, name):
+    d = library.Data(spark, SF)
+    nodes = {r[0] for r in d.px_papers.where("crawl_state <> 'STUB'").select("paper_id").collect()}
+    pairs = {tuple(r) for r in d.px_edges.select("citing_id", "cited_id").collect() if r[0] in nodes and r[1] in nodes}
+    back = {(b, a) for a, b in pairs}
+    pairs = back if "reverse" in name else pairs | back if "undirected" in name else pairs
+    anchors = {r[0] for r in d.px_anchors.collect()} & nodes if "personal" in name else None
+    got = {r["paper_id"]: r["rank"] for r in library.QUERIES[f"{name}_all"](spark, SF).collect()}
+    assert got == pytest.approx(plain_rank(nodes, pairs, anchors), abs=2e-9)
+
+
+def test_pagerank_says_when_it_does_not_converge(spark):
+    e = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "citing_id long, cited_id long")
+    n = spark.createDataFrame([(1,), (2,), (3,)], "paper_id long")
+    with pytest.raises(ArithmeticError):
+        library.graph.pagerank(n, e, 2, tolerance=1e-9)
+
+
+@pytest.mark.parametrize("name", ["g08_reach", "g08_sweep", "g14_full_reach"])
+def test_reach_over_all_edges(spark, duck, name):
+    sql = library.ORACLE_SQL[name].replace("a.l_quantity > 49 AND b.l_quantity > 25", "true")
+    assert sql != library.ORACLE_SQL[name]
+    df, cursor = library.QUERIES[f"{name}_all"](spark, "/root/testdata/sf0.001"), small(duck).execute(sql)
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in cursor.description], cursor.fetchall())
+
+
+def small(duck):
+    c = __import__("duckdb").connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    return c
