@@ -2,14 +2,17 @@
 
 A text is cut into sentences (at closing marks before white space, and at line ends), each is
 normalised (A-Z lower-cased, everything but a-z and 0-9 one space) and looked up among known
-licence sentences. The identifiers found, in their order, are matched against ordered rules: a rule
+licence sentences. As files wrap their licences, runs of adjacent lines without a closing mark or a
+blank line between them are looked up as well (comment marks fall to the normalisation), up to the
+words of the longest known sentence. The identifiers found, in the order of their first lines, are matched against ordered rules: a rule
 fits where its identifiers follow one another, unknown sentences between them not counting. The
 first rule that fits names the text's licence; all rules that fit are listed.
 
 Every known sentence holds one of ``CUES``, so a text without any of them is not cut at all.
 
 Defined results: null and empty texts have no sentences and no licence; repeated rows are judged
-each; a null doc_id stays null; other columns are not read.
+each; a null doc_id stays null; other columns are not read. ``oracle_sql`` has the reading by single lines only;
+both agree where no known sentence is wrapped.
 """
 
 from __future__ import annotations
@@ -74,6 +77,10 @@ RULES = (
 CUES = ("licen", "copyright", "warranty", "permission", "public domain", "rights reserved", "public license")
 CUE = "(?i)licen|copyright|warranty|permission|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved"
 CUT, OTHER = "[.!?]+[ \\t\\r\\n]+|\\n+", "[^a-z0-9]+"
+#: Where a run of lines ends: the cuts but single line ends.
+STOP, BREAK = "[.!?]+[ \\t\\r\\n]+|\\n\\n+", "\x01"
+#: So many lines at most hold a known sentence, and so many characters.
+LINES, LONGEST = max(len(s.split()) for s in SENTENCES), max(map(len, SENTENCES))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,10 +88,18 @@ def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, rules, licence) of every row of ``documents``."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cut = F.split(F.translate(text, UPPER, LOWER), CUT, -1)
-    ids = F.filter(
-        F.transform(cut, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, OTHER, " ")))), lambda x: x.isNotNull()
-    )
+    blocks = F.split(F.regexp_replace(F.translate(text, UPPER + BREAK, LOWER + "_"), STOP, BREAK), BREAK, -1)
+    lines = lambda block: F.transform(F.split(block, "\\n", -1), lambda s: F.trim(F.regexp_replace(s, OTHER, " ")))
+
+    def runs(own):
+        """Of each line: itself, and the runs of lines that it begins."""
+        longer = lambda i: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(LINES), F.size(own) - i)), lambda n: F.array_join(F.slice(own, i + 1, n), " ")
+        )
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(own) - 1), longer))
+
+    read = F.filter(F.flatten(F.transform(F.transform(blocks, lines), runs)), lambda s: F.length(s) <= LONGEST)
+    ids = F.filter(F.transform(read, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(CUE), ids).otherwise(none).alias("ids"))
     line = F.concat(F.lit("|"), F.array_join("ids", "||"), F.lit("|"))

@@ -72,6 +72,53 @@ def test_licences(spark):
     assert {i for r in licenses.RULES for i in r[2]} <= set(licenses.SENTENCES.values())
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Ada
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+BSD = """Copyright (c) 2020, Ada
+All rights reserved.
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_wrapped_licences(spark):
+    whole = [(MIT, "MIT", "mit-text"), (BSD, "BSD-2-Clause", "bsd-2-clause-text"), (BSD3, "BSD-3-Clause", "bsd-3-clause-text"), (GPL, "GPL", "gpl-header")]
+    narrow = GPL.replace(" ", "\n")
+    marks = [lambda t, m=m: "".join(m + line for line in t.splitlines(True)) for m in ("", " * ", "# ", "// ", "-- ")]
+    cases = [(mark(t), name, rule) for t, name, rule in whole for mark in marks] + [(t.replace("\n", "\r\n"), n, r) for t, n, r in whole] + [(narrow, "GPL", "gpl-header")]
+    apart = "This program is distributed in the hope that it will be useful,\n\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY."
+    table = docs(spark, [(i, t, "", "", 0) for i, (t, _, _) in enumerate([*cases, (apart, None, "")])])
+    got = {r["doc_id"]: r for r in licenses.scan(table).collect()}
+    for i, (t, name, rule) in enumerate(cases):
+        assert got[i]["licence"] == name and rule in got[i]["rules"].split(","), t
+    assert got[len(cases)]["licence"] is None
+
+
 def test_chat_round_trip(spark):
     hard = ["\\### Assistant: </turn> ok", "a & b < c <|turn|>x<|text|>y<|end|>\n", "&lt;&amp;lt;", "<|end|>", "", None, "é\U0001f600" * 3, "x" * 200_000, "\n\n", "\\"]
     r = random.Random(3)
