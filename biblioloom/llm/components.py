@@ -2,35 +2,51 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblioloom.llm.common import cut
 
+#: Rows of one part of the state (two longs each), and the least number of parts.
+PART_ROWS, PARTS = 500_000, 12
+#: Labels that hold more than this share of the nodes (at most 64 of them) are joined by broadcast.
+HEAVY = 64
+
+
+def tree(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that hold ``members`` together: a binary heap from the least one on, so no node gets more than three."""
+    own = np.sort(members)
+    at = np.arange(1, len(own))
+    return own[at], own[(at - 1) // 2]
+
+
+def of_label(rows: DataFrame, values: DataFrame, total: int) -> DataFrame:
+    """``rows`` (…, label) with the column of ``values`` (label unique); few labels may hold most of the rows."""
+    heavy = rows.groupBy("label").agg(F.count("*").alias("_n")).where(F.col("_n") > total // HEAVY).select("label")
+    heavy = F.broadcast(heavy)  # fewer than HEAVY + 1 rows
+    few = rows.join(heavy, "label", "left_anti").join(values, "label")
+    return few.unionByName(rows.join(F.broadcast(values.join(heavy, "label", "left_semi")), "label"))
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (x, y) of any orderable type to (node, label): the least node that each one reaches.
 
-    Each round takes the least label among a node's neighbours and then the label of its label,
-    so the rounds grow with the logarithm of the longest chain. State is cut at every round.
-    Rows with a null end are ignored; repeated edges and loops do no harm; no edges, no rows.
+    Each round takes the label of a node's label and then the least label among its neighbours, so the
+    rounds grow with the logarithm of the longest chain. State is cut once a round, into parts of
+    ``PART_ROWS``. Rows with a null end are ignored; repeated edges and loops do no harm; no edges, no rows.
     """
-    both = cut(
-        edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x is not null and y is not null").distinct()
-    )
-    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")))
+    ends = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    both = cut(ends.where("x is not null and y is not null").distinct())
+    n = both.count()
+    parts = max(PARTS, -(-n // PART_ROWS))
+    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")).coalesce(parts))
+    total = labels.count()
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "y"), "y")
-            .groupBy(F.col("x").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        lower = cut(
-            labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        )
-        up = lower.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        # every label is a node itself; the hub that many share is split by the adaptive skew join
-        jumped = cut(lower.join(up, "label").select("node", F.least("label", "up").alias("label"), "old"))
-        labels = jumped.select("node", "label")
-        if jumped.where("label < old").isEmpty():
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))  # every label is a node itself
+        jumped = of_label(labels, up, total).select("node", F.col("label").alias("old"), F.least("label", "up").alias("label"))
+        near = both.join(jumped.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        state = cut(jumped.join(near, "node").select("node", "old", F.least("label", "near").alias("label")).coalesce(parts))
+        labels = state.select("node", "label")
+        if state.where("label < old").isEmpty():
             return labels

@@ -12,8 +12,9 @@ linked (triangle inequality) and is discarded; survivors are verified bit by bit
 
 Groups above ``GROUP`` rows are dealt again by twenty finer keys from the remaining bits. Those
 finer groups agree on 48 bits, so they hold at most 65,536 distinct fingerprints by construction.
-A group yields only the edges of a spanning forest, never all its pairs; the components are the
-same.
+A group yields only the edges of a forest over its components, never all its pairs; no node has
+more than three of them in a group, so no text becomes the hub of a later join; the components are
+the same.
 
 Defined results: null, empty and blank texts have no words and fingerprint 0, linked like any
 other; a text of fewer than three words is one shingle; repeated rows are one node; a null doc_id
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblioloom.llm.common import cut, small_batches
-from biblioloom.llm.components import connected_components
+from biblioloom.llm.components import connected_components, of_label, tree
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Bits of the six blocks; any three of them are a key.
@@ -47,7 +48,11 @@ def fingerprint(text: str | None) -> int:
     if len(words) <= SHINGLE:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(b"%b %b %b" % w, SEED) for w in zip(words, words[1:], words[2:], strict=False)], "<u8")
+    return majority(np.array([digest(b"%b %b %b" % w, SEED) for w in zip(words, words[1:], words[2:], strict=False)], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):  # bounded memory for very long texts
         bits = np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -99,35 +104,49 @@ def coarse_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.concatenate([fp & np.uint64(m) for m in COARSE])
 
 
-def pivot_table(fp: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+def distances(fp: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Hamming distances between fingerprints of one or more words (rows) and each of the others."""
+    return np.bitwise_count(fp[:, None] ^ others[None]).reshape(len(fp), len(others), -1).sum(axis=2, dtype=np.int16)
+
+
+def pivot_table(fp: np.ndarray, pivots: np.ndarray = PIVOTS) -> np.ndarray:
+    return distances(fp, pivots)
 
 
-def _near(fp, table, one, many) -> np.ndarray:
-    """Those of ``many`` (indices) within RADIUS of ``one``: pivot coordinates first, then the bits."""
-    for p in range(0, len(PIVOTS), 4):
-        far = np.abs(table[many, p : p + 4] - table[one, p : p + 4]).max(axis=1) > RADIUS
-        many = many[~far]
+def near(fp: np.ndarray, table: np.ndarray, one: int, many: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Those of ``many`` (indices) within ``radius`` of ``one``: pivot coordinates first, then the bits."""
+    for p in range(0, table.shape[1], 4):
+        many = many[np.abs(table[many, p : p + 4] - table[one, p : p + 4]).max(axis=1) <= radius]
         if not len(many):
             return many
-    return many[np.bitwise_count(fp[many] ^ fp[one]) <= RADIUS]
+    return many[distances(fp[many], fp[one : one + 1])[:, 0] <= radius]
 
 
-def forest(fp: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the link graph among distinct fingerprints of one group."""
-    table, todo, edges = pivot_table(fp), np.arange(len(fp)), []
-    while len(todo):
+def forest(fp: np.ndarray, radius: int = RADIUS, pivots: np.ndarray = PIVOTS, proved=None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (two index arrays) that hold the linked components of one group together, by trees of degree three.
+
+    ``proved`` (one, many) may drop fingerprints that are near, but whose texts are not.
+    """
+    table, todo = pivot_table(fp, pivots), np.arange(len(fp))
+    left, right = [], []
+    while len(todo) > 1:
         queue, todo = [int(todo[0])], todo[1:]
+        met = list(queue)
         while queue and len(todo):
-            at = queue.pop()
-            near = _near(fp, table, at, todo)
-            if len(near):
-                edges += [(at, int(j)) for j in near]
-                queue += near.tolist()
-                todo = np.setdiff1d(todo, near, assume_unique=True)
-        if len(todo) <= 1:
-            break
-    return edges
+            one = queue.pop()
+            found = near(fp, table, one, todo, radius)
+            if proved is not None:
+                found = proved(one, found)
+            if len(found):
+                met += found.tolist()
+                queue += found.tolist()
+                todo = todo[~np.isin(todo, found, assume_unique=True)]
+        if len(met) > 1:
+            x, y = tree(np.array(met))
+            left.append(x)
+            right.append(y)
+    none = np.zeros(0, int)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def short_runs(fp: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +197,8 @@ def _search(limit: int | None):
                 yield _links(own[i], own[j])
             for s, e in zip(starts[sizes > SHORT].tolist(), ends[sizes > SHORT].tolist(), strict=True):
                 own = fp[s:e]
-                if pairs := forest(own):
-                    i, j = np.array(pairs).T
+                i, j = forest(own)
+                if len(i):
                     yield _links(own[i], own[j])
 
         for batch in batches:
@@ -271,28 +290,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``documents``."""
     marked = cut(fingerprints(documents))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = connected_components(links(distinct))
-    labelled = cut(
-        distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", "first", F.coalesce("label", "fp").alias("label")
-        )
-    )
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = cut(labelled.join(least, "label").select("fp", "component_id"))
-    return marked.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
-
-
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` without near duplicates: the least doc_id of each component stays.
-
-    A doc_id that several rows carry stays once (the least text). Rows without a doc_id stay.
-    """
-    kept = near_duplicates(documents).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = cut(kept)
-    stay = documents.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(documents.columns)
-    many = documents.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
-    packed = F.struct(F.col("text").alias("_text"), F.struct(*documents.columns).alias("_row"))
-    many = many.groupBy("doc_id").agg(F.min(packed).alias("_least")).select("_least._row.*")
-    return stay.unionByName(many).unionByName(documents.where("doc_id is null"))
+    labels = connected_components(links(distinct)).withColumnRenamed("node", "fp")
+    joined = labels.join(distinct, "fp")
+    least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
+    # a fingerprint without links is its own component; only linked ones carry a label
+    linked = of_label(labels, least, labels.count()).select("fp", "component_id", F.lit(True).alias("_linked"))
+    named = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -66,8 +66,6 @@ def test_simhash_matches_brute_force(spark):
     got = {x["doc_id"]: x for x in simhash.near_duplicates(docs(spark, list(enumerate(texts)))).collect()}
     assert [got[i]["fingerprint"] for i in range(len(texts))] == [f"{f:016x}" for f in fps]
     assert [got[i]["component_id"] for i in range(len(texts))] == comp
-    kept = sorted(x["doc_id"] for x in simhash.keep_one(docs(spark, list(enumerate(texts)))).collect())
-    assert kept == sorted(set(comp))
 
 
 def clusters(r, n):
@@ -94,8 +92,24 @@ def test_links_find_every_component(spark, monkeypatch, group, short):
         groups.setdefault(c, set()).add(s)
         mine.setdefault(named.get(s, s), set()).add(s)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
-    for x in edges.collect():
-        assert (x["x"] ^ x["y"]).bit_count() <= 3 or bin((x["x"] ^ x["y"]) & (1 << 64) - 1).count("1") <= 3
+    for x in edges.collect():  # an edge holds two members of one component together
+        assert named[x["x"]] == named[x["y"]]
+
+
+def test_a_star_gets_no_hub(spark):
+    """2,081 fingerprints within two bits of one: each is linked to it, and none may gather the edges: a key gives a node less than SHORT."""
+    r = random.Random(4)
+    c = r.getrandbits(64)
+    fps = {c, *(c ^ 1 << i for i in range(64)), *(c ^ 1 << i ^ 1 << j for i in range(64) for j in range(i))}
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long")).distinct().collect()
+    degree = {}
+    for x in edges:
+        for end in (x["x"], x["y"]):
+            degree[end] = degree.get(end, 0) + 1
+    assert len(signed) == 2081 and max(degree.values()) <= 20 * (simhash.SHORT - 1)
+    left, right = simhash.forest(np.array(sorted(fps), np.uint64))
+    assert len(left) == 2080 and np.bincount(np.concatenate([left, right])).max() <= 3
 
 
 def test_every_close_pair_shares_a_key():
@@ -114,7 +128,8 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
     same = docs(spark, [(1, "x y z"), (1, "x y z"), (None, "x y z"), (2, "p q r s")])
     assert sorted(map(tuple, simhash.near_duplicates(same).select("doc_id", "component_id").collect()), key=repr) == [(1, 1), (1, 1), (2, 2), (None, 1)]
-    assert sorted(x["doc_id"] or 0 for x in simhash.keep_one(same).collect()) == [0, 1, 2]
+    named = docs(spark, [(None, "x y z"), (None, "p q")])
+    assert [x["component_id"] for x in simhash.near_duplicates(named).collect()] == [None, None]
 
 
 # 7 ------------------------------------------------------------------------------------------------
