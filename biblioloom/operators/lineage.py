@@ -1,18 +1,48 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share, and numbering rows without one task for all."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` under ``spark.checkpoint.dir``; a temporary folder only inside one process (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Only where a session names none and runs inside one process (tests) a temporary one is set.
+    """
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None and not (sc.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="biblioloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and forget its lineage, and with it the optimizer's guess of its size.
+
+    A checkpoint keeps that guess, a product over all joins before it: in a loop its digits double at every
+    round until planning takes longer than the work. Adaptive execution sees the true sizes anyway.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)
+    if not hasattr(kept, "_jdf"):
+        return kept
+    plain = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return DataFrame(plain, spark)
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with their place (from 1) in ``order``: sorted parts, numbered each, moved on by the sizes of
+    the parts before. Only the counts of parts meet in one task."""
+    rows = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # one row for each part
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.withColumn("_place", place).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
