@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biblioloom.operators.lineage import cut, shared_folder
+
+__all__ = ["cut", "sample_ids", "shared_folder", "small_batches", "table"]
+
 #: Rows and bytes of one Arrow batch sent to a Python worker; keeps a worker's memory flat
 #: even where many texts are very long.
 BATCH_ROWS = 2_000
@@ -23,26 +25,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only where a session names none and runs inside one process (tests) a temporary one is set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not (sc.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="biblioloom-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def sample_ids(labels: DataFrame, key: str, columns: list, limit: int) -> list:
     """At most ``limit`` labelled rows, chosen by a hash of their key (the same on every run)."""
     chosen = (
