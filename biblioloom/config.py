@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 
 
 @dataclass(frozen=True)
@@ -22,9 +22,21 @@ class Policy:
     core_venues: tuple = (
         "NeurIPS", "ICML", "ICLR", "ACL", "EMNLP", "NAACL", "AAAI", "IJCAI", "COLT", "AISTATS", "TMLR", "JMLR", "COLM", "EACL", "CoNLL",
     )
-    biochem_terms: tuple = ("protein", "molecul", "drug discovery", "genom")
-    reaction_terms: tuple = ("retrosynthesis", "reaction prediction", "chemical reaction")
-    applied_terms: tuple = ("medical imaging", "traffic", "remote sensing")
+    biochem_terms: tuple = (
+        "metabolic pathway", "metabolic reaction", "retrobiosynth", "biosynthetic pathway", "metabolite prediction",
+        "biotransformation", "active site prediction", "catalytic site prediction", "catalytic residue", "reactive site",
+        "enzyme active site", "enzyme function", "enzyme commission", "ec number", "enzyme annotation", "enzymatic reaction",
+        "substrate specificity", "binding site", "binding affinity prediction", "protein-ligand", "molecular docking",
+        "protein function", "go term", "gene ontology", "protein language", "protein representation", "protein sequence",
+    )
+    reaction_terms: tuple = (
+        "retrosynth", "reaction prediction", "reaction outcome", "reactivity prediction", "reaction yield", "yield prediction",
+        "synthesis planning", "synthesis prediction", "reaction condition", "catalyst design", "chemical reaction network",
+    )
+    applied_terms: tuple = (
+        "clinical", "patient", "radiolog", "ehr", "diagnosis", "crop", "agricultur", "portfolio", "stock return",
+        "credit risk", "seismic", "wafer", "churn", "fraud detection",
+    )
     weights: dict = field(
         default_factory=lambda: {"overlap": 2.0, "quality": 0.4, "recency": 0.3, "venue": 0.2, "hub": -0.6, "cocite": 0.0, "bibcoup": 0.0}
     )
@@ -54,6 +66,22 @@ DEFAULT = Policy()
 #: For the proxy corpus of the test tables.
 PROXY = Policy(
     year_floor=1995, survey_min_citations=40, survey_min_rate=8.0, forward_expand_max=40,
-    core_allow=("STANDARD", "PROMO"), borderline=("MEDIUM",), applied_deny=("LARGE",), core_venues=("Brand#11", "Brand#22"),
+    core_allow=("STANDARD", "PROMO"), borderline=("MEDIUM",), applied_deny=("LARGE", "SMALL.*"), core_venues=("Brand#11", "Brand#22", "ICLR"),
 )
 AS_OF_YEAR = 2001
+
+
+def load(path: str) -> Policy:
+    """A policy file (JSON, or YAML where a parser is installed): a partial override of the defaults."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        given = json.loads(text)
+    else:
+        import yaml
+
+        given = yaml.safe_load(text) or {}
+    names = {f.name for f in fields(Policy)}
+    if unknown := sorted(set(given) - names):
+        raise ValueError(f"unknown policy values {unknown}")
+    return DEFAULT.merged(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})

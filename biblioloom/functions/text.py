@@ -18,9 +18,17 @@ def _normal(title: str | None) -> str:
 
 
 @F.pandas_udf(StringType())
-def normalize_title(titles: pd.Series) -> pd.Series:
-    """NFKD, lower case, no punctuation, single spaces, one leading article dropped."""
-    return titles.map(_normal)
+def _folded(titles: pd.Series) -> pd.Series:
+    return titles.map(_normal, na_action="ignore")
+
+
+def normalize_title(title: Column) -> Column:
+    """NFKD, lower case, no punctuation, single spaces, one leading article dropped; null gives an empty string.
+
+    Plain ASCII stays inside the JVM; only other titles go through Python, in Arrow batches.
+    """
+    plain = title.rlike(r"^[\x20-\x7E\t\n\r]*$")
+    return F.coalesce(ascii_title(F.when(plain, title)), _folded(F.when(~plain, title)), F.lit(""))
 
 
 def ascii_title(title: Column) -> Column:
@@ -45,7 +53,7 @@ def arxiv_id_of(explicit: Column, doi: Column) -> Column:
 
 
 def canonical_key(doi: Column, arxiv_id: Column, title: Column, author: Column, year: Column) -> Column:
-    """DOI, else arXiv id, else title, surname and year; blank counts as missing."""
+    """DOI, else arXiv id, else title, surname and year; blank counts as missing, and without any there is no key."""
     has = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0
     none = F.lit(None).cast("string")
     key = lambda kind, v, s=none, y=F.lit(None).cast("int"): F.struct(
@@ -54,7 +62,7 @@ def canonical_key(doi: Column, arxiv_id: Column, title: Column, author: Column,
     return (
         F.when(has(doi), key("doi", F.lower(F.trim(doi))))
         .when(has(arxiv_id), key("arxiv", strip_arxiv_version(F.lower(F.trim(arxiv_id)))))
-        .otherwise(key("title", ascii_title(title), surname_of(author), year))
+        .when(normalize_title(title) != "", key("title", normalize_title(title), surname_of(author), year))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblioloom.functions.text import ascii_title, surname_of
+from biblioloom.functions.text import normalize_title, surname_of
 
 # How far a paper has been read.
 RANKS = {"STUB": 0, "METADATA": 1, "REFS_DONE": 2, "CITES_DONE": 2, "EXPANDED": 3}
@@ -56,15 +56,21 @@ def keep_last(rows: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 
 
 def duplicate_groups(keyed: DataFrame) -> DataFrame:
-    """(paper_id, canonical_paper_id) by equal canonical keys (column key); the least id stands for all."""
-    least = keyed.groupBy("key").agg(F.min("paper_id").alias("canonical_paper_id"))
-    return keyed.join(least, "key").select("paper_id", "canonical_paper_id")
+    """(paper_id, canonical_paper_id) by equal canonical keys (column key); the least id stands for all.
+
+    A paper without a key stands for itself.
+    """
+    least = keyed.where("key is not null").groupBy("key").agg(F.min("paper_id").alias("canonical_paper_id"))
+    return keyed.join(least, "key", "left").select("paper_id", F.coalesce("canonical_paper_id", "paper_id").alias("canonical_paper_id"))
 
 
 def title_matches(probes: DataFrame, papers: DataFrame) -> DataFrame:
-    """Least paper with an equal title whose year and first author's surname do not contradict."""
-    p = papers.select("paper_id", ascii_title(F.col("title")).alias("t"), F.col("year").alias("py"), surname_of(F.col("author")).alias("ps"))
-    q = probes.select("probe_id", ascii_title(F.col("title")).alias("t"), F.col("year").alias("qy"), surname_of(F.col("author")).alias("qs"))
+    """Least paper with an equal title whose year and first author's surname do not contradict.
+
+    A title without letters or digits is no key and matches nothing.
+    """
+    p = papers.select("paper_id", normalize_title(F.col("title")).alias("t"), F.col("year").alias("py"), surname_of(F.col("author")).alias("ps")).where("t <> ''")
+    q = probes.select("probe_id", normalize_title(F.col("title")).alias("t"), F.col("year").alias("qy"), surname_of(F.col("author")).alias("qs")).where("t <> ''")
     fits = (F.coalesce(F.col("py") == F.col("qy"), F.lit(True))) & (F.coalesce(F.col("ps") == F.col("qs"), F.lit(True)))
     return q.join(p, "t").where(fits).groupBy("probe_id").agg(F.min("paper_id").alias("paper_id"))
 
@@ -74,3 +80,16 @@ def shorter_distance(writes: DataFrame) -> DataFrame:
     least = writes.groupBy("paper_id").agg(F.min("distance").alias("distance"))
     at = writes.join(least, ["paper_id", "distance"])
     return at.groupBy("paper_id", "distance").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("connections")))).alias("connections"))
+
+
+def stub(ids: DataFrame) -> DataFrame:
+    """Sightings of papers of which only the id is known (paper_id, seq, first_seen_at), for ``merge_papers``:
+    the lowest state, so they never take anything from a paper that is known."""
+    return ids.select("paper_id", F.lit("STUB").alias("crawl_state"), F.lit(0).cast("long").alias("citation_count"), F.lit(None).cast("string").alias("venue"), F.lit(None).cast("int").alias("year"), "seq", "first_seen_at")
+
+
+def reuse_by_doi(papers: DataFrame, writes: DataFrame) -> DataFrame:
+    """Writes under the id of the paper that has their DOI already, else under their own."""
+    held = papers.where("doi is not null").groupBy(F.lower(F.trim("doi")).alias("_doi")).agg(F.min("paper_id").alias("_held"))
+    keyed = writes.withColumn("_doi", F.lower(F.trim("doi"))).join(held, "_doi", "left")
+    return keyed.withColumn("paper_id", F.coalesce("_held", "paper_id")).drop("_doi", "_held")

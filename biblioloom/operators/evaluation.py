@@ -8,57 +8,66 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from biblioloom.functions.dates import visible
+from biblioloom.functions.dates import latest, visible
 
 RESAMPLES, SEED = 1000, 20260916
 MIN_REFERENCES, SEEDS = 15, 3
 
 
-def unique_ranking(ranked: DataFrame) -> DataFrame:
-    """Repeats collapse to their first place; positions are counted anew within each case."""
-    first = ranked.groupBy("case_id", "paper_id").agg(F.min("rank").alias("_first"))
-    w = Window.partitionBy("case_id").orderBy("_first", "paper_id")
-    return first.select("case_id", "paper_id", F.row_number().over(w).alias("rank"))
+def unique_ranking(ranked: DataFrame, k: int | None = None) -> DataFrame:
+    """The first ``k`` results of each case (all without ``k``), repeats collapsed to their first place.
+
+    The list is cut before repeats collapse, so a repeat within it takes a place and brings nothing new.
+    ``rank`` counts anew, ``first`` is the place in the list as it came.
+    """
+    cut = ranked if k is None else ranked.where(F.col("rank") <= k)
+    first = cut.groupBy("case_id", "paper_id").agg(F.min("rank").alias("first"))
+    w = Window.partitionBy("case_id").orderBy("first", "paper_id")
+    return first.select("case_id", "paper_id", F.row_number().over(w).alias("rank"), "first")
 
 
 def metrics(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
-    """recall, hit, reciprocal rank and NDCG at k of every case of ``truth``."""
-    size = truth.distinct().groupBy("case_id").agg(F.count("*").alias("n_true"))
-    hits = unique_ranking(ranked).join(truth.distinct(), ["case_id", "paper_id"])
-    got = hits.groupBy("case_id").agg(
-        F.count_if(F.col("rank") <= k).alias("found"),
-        F.min("rank").alias("best"),
-        F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1.0))).alias("dcg"),
-    )
+    """recall, hit and NDCG at k and the reciprocal rank of every case of ``truth``.
+
+    The reciprocal rank is that of the first true paper in the whole list as it came; NDCG counts
+    places after repeats collapsed.
+    """
+    true = truth.select("case_id", "paper_id").distinct()
+    size = true.groupBy("case_id").agg(F.count("*").alias("n_true"))
+    got = unique_ranking(ranked, k).join(true, ["case_id", "paper_id"]).groupBy("case_id")
+    got = got.agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    best = ranked.join(true, ["case_id", "paper_id"]).groupBy("case_id").agg(F.min("rank").alias("best"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_true", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-    return size.join(got, "case_id", "left").select(
+    return size.join(got, "case_id", "left").join(best, "case_id", "left").select(
         "case_id",
         (F.coalesce("found", F.lit(0)) / F.col("n_true")).alias("recall"),
         (F.coalesce("found", F.lit(0)) > 0).cast("int").alias("hit"),
         F.coalesce(1 / F.col("best"), F.lit(0.0)).alias("rr"),
         (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"),
-    )
+    )
 
 
 def interval(values: list[float], resamples: int = RESAMPLES, seed: int = SEED, level: float = 0.95) -> tuple[float, float]:
     """Percentile bootstrap of the mean."""
     if not values:
         return (0.0, 0.0)
-    r = random.Random(seed)
-    means = sorted(sum(r.choices(values, k=len(values))) / len(values) for _ in range(resamples))
-    tail = (1 - level) / 2
-    return means[int(tail * resamples)], means[min(resamples - 1, int((1 - tail) * resamples))]
+    draw = random.Random(seed).choices
+    size = len(values)
+    resampled = sorted(sum(draw(values, k=size)) / size for _ in range(resamples))
+    below = int((1 - level) / 2 * resamples)
+    above = int((1 + level) / 2 * resamples)
+    return resampled[below], resampled[min(above, resamples - 1)]
 
 
-def bootstrap(scored: DataFrame, by: str, value: str) -> DataFrame:
-    """The interval of each group; a group is one evaluation run, as many values as it has cases."""
+def bootstrap(scored: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """The interval of each group, its values in ``order``; a group is one evaluation run, as many values as it has cases."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = sorted(float(v) for v in pdf[value])
+        values = [float(v) for v in pdf.sort_values(order)[value]]
         low, high = interval(values)
         return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [sum(values) / len(values)], "low": [low], "high": [high]})
 
-    return scored.select(by, value).groupBy(by).applyInPandas(run, f"{by} {scored.schema[by].dataType.simpleString()}, mean double, low double, high double")
+    return scored.select(by, value, order).groupBy(by).applyInPandas(run, f"{by} {scored.schema[by].dataType.simpleString()}, mean double, low double, high double")
 
 
 def baseline(candidates: DataFrame, key: str) -> DataFrame:
@@ -88,18 +97,59 @@ def eligible_targets(edges: DataFrame, papers: DataFrame, low: int, high: int, l
     return refs.join(papers.where(F.col("year").between(low, high)).select("paper_id", "year"), "paper_id").orderBy("paper_id").limit(limit)
 
 
-def make_cases(targets: DataFrame, edges: DataFrame, least: int = MIN_REFERENCES, seeds: int = SEEDS, seed: int = SEED) -> DataFrame:
-    """(case_id, seed_ids, truth_ids): seeds drawn from each target's sorted references, the rest is the truth."""
-    refs = edges.join(targets.select(F.col("paper_id").alias("citing_id")), "citing_id", "left_semi").where("citing_id <> cited_id")
+def make_cases(targets: DataFrame, references: DataFrame, least: int = MIN_REFERENCES, seeds: int = SEEDS, seed: int = SEED) -> DataFrame:
+    """(case_id, seed_ids, truth_ids, cutoff) from ``references`` (citing_id, cited_id, date).
+
+    Seeds are drawn from each target's sorted references, the rest is the truth. The cutoff is the latest
+    day that a seed's partial date may mean; a case whose seeds have no date is left out.
+    """
+    refs = references.join(targets.select(F.col("paper_id").alias("citing_id")), "citing_id", "left_semi").where("citing_id <> cited_id")
+    refs = refs.groupBy("citing_id", "cited_id").agg(F.min(latest(F.col("date"))).cast("string").alias("day"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, case = sorted(set(pdf["cited_id"].tolist())), int(pdf["citing_id"].iloc[0])
+        days, case = dict(zip(pdf["cited_id"].tolist(), pdf["day"].tolist(), strict=True)), int(pdf["citing_id"].iloc[0])
+        ids, none = sorted(days), pd.DataFrame(columns=["case_id", "seed_ids", "truth_ids", "cutoff"])
         if len(ids) < least:
-            return pd.DataFrame(columns=["case_id", "seed_ids", "truth_ids"])
+            return none
         chosen = sorted(random.Random(seed + case).sample(ids, seeds))
-        return pd.DataFrame([(case, chosen, [i for i in ids if i not in chosen])], columns=["case_id", "seed_ids", "truth_ids"])
+        known = [days[i] for i in chosen if days[i]]
+        if not known:
+            return none
+        return pd.DataFrame([(case, chosen, [i for i in ids if i not in chosen], max(known))], columns=none.columns)
+
+    return refs.groupBy("citing_id").applyInPandas(run, "case_id long, seed_ids array<long>, truth_ids array<long>, cutoff string")
+
+
+def dated_references(edges: DataFrame, papers: DataFrame) -> DataFrame:
+    """Each reference with its publication date, else its year (partial dates)."""
+    dates = papers.select(F.col("paper_id").alias("cited_id"), F.coalesce("publication_date", F.col("year").cast("string")).alias("date"))
+    return edges.select("citing_id", "cited_id").join(dates, "cited_id")
+
+
+def per_year_baseline(candidates: DataFrame, as_of: str) -> DataFrame:
+    """Ranks by citations a year up to the case's ``as_of`` year; an unknown year ranks by the citations as they are."""
+    rate = F.when(F.col("year").isNull(), F.col("citation_count").cast("double")).otherwise(F.col("citation_count") / F.greatest(F.lit(1), F.col(as_of) - F.col("year") + 1))
+    return baseline(candidates.withColumn("_rate", rate), "_rate")
+
+
+def bfs_baseline(candidates: DataFrame) -> DataFrame:
+    """Unranked expansion: candidates by the level at which they were met, then by id."""
+    w = Window.partitionBy("case_id").orderBy("level", "paper_id")
+    return candidates.select("case_id", "paper_id", F.row_number().over(w).alias("rank"))
+
 
-    return refs.groupBy("citing_id").applyInPandas(run, "case_id long, seed_ids array<long>, truth_ids array<long>")
+def evaluate(runs: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """Mean metrics with bootstrap intervals of each run of ``runs`` (run, case_id, paper_id, rank)."""
+    named = runs.withColumn("_case", F.struct("run", "case_id"))
+    cases = truth.select("case_id", "paper_id").distinct().join(F.broadcast(runs.select("run").distinct()))  # a few runs
+    scored = metrics(
+        named.select(F.col("_case").alias("case_id"), "paper_id", "rank"),
+        cases.select(F.struct("run", "case_id").alias("case_id"), "paper_id"), k,
+    )
+    each = scored.select("case_id.run", F.col("case_id.case_id").alias("case_id"), F.explode(F.create_map(*[x for m in ("recall", "hit", "rr", "ndcg") for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "v"))
+    keyed = each.withColumn("key", F.concat_ws("|", "run", "metric"))
+    made = bootstrap(keyed, "key", "v", "case_id")
+    return made.select(F.split("key", "[|]")[0].alias("run"), F.split("key", "[|]")[1].alias("metric"), "mean", "low", "high")
 
 
 def fuse(rankings: DataFrame, k: int = 60) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biblioloom.operators.lineage import numbered
+
 # What an event makes of a node, and the moves that a label may make.
 STATE_OF = {"SEED_ADDED": "SEED", "LIKED": "LIKED", "DISLIKED": "DISLIKED", "UNLABELED": "CANDIDATE", "RESTORED": "CANDIDATE"}
 LEAVE = ("REMOVED", "GC_SWEPT", "CLEARED")
@@ -16,11 +18,15 @@ KEY = ("session_id", "paper_id")
 
 def append(log: DataFrame, fresh: DataFrame) -> DataFrame:
     """The log with new events; ids go on from the last one in the order of ``seq``."""
-    from pyspark.sql import Window
-
     last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.orderBy("seq"))).join(F.broadcast(last))  # one row
-    return log.unionByName(numbered.withColumn("id", F.col("_last") + F.col("_n")).drop("seq", "_n", "_last"))
+    placed = numbered(fresh, ["seq"], "_n").join(F.broadcast(last))  # one row
+    return log.unionByName(placed.withColumn("id", F.col("_last") + F.col("_n")).drop("seq", "_n", "_last"))
+
+
+def events_of(log: DataFrame, session_id: int, paper_id: int | None = None) -> DataFrame:
+    """A session's events in the order of their ids, of one paper where it is given."""
+    own = F.col("session_id") == session_id
+    return log.where(own if paper_id is None else own & (F.col("paper_id") == paper_id)).orderBy("id")
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -94,12 +100,46 @@ def clear(nodes: DataFrame, session_id: int) -> tuple[DataFrame, DataFrame]:
     return nodes.where(F.col("session_id") != session_id), events
 
 
-def stage_of(status: str, pooled: str, filtered: str, added: str):
-    """What a run is doing, from its counters."""
-    return (
-        F.when(F.col(status) != "RUNNING", F.lower(F.col(status)))
-        .when(F.col(added).isNotNull(), "committing")
-        .when(F.col(filtered).isNotNull(), "filtering")
-        .when(F.col(pooled).isNotNull(), "pooling")
-        .otherwise("fetching")
-    )
+def parse_states(raw: str | None) -> list[str] | None:
+    """A comma list of states; None (no filter) where it names none, an error for an unknown one."""
+    wanted = [w for w in (part.strip().upper() for part in (raw or "").split(",")) if w]
+    if unknown := sorted(set(wanted) - set(STATES)):
+        raise ValueError(f"unknown states {unknown}; known are {sorted(STATES)}")
+    return wanted or None
+
+
+def in_states(nodes: DataFrame, wanted: list[str] | None) -> DataFrame:
+    """Nodes in the wanted states: None is no filter, an empty list is no state at all."""
+    return nodes if wanted is None else nodes.where(F.col("state").isin(*wanted) if wanted else F.lit(False))
+
+
+def added_by(nodes: DataFrame, session_id: int, run: str) -> DataFrame:
+    """Papers that a run of the session put into the graph."""
+    return nodes.where((F.col("session_id") == session_id) & (F.col("added_by") == run)).select("paper_id")
+
+
+def remove(nodes: DataFrame, log: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes without ``gone`` (session_id, paper_id), and the log with a REMOVED event of each that was there;
+    the event keeps the node's depth for a restoration."""
+    there = nodes.join(gone.select(*KEY).distinct(), [*KEY], "left_semi")
+    fresh = there.select(*KEY, F.lit("REMOVED").alias("event_type"), F.lit("USER").alias("actor"), "depth", F.struct(*KEY).alias("seq"))
+    return nodes.join(gone, [*KEY], "left_anti"), append(log, fresh)
+
+
+def restore(nodes: DataFrame, log: DataFrame, back: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes with tombstoned papers of ``back`` (session_id, paper_id) again as CANDIDATE at their saved depth,
+    the log with RESTORED events, and the requests that no tombstone stands for."""
+    asked = back.select(*KEY).distinct()
+    fit = asked.join(tombstones(log), [*KEY], "left_semi").join(depth_at_removal(log), [*KEY])
+    made = fit.select(*KEY, F.lit("CANDIDATE").alias("state"), "depth")
+    fresh = fit.select(*KEY, F.lit("RESTORED").alias("event_type"), F.lit("USER").alias("actor"), F.lit(None).cast("int").alias("depth"), F.struct(*KEY).alias("seq"))
+    kept = nodes.select(*KEY, "state", "depth").join(made, [*KEY], "left_anti")
+    return kept.unionByName(made), append(log, fresh), asked.join(tombstones(log), [*KEY], "left_anti")
+
+
+def set_positions(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """Nodes with the coordinates (x, y) of ``places``; what has no new place keeps its own."""
+    new = places.select(*KEY, F.col("x").alias("_x"), F.col("y").alias("_y"), F.lit(True).alias("_set"))
+    moved = nodes.join(new, [*KEY], "left")
+    pick = lambda c: F.when(F.col("_set"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    return moved.select(*[pick(c) if c in ("x", "y") else F.col(c) for c in nodes.columns])

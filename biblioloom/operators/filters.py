@@ -11,6 +11,28 @@ from biblioloom.functions.scores import survey_rate
 # Title patterns of the type stage.
 SURVEY = r"(?i)^(?:(?:a|an|the)\s+)?(?:\w+\s+){0,2}(survey|review|overview)\b(?=\s+(?:of|on|in|for)\b|\s*[:\-]|$)"
 BENCHMARK = r"(?i)\b(benchmark|benchmarks|dataset|datasets|test ?suite)\b"
+# Full names of the core venues, and fields that are not about computer science.
+VENUE_NAMES = {
+    "NeurIPS": ("neural information processing systems",),
+    "ICML": ("international conference on machine learning",),
+    "ICLR": ("international conference on learning representations",),
+    "ACL": ("annual meeting of the association for computational linguistics",),
+    "EMNLP": ("empirical methods in natural language processing",),
+    "NAACL": ("north american chapter of the association for computational linguistics",),
+    "AAAI": ("aaai conference on artificial intelligence",),
+    "IJCAI": ("international joint conference on artificial intelligence",),
+    "COLT": ("conference on learning theory",),
+    "AISTATS": ("international conference on artificial intelligence and statistics",),
+    "TMLR": ("transactions on machine learning research",),
+    "JMLR": ("journal of machine learning research",),
+    "COLM": ("conference on language modeling",),
+    "EACL": ("european chapter of the association for computational linguistics",),
+    "CoNLL": ("conference on computational natural language learning",),
+}
+NON_CS_FIELDS = (
+    "medicine", "biology", "chemistry", "physics", "economics", "business", "geology",
+    "materials science", "environmental science", "agricultural and food sciences",
+)
 VERDICT = "struct<outcome:string,stage:string,reason:string>"
 
 
@@ -59,13 +81,19 @@ def any_term(text: Column, terms: tuple) -> Column:
 
 
 def core_venue(venue: Column, policy: Policy) -> Column:
-    found = F.lit(False)
+    """A core venue by its acronym as a whole word, or by its full name anywhere."""
+    low, found = F.lower(F.trim(venue)), F.lit(False)
     for v in policy.core_venues:
-        found = found | venue.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}_]){v.replace('#', '[#]')}(?![\p{{L}}\p{{N}}_])")
+        found = found | low.rlike(rf"(?<![\p{{L}}\p{{N}}_]){v.lower().replace('#', '[#]')}(?![\p{{L}}\p{{N}}_])")
+        for name in VENUE_NAMES.get(v, ()):
+            found = found | low.contains(name)
     return F.coalesce(found, F.lit(False))
 
 
 def topic(title: Column, primary: Column, crossed: Column, venue: Column, fields: Column, policy: Policy) -> Column:
+    """The topic rungs in order: rescue terms, the primary category (it decides whatever the others say),
+    and only without one a core cross-listing, the venue, the fields."""
+    primary = F.when(primary != "", primary)
     core = in_categories(primary, policy.core_allow)
     fields = F.array_distinct(F.transform(F.coalesce(fields, F.array().cast("array<string>")), lambda f: F.trim(F.lower(f))))
     crossed = F.coalesce(crossed, F.array().cast("array<string>"))
@@ -74,13 +102,13 @@ def topic(title: Column, primary: Column, crossed: Column, venue: Column, fields
         F.when(~core & any_term(title, policy.biochem_terms), verdict("ACCEPT", "TOPIC", "BIOCHEM_ML"))
         .when(~core & any_term(title, policy.reaction_terms), verdict("ACCEPT", "TOPIC", "REACTION_ML"))
         .when(core, verdict("ACCEPT", "TOPIC", "CAT_PRIMARY_CORE"))
-        .when(F.arrays_overlap(crossed, F.array(*map(F.lit, policy.core_allow))), verdict("ACCEPT", "TOPIC", "CAT_CROSS_CORE"))
         .when(in_categories(primary, policy.applied_deny), verdict("REJECT", "TOPIC", "CAT_PRIMARY_APPLIED"))
         .when(in_categories(primary, policy.borderline), verdict("QUARANTINE", "TOPIC", "CAT_PRIMARY_BORDERLINE"))
         .when(primary.isNotNull(), verdict("QUARANTINE", "TOPIC", "CAT_NOT_ALLOWED"))
+        .when(F.exists(crossed, lambda c: in_categories(c, policy.core_allow)), verdict("ACCEPT", "TOPIC", "CAT_CROSS_CORE"))
         .when(core_venue(venue, policy), verdict("ACCEPT", "TOPIC", "VENUE_CORE"))
-        .when(cs & (F.size(fields) == 1), verdict("ACCEPT", "TOPIC", "FIELD_CS_ONLY"))
-        .when(~cs & (F.size(fields) > 0), verdict("REJECT", "TOPIC", "FIELD_NON_CS"))
+        .when(cs & (F.size(fields) == 1), verdict("QUARANTINE", "TOPIC", "FIELD_CS_ONLY"))
+        .when(~cs & F.arrays_overlap(fields, F.array(*map(F.lit, NON_CS_FIELDS))), verdict("REJECT", "TOPIC", "FIELD_NON_CS"))
         .otherwise(verdict("QUARANTINE", "TOPIC", "NO_SIGNAL"))
     )
 
@@ -137,6 +165,20 @@ def report(judged: DataFrame) -> DataFrame:
     return judged.groupBy(F.col("verdict.outcome").alias("outcome"), F.col("verdict.reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
+def review(decisions: DataFrame, papers: DataFrame, session_id: int, outcome: str, limit: int) -> DataFrame:
+    """The newest ``limit`` decisions of an outcome with their papers, how many there are in all, and whether
+    the listing is cut. ``decisions`` has an id that grows with time."""
+    own = decisions.where((F.col("outcome") == outcome) & (F.col("session_id").isNull() | (F.col("session_id") == session_id)))
+    total = own.agg(F.count("*").alias("total"))
+    rows = own.join(papers.select("paper_id", "title", "year"), "paper_id").orderBy(F.desc("id")).limit(limit)
+    return rows.join(F.broadcast(total)).select("id", "paper_id", "title", "stage", "reason", "year", "total", (F.col("total") > limit).alias("truncated"))  # one row
+
+
+def review_counts(decisions: DataFrame, session_id: int, outcome: str) -> DataFrame:
+    own = decisions.where((F.col("outcome") == outcome) & (F.col("session_id").isNull() | (F.col("session_id") == session_id)))
+    return own.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def sanity(title: Column, year: Column, retracted: Column) -> Column:
     """Planned last stage: no title, no date, or retracted."""
     return (

@@ -50,7 +50,7 @@ def cocitation(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return coupling(turned, anchors).withColumnRenamed("coupled", "cocited")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85, restart: DataFrame | None = None, tolerance: float | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85, restart: DataFrame | None = None, tolerance: float | None = None, strict: bool = True) -> DataFrame:
     """(paper_id, rank) after ``rounds`` power steps; dangling mass is dealt like the restart.
 
     With a ``tolerance`` it stops once a step changes the ranks by less than that for each node (summed
@@ -93,11 +93,36 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0
         ranks = ranks.drop("_old")
         if change < n * tolerance:
             return ranks.select("paper_id", "rank")
-    if tolerance is not None:
+    if tolerance is not None and strict:
         raise ArithmeticError(f"PageRank has not converged in {rounds} steps")
     return ranks.select("paper_id", "rank")
 
 
+def signals(nodes: DataFrame, edges: DataFrame, floor: float, damping: float = 0.85) -> DataFrame:
+    """Degrees of all nodes (paper_id, crawl_state), and PageRank of those that are no stubs, over the edges among
+    them, to a tolerance of 1e-6 a node in 100 steps.
+
+    Below the completeness floor ranks are absent (null), not zero; stubs never have one.
+    """
+    read = nodes.where("crawl_state <> 'STUB'").select("paper_id")
+    own = degrees(nodes, induced(edges, nodes))
+    if completeness(nodes).first()[0] < floor:
+        return own.withColumn("rank", F.lit(None).cast("double"))
+    return own.join(pagerank(read, induced(edges, read), 100, damping, tolerance=1e-6), "paper_id", "left")
+
+
+def plain_pagerank(nodes: DataFrame, edges: DataFrame, steps: int = 200, change: float = 1e-8) -> DataFrame:
+    """The fallback formula: up to ``steps`` steps, ended by a change below ``change`` in all; no failure if it is not met."""
+    n = max(1, nodes.select("paper_id").distinct().count())
+    return pagerank(nodes, induced(edges, nodes), steps, tolerance=change / n, strict=False)
+
+
+def reachable(edges: DataFrame, kept: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes that ``kept`` reach over any number of edges, nodes that go because none does)."""
+    met = reach(edges, kept, None).select("paper_id")
+    return nodes.join(met, "paper_id", "left_semi"), nodes.join(met, "paper_id", "left_anti")
+
+
 def completeness(nodes: DataFrame) -> DataFrame:
     """The share of nodes that are no stubs, four decimals; 0 for an empty graph."""
     return nodes.agg(F.coalesce(F.round(F.avg((F.col("crawl_state") != "STUB").cast("double")), 4), F.lit(0.0)).alias("completeness"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biblioloom.functions import scores
+
 
 def seed_metrics(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """For each neighbour: how many seeds cite it, how many it cites, and their sum."""
@@ -92,3 +94,83 @@ def year_shade(rows: DataFrame, year: str) -> DataFrame:
     wide = rows.join(F.broadcast(span))  # one row
     share = (F.col(year) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     return wide.withColumn("shade", F.when(F.col(year).isNull() | (F.col("_hi") == F.col("_lo")), 0.5).otherwise(share)).drop("_lo", "_hi")
+
+
+def label_shown(state: Column, score: Column, mode: str = "relevant") -> Column:
+    """Whether a node shows its title: hidden, all, or relevant (no candidate, or a score of 0.35 and more)."""
+    if mode not in ("hidden", "all", "relevant"):
+        raise ValueError(f"unknown label mode {mode}")
+    return F.lit(mode == "all") if mode != "relevant" else visible_at(state, score, 0.35)
+
+
+def unlabelled(papers: DataFrame) -> DataFrame:
+    return papers.where("label is null")
+
+
+def with_label(papers: DataFrame, label: str) -> DataFrame:
+    return papers.where(F.col("label") == label)
+
+
+def by_doi(papers: DataFrame, dois: DataFrame) -> DataFrame:
+    """Papers whose DOI is asked for, whatever its case."""
+    return papers.withColumn("_doi", F.lower(F.trim("doi"))).join(dois.select(F.lower(F.trim("doi")).alias("_doi")).distinct(), "_doi", "left_semi").drop("_doi")
+
+
+def ranked_candidates(papers: DataFrame, metrics: DataFrame, seeds: DataFrame, top: int) -> DataFrame:
+    """Unlabelled papers by co-citation, PageRank and citations, all falling, ties by id; unknown metrics are 0."""
+    own = unlabelled(papers).join(seeds.select("paper_id"), "paper_id", "left_anti").join(metrics, "paper_id", "left")
+    own = own.na.fill(0, ["co_citation", "citation_count"]).na.fill(0.0, ["pagerank"])
+    return own.orderBy(F.desc("co_citation"), F.desc("pagerank"), F.desc("citation_count"), "paper_id").limit(top)
+
+
+def indegree_ranking(edges: DataFrame, papers: DataFrame, label: str | None, top: int) -> DataFrame:
+    """The most cited papers of a label (all without one)."""
+    n = edges.groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("n"))
+    own = papers if label is None else with_label(papers, label)
+    return n.join(own.select("paper_id"), "paper_id", "left_semi").orderBy(F.desc("n"), "paper_id").limit(top)
+
+
+def network_scores(edges: DataFrame, seeds: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The older combined score of candidates (paper_id, similarity, citation_count) with its reasons.
+
+    References shared with seeds are counted for each seed, so one shared with two counts twice.
+    """
+    own, pairs = seeds.select("paper_id").distinct(), edges.select("citing_id", "cited_id").distinct()
+    near = seed_metrics(pairs, seeds).select("paper_id", "cited_by_seeds", "cites_seeds")
+    of_seeds = pairs.join(own.withColumnRenamed("paper_id", "citing_id"), "citing_id", "left_semi").groupBy("cited_id").agg(F.count("*").alias("_seeds"))
+    shared = pairs.join(of_seeds, "cited_id").groupBy(F.col("citing_id").alias("paper_id")).agg(F.sum("_seeds").alias("shared"))
+    rows = candidates.join(own, "paper_id", "left_anti").join(near, "paper_id", "left").join(shared, "paper_id", "left")
+    rows = rows.na.fill(0, ["cited_by_seeds", "cites_seeds", "shared", "citation_count"]).na.fill(0.0, ["similarity"])
+    met, like, cites = F.col("cited_by_seeds") + F.col("cites_seeds"), F.greatest(F.lit(0.0), "similarity"), F.col("citation_count")
+    score = scores.legacy_score(met, F.col("shared"), F.col("similarity"), cites)
+    said = F.array_compact(F.array(
+        F.when(F.col("cited_by_seeds") > 0, F.format_string("cited by %d of your seed papers", "cited_by_seeds")),
+        F.when(F.col("cites_seeds") > 0, F.format_string("cites %d of your seed papers", "cites_seeds")),
+        F.when(F.col("shared") > 0, F.format_string("shares %d references with your seed papers", "shared")),
+        F.when(like > 0.6, F.format_string("high semantic similarity (%.2f)", like)),
+        F.when(cites > 500, F.format_string("%d citations", cites)),
+    ))
+    told = F.when(F.size(said) == 0, F.array(F.lit("indirect link via citation graph"))).otherwise(said)
+    return rows.select("paper_id", score.alias("score"), told.alias("reasons"))
+
+
+def expansion_value(depth: Column, anchor: Column, crawl_state: Column, percentile: Column) -> Column:
+    """How much the expansion of a node promises: near anchors, not exhausted, well ranked; planned extension."""
+    left = F.when(crawl_state == "EXPANDED", 0.0).when(crawl_state.isin("REFS_DONE", "CITES_DONE"), 0.5).otherwise(1.0)
+    return 1.0 / (1 + depth) * (1 + 0.5 * anchor.cast("int")) * left * (0.3 + 0.7 * percentile)
+
+
+def nudged(vectors: DataFrame, query: str, alpha: float = 1.0, beta: float = 0.75, gamma: float = 0.15) -> DataFrame:
+    """Rocchio: each session's vector moved to the mean of liked and away from that of disliked vectors
+    (session_id, state, vector, ``query``); planned extension."""
+    each = vectors.select("session_id", "state", F.posexplode("vector").alias("pos", "v"), F.col(query)[F.col("pos")].alias("q"))
+    mean = lambda s: F.coalesce(F.avg(F.when(F.col("state") == s, F.col("v").cast("double"))), F.lit(0.0))
+    moved = each.groupBy("session_id", "pos").agg((alpha * F.first("q") + beta * mean("LIKED") - gamma * mean("DISLIKED")).alias("m"))
+    return moved.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias(query))
+
+
+def dislike_proximity(edges: DataFrame, disliked: DataFrame) -> DataFrame:
+    """The share of a paper's neighbours that are disliked; planned extension."""
+    near = neighbours(edges, edges.select(F.col("citing_id").alias("paper_id")).unionByName(edges.select(F.col("cited_id").alias("paper_id"))))
+    bad = disliked.select(F.col("paper_id").alias("other"), F.lit(1).alias("_bad")).distinct()
+    return near.select("paper_id", "other").distinct().join(bad, "other", "left").groupBy("paper_id").agg(F.avg(F.coalesce("_bad", F.lit(0))).alias("proximity"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,12 +11,14 @@ from pyspark.sql import functions as F
 from biblioloom.config import Policy
 from biblioloom.functions import scores
 from biblioloom.operators import graph
+from biblioloom.operators.lineage import cut, numbered
 
 
 def rank_percentile(rows: DataFrame, value: str, name: str, by: list[str]) -> DataFrame:
     """Rank among the distinct values of a group, from 0 to 1; a single value is 0.5, null stays null.
 
-    The rank is taken over distinct values only, so the window sees far fewer rows than the table.
+    The rank is taken over distinct values only, so the window sees far fewer rows than the table. For a
+    ranking without groups see ``percentiles``.
     """
     w = Window.partitionBy(*by)
     distinct = rows.where(F.col(value).isNotNull()).select(*by, value).distinct()
@@ -27,28 +31,46 @@ def rank_percentile(rows: DataFrame, value: str, name: str, by: list[str]) -> Da
     return rows.join(ranked, same, "left").drop(*[f"_k_{c}" for c in [*by, value]])
 
 
+def percentiles(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """``rows`` (key unique) with the percentile of each column of ``values`` under its own name with ``_pct``.
+
+    All columns go through one pass: they are unpivoted, their distinct values ranked together by
+    sorted parts and offsets (``numbered``), and pivoted back by the key. No task sees all values of a
+    column. A null value has no percentile.
+    """
+    rows = cut(rows)
+    each = rows.select(key, F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[F.col(v).cast("double") for v in values]))).alias("_f", "_v"))
+    each = each.where("_v is not null")
+    ranks = numbered(each.select("_f", "_v").distinct(), ["_f", "_v"], "_at")
+    spans = ranks.groupBy("_f").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    share = F.when(F.col("_hi") == F.col("_lo"), 0.5).otherwise((F.col("_at") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    found = ranks.join(F.broadcast(spans), "_f").select("_f", "_v", share.alias("_p"))  # a row for each column
+    wide = each.join(found, ["_f", "_v"]).groupBy(key).agg(*[F.max(F.when(F.col("_f") == v, F.col("_p"))).alias(f"{v}_pct") for v in values])
+    return rows.join(wide, key, "left")
+
+
 def feature_pass(papers: DataFrame, edges: DataFrame, anchors: DataFrame, policy: Policy, as_of: int) -> DataFrame:
     """Percentile features of every paper of the session, its score and the map of its terms."""
-    own = anchors.select("paper_id").distinct()
+    own, edges = anchors.select("paper_id").distinct(), cut(edges)
     near = graph.incident(edges, own)
     pairs = near.select(F.col("citing_id").alias("a"), F.col("cited_id").alias("p")).unionByName(near.select(F.col("cited_id").alias("a"), F.col("citing_id").alias("p")))
     overlap = pairs.join(own.withColumnRenamed("paper_id", "a"), "a", "left_semi").groupBy(F.col("p").alias("paper_id")).agg(F.countDistinct("a").alias("overlap_raw"))
     raw = (
-        papers.withColumn("session_id", F.lit(1))
-        .join(overlap, "paper_id", "left")
-        .join(graph.degrees(papers, edges).select("paper_id", F.col("in_degree").alias("hub_raw")), "paper_id", "left")
+        papers.join(overlap, "paper_id", "left")
+        .join(edges.groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("hub_raw")), "paper_id", "left")
         .join(graph.cocitation(edges, own).withColumnRenamed("cocited", "cocite_raw"), "paper_id", "left")
         .join(graph.coupling(edges, own).withColumnRenamed("coupled", "bibcoup_raw"), "paper_id", "left")
         .na.fill(0, ["overlap_raw", "hub_raw", "cocite_raw", "bibcoup_raw"])
         .withColumn("quality_raw", scores.ranked_rate(F.col("citation_count"), F.col("year"), as_of))
         .withColumn("recency_raw", scores.recency(F.col("year"), as_of, policy.half_life))
     )
-    for f in ("overlap", "quality", "recency", "hub", "cocite", "bibcoup"):
-        raw = rank_percentile(raw, f"{f}_raw", f, ["session_id"])
-    raw = raw.withColumn("venue_hit", F.coalesce(F.col("venue").isin(*policy.core_venues), F.lit(False)).cast("double"))
-    names = {"overlap": "overlap", "quality": "quality", "recency": "recency", "hub": "hub", "cocite": "cocite", "bibcoup": "bibcoup", "venue": "venue_hit"}
-    score, terms = scores.weighted({n: F.col(c) for n, c in names.items()}, policy.weights)
-    return raw.withColumn("score", score).withColumn("breakdown", terms)
+    names = ["overlap", "quality", "recency", "hub", "cocite", "bibcoup"]
+    made = percentiles(raw, "paper_id", [f"{f}_raw" for f in names])
+    for f in names:
+        made = made.withColumnRenamed(f"{f}_raw_pct", f)
+    made = made.withColumn("venue_hit", F.coalesce(F.col("venue").isin(*policy.core_venues), F.lit(False)).cast("double"))
+    score, terms = scores.weighted({**{n: F.col(n) for n in names}, "venue": F.col("venue_hit")}, policy.weights)
+    return made.withColumn("score", score).withColumn("breakdown", terms)
 
 
 def rescore(nodes: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -60,37 +82,55 @@ def rescore(nodes: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def build_pool(edges: DataFrame, papers: DataFrame, frontier: DataFrame, excluded: DataFrame, policy: Policy, as_of: int) -> DataFrame:
-    """Neighbours of all frontier papers in one grouping: distinct anchors, direction, age, prescore.
+    """Neighbours of all frontier papers in one grouping: distinct anchors, direction, intents, influence, age, prescore.
 
-    Hubs are not expanded forward; what is in the graph, removed or not accepted is left out.
+    Hubs are not expanded forward; what is in the graph, removed or not accepted is left out. Edges
+    without ``intents`` or ``is_influential`` count as having none.
     """
+    if "intents" not in edges.columns:
+        edges = edges.withColumn("intents", F.lit(None).cast("array<string>"))
+    if "is_influential" not in edges.columns:
+        edges = edges.withColumn("is_influential", F.lit(False))
     hubs = papers.where(F.col("citation_count") > policy.forward_expand_max).select("paper_id")
     own = frontier.select("paper_id").distinct()
     back = edges.join(own.withColumnRenamed("paper_id", "citing_id"), "citing_id", "left_semi").select(
-        F.col("cited_id").alias("paper_id"), F.col("citing_id").alias("anchor"), F.lit("BACKWARD").alias("direction")
+        F.col("cited_id").alias("paper_id"), F.col("citing_id").alias("anchor"), F.lit("BACKWARD").alias("direction"), "intents", "is_influential"
     )
     fine = own.join(hubs, "paper_id", "left_anti")
     forward = edges.join(fine.withColumnRenamed("paper_id", "cited_id"), "cited_id", "left_semi").select(
-        F.col("citing_id").alias("paper_id"), F.col("cited_id").alias("anchor"), F.lit("FORWARD").alias("direction")
+        F.col("citing_id").alias("paper_id"), F.col("cited_id").alias("anchor"), F.lit("FORWARD").alias("direction"), "intents", "is_influential"
     )
     gone = excluded.select("paper_id").unionByName(own).distinct()
     pool = (
         back.unionByName(forward)
         .join(gone, "paper_id", "left_anti")
         .groupBy("paper_id")
-        .agg(F.countDistinct("anchor").alias("anchor_overlap"), F.min("direction").alias("direction"), F.array_sort(F.collect_set("anchor")).alias("sources"))
+        .agg(
+            F.countDistinct("anchor").alias("anchor_overlap"),
+            F.min("direction").alias("direction"),
+            F.array_sort(F.collect_set("anchor")).alias("sources"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("intents")))).alias("intents"),
+            F.coalesce(F.bool_or("is_influential"), F.lit(False)).alias("is_influential"),
+        )
     )
-    years = scores.age(F.col("year"), as_of)
+    method = F.array_contains("intents", "methodology")
     return (
         pool.join(papers, "paper_id")
-        .withColumn("age_years", years)
-        .withColumn("prescore", scores.prescore(F.col("anchor_overlap"), F.lit(False), F.lit(False), F.col("citation_count"), F.col("age_years"), policy.forward_expand_max))
+        .withColumn("age_years", F.greatest(scores.age(F.col("year"), as_of), F.lit(0.0)))
+        .withColumn("prescore", scores.prescore(F.col("anchor_overlap"), method, F.col("is_influential"), F.col("citation_count"), F.col("age_years"), policy.forward_expand_max))
     )
 
 
 def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """A page of a totally ordered listing."""
-    return rows.orderBy(*order).offset(offset).limit(limit)
+    """A page of a totally ordered listing, with the size of the whole listing as ``total``."""
+    rows = cut(rows)
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total))  # one row
+
+
+def excluded(nodes: DataFrame, gone: DataFrame, refused: DataFrame, frontier: DataFrame) -> DataFrame:
+    """What a pool leaves out: the frontier, papers in the graph, removed ones, those that the filters did not accept."""
+    return frontier.select("paper_id").unionByName(nodes.select("paper_id")).unionByName(gone.select("paper_id")).unionByName(refused.select("paper_id")).distinct()
 
 
 def candidate_order(key: str) -> list[Column]:
@@ -118,37 +158,49 @@ def choose(pool: list[dict], budget: int, policy: Policy) -> list[dict]:
         if p["paper_id"] not in seen:
             picked.append(p)
             seen.add(p["paper_id"])
-    cap, used, kept = max(1, int(policy.source_cap * budget)), {}, []
-    best = sorted(picked, key=lambda p: (-p["score"], p["paper_id"]))
-    later = [p for p in fit if p["paper_id"] not in seen]
-    spare = []
-    for p in [*best, *later]:
-        if len(kept) >= budget:
-            break
+    return spread_sources(picked, fit, max(1, int(policy.source_cap * budget)), budget)
+
+
+def spread_sources(picked: list[dict], fit: list[dict], cap: int, budget: int) -> list[dict]:
+    """``picked`` with at most ``cap`` rows of a source: the best stay, others of ``fit`` that keep the cap take
+    the free places, and only what then is free goes back to the rows that were dropped."""
+    best = lambda rows: sorted(rows, key=lambda p: (-p["score"], p["paper_id"]))
+    used: Counter = Counter()
+
+    def admit(p: dict) -> bool:
         sources = [] if p["sources"] is None else list(p["sources"])
-        if all(used.get(s, 0) < cap for s in sources):
-            kept.append(p)
-            for s in sources:
-                used[s] = used.get(s, 0) + 1
-        else:
-            spare.append(p)
-    kept += sorted(spare, key=lambda p: (-p["score"], p["paper_id"]))[: budget - len(kept)]
-    return sorted(kept, key=lambda p: (-p["score"], p["paper_id"]))
+        if any(used[s] >= cap for s in sources):
+            return False
+        used.update(sources)
+        return True
+
+    kept, dropped = [], []
+    for p in best(picked):
+        (kept if admit(p) else dropped).append(p)
+    if dropped:
+        taken = {p["paper_id"] for p in picked}
+        for p in fit:
+            if len(kept) >= budget:
+                break
+            if p["paper_id"] not in taken and admit(p):
+                kept.append(p)
+        kept += dropped[: max(0, budget - len(kept))]
+    return best(kept)
 
 
 def allocate(pool: DataFrame, budget: int, policy: Policy) -> DataFrame:
     """``choose`` for each session; only what a choice can take reaches the session's task.
 
     Picks come from the best ``width`` rows of a session and of its lanes. The refill after the source
-    cap goes through the whole pool, but takes no more than ``budget`` rows of one set of sources, and
-    of each the best, so those stay as well.
+    cap goes through the whole pool, but of rows with one set of sources it takes the best that are not
+    picked yet, no more than ``budget``; as many may be picked already, so twice as many stay of each set.
     """
     width = 8 * max(1, budget)
     w = Window.partitionBy("session_id").orderBy(F.desc("score"), F.asc("paper_id"))
     lanes = Window.partitionBy("session_id", "direction", F.col("age_years") < 1.0).orderBy(F.desc("score"), F.asc("paper_id"))
     alike = Window.partitionBy("session_id", "sources").orderBy(F.desc("score"), F.asc("paper_id"))
     near = pool.withColumn("_all", F.row_number().over(w)).withColumn("_lane", F.row_number().over(lanes)).withColumn("_alike", F.row_number().over(alike))
-    near = near.where((F.col("_all") <= width) | (F.col("_lane") <= width) | (F.col("_alike") <= budget))
+    near = near.where((F.col("_all") <= width) | (F.col("_lane") <= width) | (F.col("_alike") <= 2 * budget))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = choose(pdf.to_dict("records"), budget, policy)

@@ -14,11 +14,12 @@ EDGES = """
 SELECT DISTINCT a.l_partkey AS citing_id, b.l_partkey AS cited_id
 FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 WHERE a.l_partkey <> b.l_partkey"""
-#: Few enough edges for several components.
-THIN_EDGES = """
-SELECT DISTINCT a.l_partkey AS citing_id, b.l_partkey AS cited_id
+#: The same edges with what is known of each citation.
+CITES = """
+SELECT a.l_partkey AS citing_id, b.l_partkey AS cited_id, bool_or(a.l_quantity > 45) AS is_influential,
+  array_agg(DISTINCT CASE a.l_returnflag WHEN 'R' THEN 'methodology' WHEN 'A' THEN 'background' ELSE 'result' END) AS intents
 FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-WHERE a.l_partkey <> b.l_partkey AND a.l_quantity > 49 AND b.l_quantity > 25"""
+WHERE a.l_partkey <> b.l_partkey GROUP BY a.l_partkey, b.l_partkey"""
 EVENTS = """
 SELECT event_id AS id, user_id % 3 AS session_id, k AS paper_id,
   CASE event_type WHEN 'purchase' THEN 'SEED_ADDED' WHEN 'click' THEN 'LIKED' WHEN 'view' THEN 'UNLABELED'
@@ -28,7 +29,7 @@ SELECT event_id AS id, user_id % 3 AS session_id, k AS paper_id,
 FROM (SELECT event_id, user_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events}) e"""
 #: Papers 0 to 9 are the anchors of session 1.
 ANCHORS = "SELECT p_partkey AS paper_id FROM {part} WHERE p_partkey < 10"
-TABLES = {"px_papers": PAPERS, "px_edges": EDGES, "px_thin": THIN_EDGES, "px_events": EVENTS, "px_anchors": ANCHORS}
+TABLES = {"px_papers": PAPERS, "px_edges": EDGES, "px_cites": CITES, "px_events": EVENTS, "px_anchors": ANCHORS}
 BASES = ("part", "lineitem", "events")
 
 

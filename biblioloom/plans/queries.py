@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from biblioloom.config import AS_OF_YEAR, PROXY
 from biblioloom.functions import dates, scores, text
-from biblioloom.operators import corpus, evaluation, events, filters, graph, legacy, ranking
+from biblioloom.operators import corpus, evaluation, events, filters, graph, legacy, ranking, runs
+from biblioloom.operators.lineage import numbered
 from biblioloom.plans import proxy
 from biblioloom.sources import metadata
 
@@ -40,17 +41,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def whole(f):
-    """Registers ``f`` over all rows as well, as <name>_all: the SQL of <name> binds it to some ids. No SQL."""
-    name = next(n for n, g in reversed(QUERIES.items()) if g.of is f)
-    QUERIES[f"{name}_all"] = lambda spark, sf_dir: f(Data(spark, sf_dir), True)
-    return f
-
-
-def part(rows: DataFrame, condition: str, all_rows: bool) -> DataFrame:
-    return rows if all_rows else rows.where(condition)
-
-
 def nodes_of(d: Data, session: int) -> DataFrame:
     return events.replay(d.px_events).where(F.col("session_id") == session)
 
@@ -63,41 +53,54 @@ px_nodes AS (SELECT session_id, paper_id, CASE event_type WHEN 'SEED_ADDED' THEN
   FROM last_known WHERE event_type NOT IN ('REMOVED', 'GC_SWEPT'))"""
 RATE = "CASE WHEN year IS NULL THEN CAST(citation_count AS DOUBLE) ELSE citation_count / greatest(1, 2001 - year + 1) END"
 RECENCY = "CASE WHEN year IS NULL THEN 0.0 ELSE pow(2.0, -greatest(0, 2001 - year) / 4.0) END"
-PRESCORE = """2.0 * anchor_overlap + 0.4 * ln(1 + citation_count / greatest(0.5, age_years)) / 5 + 0.3 * CAST(age_years < 1.5 AS INT)
+PRESCORE = """2.0 * anchor_overlap + 0.8 * CAST(list_contains(intents, 'methodology') AS INT) + 0.5 * CAST(is_influential AS INT)
+  + 0.4 * ln(1 + citation_count / greatest(0.5, age_years)) / 5 + 0.3 * CAST(age_years < 1.5 AS INT)
   - 0.6 * ln(1 + greatest(0, citation_count - 40)) / 10"""
 POOL = """
 own AS (SELECT paper_id FROM px_anchors),
 way AS (
-  SELECT cited_id AS paper_id, citing_id AS anchor, 'BACKWARD' AS direction FROM px_edges WHERE citing_id IN (SELECT paper_id FROM own)
-  UNION ALL SELECT citing_id, cited_id, 'FORWARD' FROM px_edges WHERE cited_id IN (SELECT paper_id FROM own)
+  SELECT cited_id AS paper_id, citing_id AS anchor, 'BACKWARD' AS direction, intents, is_influential FROM px_cites WHERE citing_id IN (SELECT paper_id FROM own)
+  UNION ALL SELECT citing_id, cited_id, 'FORWARD', intents, is_influential FROM px_cites WHERE cited_id IN (SELECT paper_id FROM own)
     AND cited_id NOT IN (SELECT paper_id FROM px_papers WHERE citation_count > 40)),
 grouped AS (
-  SELECT paper_id, count(DISTINCT anchor) AS anchor_overlap, min(direction) AS direction, list_sort(list(DISTINCT anchor)) AS sources
+  SELECT paper_id, count(DISTINCT anchor) AS anchor_overlap, min(direction) AS direction, list_sort(list(DISTINCT anchor)) AS sources,
+    list_sort(list_distinct(flatten(list(intents)))) AS intents, bool_or(is_influential) AS is_influential
   FROM way WHERE paper_id NOT IN (SELECT paper_id FROM own) AND paper_id NOT IN (SELECT paper_id FROM px_events WHERE event_type = 'GC_SWEPT')
   GROUP BY paper_id),
-pool AS (SELECT g.*, p.title, p.year, p.citation_count, coalesce(CAST(2001 - p.year AS DOUBLE), 99.0) AS age_years
+pool AS (SELECT g.*, p.title, p.year, p.citation_count, greatest(0.0, coalesce(CAST(2001 - p.year AS DOUBLE), 99.0)) AS age_years
   FROM grouped g JOIN px_papers p ON p.paper_id = g.paper_id)"""
 
 
 def pool_of(d: Data) -> DataFrame:
     swept = d.px_events.where("event_type = 'GC_SWEPT'").select("paper_id")
-    return ranking.build_pool(d.px_edges, d.px_papers, d.px_anchors, swept, PROXY, AS_OF_YEAR)
+    return ranking.build_pool(d.px_cites, d.px_papers, d.px_anchors, swept, PROXY, AS_OF_YEAR)
 
 
 # Pooling, ranking, pages ----------------------------------------------------------------------
 
 
 @query("k01_candidate_page", f"""WITH {POOL}
-SELECT paper_id, title, anchor_overlap, direction, citation_count, year, round({PRESCORE}, 6) AS prescore FROM pool
+SELECT paper_id, title, anchor_overlap, direction, citation_count, year, round({PRESCORE}, 6) AS prescore, count(*) OVER () AS total FROM pool
 ORDER BY {PRESCORE} DESC, paper_id LIMIT 50""")
 def candidate_page(d):
     rows = pool_of(d).select("paper_id", "title", "anchor_overlap", "direction", "citation_count", "year", F.round("prescore", 6).alias("prescore"))
     return ranking.page(rows, ranking.candidate_order("prescore"), 0, 50)
 
 
-@query("r05_build_pool", f"WITH {POOL} SELECT paper_id, anchor_overlap, direction, array_to_string(sources, ',') AS sources, age_years FROM pool")
+@query("k01_page_by_year", f"WITH {POOL} SELECT paper_id, year, count(*) OVER () AS total FROM pool ORDER BY year DESC NULLS LAST, paper_id LIMIT 25 OFFSET 25")
+def page_by_year(d):
+    return ranking.page(pool_of(d).select("paper_id", "year"), ranking.candidate_order("year"), 25, 25)
+
+
+@query("k01_page_by_citations", f"WITH {POOL} SELECT paper_id, citation_count, count(*) OVER () AS total FROM pool ORDER BY citation_count DESC NULLS LAST, paper_id LIMIT 25")
+def page_by_citations(d):
+    return ranking.page(pool_of(d).select("paper_id", "citation_count"), ranking.candidate_order("citation_count"), 0, 25)
+
+
+@query("r05_build_pool", f"WITH {POOL} SELECT paper_id, anchor_overlap, direction, array_to_string(sources, ',') AS sources, array_to_string(intents, ',') AS intents, is_influential, age_years FROM pool")
 def build_pool(d):
-    return pool_of(d).select("paper_id", "anchor_overlap", "direction", F.concat_ws(",", F.transform("sources", lambda s: s.cast("string"))).alias("sources"), "age_years")
+    sources = F.concat_ws(",", F.transform("sources", lambda s: s.cast("string"))).alias("sources")
+    return pool_of(d).select("paper_id", "anchor_overlap", "direction", sources, F.concat_ws(",", "intents").alias("intents"), "is_influential", "age_years")
 
 
 @query("r04_prescore", f"WITH {POOL} SELECT paper_id, round({PRESCORE}, 6) AS prescore FROM pool")
@@ -220,68 +223,52 @@ def degrees(d):
     return graph.degrees(d.px_papers, d.px_edges)
 
 
-def rank_sql(edges: str, rounds: int, share: str = "1.0 / (SELECT count(*) FROM ids)") -> str:
-    steps = [f"ids AS (SELECT paper_id FROM px_papers), l AS ({edges}), o AS (SELECT a, count(*) AS n FROM l GROUP BY a), b AS (SELECT paper_id, {share} AS s FROM ids), r0 AS (SELECT paper_id, s AS r FROM b)"]
-    for k in range(rounds):
+def rank_sql(edges: str, restart: str = "paper_id IS NOT NULL", most: int = 40, limit: str = "1e-6 * (SELECT count(*) FROM ids)", nodes: str = "crawl_state <> 'STUB'") -> str:
+    """Power iteration over the papers that are no stubs, to the first step that changes less than ``limit`` in all (within ``most``)."""
+    steps = [f"""ids AS (SELECT paper_id FROM px_papers WHERE {nodes}),
+l AS (SELECT DISTINCT a, b FROM ({edges}) x WHERE a IN (SELECT paper_id FROM ids) AND b IN (SELECT paper_id FROM ids)),
+o AS (SELECT a, count(*) AS n FROM l GROUP BY a), w AS MATERIALIZED (SELECT l.a, l.b, o.n FROM l JOIN o ON o.a = l.a),
+b AS MATERIALIZED (SELECT paper_id, CASE WHEN {restart} THEN 1.0 / (SELECT count(*) FROM ids WHERE {restart}) ELSE 0.0 END AS s,
+  paper_id NOT IN (SELECT a FROM o) AS dangling FROM ids), r0 AS MATERIALIZED (SELECT paper_id, s AS r FROM b)"""]
+    for k in range(most):
         steps.append(
-            f"r{k + 1} AS (SELECT b.paper_id, 0.15 * b.s + 0.85 * (coalesce(g.x, 0) + b.s * (SELECT coalesce(sum(r), 0) FROM r{k} WHERE paper_id NOT IN (SELECT a FROM o))) AS r "
-            f"FROM b LEFT JOIN (SELECT l.b AS paper_id, sum(r.r / o.n) AS x FROM l JOIN o ON o.a = l.a JOIN r{k} r ON r.paper_id = l.a GROUP BY l.b) g ON g.paper_id = b.paper_id)"
+            f"r{k + 1} AS MATERIALIZED (SELECT b.paper_id, 0.15 * b.s + 0.85 * (coalesce(g.x, 0) + b.s * (SELECT coalesce(sum(r.r), 0) FROM r{k} r JOIN b d ON d.paper_id = r.paper_id WHERE d.dangling)) AS r "
+            f"FROM b LEFT JOIN (SELECT w.b AS paper_id, sum(r.r / w.n) AS x FROM w JOIN r{k} r ON r.paper_id = w.a GROUP BY w.b) g ON g.paper_id = b.paper_id)"
         )
-    return "WITH " + ", ".join(steps) + f" SELECT paper_id, round(r, 9) AS rank FROM r{rounds}"
-
-
-def rounded(ranks: DataFrame) -> DataFrame:
-    return ranks.select("paper_id", F.round("rank", 9).alias("rank"))
-
-
-@query("g02_pagerank", rank_sql("SELECT citing_id AS a, cited_id AS b FROM px_thin", 4))
-def pagerank(d):
-    return rounded(graph.pagerank(d.px_papers, d.px_thin, 4))
-
-
-@query("g03_reverse_pagerank", rank_sql("SELECT cited_id AS a, citing_id AS b FROM px_thin", 3))
-def reverse_pagerank(d):
-    return rounded(graph.pagerank(d.px_papers, d.px_thin.select(F.col("cited_id").alias("citing_id"), F.col("citing_id").alias("cited_id")), 3))
-
-
-@query("g04_undirected_pagerank", rank_sql("SELECT citing_id AS a, cited_id AS b FROM px_thin UNION SELECT cited_id, citing_id FROM px_thin", 3))
-def undirected_pagerank(d):
-    e = d.px_thin
-    return rounded(graph.pagerank(d.px_papers, e.unionByName(e.select(F.col("cited_id").alias("citing_id"), F.col("citing_id").alias("cited_id"))), 3))
-
-
-@query("x14_personal_pagerank", rank_sql("SELECT citing_id AS a, cited_id AS b FROM px_thin", 3, "CASE WHEN paper_id IN (SELECT paper_id FROM px_anchors) THEN 1.0 / (SELECT count(*) FROM px_anchors) ELSE 0.0 END"))
-def personal_pagerank(d):
-    return rounded(graph.pagerank(d.px_papers, d.px_thin, 3, restart=d.px_anchors))
+    each = " UNION ALL ".join(f"SELECT {k + 1} AS step, sum(abs(x.r - y.r)) AS change FROM r{k + 1} x JOIN r{k} y ON y.paper_id = x.paper_id" for k in range(most))
+    ranks = " UNION ALL ".join(f"SELECT {k + 1} AS step, * FROM r{k + 1}" for k in range(most))
+    end = f"SELECT min(step) FROM ({each}) c WHERE change < {limit}"
+    return "WITH " + ", ".join(steps) + f" SELECT paper_id, round(r, 9) AS rank FROM ({ranks}) z WHERE step = ({end})"
 
 
 def converged(d: Data, edges: DataFrame, restart: DataFrame | None = None) -> DataFrame:
-    """PageRank to the reference's tolerance over the papers that are no stubs and the edges among them."""
+    """PageRank to its tolerance over the papers that are no stubs and the edges among them."""
     nodes = d.px_papers.where("crawl_state <> 'STUB'").select("paper_id")
-    return rounded(graph.pagerank(nodes, graph.induced(edges, nodes), 100, restart=restart, tolerance=1e-6))
+    ranks = graph.pagerank(nodes, graph.induced(edges, nodes), 100, restart=restart, tolerance=1e-6)
+    return ranks.select("paper_id", F.round("rank", 9).alias("rank"))
 
 
 def turned(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("cited_id").alias("citing_id"), F.col("citing_id").alias("cited_id"))
 
 
-@query("g02_pagerank_all")
-def pagerank_all(d):
+@query("g02_pagerank", rank_sql("SELECT citing_id AS a, cited_id AS b FROM px_edges"))
+def pagerank(d):
     return converged(d, d.px_edges)
 
 
-@query("g03_reverse_pagerank_all")
-def reverse_pagerank_all(d):
+@query("g03_reverse_pagerank", rank_sql("SELECT cited_id AS a, citing_id AS b FROM px_edges"))
+def reverse_pagerank(d):
     return converged(d, turned(d.px_edges))
 
 
-@query("g04_undirected_pagerank_all")
-def undirected_pagerank_all(d):
+@query("g04_undirected_pagerank", rank_sql("SELECT citing_id AS a, cited_id AS b FROM px_edges UNION SELECT cited_id, citing_id FROM px_edges"))
+def undirected_pagerank(d):
     return converged(d, d.px_edges.unionByName(turned(d.px_edges)))
 
 
-@query("x14_personal_pagerank_all")
-def personal_pagerank_all(d):
+@query("x14_personal_pagerank", rank_sql("SELECT citing_id AS a, cited_id AS b FROM px_edges", "paper_id IN (SELECT paper_id FROM px_anchors)"))
+def personal_pagerank(d):
     return converged(d, d.px_edges, d.px_anchors)
 
 
@@ -290,48 +277,62 @@ def completeness(d):
     return graph.completeness(d.px_papers).select("completeness", (F.col("completeness") < PROXY.completeness_floor).alias("suppressed"))
 
 
+@query("g05_signals", rank_sql("SELECT citing_id AS a, cited_id AS b FROM px_edges").replace(" SELECT paper_id, round(r, 9) AS rank FROM (", """, z AS (SELECT paper_id, r, step FROM (""", 1).replace(") z WHERE step = (", ") zz WHERE step = (") + """)
+SELECT p.paper_id, (SELECT count(*) FROM px_edges e WHERE e.cited_id = p.paper_id) AS in_degree, (SELECT count(*) FROM px_edges e WHERE e.citing_id = p.paper_id) AS out_degree, round(z.r, 9) AS rank
+FROM px_papers p LEFT JOIN z ON z.paper_id = p.paper_id""")
+def signals(d):
+    return graph.signals(d.px_papers, d.px_edges, PROXY.completeness_floor).select("paper_id", "in_degree", "out_degree", F.round("rank", 9).alias("rank"))
+
+
+@query("g05_suppressed", "SELECT paper_id, CAST(NULL AS DOUBLE) AS rank FROM px_papers")
+def suppressed(d):
+    return graph.signals(d.px_papers, d.px_edges, 0.95).select("paper_id", "rank")
+
+
+@query("g11_plain_pagerank", rank_sql("SELECT citing_id AS a, cited_id AS b FROM px_edges", most=60, limit="1e-8", nodes="TRUE"))
+def plain_pagerank(d):
+    return graph.plain_pagerank(d.px_papers, d.px_edges).select("paper_id", F.round("rank", 9).alias("rank"))
+
+
 @query("u06_undirected", "SELECT DISTINCT least(citing_id, cited_id) AS a, greatest(citing_id, cited_id) AS b FROM px_edges")
 def undirected(d):
     return graph.undirected(d.px_edges)
 
 
-COMPONENTS = """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_thin UNION SELECT cited_id, citing_id FROM px_thin),
-walk AS (SELECT paper_id, paper_id AS r FROM px_papers WHERE paper_id < {n} UNION SELECT e.b, w.r FROM walk w JOIN e ON e.a = w.paper_id WHERE e.b < {n}),
-comp AS (SELECT paper_id, min(r) AS component FROM walk GROUP BY paper_id) """
+def components_sql(most: int = 16) -> str:
+    """Least labels of neighbours, step by step; ``most`` steps cross the test graphs."""
+    steps = ["e AS MATERIALIZED (SELECT citing_id AS a, cited_id AS b FROM px_edges UNION SELECT cited_id, citing_id FROM px_edges), c0 AS (SELECT paper_id, paper_id AS component FROM px_papers)"]
+    for k in range(most):
+        steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.paper_id, least(c.component, coalesce(min(n.component), c.component)) AS component FROM c{k} c LEFT JOIN e ON e.a = c.paper_id LEFT JOIN c{k} n ON n.paper_id = e.b GROUP BY c.paper_id, c.component)")
+    return "WITH " + ", ".join(steps) + f", comp AS (SELECT * FROM c{most}) "
 
 
-@whole
-@query("g07_components", COMPONENTS.format(n=600) + "SELECT paper_id, component FROM comp")
-def components(d, all_rows=False):
-    return graph.components(*((d.px_papers, d.px_edges) if all_rows else (d.px_papers.where("paper_id < 600"), d.px_thin)))
+@query("g07_components", components_sql() + "SELECT paper_id, component FROM comp")
+def components(d):
+    return graph.components(d.px_papers, d.px_edges)
 
 
-@whole
-@query("g06_graph_stats", COMPONENTS.format(n=600) + """, u AS (SELECT count(*) AS m FROM (SELECT DISTINCT least(a, b), greatest(a, b) FROM e WHERE a < 600 AND b < 600))
-SELECT (SELECT count(*) FROM px_papers WHERE paper_id < 600) AS nodes, u.m AS edges, (SELECT count(DISTINCT component) FROM comp) AS components,
-round(2 * u.m / CAST((SELECT count(*) FROM px_papers WHERE paper_id < 600) AS DOUBLE), 4) AS avg_degree,
-round(2 * u.m / (CAST((SELECT count(*) FROM px_papers WHERE paper_id < 600) AS DOUBLE) * ((SELECT count(*) FROM px_papers WHERE paper_id < 600) - 1)), 4) AS density FROM u""")
-def graph_stats(d, all_rows=False):
-    return graph.stats(*((d.px_papers, d.px_edges) if all_rows else (d.px_papers.where("paper_id < 600"), d.px_thin)))
+@query("g06_graph_stats", components_sql() + """, u AS (SELECT count(*) AS m FROM (SELECT DISTINCT least(a, b), greatest(a, b) FROM e)), n AS (SELECT count(*) AS n, count(DISTINCT component) AS k FROM comp)
+SELECT n.n AS nodes, u.m AS edges, n.k AS components, round(2 * u.m / CAST(n.n AS DOUBLE), 4) AS avg_degree, round(2 * u.m / (CAST(n.n AS DOUBLE) * (n.n - 1)), 4) AS density FROM u, n""")
+def graph_stats(d):
+    return graph.stats(d.px_papers, d.px_edges)
 
 
-@whole
-@query("g08_reach", """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_thin UNION SELECT cited_id, citing_id FROM px_thin),
+@query("g08_reach", """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_edges UNION SELECT cited_id, citing_id FROM px_edges),
 walk AS (SELECT paper_id, 0 AS k FROM px_anchors UNION SELECT e.b, w.k + 1 FROM walk w JOIN e ON e.a = w.paper_id WHERE w.k < 3)
 SELECT paper_id, min(k) AS distance FROM walk GROUP BY paper_id""")
-def reach(d, all_rows=False):
-    return graph.reach(d.px_edges if all_rows else d.px_thin, d.px_anchors, 3)
+def reach(d):
+    return graph.reach(d.px_edges, d.px_anchors, 3)
 
 
-@whole
 @query("g08_sweep", f"""WITH RECURSIVE {REPLAY}, n AS (SELECT paper_id, state FROM px_nodes WHERE session_id = 1),
-e AS (SELECT citing_id AS a, cited_id AS b FROM px_thin UNION SELECT cited_id, citing_id FROM px_thin),
+e AS (SELECT citing_id AS a, cited_id AS b FROM px_edges UNION SELECT cited_id, citing_id FROM px_edges),
 walk AS (SELECT paper_id, 0 AS k FROM n WHERE state IN ('SEED', 'LIKED') UNION
   SELECT e.b, w.k + 1 FROM walk w JOIN e ON e.a = w.paper_id JOIN n ON n.paper_id = e.b WHERE w.k < 3)
 SELECT paper_id FROM n WHERE state = 'CANDIDATE' AND paper_id NOT IN (SELECT paper_id FROM walk) AND paper_id % 3 <> 0""")
-def sweep(d, all_rows=False):
+def sweep(d):
     n = nodes_of(d, 1)
-    return graph.sweep(n, d.px_edges if all_rows else d.px_thin, n.where("paper_id % 3 = 0"), 3)
+    return graph.sweep(n, d.px_edges, n.where("paper_id % 3 = 0"), 3)
 
 
 @query("g10_hub_guard", "SELECT count(*) AS n FROM px_edges WHERE cited_id IN (SELECT paper_id FROM px_papers WHERE citation_count <= 40)")
@@ -348,7 +349,14 @@ def seed_metrics(d):
     return legacy.seed_metrics(d.px_edges, d.px_anchors)
 
 
-@query("g13_expand_levels")
+@query("g13_expand_levels", """WITH n AS (SELECT citing_id AS p, cited_id AS o, 1 AS ref FROM px_edges UNION ALL SELECT cited_id, citing_id, 0 FROM px_edges),
+c AS (SELECT paper_id, citation_count FROM px_papers), s0 AS (SELECT paper_id FROM px_anchors),
+n1 AS (SELECT o AS paper_id, max(ref) AS ref FROM n WHERE p IN (SELECT paper_id FROM s0) AND o NOT IN (SELECT paper_id FROM s0) GROUP BY o),
+b1 AS (SELECT n1.paper_id FROM n1 LEFT JOIN c ON c.paper_id = n1.paper_id ORDER BY coalesce(c.citation_count, 0) DESC, n1.paper_id LIMIT 25),
+r1 AS (SELECT paper_id FROM b1 UNION SELECT paper_id FROM n1 WHERE ref = 1),
+n2 AS (SELECT DISTINCT o AS paper_id FROM n WHERE p IN (SELECT paper_id FROM r1) AND o NOT IN (SELECT paper_id FROM s0) AND o NOT IN (SELECT paper_id FROM r1)),
+r2 AS (SELECT n2.paper_id FROM n2 LEFT JOIN c ON c.paper_id = n2.paper_id ORDER BY coalesce(c.citation_count, 0) DESC, n2.paper_id LIMIT 25)
+SELECT paper_id, 0 AS level FROM s0 UNION ALL SELECT paper_id, 1 FROM r1 UNION ALL SELECT paper_id, 2 FROM r2""")
 def expand_levels(d):
     return legacy.expand_levels(d.px_edges, d.px_anchors, 2, 25, d.px_papers)
 
@@ -365,14 +373,14 @@ def neighbours(d):
 
 
 @query("j17_drawn_neighbours", f"""WITH {REPLAY}, n AS (SELECT paper_id FROM px_nodes WHERE session_id = 1)
-SELECT x.other, x.direction, p.title FROM (SELECT cited_id AS other, 'cites' AS direction FROM px_edges WHERE citing_id = 3
-UNION ALL SELECT citing_id, 'cited-by' FROM px_edges WHERE cited_id = 3) x JOIN px_papers p ON p.paper_id = x.other WHERE x.other IN (SELECT paper_id FROM n)""")
+SELECT x.paper_id, x.other, x.direction, p.title FROM (SELECT citing_id AS paper_id, cited_id AS other, 'cites' AS direction FROM px_edges
+UNION ALL SELECT cited_id, citing_id, 'cited-by' FROM px_edges) x JOIN px_papers p ON p.paper_id = x.other WHERE x.other IN (SELECT paper_id FROM n) AND x.paper_id IN (SELECT paper_id FROM n)""")
 def drawn_neighbours(d):
-    near = legacy.neighbours(d.px_edges, d.px_papers.where("paper_id = 3"))
-    drawn = near.join(nodes_of(d, 1).select(F.col("paper_id").alias("other")), "other", "left_semi")
+    n = nodes_of(d, 1).select("paper_id")
+    drawn = legacy.neighbours(d.px_edges, n).join(n.withColumnRenamed("paper_id", "other"), "other", "left_semi")
     way = F.when(F.col("direction") == "out", "cites").otherwise("cited-by")
     named = drawn.join(d.px_papers.select(F.col("paper_id").alias("other"), "title"), "other")
-    return named.select("other", way.alias("direction"), "title").orderBy(F.desc("direction"), "title", "other")
+    return named.select("paper_id", "other", way.alias("direction"), "title")
 
 
 @query("j12_node_detail", f"""WITH {REPLAY}, n AS (SELECT paper_id FROM px_nodes WHERE session_id = 1)
@@ -384,9 +392,9 @@ def node_detail(d):
     return drawn.agg(F.lit(3).alias("paper_id"), F.count_if(F.col("direction") == "in").alias("in_degree"), F.count_if(F.col("direction") == "out").alias("out_degree"))
 
 
-@query("a13_indegree_ranking", "SELECT cited_id AS paper_id, count(*) AS n FROM px_edges GROUP BY cited_id ORDER BY n DESC, paper_id LIMIT 30")
+@query("a13_indegree_ranking", "SELECT cited_id AS paper_id, count(*) AS n FROM px_edges WHERE cited_id % 4 = 1 GROUP BY cited_id ORDER BY n DESC, paper_id LIMIT 30")
 def indegree_ranking(d):
-    return d.px_edges.groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "paper_id").limit(30)
+    return legacy.indegree_ranking(d.px_edges, labelled(d), "liked", 30)
 
 
 @query("j09_boundary_count", f"WITH {REPLAY} SELECT count(*) AS n FROM px_papers WHERE paper_id NOT IN (SELECT paper_id FROM px_nodes WHERE session_id = 1)")
@@ -396,26 +404,36 @@ def boundary_count(d):
 
 # Filter cascade -------------------------------------------------------------------------------
 
-TYPE_SQL = """CASE WHEN regexp_matches(title, '(?i)^(?:(?:a|an|the)\\s+)?(?:\\w+\\s+){0,2}(survey|review|overview)(\\s+(of|on|in|for)\\b|\\s*[:\\-]|$)')
+TYPE_SQL = """CASE WHEN list_contains(types, 'dataset') THEN 'REJECT|TYPE|IS_DATASET'
+  WHEN regexp_matches(title, '(?i)^(?:(?:a|an|the)\\s+)?(?:\\w+\\s+){0,2}(survey|review|overview)(\\s+(of|on|in|for)\\b|\\s*[:\\-]|$)') OR list_contains(types, 'review')
   THEN CASE WHEN citation_count >= 40 OR (year IS NOT NULL AND citation_count / greatest(1, 2001 - year + 1) >= 8.0) THEN 'ACCEPT|TYPE|SURVEY_WELL_CITED' ELSE 'REJECT|TYPE|LOW_CITE_SURVEY' END
   WHEN regexp_matches(title, '(?i)\\b(benchmark|benchmarks|dataset|datasets|test ?suite)\\b') THEN 'QUARANTINE|TYPE|MAYBE_BENCHMARK' ELSE 'ACCEPT|TYPE|OK' END"""
-TOPIC_SQL = """CASE WHEN category IN ('STANDARD', 'PROMO') THEN 'ACCEPT|TOPIC|CAT_PRIMARY_CORE' WHEN category = 'LARGE' THEN 'REJECT|TOPIC|CAT_PRIMARY_APPLIED'
+TOPIC_SQL = """CASE WHEN coalesce(category, '') NOT IN ('STANDARD', 'PROMO') AND contains(lower(title), 'metabolic pathway') THEN 'ACCEPT|TOPIC|BIOCHEM_ML'
+  WHEN coalesce(category, '') NOT IN ('STANDARD', 'PROMO') AND contains(lower(title), 'retrosynth') THEN 'ACCEPT|TOPIC|REACTION_ML'
+  WHEN category IN ('STANDARD', 'PROMO') THEN 'ACCEPT|TOPIC|CAT_PRIMARY_CORE' WHEN category = 'LARGE' OR starts_with(category, 'SMALL.') THEN 'REJECT|TOPIC|CAT_PRIMARY_APPLIED'
   WHEN category = 'MEDIUM' THEN 'QUARANTINE|TOPIC|CAT_PRIMARY_BORDERLINE' WHEN category IS NOT NULL THEN 'QUARANTINE|TOPIC|CAT_NOT_ALLOWED'
-  WHEN venue IN ('Brand#11', 'Brand#22') THEN 'ACCEPT|TOPIC|VENUE_CORE' ELSE 'QUARANTINE|TOPIC|NO_SIGNAL' END"""
+  WHEN list_contains(crossed, 'PROMO') THEN 'ACCEPT|TOPIC|CAT_CROSS_CORE'
+  WHEN venue IN ('Brand#11', 'Brand#22') OR contains(lower(venue), 'learning representations') THEN 'ACCEPT|TOPIC|VENUE_CORE'
+  WHEN fields = ['Computer Science'] THEN 'QUARANTINE|TOPIC|FIELD_CS_ONLY'
+  WHEN list_contains(fields, 'Medicine') AND NOT list_contains(fields, 'Computer Science') THEN 'REJECT|TOPIC|FIELD_NON_CS' ELSE 'QUARANTINE|TOPIC|NO_SIGNAL' END"""
 ERA_SQL = "CASE WHEN year IS NULL THEN 'QUARANTINE|ERA|YEAR_UNKNOWN' WHEN year < 1995 THEN 'REJECT|ERA|PRE_ERA' ELSE 'ACCEPT|ERA|OK' END"
-TITLED = """titled AS (SELECT paper_id, year, citation_count, venue, CASE WHEN paper_id % 11 = 0 THEN NULL ELSE category END AS category,
-  CASE paper_id % 7 WHEN 0 THEN 'A survey of ' || title WHEN 1 THEN title || ' dataset' ELSE title END AS title FROM px_papers)"""
+#: Titles, types, categories, cross-lists, venues and fields that reach every rung. Both engines run it.
+TITLED_ROWS = """SELECT paper_id, year, citation_count,
+  CASE WHEN paper_id % 13 = 5 THEN 'Int. International Conference on Learning Representations' ELSE venue END AS venue,
+  CASE WHEN paper_id % 3 = 0 THEN NULL WHEN paper_id % 17 = 1 THEN category || '.x' ELSE category END AS category,
+  CASE paper_id % 5 WHEN 0 THEN array('LARGE', 'PROMO') WHEN 1 THEN array('LARGE') END AS crossed,
+  CASE paper_id % 7 WHEN 0 THEN array('Computer Science') WHEN 1 THEN array('Medicine') WHEN 2 THEN array('Medicine', 'Computer Science')
+    WHEN 3 THEN array('History') END AS fields,
+  CASE paper_id % 19 WHEN 0 THEN array('dataset') WHEN 1 THEN array('review') END AS types,
+  CASE paper_id % 11 WHEN 0 THEN 'A survey of ' || title WHEN 1 THEN title || ' dataset' WHEN 2 THEN 'Metabolic pathway of ' || title
+    WHEN 3 THEN title || ' retrosynthesis' ELSE title END AS title FROM {papers}"""
+TITLED = "titled AS (" + TITLED_ROWS.format(papers="px_papers").replace("array(", "list_value(") + ")"
 CASCADE_SQL = f"""WITH {TITLED}, stage AS (SELECT *, {ERA_SQL} AS e, {TYPE_SQL} AS t, {TOPIC_SQL} AS o FROM titled),
 judged AS (SELECT *, CASE WHEN e NOT LIKE 'ACCEPT%' THEN e WHEN t NOT LIKE 'ACCEPT%' THEN t ELSE o END AS v FROM stage) """
 
 
 def titled(d: Data) -> DataFrame:
-    m = F.col("paper_id") % 7
-    p = d.px_papers
-    return p.select(
-        "paper_id", "year", "citation_count", "venue", F.when(F.col("paper_id") % 11 != 0, F.col("category")).alias("category"),
-        F.when(m == 0, F.concat(F.lit("A survey of "), "title")).when(m == 1, F.concat("title", F.lit(" dataset"))).otherwise(F.col("title")).alias("title"),
-    )
+    return d.spark.sql(TITLED_ROWS.format(papers="{papers}"), papers=d.px_papers)
 
 
 def told(v):
@@ -429,14 +447,14 @@ def era(d):
 
 @query("f02_f03_type", f"WITH {TITLED} SELECT paper_id, {TYPE_SQL} AS verdict FROM titled")
 def kind(d):
-    v = filters.paper_kind(F.col("title"), F.lit(None).cast("array<string>"), F.col("citation_count"), F.col("year"), PROXY, AS_OF_YEAR)
+    v = filters.paper_kind(F.col("title"), F.col("types"), F.col("citation_count"), F.col("year"), PROXY, AS_OF_YEAR)
     return titled(d).select("paper_id", told(v).alias("verdict"))
 
 
 @query("f04_f09_topic", f"WITH {TITLED} SELECT paper_id, {TOPIC_SQL} AS verdict FROM titled")
 def topic(d):
-    none = F.lit(None).cast("array<string>")
-    return titled(d).select("paper_id", told(filters.topic(F.col("title"), F.col("category"), none, F.col("venue"), none, PROXY)).alias("verdict"))
+    made = filters.topic(*[F.col(c) for c in ("title", "category", "crossed", "venue", "fields")], PROXY)
+    return titled(d).select("paper_id", told(made).alias("verdict"))
 
 
 @query("f10_cascade", CASCADE_SQL + "SELECT paper_id, v AS verdict FROM judged")
@@ -444,29 +462,28 @@ def cascade(d):
     return filters.cascade(titled(d), PROXY, AS_OF_YEAR).select("paper_id", told(F.col("verdict")).alias("verdict"))
 
 
-def decisions_of(d: Data, all_rows: bool = False) -> DataFrame:
-    v = part(filters.cascade(titled(d), PROXY, AS_OF_YEAR), "paper_id % 2 = 0", all_rows)
+def decisions_of(d: Data) -> DataFrame:
+    v = filters.cascade(titled(d), PROXY, AS_OF_YEAR)
     return v.select("paper_id", F.lit(None).cast("long").alias("session_id"), "verdict.*", F.lit(PROXY.version).alias("config_version"))
 
 
 @query("f11_cached_cascade", CASCADE_SQL + "SELECT v AS verdict, count(*) FILTER (WHERE paper_id % 2 = 0 AND v LIKE 'REJECT%') AS hits, count(*) FILTER (WHERE NOT (paper_id % 2 = 0 AND v LIKE 'REJECT%')) AS evaluated FROM judged GROUP BY v")
 def cached(d):
-    rows = filters.cached_cascade(titled(d), decisions_of(d), PROXY, AS_OF_YEAR)
+    old = decisions_of(d).where("paper_id % 2 = 0")  # the other half has not been judged before
+    rows = filters.cached_cascade(titled(d), old, PROXY, AS_OF_YEAR)
     return rows.groupBy(told(F.col("verdict")).alias("verdict")).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("evaluated"))
 
 
-@whole
-@query("f12_record", CASCADE_SQL + "SELECT paper_id, CASE WHEN paper_id % 4 = 0 THEN 'ACCEPT' ELSE split_part(v, '|', 1) END AS outcome FROM judged WHERE paper_id % 2 = 0")
-def record(d, all_rows=False):
-    old = decisions_of(d, all_rows)
+@query("f12_record", CASCADE_SQL + "SELECT paper_id, CASE WHEN paper_id % 4 = 0 THEN 'ACCEPT' ELSE split_part(v, '|', 1) END AS outcome FROM judged")
+def record(d):
+    old = decisions_of(d)
     fresh = old.where("paper_id % 4 = 0").withColumn("outcome", F.lit("ACCEPT"))
     return filters.record(old, fresh).select("paper_id", "outcome")
 
 
-@whole
-@query("f13_non_accepted", CASCADE_SQL + "SELECT paper_id FROM judged WHERE paper_id % 2 = 0 AND v NOT LIKE 'ACCEPT%'")
-def non_accepted(d, all_rows=False):
-    return filters.non_accepted(decisions_of(d, all_rows), 1, PROXY.version)
+@query("f13_non_accepted", CASCADE_SQL + "SELECT paper_id FROM judged WHERE v NOT LIKE 'ACCEPT%'")
+def non_accepted(d):
+    return filters.non_accepted(decisions_of(d), 1, PROXY.version)
 
 
 @query("f16_report", CASCADE_SQL + "SELECT split_part(v, '|', 1) AS outcome, split_part(v, '|', 3) AS reason, count(*) AS n FROM judged GROUP BY 1, 2")
@@ -474,10 +491,9 @@ def report(d):
     return filters.report(filters.cascade(titled(d), PROXY, AS_OF_YEAR))
 
 
-@whole
-@query("a03_count_by_reason", CASCADE_SQL + "SELECT split_part(v, '|', 1) AS outcome, split_part(v, '|', 3) AS reason, count(*) AS n FROM judged WHERE paper_id % 2 = 0 GROUP BY 1, 2")
-def count_by_reason(d, all_rows=False):
-    return decisions_of(d, all_rows).groupBy("outcome", "reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+@query("a03_count_by_reason", CASCADE_SQL + "SELECT split_part(v, '|', 1) AS outcome, split_part(v, '|', 3) AS reason, count(*) AS n FROM judged GROUP BY 1, 2")
+def count_by_reason(d):
+    return decisions_of(d).groupBy("outcome", "reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
 @query("a10_summary", CASCADE_SQL + "SELECT count(*) FILTER (WHERE v LIKE 'ACCEPT%') AS accepted, count(*) FILTER (WHERE v LIKE 'QUARANTINE%') AS quarantined, count(*) FILTER (WHERE v LIKE 'REJECT%') AS rejected FROM judged")
@@ -486,11 +502,15 @@ def summary(d):
     return filters.cascade(titled(d), PROXY, AS_OF_YEAR).agg(*[F.count_if(o == v).alias(n) for v, n in (("ACCEPT", "accepted"), ("QUARANTINE", "quarantined"), ("REJECT", "rejected"))])
 
 
-@whole
-@query("k04_review", CASCADE_SQL + "SELECT paper_id, title, split_part(v, '|', 3) AS reason FROM judged WHERE v NOT LIKE 'ACCEPT%' AND paper_id % 2 = 0 ORDER BY paper_id DESC LIMIT 100")
-def review(d, all_rows=False):
-    rows = decisions_of(d, all_rows).where("outcome <> 'ACCEPT'").join(titled(d).select("paper_id", "title"), "paper_id")
-    return rows.select("paper_id", "title", "reason").orderBy(F.desc("paper_id")).limit(100)
+@query("k04_review", CASCADE_SQL + "SELECT paper_id, title, split_part(v, '|', 3) AS reason, count(*) OVER () AS total, count(*) OVER () > 100 AS truncated FROM judged WHERE v LIKE 'REJECT%' ORDER BY paper_id DESC LIMIT 100")
+def review(d):
+    rows = filters.review(decisions_of(d).withColumn("id", F.col("paper_id")), titled(d), 1, "REJECT", 100)
+    return rows.select("paper_id", "title", "reason", "total", "truncated")
+
+
+@query("k04_review_counts", CASCADE_SQL + "SELECT split_part(v, '|', 3) AS reason, count(*) AS n FROM judged WHERE v LIKE 'QUARANTINE%' GROUP BY 1")
+def review_counts(d):
+    return filters.review_counts(decisions_of(d), 1, "QUARANTINE")
 
 
 GATE = ("the", "learning"), ("src1",), ("idiot", "clown")
@@ -539,11 +559,17 @@ def removal_depth(d):
     return events.depth_at_removal(d.px_events)
 
 
-@query("t01_append_event", "SELECT max(id) + 3 AS last_id, count(*) + 3 AS n FROM px_events")
+@query("t01_append_event", """SELECT id, session_id, paper_id, event_type FROM px_events UNION ALL
+SELECT (SELECT max(id) FROM px_events) + row_number() OVER (ORDER BY citation_count DESC, paper_id), 1, paper_id, 'LIKED' FROM px_papers""")
 def append_event(d):
     log = d.px_events.select("id", "session_id", "paper_id", "event_type")
-    fresh = d.px_anchors.where("paper_id < 3").select(F.col("paper_id").alias("seq"), F.lit(1).cast("long").alias("session_id"), "paper_id", F.lit("LIKED").alias("event_type"))
-    return events.append(log, fresh).agg(F.max("id").alias("last_id"), F.count("*").alias("n"))
+    fresh = d.px_papers.select(F.struct(-F.col("citation_count"), "paper_id").alias("seq"), F.lit(1).cast("long").alias("session_id"), "paper_id", F.lit("LIKED").alias("event_type"))
+    return events.append(log, fresh)
+
+
+@query("t01_get_events", "SELECT id, event_type, actor FROM px_events WHERE session_id = 1 AND paper_id = 3")
+def get_events(d):
+    return events.events_of(d.px_events, 1, 3).select("id", "event_type", "actor")
 
 
 @query("t02_transitions", """SELECT a.s AS from_state, b.s AS to_state, a.s <> b.s AND a.s <> 'SEED' AND b.s <> 'SEED' AS changes, a.s = 'LIKED' AND b.s NOT IN ('LIKED', 'SEED') AS sweep,
@@ -561,13 +587,13 @@ def apply_label(d):
 
 
 @query("t04_remove_preview", f"""WITH RECURSIVE {REPLAY}, n AS (SELECT paper_id, state FROM px_nodes WHERE session_id = 1 AND paper_id <> 1),
-e AS (SELECT citing_id AS a, cited_id AS b FROM px_thin UNION SELECT cited_id, citing_id FROM px_thin),
+e AS (SELECT citing_id AS a, cited_id AS b FROM px_edges UNION SELECT cited_id, citing_id FROM px_edges),
 walk AS (SELECT paper_id, 0 AS k FROM n WHERE state IN ('SEED', 'LIKED') UNION
   SELECT e.b, w.k + 1 FROM walk w JOIN e ON e.a = w.paper_id JOIN n ON n.paper_id = e.b WHERE w.k < 3)
 SELECT count(*) AS would_go FROM n WHERE state = 'CANDIDATE' AND paper_id NOT IN (SELECT paper_id FROM walk)""")
 def remove_preview(d):
     n = nodes_of(d, 1).where("paper_id <> 1")
-    return graph.sweep(n, d.px_thin, n.limit(0), 3).agg(F.count("*").alias("would_go"))
+    return graph.sweep(n, d.px_edges, n.limit(0), 3).agg(F.count("*").alias("would_go"))
 
 
 @query("t05_drift", f"WITH {REPLAY} SELECT session_id, paper_id, 'CANDIDATE' AS state, state AS replayed FROM px_nodes WHERE state <> 'CANDIDATE'")
@@ -582,11 +608,57 @@ def clear(d):
     return left.groupBy("session_id").agg(F.count("*").alias("n"))
 
 
-@query("t09_stage_of", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'finished' WHEN o_orderkey % 3 = 0 THEN 'committing' WHEN o_orderkey % 3 = 1 THEN 'filtering' ELSE 'fetching' END AS stage FROM orders")
+RUNS = """runs AS (SELECT o_orderkey AS id, o_custkey AS session_id, CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'O' THEN 'RUNNING' ELSE 'QUEUED' END AS status,
+CASE WHEN o_orderkey % 5 = 0 THEN 'note' END AS error, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 90 AS BIGINT) END AS n_filtered,
+CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 70 AS BIGINT) END AS n_pool, CASE WHEN o_orderkey % 8 = 0 THEN CAST(o_orderkey % 50 AS BIGINT) END AS n_added FROM orders)"""
+
+
+def runs_of(d: Data) -> DataFrame:
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    none, some = F.lit(None).cast("string"), lambda by, of: F.when(k % by == 0, k % of)
+    return d.orders.select(
+        k.alias("id"), F.col("o_custkey").alias("session_id"), F.when(status == "F", "DONE").when(status == "O", "RUNNING").otherwise("QUEUED").alias("status"),
+        F.lit("{}").alias("params"), F.lit("v1").alias("config_version"), none.alias("started_at"), none.alias("finished_at"), F.when(k % 5 == 0, "note").alias("error"),
+        some(4, 70).alias("n_pool"), some(2, 90).alias("n_filtered"), some(8, 50).alias("n_added"), F.lit(None).cast("long").alias("api_calls"), F.lit(None).cast("long").alias("cache_hits"),
+    )
+
+
+@query("t09_stage_of", f"WITH {RUNS} SELECT id, CASE WHEN status <> 'RUNNING' THEN status WHEN n_filtered IS NULL THEN 'FETCHING' WHEN n_pool IS NULL THEN 'POOLING' WHEN n_added IS NULL THEN 'RANKING' ELSE 'ADDING' END AS stage FROM runs")
 def stage(d):
-    k = F.col("o_orderkey") % 3
-    runs = d.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "FINISHED").otherwise("RUNNING").alias("status"), F.when(k < 2, 1).alias("n_pool"), F.when(k < 2, 1).alias("n_filtered"), F.when(k == 0, 1).alias("n_added"))
-    return runs.select("o_orderkey", events.stage_of("status", "n_pool", "n_filtered", "n_added").alias("stage"))
+    return runs_of(d).select("id", runs.stage_of(*[F.col(c) for c in ("status", "n_filtered", "n_pool", "n_added")]).alias("stage"))
+
+
+@query("t09_enqueue_claim", f"""WITH {RUNS}, q AS (SELECT id, status FROM runs UNION ALL SELECT (SELECT max(id) FROM runs) + row_number() OVER (ORDER BY c_custkey), 'QUEUED' FROM customer)
+SELECT id, CASE WHEN id = (SELECT min(id) FROM q WHERE status = 'QUEUED') THEN 'RUNNING' ELSE status END AS status FROM q""")
+def enqueue_claim(d):
+    asked = d.customer.select(F.col("c_custkey").alias("session_id"), F.lit("{}").alias("params"), F.lit("v1").alias("config_version"), F.col("c_custkey").alias("seq"))
+    return runs.claim_next(runs.enqueue(runs_of(d), asked), "2001-01-01").select("id", "status")
+
+
+@query("t09_progress_finish", f"""WITH {RUNS} SELECT id, CASE WHEN id % 3 = 0 THEN 'FAILED' ELSE status END AS status, CASE WHEN id % 3 = 0 THEN 7 ELSE n_pool END AS n_pool,
+CASE WHEN id % 3 = 1 THEN 9 ELSE n_added END AS n_added, CASE WHEN id % 3 = 0 THEN 'late' ELSE error END AS error FROM runs""")
+def progress_finish(d):
+    own = runs_of(d)
+    third = lambda k: own.where(F.col("id") % 3 == k).select("id", "session_id")
+    told = runs.record_progress(own, third(1).withColumns({"n_added": F.lit(9).cast("long"), "n_pool": F.lit(None).cast("long")}))
+    ended = runs.finish(told, third(0).withColumns({"status": F.lit("FAILED"), "n_pool": F.lit(7).cast("long"), "error": F.lit("late")}), "2001-01-01")
+    return ended.select("id", "status", "n_pool", "n_added", "error")
+
+
+@query("t09_cancel", f"WITH {RUNS} SELECT id, CASE WHEN id % 2 = 0 AND status <> 'DONE' THEN 'CANCELLED' ELSE status END AS status, CASE WHEN id % 2 = 0 AND status <> 'DONE' THEN status END AS previous FROM runs")
+def cancel_runs(d):
+    own = runs_of(d)
+    left, met = runs.cancel(own, own.where(F.col("id") % 2 == 0).select("id", "session_id"), "2001-01-01")
+    return left.select("id", "status").join(met.select("id", "previous"), "id", "left")
+
+
+@query("t09_abandon_active_latest", f"""WITH {RUNS}, a AS (SELECT id, session_id, CASE WHEN status = 'RUNNING' THEN 'FAILED' ELSE status END AS status,
+CASE WHEN status = 'RUNNING' THEN coalesce(error, 'interrupted: the engine stopped while this was running') ELSE error END AS error FROM runs)
+SELECT l.session_id, max(l.id) AS latest_id, arg_max(l.status, l.id) AS status, arg_max(coalesce(l.error, '-'), l.id) AS error, min(l.id) FILTER (WHERE l.status = 'QUEUED') AS active_id FROM a l GROUP BY l.session_id""")
+def abandon_runs(d):
+    left = runs.abandon_running(runs_of(d), "2001-01-01")
+    last = runs.latest(left).select("session_id", F.col("id").alias("latest_id"), "status", F.coalesce("error", F.lit("-")).alias("error"))
+    return last.join(runs.active(left).select("session_id", F.col("id").alias("active_id")), "session_id", "left")
 
 
 @query("a01_count_by_state", f"WITH {REPLAY} SELECT session_id, state, count(*) AS n FROM px_nodes GROUP BY session_id, state")
@@ -651,9 +723,9 @@ def topic_group(d):
     return d.px_papers.select("paper_id", F.when(bio, "biochem").when(filters.in_categories(c, PROXY.borderline), "chem").when(filters.in_categories(c, PROXY.core_allow), "cs").otherwise("other").alias("topic"))
 
 
-@query("p12_title_search", "SELECT paper_id, title FROM px_papers WHERE title ILIKE '%1%' ORDER BY paper_id LIMIT 50")
+@query("p12_title_search", "SELECT paper_id, title FROM px_papers WHERE title ILIKE '%A%' ORDER BY paper_id LIMIT 50")
 def title_search(d):
-    return d.px_papers.where(F.col("title").ilike("%1%")).select("paper_id", "title").orderBy("paper_id").limit(50)
+    return d.px_papers.where(F.col("title").ilike("%A%")).select("paper_id", "title").orderBy("paper_id").limit(50)
 
 
 @query("j01_category_coverage", "SELECT round(count(c.category) / CAST(count(p.paper_id) AS DOUBLE), 6) AS coverage FROM px_papers p LEFT JOIN (SELECT DISTINCT paper_id, category FROM px_papers WHERE paper_id % 3 <> 0) c ON c.paper_id = p.paper_id")
@@ -663,19 +735,22 @@ def coverage(d):
     return joined.agg(F.round(F.coalesce(F.count("category") / F.count("paper_id"), F.lit(0.0)), 6).alias("coverage"))
 
 
-@whole
-@query("j08_title_matches", "SELECT p.paper_id AS probe_id, (SELECT min(q.paper_id) FROM px_papers q WHERE lower(q.title) = lower(p.title) AND (q.year IS NULL OR p.year IS NULL OR q.year = p.year)) AS paper_id FROM px_papers p WHERE p.paper_id < 200")
-def title_matches(d, all_rows=False):
-    p = d.px_papers.withColumn("author", F.lit("Ada Lovelace"))
-    return corpus.title_matches(part(p, "paper_id < 200", all_rows).withColumnRenamed("paper_id", "probe_id"), p)
+def foreign(d: Data) -> DataFrame:
+    """Papers of which a third have titles that are not Latin."""
+    return d.px_papers.withColumn("title", F.when(F.col("paper_id") % 3 == 0, F.concat(F.lit("Граф "), "title")).otherwise(F.col("title")))
+
+
+@query("j08_title_matches", "WITH t AS (SELECT paper_id, year, CASE WHEN paper_id % 3 = 0 THEN 'граф ' ELSE '' END || lower(title) AS t FROM px_papers) SELECT p.paper_id AS probe_id, min(q.paper_id) AS paper_id FROM t p JOIN t q ON q.t = p.t AND (q.year IS NULL OR p.year IS NULL OR q.year = p.year) GROUP BY p.paper_id")
+def title_matches(d):
+    p = foreign(d).withColumn("author", F.lit("Ada Lovelace"))
+    return corpus.title_matches(p.withColumnRenamed("paper_id", "probe_id"), p)
 
 
-@whole
-@query("j11_search_flags", f"WITH {REPLAY}, gone AS (SELECT paper_id FROM last_known WHERE session_id = 1 AND event_type IN ('REMOVED', 'GC_SWEPT')) SELECT p.paper_id, p.paper_id IN (SELECT paper_id FROM px_nodes WHERE session_id = 1) AS in_graph, p.paper_id IN (SELECT paper_id FROM gone) AS removed FROM px_papers p WHERE p.paper_id < 300")
-def search_flags(d, all_rows=False):
+@query("j11_search_flags", f"WITH {REPLAY}, gone AS (SELECT paper_id FROM last_known WHERE session_id = 1 AND event_type IN ('REMOVED', 'GC_SWEPT')) SELECT p.paper_id, p.paper_id IN (SELECT paper_id FROM px_nodes WHERE session_id = 1) AS in_graph, p.paper_id IN (SELECT paper_id FROM gone) AS removed FROM px_papers p")
+def search_flags(d):
     n = nodes_of(d, 1).select("paper_id", F.lit(True).alias("in_graph"))
     gone = events.tombstones(d.px_events).where("session_id = 1").select("paper_id", F.lit(True).alias("removed"))
-    return part(d.px_papers, "paper_id < 300", all_rows).select("paper_id").join(n, "paper_id", "left").join(gone, "paper_id", "left").na.fill(False)
+    return d.px_papers.select("paper_id").join(n, "paper_id", "left").join(gone, "paper_id", "left").na.fill(False)
 
 
 @query("j16_review_tombstones", f"WITH {REPLAY} SELECT p.paper_id, p.title, l.event_type FROM last_known l JOIN px_papers p ON p.paper_id = l.paper_id WHERE l.session_id = 1 AND l.event_type IN ('REMOVED', 'GC_SWEPT')")
@@ -684,9 +759,9 @@ def review_tombstones(d):
     return gone.join(d.px_papers, "paper_id").select("paper_id", "title", "event_type")
 
 
-@query("j14_export_defaults", "SELECT p.paper_id, p.title, coalesce(m.n, 0) AS in_degree FROM px_papers p LEFT JOIN (SELECT cited_id, count(*) AS n FROM px_edges WHERE cited_id % 2 = 0 GROUP BY cited_id) m ON m.cited_id = p.paper_id")
+@query("j14_export_defaults", "SELECT p.paper_id, p.title, coalesce(m.n, 0) AS in_degree FROM px_papers p LEFT JOIN (SELECT cited_id, count(*) AS n FROM px_edges GROUP BY cited_id) m ON m.cited_id = p.paper_id")
 def export_defaults(d):
-    m = d.px_edges.where("cited_id % 2 = 0").groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("in_degree"))
+    m = d.px_edges.groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("in_degree"))
     return d.px_papers.select("paper_id", "title").join(m, "paper_id", "left").na.fill(0, ["in_degree"])
 
 
@@ -732,19 +807,19 @@ def shorter_distance(d):
     return corpus.shorter_distance(s).withColumn("connections", F.concat_ws(",", "connections"))
 
 
-@query("x_canonical_groups", "SELECT paper_id, min(paper_id) OVER (PARTITION BY CASE WHEN paper_id % 5 = 0 THEN 'd' || (paper_id % 50) WHEN paper_id % 5 = 1 THEN 'a' || (paper_id % 50) ELSE 't' || lower(title) || coalesce(CAST(year AS VARCHAR), '-') END) AS canonical_paper_id FROM px_papers")
+@query("x_canonical_groups", "SELECT paper_id, min(paper_id) OVER (PARTITION BY CASE WHEN paper_id % 5 = 0 THEN 'd' || (paper_id % 50) WHEN paper_id % 5 = 1 THEN 'a' || (paper_id % 50) ELSE 't' || (paper_id % 3 = 0) || lower(title) || coalesce(CAST(year AS VARCHAR), '-') END) AS canonical_paper_id FROM px_papers")
 def canonical_groups(d):
     m = (F.col("paper_id") % 50).cast("string")
     doi = F.when(F.col("paper_id") % 5 == 0, F.concat(F.lit(" 10.1/X"), m))
     arxiv = F.when(F.col("paper_id") % 5 == 1, F.concat(F.lit("2001."), m, F.concat(F.lit("v"), (F.col("paper_id") % 3).cast("string"))))
-    keyed = d.px_papers.withColumn("key", text.canonical_key(doi, arxiv, F.col("title"), F.lit("Ada Lovelace"), F.col("year")))
+    keyed = foreign(d).withColumn("key", text.canonical_key(doi, arxiv, F.col("title"), F.lit("Ada Lovelace"), F.col("year")))
     return corpus.duplicate_groups(keyed)
 
 
 # Text, dates, layout expressions --------------------------------------------------------------
 
 
-@query("x_normalize_title")
+@query("x_normalize_title", "SELECT paper_id, 'cafe ' || trim(regexp_replace(lower(title), '[^a-z0-9_ ]', '', 'g')) AS title_norm FROM px_papers")
 def titles(d):
     return d.px_papers.select("paper_id", text.normalize_title(F.concat(F.lit("The Café: "), "title")).alias("title_norm"))
 
@@ -828,14 +903,59 @@ def wave_share(d):
     return legacy.wave_share(d.px_papers, "citation_count", "category", "share").select("paper_id", F.round("share", 6).alias("share"))
 
 
-@query("a12_ranges", "SELECT min(year) AS first_year, max(year) AS last_year FROM px_papers")
+@query("a12_ranges", f"WITH {REPLAY} SELECT min(p.year) AS first_year, max(p.year) AS last_year, min(p.citation_count) FILTER (WHERE n.state = 'CANDIDATE') AS least_score, max(p.citation_count) FILTER (WHERE n.state = 'CANDIDATE') AS most_score FROM px_nodes n JOIN px_papers p ON p.paper_id = n.paper_id WHERE n.session_id = 1")
 def ranges(d):
-    return d.px_papers.agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    rows = nodes_of(d, 1).join(d.px_papers, "paper_id")
+    score = F.when(F.col("state") == "CANDIDATE", F.col("citation_count"))
+    return rows.agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min(score).alias("least_score"), F.max(score).alias("most_score"))
 
 
-@query("k05_legacy_ranked", "SELECT paper_id, citation_count FROM px_papers ORDER BY citation_count DESC, paper_id LIMIT 40")
+@query("k05_legacy_ranked", """WITH m AS (SELECT cited_id AS paper_id, count(*) AS co FROM px_edges WHERE citing_id IN (SELECT paper_id FROM px_anchors) GROUP BY cited_id)
+SELECT p.paper_id, coalesce(m.co, 0) AS co_citation, (p.paper_id % 7) / 10.0 AS pagerank, p.citation_count FROM px_papers p LEFT JOIN m ON m.paper_id = p.paper_id
+WHERE p.paper_id % 4 > 1 AND p.paper_id NOT IN (SELECT paper_id FROM px_anchors) ORDER BY co_citation DESC, pagerank DESC, p.citation_count DESC, p.paper_id LIMIT 40""")
 def legacy_ranked(d):
-    return d.px_papers.select("paper_id", "citation_count").orderBy(F.desc("citation_count"), "paper_id").limit(40)
+    co = legacy.seed_metrics(d.px_edges, d.px_anchors).select("paper_id", F.col("cited_by_seeds").alias("co_citation"))
+    made = d.px_papers.select("paper_id", ((F.col("paper_id") % 7) / 10.0).alias("pagerank")).join(co, "paper_id", "left")
+    return legacy.ranked_candidates(labelled(d), made, d.px_anchors, 40).select("paper_id", "co_citation", "pagerank", "citation_count")
+
+
+@query("r11_network_scores", """WITH e AS (SELECT citing_id AS a, cited_id AS b FROM px_edges), s AS (SELECT paper_id FROM px_anchors),
+cb AS (SELECT b AS paper_id, count(*) AS n FROM e WHERE a IN (SELECT paper_id FROM s) GROUP BY b), cs AS (SELECT a AS paper_id, count(*) AS n FROM e WHERE b IN (SELECT paper_id FROM s) GROUP BY a),
+sh AS (SELECT x.a AS paper_id, count(*) AS n FROM e x JOIN e y ON y.b = x.b WHERE y.a IN (SELECT paper_id FROM s) GROUP BY x.a),
+r AS (SELECT p.paper_id, p.citation_count * 20 AS c, (p.paper_id % 10) / 10.0 AS sim, coalesce(cb.n, 0) AS cb, coalesce(cs.n, 0) AS cs, coalesce(sh.n, 0) AS sh FROM px_papers p
+LEFT JOIN cb ON cb.paper_id = p.paper_id LEFT JOIN cs ON cs.paper_id = p.paper_id LEFT JOIN sh ON sh.paper_id = p.paper_id WHERE p.paper_id NOT IN (SELECT paper_id FROM s)),
+t AS (SELECT paper_id, round(0.5 * (1 - exp(-(2 * (cb + cs) + sh) / 4.0)) + 0.35 * sim + 0.15 * least(1.0, ln(1 + c) / ln(10001)), 6) AS score,
+concat_ws('; ', CASE WHEN cb > 0 THEN 'cited by ' || cb || ' of your seed papers' END, CASE WHEN cs > 0 THEN 'cites ' || cs || ' of your seed papers' END, CASE WHEN sh > 0 THEN 'shares ' || sh || ' references with your seed papers' END,
+CASE WHEN sim > 0.6 THEN 'high semantic similarity (' || format('{:.2f}', sim) || ')' END, CASE WHEN c > 500 THEN c || ' citations' END) AS said FROM r)
+SELECT paper_id, score, CASE WHEN said = '' THEN 'indirect link via citation graph' ELSE said END AS reasons FROM t""")
+def network_scores(d):
+    rows = d.px_papers.select("paper_id", (F.col("citation_count") * 20).alias("citation_count"), ((F.col("paper_id") % 10) / 10.0).alias("similarity"))
+    made = legacy.network_scores(d.px_edges, d.px_anchors, rows)
+    return made.select("paper_id", F.round("score", 6).alias("score"), F.concat_ws("; ", "reasons").alias("reasons"))
+
+
+@query("x14_expansion_value", "SELECT paper_id, round(1.0 / (1 + paper_id % 3) * (CASE WHEN paper_id % 5 = 0 THEN 1.5 ELSE 1.0 END) * (CASE paper_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1.0 END) * (0.3 + 0.7 * (paper_id % 11) / 10.0), 6) AS value FROM px_papers")
+def expansion_value(d):
+    k = F.col("paper_id")
+    state = F.when(k % 4 == 0, "EXPANDED").when(k % 4 == 1, "REFS_DONE").otherwise("METADATA")
+    return d.px_papers.select("paper_id", F.round(legacy.expansion_value(k % 3, k % 5 == 0, state, (k % 11) / 10.0), 6).alias("value"))
+
+
+@query("x14_dislike_proximity", """WITH n AS (SELECT citing_id AS p, cited_id AS o FROM px_edges UNION SELECT cited_id, citing_id FROM px_edges)
+SELECT p AS paper_id, round(avg(CASE WHEN o IN (SELECT paper_id FROM px_anchors) THEN 1.0 ELSE 0.0 END), 6) AS proximity FROM n GROUP BY p""")
+def dislike_proximity(d):
+    return legacy.dislike_proximity(d.px_edges, d.px_anchors).select("paper_id", F.round("proximity", 6).alias("proximity"))
+
+
+@query("x14_rocchio", """WITH e AS (SELECT label AS session_id, unnest(range(1, 65)) AS pos, unnest(embedding) AS v, vec_id FROM embeddings),
+m AS (SELECT session_id, pos, avg(v) FILTER (WHERE vec_id % 3 = 0) AS l, avg(v) FILTER (WHERE vec_id % 3 = 1) AS n FROM e GROUP BY session_id, pos)
+SELECT session_id, round(sum(0.75 * coalesce(l, 0) - 0.15 * coalesce(n, 0)), 4) AS total FROM m GROUP BY session_id""")
+def rocchio(d):
+    zero = F.transform("embedding", lambda v: F.lit(0.0))
+    state = F.when(F.col("vec_id") % 3 == 0, "LIKED").when(F.col("vec_id") % 3 == 1, "DISLIKED").otherwise("CANDIDATE")
+    rows = d.embeddings.select(F.col("label").alias("session_id"), state.alias("state"), F.col("embedding").alias("vector"), zero.alias("query"))
+    total = F.aggregate("query", F.lit(0.0), lambda s, v: s + v)
+    return legacy.nudged(rows, "query").select("session_id", F.round(total, 4).alias("total"))
 
 
 # Sources --------------------------------------------------------------------------------------
@@ -909,50 +1029,66 @@ def reading_list(d):
 
 # Evaluation -----------------------------------------------------------------------------------
 
-RANKED = """cand AS (SELECT citing_id AS case_id, cited_id AS paper_id FROM px_edges WHERE citing_id < 50 UNION SELECT p.paper_id % 50, p.paper_id FROM px_papers p WHERE p.paper_id < 1000),
+RANKED = """cand AS (SELECT citing_id AS case_id, cited_id AS paper_id FROM px_edges UNION SELECT p.paper_id % 50, p.paper_id FROM px_papers p),
 ranked AS (SELECT c.case_id, c.paper_id, row_number() OVER (PARTITION BY c.case_id ORDER BY p.citation_count DESC, c.paper_id) AS rank FROM cand c JOIN px_papers p ON p.paper_id = c.paper_id),
-truth AS (SELECT citing_id AS case_id, cited_id AS paper_id FROM px_edges WHERE citing_id < 50)"""
+truth AS (SELECT citing_id AS case_id, cited_id AS paper_id FROM px_edges)"""
 
 
-def candidates_of(d: Data, all_rows: bool = False) -> DataFrame:
-    e = part(d.px_edges, "citing_id < 50", all_rows).select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"))
-    more = part(d.px_papers, "paper_id < 1000", all_rows).select((F.col("paper_id") % 50).alias("case_id"), "paper_id")
+def candidates_of(d: Data) -> DataFrame:
+    e = d.px_edges.select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"))
+    more = d.px_papers.select((F.col("paper_id") % 50).alias("case_id"), "paper_id")
     return e.union(more).distinct().join(d.px_papers.select("paper_id", "citation_count", "year"), "paper_id")
 
 
-@whole
-@query("e01_e04_metrics", f"""WITH {RANKED}, h AS (SELECT r.case_id, r.rank FROM ranked r JOIN truth t ON t.case_id = r.case_id AND t.paper_id = r.paper_id),
-n AS (SELECT case_id, count(*) AS n FROM truth GROUP BY case_id),
-g AS (SELECT case_id, count(*) FILTER (WHERE rank <= 20) AS f, min(rank) AS b, sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 20) AS dcg FROM h GROUP BY case_id)
-SELECT n.case_id, round(coalesce(f, 0) / CAST(n AS DOUBLE), 6) AS recall, CAST(coalesce(f, 0) > 0 AS INT) AS hit, round(coalesce(1.0 / b, 0), 6) AS rr,
-round(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM (SELECT unnest(range(1, 21)) AS i) WHERE i <= n.n), 6) AS ndcg FROM n LEFT JOIN g ON g.case_id = n.case_id""")
-def metrics(d, all_rows=False):
-    truth = part(d.px_edges, "citing_id < 50", all_rows).select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"))
-    m = evaluation.metrics(evaluation.baseline(candidates_of(d, all_rows), "citation_count"), truth, 20)
+#: Every second place repeats an earlier paper.
+REPEATED = RANKED + """, twice AS (SELECT case_id, paper_id, 2 * rank - 1 AS rank FROM ranked UNION ALL
+SELECT a.case_id, a.paper_id, 2 * b.rank FROM ranked b JOIN ranked a ON a.case_id = b.case_id AND a.rank = (b.rank + 1) // 2)"""
+
+
+def repeated(d: Data) -> DataFrame:
+    ranked = evaluation.baseline(candidates_of(d), "citation_count")
+    later = ranked.select("case_id", F.col("rank").alias("_at"), F.expr("(rank + 1) div 2").alias("rank"))
+    again = ranked.join(later, ["case_id", "rank"]).select("case_id", "paper_id", (2 * F.col("_at")).alias("rank"))
+    return ranked.withColumn("rank", 2 * F.col("rank") - 1).unionByName(again)
+
+
+def truth_of(d: Data) -> DataFrame:
+    return d.px_edges.select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"))
+
+
+METRICS = """n AS (SELECT case_id, count(*) AS n FROM truth GROUP BY case_id),
+u AS (SELECT case_id, paper_id, row_number() OVER (PARTITION BY case_id ORDER BY min(rank)) AS place FROM twice WHERE rank <= 20 GROUP BY case_id, paper_id),
+h AS (SELECT u.case_id, count(*) AS f, sum(1 / log2(place + 1)) AS dcg FROM u JOIN truth t ON t.case_id = u.case_id AND t.paper_id = u.paper_id GROUP BY u.case_id),
+g AS (SELECT r.case_id, min(rank) AS b FROM twice r JOIN truth t ON t.case_id = r.case_id AND t.paper_id = r.paper_id GROUP BY r.case_id),
+m AS (SELECT n.case_id, coalesce(f, 0) / CAST(n AS DOUBLE) AS recall, CAST(coalesce(f, 0) > 0 AS INT) AS hit, coalesce(1.0 / b, 0) AS rr,
+coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM (SELECT unnest(range(1, 21)) AS i) WHERE i <= n.n) AS ndcg FROM n LEFT JOIN h ON h.case_id = n.case_id LEFT JOIN g ON g.case_id = n.case_id)"""
+
+
+@query("e01_e04_metrics", f"WITH {REPEATED}, {METRICS} SELECT case_id, hit, round(recall, 6) AS recall, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM m")
+def metrics(d):
+    m = evaluation.metrics(repeated(d), truth_of(d), 20)
     return m.select("case_id", "hit", *[F.round(c, 6).alias(c) for c in ("recall", "rr", "ndcg")])
 
 
 @query("e05_bootstrap")
 def bootstrap(d):
-    scored = d.px_papers.select("category", (F.col("citation_count") / 50.0).alias("v"))
-    return evaluation.bootstrap(scored, "category", "v")
+    scored = d.px_papers.select("category", "paper_id", (F.col("citation_count") / 50.0).alias("v"))
+    return evaluation.bootstrap(scored, "category", "v", "paper_id")
 
 
-@whole
 @query("e06_baseline_citations", f"WITH {RANKED} SELECT case_id, paper_id, rank FROM ranked")
-def citation_baseline(d, all_rows=False):
-    return evaluation.baseline(candidates_of(d, all_rows), "citation_count").withColumn("rank", F.col("rank").cast("long"))
+def citation_baseline(d):
+    return evaluation.baseline(candidates_of(d), "citation_count").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("e06_baseline_random")
 def random_baseline(d):
-    return evaluation.random_baseline(candidates_of(d, True))
+    return evaluation.random_baseline(candidates_of(d))
 
 
-@whole
 @query("e07_cutoff", f"WITH {RANKED} SELECT c.case_id, c.paper_id FROM cand c JOIN px_papers p ON p.paper_id = c.paper_id WHERE p.year IS NOT NULL AND p.year <= 1996")
-def cutoff(d, all_rows=False):
-    rows = candidates_of(d, all_rows).withColumn("date", F.col("year").cast("string")).withColumn("cutoff", F.to_date(F.lit("1996-12-31")))
+def cutoff(d):
+    rows = candidates_of(d).withColumn("date", F.col("year").cast("string")).withColumn("cutoff", F.to_date(F.lit("1996-12-31")))
     return evaluation.enforce_cutoff(rows, "date", "cutoff").select("case_id", "paper_id")
 
 
@@ -964,21 +1100,49 @@ def eligible(d):
 @query("e08_make_cases")
 def cases(d):
     targets = evaluation.eligible_targets(d.px_edges, d.px_papers, 1995, 2000, 15, 50)
-    return evaluation.make_cases(targets, d.px_edges)
+    return evaluation.make_cases(targets, evaluation.dated_references(d.px_edges, dated(d)))
+
+
+def dated(d: Data) -> DataFrame:
+    return d.px_papers.withColumn("publication_date", F.when(F.col("paper_id") % 2 == 0, "1999-05"))
+
+
+@query("e06_baseline_per_year", f"WITH {RANKED} SELECT c.case_id, c.paper_id, row_number() OVER (PARTITION BY c.case_id ORDER BY {RATE} DESC, c.paper_id) AS rank FROM cand c JOIN px_papers p ON p.paper_id = c.paper_id")
+def per_year_baseline(d):
+    rows = candidates_of(d).withColumn("as_of", F.lit(AS_OF_YEAR))
+    return evaluation.per_year_baseline(rows, "as_of").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("e06_baseline_overlap", f"WITH {POOL} SELECT 1 AS case_id, paper_id, row_number() OVER (ORDER BY anchor_overlap DESC, paper_id) AS rank FROM pool")
+def overlap_baseline(d):
+    rows = pool_of(d).withColumn("case_id", F.lit(1))
+    return evaluation.baseline(rows, "anchor_overlap").withColumn("rank", F.col("rank").cast("long"))
 
 
-@whole
-@query("j15_references", "SELECT e.citing_id AS case_id, e.cited_id AS paper_id, CASE WHEN p.paper_id % 2 = 0 THEN '1999-05' ELSE CAST(p.year AS VARCHAR) END AS date FROM px_edges e JOIN px_papers p ON p.paper_id = e.cited_id WHERE e.citing_id < 50")
-def references(d, all_rows=False):
+@query("e06_baseline_bfs", """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_edges UNION SELECT cited_id, citing_id FROM px_edges),
+walk AS (SELECT paper_id, 0 AS k FROM px_anchors UNION SELECT e.b, w.k + 1 FROM walk w JOIN e ON e.a = w.paper_id WHERE w.k < 2),
+near AS (SELECT paper_id, min(k) AS k FROM walk GROUP BY paper_id) SELECT 1 AS case_id, paper_id, row_number() OVER (ORDER BY k, paper_id) AS rank FROM near WHERE k > 0""")
+def bfs_baseline(d):
+    rows = graph.reach(d.px_edges, d.px_anchors, 2).where("distance > 0").select(F.lit(1).alias("case_id"), "paper_id", F.col("distance").alias("level"))
+    return evaluation.bfs_baseline(rows).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("e10_evaluate", f"WITH {REPEATED}, {METRICS} SELECT 'citations' AS run, x.metric, round(avg(x.v), 6) AS mean FROM (SELECT unnest(['recall', 'hit', 'rr', 'ndcg']) AS metric, unnest([recall, hit, rr, ndcg]) AS v FROM m) x GROUP BY x.metric")
+def evaluate(d):
+    run = repeated(d).withColumn("run", F.lit("citations"))
+    return evaluation.evaluate(run, truth_of(d), 20).select("run", "metric", F.round("mean", 6).alias("mean"))
+
+
+@query("j15_references", "SELECT e.citing_id AS case_id, e.cited_id AS paper_id, CASE WHEN p.paper_id % 2 = 0 THEN '1999-05' ELSE CAST(p.year AS VARCHAR) END AS date FROM px_edges e JOIN px_papers p ON p.paper_id = e.cited_id")
+def references(d):
     p = d.px_papers.select(F.col("paper_id").alias("cited_id"), F.when(F.col("paper_id") % 2 == 0, "1999-05").alias("publication_date"), "year")
-    e = part(d.px_edges, "citing_id < 50", all_rows).join(p, "cited_id")
+    e = d.px_edges.join(p, "cited_id")
     return e.select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"), F.coalesce("publication_date", F.col("year").cast("string")).alias("date"))
 
 
-@whole
-@query("x14_fuse", "SELECT paper_id, round(sum(1.0 / (60 + rank)), 9) AS fused FROM (SELECT paper_id, row_number() OVER (ORDER BY citation_count DESC, paper_id) AS rank FROM px_papers WHERE paper_id < 500 UNION ALL SELECT paper_id, row_number() OVER (ORDER BY year DESC NULLS LAST, paper_id) FROM px_papers WHERE paper_id < 500) GROUP BY paper_id")
-def fuse(d, all_rows=False):
-    p = part(d.px_papers, "paper_id < 500", all_rows).withColumn("case_id", F.lit(0))
+@query("x14_fuse", "SELECT paper_id, round(sum(1.0 / (60 + rank)), 9) AS fused FROM (SELECT paper_id, row_number() OVER (ORDER BY citation_count DESC, paper_id) AS rank FROM px_papers UNION ALL SELECT paper_id, row_number() OVER (ORDER BY year DESC NULLS LAST, paper_id) FROM px_papers) GROUP BY paper_id")
+def fuse(d):
+    p = d.px_papers.withColumn("case_id", F.lit(0))
     both = evaluation.baseline(p, "citation_count").unionByName(evaluation.baseline(p, "year"))
     return evaluation.fuse(both).select("paper_id", F.round("fused", 9).alias("fused"))
 
@@ -1015,15 +1179,43 @@ def clamp(d):
     return d.px_papers.select("paper_id", F.least(F.greatest("citation_count", F.lit(20)), F.lit(40)).alias("clamped"))
 
 
-@query("p11_label_flags", "SELECT paper_id, crawl_state <> 'STUB' OR coalesce(citation_count / 100.0, 0) >= 0.35 AS labelled FROM px_papers")
+@query("p11_label_flags", "SELECT paper_id, crawl_state <> 'STUB' OR coalesce(citation_count / 100.0, 0) >= 0.35 AS relevant, TRUE AS everything, FALSE AS hidden FROM px_papers")
 def label_flags(d):
     state = F.when(F.col("crawl_state") == "STUB", "CANDIDATE").otherwise("SEED")
-    return d.px_papers.select("paper_id", legacy.visible_at(state, F.col("citation_count") / 100.0, 0.35).alias("labelled"))
+    shown = lambda mode: legacy.label_shown(state, F.col("citation_count") / 100.0, mode)
+    return d.px_papers.select("paper_id", shown("relevant").alias("relevant"), shown("all").alias("everything"), shown("hidden").alias("hidden"))
 
 
-@query("p13_unlabelled", f"WITH {REPLAY} SELECT paper_id FROM px_nodes WHERE session_id = 2 AND state = 'CANDIDATE'")
+def labelled(d: Data) -> DataFrame:
+    label = F.when(F.col("paper_id") % 4 == 0, "seed").when(F.col("paper_id") % 4 == 1, "liked")
+    return d.px_papers.withColumn("label", label).withColumn("doi", F.concat(F.lit("10.1/A"), (F.col("paper_id") % 300).cast("string")))
+
+
+@query("p13_unlabelled", "SELECT paper_id FROM px_papers WHERE paper_id % 4 > 1")
 def unlabelled(d):
-    return nodes_of(d, 2).where("state = 'CANDIDATE'").select("paper_id")
+    return legacy.unlabelled(labelled(d)).select("paper_id")
+
+
+@query("p13_with_label", "SELECT paper_id FROM px_papers WHERE paper_id % 4 = 1")
+def with_label(d):
+    return legacy.with_label(labelled(d), "liked").select("paper_id")
+
+
+@query("p13_by_doi", "SELECT paper_id FROM px_papers WHERE paper_id % 300 IN (SELECT paper_id FROM px_anchors)")
+def by_doi(d):
+    asked = d.px_anchors.select(F.concat(F.lit(" 10.1/a"), F.col("paper_id").cast("string")).alias("doi"))
+    return legacy.by_doi(labelled(d), asked).select("paper_id")
+
+
+@query("p03_states", f"WITH {REPLAY} SELECT session_id, paper_id, state FROM px_nodes WHERE state IN ('SEED', 'LIKED')")
+def states(d):
+    return events.in_states(events.replay(d.px_events), events.parse_states(" seed,,Liked "))
+
+
+@query("p02_added_by", f"WITH {REPLAY} SELECT paper_id FROM px_nodes WHERE session_id = 1 AND paper_id % 3 = 2")
+def added_by(d):
+    n = events.replay(d.px_events).withColumn("added_by", F.concat(F.lit("run"), (F.col("paper_id") % 3).cast("string")))
+    return events.added_by(n, 1, "run2")
 
 
 @query("p14_j10_graph_payload", f"WITH {REPLAY} SELECT n.paper_id, p.title, n.state, p.year, p.citation_count, p.venue FROM px_nodes n JOIN px_papers p ON p.paper_id = n.paper_id WHERE n.session_id = 1")
@@ -1031,10 +1223,11 @@ def payload(d):
     return nodes_of(d, 1).join(d.px_papers, "paper_id").select("paper_id", "title", "state", "year", "citation_count", "venue")
 
 
-@query("j07_pool_exclusion", f"WITH {REPLAY}, gone AS (SELECT paper_id FROM px_nodes WHERE session_id = 1 UNION SELECT paper_id FROM last_known WHERE session_id = 1 AND event_type IN ('REMOVED', 'GC_SWEPT') UNION SELECT paper_id FROM px_anchors) SELECT paper_id FROM px_papers WHERE paper_id NOT IN (SELECT paper_id FROM gone)")
+@query("j07_pool_exclusion", CASCADE_SQL.rstrip() + f", {REPLAY}, gone AS (SELECT paper_id FROM px_nodes WHERE session_id = 1 UNION SELECT paper_id FROM last_known WHERE session_id = 1 AND event_type IN ('REMOVED', 'GC_SWEPT') UNION SELECT paper_id FROM px_anchors UNION SELECT paper_id FROM judged WHERE v NOT LIKE 'ACCEPT%') SELECT paper_id FROM px_papers WHERE paper_id NOT IN (SELECT paper_id FROM gone)")
 def exclusion(d):
-    gone = nodes_of(d, 1).select("paper_id").union(events.tombstones(d.px_events).where("session_id = 1").select("paper_id")).union(d.px_anchors)
-    return d.px_papers.select("paper_id").join(gone, "paper_id", "left_anti")
+    tombs = events.tombstones(d.px_events).where("session_id = 1")
+    out = ranking.excluded(nodes_of(d, 1), tombs, filters.non_accepted(decisions_of(d), 1, PROXY.version), d.px_anchors)
+    return d.px_papers.select("paper_id").join(out, "paper_id", "left_anti")
 
 
 @query("a06_pool_accumulation", "SELECT l_partkey AS paper_id, count(DISTINCT l_suppkey) AS anchors, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS intents, bool_or(l_quantity > 45) AS influential FROM lineitem GROUP BY l_partkey")
@@ -1055,16 +1248,31 @@ def best_h(d):
 
 @query("k03_show_order", f"WITH {REPLAY} SELECT n.paper_id, n.state, row_number() OVER (ORDER BY CASE WHEN n.state = 'SEED' THEN 0 ELSE 1 END, p.citation_count DESC, n.paper_id) AS place FROM px_nodes n JOIN px_papers p ON p.paper_id = n.paper_id WHERE n.session_id = 1")
 def show_order(d):
-    from pyspark.sql import Window
-
     rows = nodes_of(d, 1).join(d.px_papers, "paper_id")
-    w = Window.orderBy(F.when(F.col("state") == "SEED", 0).otherwise(1), F.desc("citation_count"), "paper_id")
-    return rows.select("paper_id", "state", F.row_number().over(w).cast("long").alias("place"))
+    order = [F.when(F.col("state") == "SEED", 0).otherwise(1), F.desc("citation_count"), F.col("paper_id")]
+    return numbered(rows, order, "place").select("paper_id", "state", "place")
 
 
 @query("u07_remove_rows", f"WITH {REPLAY} SELECT session_id, count(*) AS n FROM px_nodes WHERE paper_id NOT IN (SELECT paper_id FROM px_anchors) GROUP BY session_id")
 def remove_rows(d):
-    return events.replay(d.px_events).join(d.px_anchors, "paper_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("n"))
+    n = events.replay(d.px_events).withColumn("depth", F.lit(1))
+    gone = n.join(d.px_anchors, "paper_id", "left_semi")
+    return events.remove(n, d.px_events, gone)[0].groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("u07_positions", f"WITH {REPLAY} SELECT session_id, paper_id, CASE WHEN paper_id % 2 = 0 THEN CAST(paper_id AS DOUBLE) ELSE 0.0 END AS x, CASE WHEN paper_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS y FROM px_nodes")
+def positions(d):
+    n = events.replay(d.px_events).withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
+    places = n.where("paper_id % 2 = 0").select("session_id", "paper_id", F.col("paper_id").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    return events.set_positions(n, places).select("session_id", "paper_id", "x", "y")
+
+
+@query("t04_restore", f"""WITH {REPLAY}, d AS (SELECT session_id, paper_id, coalesce(arg_max(depth, id) FILTER (WHERE event_type IN ('REMOVED', 'GC_SWEPT')), 1) AS depth FROM px_events GROUP BY 1, 2)
+SELECT l.session_id, l.paper_id, 'CANDIDATE' AS state, d.depth FROM last_known l JOIN d ON d.session_id = l.session_id AND d.paper_id = l.paper_id WHERE l.event_type IN ('REMOVED', 'GC_SWEPT')
+UNION ALL SELECT session_id, paper_id, state, 0 FROM px_nodes""")
+def restore(d):
+    n, asked = events.replay(d.px_events).withColumn("depth", F.lit(0)), d.px_events.select("session_id", "paper_id")
+    return events.restore(n, d.px_events, asked)[0]
 
 
 @query("u09_pool_union", "SELECT cited_id AS paper_id, count(DISTINCT citing_id) AS n FROM px_edges WHERE citing_id IN (SELECT paper_id FROM px_anchors) GROUP BY cited_id")
@@ -1073,11 +1281,17 @@ def pool_union(d):
     return d.px_edges.join(own, "citing_id", "left_semi").groupBy(F.col("cited_id").alias("paper_id")).agg(F.countDistinct("citing_id").alias("n"))
 
 
-@whole
-@query("g14_full_reach", """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_thin UNION SELECT cited_id, citing_id FROM px_thin),
+@query("g14_full_reach", """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_edges UNION SELECT cited_id, citing_id FROM px_edges),
 walk AS (SELECT CAST(3 AS BIGINT) AS p UNION SELECT e.b FROM walk w JOIN e ON e.a = w.p) SELECT p AS paper_id FROM walk""")
-def full_reach(d, all_rows=False):
-    return graph.reach(d.px_edges if all_rows else d.px_thin, d.px_anchors.where("paper_id = 3"), None).select("paper_id")
+def full_reach(d):
+    return graph.reach(d.px_edges, d.px_anchors.where("paper_id = 3"), None).select("paper_id")
+
+
+@query("g14_cascade_delete", """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_edges WHERE citing_id % 5 = 0 AND cited_id % 5 = 0 UNION SELECT cited_id, citing_id FROM px_edges WHERE citing_id % 5 = 0 AND cited_id % 5 = 0),
+walk AS (SELECT paper_id AS p FROM px_anchors UNION SELECT e.b FROM walk w JOIN e ON e.a = w.p) SELECT paper_id FROM px_papers WHERE paper_id NOT IN (SELECT p FROM walk)""")
+def cascade_delete(d):
+    links = d.px_edges.where("citing_id % 5 = 0 and cited_id % 5 = 0")  # a sparse graph, so that some papers go
+    return graph.reachable(links, d.px_anchors, d.px_papers.select("paper_id"))[1]
 
 
 @query("g15_explore_node", "SELECT other FROM (SELECT cited_id AS other FROM px_edges WHERE citing_id = 3 UNION SELECT citing_id FROM px_edges WHERE cited_id = 3) x JOIN px_papers p ON p.paper_id = x.other WHERE p.category IN ('STANDARD', 'PROMO')")
@@ -1087,35 +1301,36 @@ def explore_node(d):
     return near.join(gate, "other", "left_semi")
 
 
-@query("g16_quota")
+@query("g16_quota", """WITH RECURSIVE o AS (SELECT cited_id AS paper_id, count(*) AS n, row_number() OVER (ORDER BY count(*), cited_id) AS i, count(*) OVER () AS c FROM px_edges GROUP BY cited_id),
+w AS (SELECT i, paper_id, least(n, 9000 // c) AS taken, 9000 - least(n, 9000 // c) AS rest, c FROM o WHERE i = 1
+  UNION ALL SELECT o.i, o.paper_id, least(o.n, w.rest // (w.c - w.i)), w.rest - least(o.n, w.rest // (w.c - w.i)), w.c FROM w JOIN o ON o.i = w.i + 1)
+SELECT 1 AS session_id, paper_id, taken FROM w""")
 def expansion_quota(d):
     from biblioloom.operators import ingest
 
     n = d.px_edges.groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("n"))
-    return ingest.quota(n.withColumn("session_id", F.lit(1).cast("long")), 60)
+    return ingest.quota(n.withColumn("session_id", F.lit(1).cast("long")), 9000)
 
 
-INGESTED = f"""WITH rec AS (SELECT citing_id AS center, cited_id AS paper_id FROM px_edges WHERE citing_id < 20), {TITLED.replace('titled AS', 'titled0 AS')},
+INGESTED = f"""WITH rec AS (SELECT citing_id AS center, cited_id AS paper_id FROM px_edges), {TITLED.replace('titled AS', 'titled0 AS')},
 titled AS (SELECT * FROM titled0 WHERE paper_id IN (SELECT paper_id FROM rec)), stage AS (SELECT *, {ERA_SQL} AS e, {TYPE_SQL} AS t, {TOPIC_SQL} AS o FROM titled),
 judged AS (SELECT *, CASE WHEN e NOT LIKE 'ACCEPT%' THEN e WHEN t NOT LIKE 'ACCEPT%' THEN t ELSE o END AS v FROM stage) """
 
 
-@whole
 @query("t06_ingest", INGESTED + "SELECT v LIKE 'ACCEPT%' AS admitted, count(*) AS n FROM judged GROUP BY 1")
-def ingested(d, all_rows=False):
+def ingested(d):
     from biblioloom.operators import ingest
 
-    near = part(d.px_edges, "citing_id < 20", all_rows).select(F.col("citing_id").alias("center"), F.col("cited_id").alias("paper_id"), F.lit("BACKWARD").alias("direction"))
+    near = d.px_edges.select(F.col("citing_id").alias("center"), F.col("cited_id").alias("paper_id"), F.lit("BACKWARD").alias("direction"))
     _, _, decisions = ingest.ingest(near.join(titled(d), "paper_id"), PROXY, AS_OF_YEAR)
     return ingest.boundary(decisions)
 
 
-@whole
-@query("t07_add_seeds", CASCADE_SQL + "SELECT paper_id, CASE WHEN v LIKE 'ACCEPT%' THEN NULL ELSE split_part(v, '|', 3) END AS forced_over FROM judged WHERE paper_id < 100")
-def seeds(d, all_rows=False):
+@query("t07_add_seeds", CASCADE_SQL + "SELECT paper_id, CASE WHEN v LIKE 'ACCEPT%' THEN NULL ELSE split_part(v, '|', 3) END AS forced_over FROM judged")
+def seeds(d):
     from biblioloom.operators import ingest
 
-    return ingest.add_seeds(part(titled(d), "paper_id < 100", all_rows), PROXY, AS_OF_YEAR, True).select("paper_id", "forced_over")
+    return ingest.add_seeds(titled(d), PROXY, AS_OF_YEAR, True).select("paper_id", "forced_over")
 
 
 @query("t11_labels", "SELECT o_custkey AS paper_id, CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN '1-URGENT' ELSE arg_max(o_orderpriority, o_orderkey) END AS label FROM orders GROUP BY o_custkey")
@@ -1125,27 +1340,103 @@ def label_table(d):
     return ingest.labels_table(d.orders.select(F.col("o_custkey").alias("paper_id"), F.col("o_orderpriority").alias("label"), F.col("o_orderkey").alias("seq")), ("1-URGENT",))
 
 
-@whole
-@query("w07_unique_ranking", f"WITH {RANKED} SELECT case_id, paper_id, rank FROM ranked")
-def unique_ranking(d, all_rows=False):
-    ranked = evaluation.baseline(candidates_of(d, all_rows), "citation_count")
-    twice = ranked.unionByName(ranked.withColumn("rank", F.col("rank") + 100_000))
-    return evaluation.unique_ranking(twice).withColumn("rank", F.col("rank").cast("long"))
+@query("w07_unique_ranking", f"WITH {REPEATED} SELECT case_id, paper_id, row_number() OVER (PARTITION BY case_id ORDER BY min(rank)) AS rank FROM twice WHERE rank <= 20 GROUP BY case_id, paper_id")
+def unique_ranking(d):
+    return evaluation.unique_ranking(repeated(d), 20).select("case_id", "paper_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("s02_snapshot_watermark", "SELECT count(*) FILTER (WHERE p_partkey % 10 <> 0) AS loaded, count(*) FILTER (WHERE p_partkey % 10 = 0) AS skipped, CASE WHEN count(*) > 0 THEN '2020-01-01' END AS watermark FROM part")
 def watermark(d):
     k = F.col("p_partkey")
     good = F.to_json(F.struct(F.concat(F.lit("id"), k.cast("string")).alias("id"), F.lit("cs.X").alias("categories"), F.lit("2020-01-01").alias("update_date")))
-    lines = d.part.select(F.when(k % 10 == 0, F.lit("{")).otherwise(good).alias("value"))
-    loaded = metadata.snapshot(lines).agg(F.count("*").alias("loaded"), F.max("updated").alias("watermark"))
-    return loaded.join(lines.agg(F.count("*").alias("_all"))).select("loaded", (F.col("_all") - F.col("loaded")).alias("skipped"), "watermark")
+    return metadata.watermark(d.part.select(F.when(k % 10 == 0, F.lit("{")).otherwise(good).alias("value")))
+
+
+def harvest_page(d: Data) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    record = lambda i, extra: F.concat(F.lit('<record><metadata><a:arXiv xmlns:a="http://x/"><a:id>'), F.lit(i), k, F.lit("</a:id>"), extra, F.lit("</a:arXiv></metadata></record>"))
+    good = record("id", F.concat(F.lit("<a:categories>"), F.col("p_type"), F.lit(" cs.X</a:categories><a:created>2020</a:created>")))
+    token = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("t"), k)).otherwise(F.lit(" "))
+    return d.part.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit('<OAI-PMH xmlns="http://o/"><ListRecords>'), good, record("bad", F.lit("")), F.lit("<resumptionToken>"), token, F.lit("</resumptionToken></ListRecords></OAI-PMH>")).alias("value"))
+
+
+@query("s03_harvest_pages", "SELECT 'id' || p_partkey AS arxiv_id, p_type AS primary_category, '2020' AS updated FROM part")
+def harvest_records(d):
+    return metadata.harvest_pages(harvest_page(d))[0].select("arxiv_id", "primary_category", "updated")
+
+
+@query("s03_harvest_tokens", "SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 THEN 't' || p_partkey END AS token FROM part")
+def harvest_tokens(d):
+    return metadata.harvest_pages(harvest_page(d))[1]
+
 
+@query("s12_cache", """WITH put AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 6 = 0 THEN 'null' WHEN c_custkey % 2 = 0 THEN '{"v":' || c_nationkey || '}' END AS r FROM customer)
+SELECT k AS c_custkey, r IS NOT NULL AS hit, r AS response FROM put""")
+def cache(d):
+    k = F.col("c_custkey").cast("string")
+    asked = d.customer.select("c_custkey", F.lit("/paper").alias("endpoint"), F.create_map(F.lit("id"), k).alias("params"), "c_nationkey")
+    held = asked.where("c_custkey % 2 = 0").withColumn("params_hash", metadata.cache_key(F.col("endpoint"), F.col("params")))
+    answer = F.when(F.col("c_custkey") % 6 == 0, "null").otherwise(F.concat(F.lit('{"v":'), F.col("c_nationkey").cast("string"), F.lit("}")))
+    fresh = held.select("endpoint", "params_hash", F.lit(200).alias("status_code"), answer.alias("response"), F.lit("2001-01-02").alias("fetched_at"))
+    old = fresh.withColumn("response", F.lit("old")).withColumn("fetched_at", F.lit("2001-01-01"))
+    return metadata.cache_get(metadata.cache_put(old, fresh), asked).select("c_custkey", "hit", "response")
 
-@query("s20_seed_lines", "SELECT count(*) AS n FROM part WHERE p_partkey % 5 <> 0")
+
+@query("s18_file_cache", "SELECT c_custkey, sha256('k' || c_custkey) || '.json' AS file, c_custkey % 3 <> 0 AS readable FROM customer")
+def file_cache(d):
+    k = F.concat(F.lit("k"), F.col("c_custkey").cast("string"))
+    rows = d.customer.select(k.alias("key"), F.when(F.col("c_custkey") % 3 == 0, "{broken").otherwise('{"a": 1}').alias("value"))
+    return metadata.file_cache(rows).select(F.substring("key", 2, 20).cast("long").alias("c_custkey"), "file", F.col("value").isNotNull().alias("readable"))
+
+
+@query("s16_works", "SELECT 'W' || p_partkey AS paper_id, p_name AS title, 'b a b' AS abstract, p_size AS year, '10.1/x' || p_partkey AS doi, CASE WHEN p_partkey % 2 = 0 THEN '2001.' || p_partkey END AS arxiv_id, 0 AS citation_count, p_brand AS fields, 'Ada' AS authors FROM part")
+def works(d):
+    k = F.col("p_partkey").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    arxiv = F.when(F.col("p_partkey") % 2 == 0, text('"ids":{"arxiv":"https://arxiv.org/abs/2001.', k, '"},')).otherwise("")
+    value = text('{"id":"https://openalex.org/W', k, '","doi":"https://doi.org/10.1/x', k, '","display_title":', F.to_json(F.struct(F.col("p_name").alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("p_name").alias("t")))) - 6), ',"publication_year":', F.col("p_size").cast("string"), ",", arxiv, '"authorships":[{"author":{"display_name":"Ada"}},{"author":null}],"concepts":[{"display_name":"', F.col("p_brand"), '","level":1},{"display_name":"z","level":2},{"display_name":"y"}],"abstract_inverted_index":{"a":[1],"b":[0,2]}}')
+    rows = metadata.works(d.part.select(value.alias("value")))
+    return rows.select("paper_id", "title", "abstract", "year", "doi", "arxiv_id", "citation_count", F.concat_ws(",", "field_of_study").alias("fields"), F.concat_ws(",", "authors").alias("authors"))
+
+
+@query("s17_records", "SELECT 's' || p_partkey AS paper_id, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS title, p_size AS year, 'x' || p_partkey AS doi, 'tl' AS tldr, 2 AS dims, 'Ada' AS authors FROM part")
+def records(d):
+    k = F.col("p_partkey").cast("string")
+    author = F.array(F.struct(F.lit("Ada").alias("name")), F.struct(F.lit(None).cast("string").alias("name")))
+    value = F.to_json(F.struct(
+        F.concat(F.lit("s"), k).alias("paperId"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_name")).alias("title"), F.col("p_size").alias("year"),
+        F.struct(F.concat(F.lit("x"), k).alias("DOI")).alias("externalIds"), F.struct(F.lit("tl").alias("text")).alias("tldr"), F.struct(F.array(F.lit(0.5), F.lit(1.0)).alias("vector")).alias("embedding"), author.alias("authors"),
+    ))
+    rows = metadata.records(d.part.select(value.alias("value")))
+    return rows.select("paper_id", "title", "year", "doi", "tldr", F.size("embedding").alias("dims"), F.concat_ws(",", "authors").alias("authors"))
+
+
+@query("u03_stub", """SELECT paper_id, 'METADATA' AS crawl_state, citation_count FROM px_papers UNION ALL
+SELECT DISTINCT l_suppkey + 10000000, 'STUB', 0 FROM lineitem""")
+def stubs(d):
+    known = d.px_papers.select("paper_id", F.lit("METADATA").alias("crawl_state"), "citation_count", "venue", "year", F.lit(1).cast("long").alias("seq"), F.lit("2000").alias("first_seen_at"))
+    ids = d.lineitem.select((F.col("l_suppkey") + 10_000_000).alias("paper_id")).distinct().unionByName(d.px_papers.select("paper_id"))
+    late = corpus.stub(ids.select("paper_id", F.lit(2).cast("long").alias("seq"), F.lit("2001").alias("first_seen_at")))
+    return corpus.merge_papers(known.unionByName(late)).select("paper_id", "crawl_state", "citation_count")
+
+
+@query("u10_reuse_by_doi", "SELECT o_orderkey, coalesce((SELECT min(p.paper_id) FROM px_papers p WHERE p.paper_id % 300 = o.o_custkey % 400), o_orderkey) AS paper_id FROM orders o")
+def reuse_by_doi(d):
+    w = d.orders.select("o_orderkey", F.col("o_orderkey").alias("paper_id"), F.concat(F.lit("10.1/a"), (F.col("o_custkey") % 400).cast("string")).alias("doi"))
+    return corpus.reuse_by_doi(labelled(d), w).select("o_orderkey", "paper_id")
+
+
+@query("s11_neighbour_pages", "SELECT 'p' || l_partkey AS citing, 'c' || l_orderkey AS cited, 'FORWARD' AS direction, bool_or(l_quantity > 45) AS is_influential FROM lineitem GROUP BY 1, 2")
+def neighbour_pages(d):
+    item = F.struct(F.struct(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("paperId")).alias("citingPaper"), (F.col("l_quantity") > 45).alias("isInfluential"))
+    pages = d.lineitem.select(F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("center"), F.lit("FORWARD").alias("direction"), F.to_json(F.struct(F.array(item).alias("data"))).alias("value"))
+    return metadata.neighbour_edges(pages).groupBy("citing", "cited", "direction").agg(F.bool_or("is_influential").alias("is_influential"))
+
+
+@query("s20_seed_lines", "SELECT p_partkey AS pos, trim(p_name) AS title FROM part WHERE p_partkey % 5 <> 0")
 def seed_lines(d):
-    lines = d.part.select(F.when(F.col("p_partkey") % 5 == 0, "# x").otherwise(F.col("p_name")).alias("value"))
-    return lines.where(~F.col("value").startswith("#")).agg(F.count("*").alias("n"))
+    k = F.col("p_partkey")
+    return metadata.seed_lines(d.part.select(k.alias("pos"), F.when(k % 10 == 0, " # x").when(k % 5 == 0, "  ").otherwise(F.concat("p_name", F.lit(" "))).alias("value")))
 
 
 @query("x14_applied_terms", "SELECT doc_id, CASE WHEN contains(lower(text), 'idiot') THEN 'QUARANTINE' ELSE 'ACCEPT' END AS outcome FROM documents")

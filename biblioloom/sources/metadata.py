@@ -21,8 +21,57 @@ def snapshot(lines: DataFrame) -> DataFrame:
     return good.select("arxiv_id", F.element_at("categories", 1).alias("primary_category"), "categories", "updated")
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return snapshot(spark.read.text(path))
+def read_snapshot(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """A snapshot file or folder: JSON lines, or zip archives of them; at most ``limit`` lines where it is given.
+
+    An archive cannot be split, so each is read in one task, line by line.
+    """
+    if not path.endswith(".zip"):
+        lines = spark.read.text(path)
+    else:
+        lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unzipped, "value string")
+    return snapshot(lines if limit is None else lines.limit(limit))
+
+
+def _unzipped(frames):
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    for frame in frames:
+        for content in frame["content"]:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for name in z.namelist():
+                    with z.open(name) as f:
+                        while lines := f.readlines(8 << 20):
+                            yield pd.DataFrame({"value": [x.decode("utf-8", "replace").rstrip("\r\n") for x in lines]})
+
+
+def watermark(lines: DataFrame) -> DataFrame:
+    """One row: lines loaded, lines skipped, the latest update."""
+    loaded = snapshot(lines).agg(F.count("*").alias("loaded"), F.max("updated").alias("watermark"))
+    return loaded.join(lines.agg(F.count("*").alias("_all"))).select("loaded", (F.col("_all") - F.col("loaded")).alias("skipped"), "watermark")
+
+
+def harvest_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whole answers (page_id, value) to (records, (page_id, token)); names count without their namespaces.
+
+    An empty or missing resumption token is null, which ends a harvest; a page that is no XML has neither.
+    """
+    bare = F.regexp_replace(F.regexp_replace("value", r"<(/?)[A-Za-z_][\w.-]*:", "<$1"), r"\s(?:xmlns(?::[\w.-]+)?|[\w.-]+:[\w.-]+)=(\"[^\"]*\"|'[^']*')", "")
+    clean = pages.select("page_id", bare.alias("value"))
+    blocks = clean.select("page_id", F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<record\b.*?</record>"), F.lit(0))).alias("record"))
+    inner = blocks.select("page_id", F.regexp_extract("record", r"(?s)<arXiv\b[^>]*>.*?</arXiv>", 0).alias("value")).where("value <> ''")
+    token = F.trim(F.regexp_extract("value", r"(?s)<resumptionToken\b[^>]*>([^<]*)</resumptionToken>", 1))
+    return harvest(inner), clean.select("page_id", F.when(token != "", token).alias("token"))
+
+
+def harvest_params(since: str | None = None, kind: str = "cs", token: str | None = None) -> dict[str, str]:
+    """The parameters of the next harvest request; a token stands alone."""
+    if token:
+        return {"verb": "ListRecords", "resumptionToken": token}
+    return {"verb": "ListRecords", "metadataPrefix": "arXiv", "set": kind, **({"from": since} if since else {})}
 
 
 def harvest(records: DataFrame) -> DataFrame:
@@ -73,6 +122,82 @@ def cache_key(endpoint, params):
     return F.sha2(F.concat(endpoint, F.lit("\0"), F.to_json(ordered)), 256)
 
 
+def cache_put(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The response cache (endpoint, params_hash, status_code, response, fetched_at) with ``fresh`` answers over old ones."""
+    both = cache.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+    rest = [c for c in cache.columns if c not in ("endpoint", "params_hash")]
+    last = both.groupBy("endpoint", "params_hash").agg(F.max_by(F.struct(*rest), F.struct("_new", "fetched_at")).alias("_r"))
+    return last.select("endpoint", "params_hash", "_r.*").select(*cache.columns)
+
+
+def cache_get(cache: DataFrame, asked: DataFrame, offline: bool = False) -> DataFrame:
+    """Requests (endpoint, params) with their answers; ``hit`` tells a cached ``null`` from a miss.
+
+    ``offline`` makes a miss an error when the row is read, so nothing ever goes to the network.
+    """
+    keyed = asked.withColumn("params_hash", cache_key(F.col("endpoint"), F.col("params")))
+    held = cache.select("endpoint", "params_hash", "status_code", "response", F.lit(True).alias("_hit"))
+    found = keyed.join(held, ["endpoint", "params_hash"], "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    if offline:
+        miss = F.raise_error(F.concat(F.lit("not in the cache: "), F.col("endpoint"))).cast("boolean")
+        found = found.withColumn("hit", F.when(F.col("hit"), True).otherwise(miss))
+    return found
+
+
+def file_cache(texts: DataFrame) -> DataFrame:
+    """The older file cache: (key, value) with the name of its file; a value that is no JSON reads as missing."""
+    return texts.select("key", F.concat(F.sha2(F.col("key"), 256), F.lit(".json")).alias("file"), F.when(F.try_parse_json("value").isNotNull(), F.col("value")).alias("value"))
+
+
+def seed_lines(lines: DataFrame) -> DataFrame:
+    """The older seed loader: trimmed lines that are neither blank nor comments, repeats and all."""
+    t = F.trim("value")
+    return lines.select("pos", t.alias("title")).where((F.col("title") != "") & ~F.col("title").startswith("#"))
+
+
+WORK = (
+    "id string, doi string, title string, display_title string, publication_year int, cited_by_count long,"
+    " ids struct<arxiv:string>, authorships array<struct<author:struct<display_name:string>>>,"
+    " primary_location struct<source:struct<display_name:string>>,"
+    " concepts array<struct<display_name:string,level:int>>, abstract_inverted_index map<string,array<int>>"
+)
+
+
+def works(pages: DataFrame) -> DataFrame:
+    """Works of the older source (JSON in value) to paper rows; concepts down to level 1."""
+    w = F.from_json("value", WORK)
+    doi = F.regexp_replace(F.coalesce("w.doi", F.lit("")), "https?://doi[.]org/", "")
+    arxiv = F.col("w.ids.arxiv")
+    named = lambda items, get: F.filter(F.transform(F.coalesce(items, F.array()), get), lambda n: n.isNotNull() & (n != ""))
+    low = F.filter(F.col("w.concepts"), lambda c: F.coalesce(c["level"], F.lit(99)) <= 1)
+    text = F.when(F.size(F.map_keys("w.abstract_inverted_index")) > 0, inverted_abstract(F.col("w.abstract_inverted_index")))
+    return pages.select(w.alias("w")).select(
+        F.element_at(F.split("w.id", "/"), -1).alias("paper_id"), F.coalesce(F.when(F.col("w.display_title") != "", F.col("w.display_title")), "w.title", F.lit("")).alias("title"),
+        text.alias("abstract"), F.col("w.publication_year").alias("year"),
+        F.when(F.col("w.primary_location.source.display_name") != "", F.col("w.primary_location.source.display_name")).alias("venue"),
+        named(F.col("w.authorships"), lambda a: a["author"]["display_name"]).alias("authors"),
+        F.when(arxiv.contains("arxiv"), F.element_at(F.split(arxiv, "arxiv[.]org/abs/"), -1)).alias("arxiv_id"), F.when(doi != "", doi).alias("doi"),
+        F.coalesce("w.cited_by_count", F.lit(0)).alias("citation_count"), named(low, lambda c: c["display_name"]).alias("field_of_study"), F.lit("openalex").alias("source_api"),
+    )
+
+
+RECORD = (
+    "paperId string, title string, abstract string, year int, venue string, citationCount long, externalIds struct<DOI:string,ArXiv:string>,"
+    " authors array<struct<name:string>>, tldr struct<text:string>, embedding struct<vector:array<float>>, fieldsOfStudy array<string>"
+)
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """Records of the older client (JSON in value) to the same paper rows."""
+    names = F.filter(F.transform(F.coalesce("r.authors", F.array()), lambda a: a["name"]), lambda n: n.isNotNull() & (n != ""))
+    return pages.select(F.from_json("value", RECORD).alias("r")).where("r.paperId is not null").select(
+        F.col("r.paperId").alias("paper_id"), F.coalesce("r.title", F.lit("")).alias("title"), "r.abstract", "r.year", "r.venue", names.alias("authors"),
+        F.col("r.externalIds.ArXiv").alias("arxiv_id"), F.col("r.externalIds.DOI").alias("doi"), F.coalesce("r.citationCount", F.lit(0)).alias("citation_count"),
+        F.col("r.tldr.text").alias("tldr"), F.col("r.embedding.vector").alias("embedding"), F.coalesce("r.fieldsOfStudy", F.array()).alias("field_of_study"),
+        F.lit("semantic_scholar").alias("source_api"),
+    )
+
+
 def reading_list(lines: DataFrame) -> DataFrame:
     """(pos, value) lines to titles: no BOM, blanks or ``#`` comments; case-insensitive repeats keep the first."""
     t = F.trim(F.regexp_replace("value", "^﻿", ""))

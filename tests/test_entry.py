@@ -41,7 +41,25 @@ def test_keys():
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["paper_id", "title", "anchor_overlap", "direction", "citation_count", "year", "prescore"] and df.count() > 0
+    assert df.columns == ["paper_id", "title", "anchor_overlap", "direction", "citation_count", "year", "prescore", "total"] and df.count() > 0
+
+
+def test_the_rest_stands_without_the_llm_part(tmp_path):
+    """A copy without the two llm folders still imports, lists its queries and runs one."""
+    import shutil
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = shutil.copytree(top, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    code = (
+        "import __spark_entry__ as e\nfrom pyspark.sql import SparkSession\n"
+        "assert not [q for q in e.queries() if q.startswith('op') or q == 'pipeline'] and set(e.oracle_sql()) <= set(e.queries())\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('ROWS', e.queries()['t02_transitions'](spark, '').count())"
+    )
+    said = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=240, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert "ROWS 16" in said.stdout, said.stderr[-2000:]
 
 
 #: Runs every fourth query with SQL; set TEST_ALL=1 for all of them.

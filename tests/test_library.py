@@ -37,10 +37,16 @@ PAPER = "paper_id long, title string, year int, citation_count long, venue strin
         (("A survey of graphs", 2020, 3, None, "cs.LG", None, None, None), "LOW_CITE_SURVEY"),
         (("Surveying land", 2020, 3, None, "cs.LG", None, None, None), "CAT_PRIMARY_CORE"),
         (("A new benchmark", 2020, 3, None, "cs.LG", None, None, None), "MAYBE_BENCHMARK"),
-        (("Protein folding", 2020, 3, None, "q-bio.BM", None, None, None), "BIOCHEM_ML"),
+        (("Metabolic pathway design", 2020, 3, None, "q-bio.BM", None, None, None), "BIOCHEM_ML"),
+        (("Protein folding", 2020, 3, None, "q-bio.BM", None, None, None), "CAT_PRIMARY_APPLIED"),
         (("Retrosynthesis with nets", 2020, 3, None, None, None, None, None), "REACTION_ML"),
         (("X", 2020, 3, None, "cs.CV", None, None, None), "CAT_PRIMARY_APPLIED"),
-        (("X", 2020, 3, None, "cs.CV", ["cs.CV", "cs.LG"], None, None), "CAT_CROSS_CORE"),
+        (("X", 2020, 3, None, "cs.CV", ["cs.CV", "cs.LG"], None, None), "CAT_PRIMARY_APPLIED"),
+        (("X", 2020, 3, None, "cs.IR", ["cs.LG"], None, None), "CAT_PRIMARY_BORDERLINE"),
+        (("X", 2020, 3, None, None, ["cs.CV", "cs.LG"], None, None), "CAT_CROSS_CORE"),
+        (("X", 2020, 3, None, "", ["cs.LG"], None, None), "CAT_CROSS_CORE"),
+        (("X", 2020, 3, "International Conference on Learning Representations", None, None, None, None), "VENUE_CORE"),
+        (("X", 2020, 3, "Oracle Reports", None, None, ["History"], None), "NO_SIGNAL"),
         (("X", 2020, 3, None, "q-bio.BM", None, None, None), "CAT_PRIMARY_APPLIED"),
         (("X", 2020, 3, None, "cs.IR", None, None, None), "CAT_PRIMARY_BORDERLINE"),
         (("X", 2020, 3, None, "hep-th", None, None, None), "CAT_NOT_ALLOWED"),
@@ -209,10 +215,12 @@ def test_prescore(spark):
 
 def test_text_functions(spark):
     t = spark.createDataFrame([("  The Café:  Études ", "de la Peña")], "t string, n string")
-    r = t.select(text.normalize_title("t").alias("a"), text.surname_of(F.col("n")).alias("b"), text.redact_secrets(F.lit("x api_key=abc&y")).alias("c"), text.shorten(F.lit("one two three four five six seven eight nine"), 20).alias("d")).first()
+    r = t.select(text.normalize_title(F.col("t")).alias("a"), text.surname_of(F.col("n")).alias("b"), text.redact_secrets(F.lit("x api_key=abc&y")).alias("c"), text.shorten(F.lit("one two three four five six seven eight nine"), 20).alias("d")).first()
     assert (r["a"], r["b"], r["c"], r["d"]) == ("cafe etudes", "peña", "x api_key=***&y", "one two three four…")
     key = lambda **k: t.select(text.canonical_key(*[F.lit(k.get(n)).cast("string") for n in ("doi", "arxiv", "title", "author")], F.lit(2020)).alias("k")).first()["k"]
     assert key(doi=" ", arxiv="2001.1v3")["v"] == key(arxiv="2001.1")["v"] == "2001.1"
+    assert key(title="图 网络", author="A B")["v"] == "图 网络" and key(title="图", author="A B") != key(title="граф", author="A B")
+    assert key(title="!?", author="A B") is None
     assert key(title="On X", author="A B") != key(title="Not on X", author="A B") and key(doi="10.1/A")["v"] == "10.1/a"
 
 
@@ -223,20 +231,93 @@ def test_partial_dates(spark, value, first, last):
 
 
 def test_metrics(spark):
-    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 10, 3), (1, 12, 4)], "case_id long, paper_id long, rank int")
-    truth = spark.createDataFrame([(1, 10), (1, 12), (2, 5)], "case_id long, paper_id long")
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 10, 3), (1, 12, 4), (3, 7, 1), (3, 7, 2), (3, 8, 3)], "case_id long, paper_id long, rank int")
+    truth = spark.createDataFrame([(1, 10), (1, 12), (2, 5), (3, 8)], "case_id long, paper_id long")
     got = {r["case_id"]: r for r in evaluation.metrics(ranked, truth, 3).collect()}
-    assert got[1]["ndcg"] == pytest.approx(1.5 / (1 + 1 / math.log2(3))) and got[1]["recall"] == 1.0 and got[1]["rr"] == 1.0
+    # the list is cut before repeats collapse, so 12 at place 4 is out
+    assert got[1]["ndcg"] == pytest.approx(1 / (1 + 1 / math.log2(3))) and got[1]["recall"] == 0.5 and got[1]["rr"] == 1.0
     assert got[2]["recall"] == 0 and got[2]["ndcg"] == 0 and got[2]["hit"] == 0
+    # the reciprocal rank counts places as they came, NDCG those after repeats collapsed
+    assert got[3]["rr"] == pytest.approx(1 / 3) and got[3]["ndcg"] == pytest.approx(1 / math.log2(3))
+    at2 = {r["case_id"]: r for r in evaluation.metrics(ranked, truth, 2).collect()}[3]
+    assert (at2["recall"], at2["hit"], at2["ndcg"]) == (0, 0, 0) and at2["rr"] == pytest.approx(1 / 3)
     low, high = evaluation.interval([0.0, 1.0] * 20)
     assert low < 0.5 < high and evaluation.interval([]) == (0.0, 0.0)
 
 
 def test_cases_do_not_depend_on_order(spark):
-    e = edges(spark, [(1, i) for i in range(2, 22)] + [(1, 1), (30, 2)])
-    a = evaluation.make_cases(ids(spark, [1, 30]), e).collect()
-    b = evaluation.make_cases(ids(spark, [1, 30]), e.orderBy(F.desc("cited_id"))).collect()
+    rows = [(1, i, f"20{i:02d}" if i % 2 else f"20{i:02d}-02") for i in range(2, 22)] + [(1, 1, "2030"), (30, 2, "2000"), *((40, i, None) for i in range(2, 22))]
+    e = spark.createDataFrame(rows, "citing_id long, cited_id long, date string")
+    a = evaluation.make_cases(ids(spark, [1, 30, 40]), e).collect()
+    b = evaluation.make_cases(ids(spark, [1, 30, 40]), e.orderBy(F.desc("cited_id"))).collect()
     assert a == b and len(a) == 1 and len(a[0]["seed_ids"]) == 3 and not set(a[0]["seed_ids"]) & set(a[0]["truth_ids"])
+    assert len(a[0]["truth_ids"]) == 17
+    last = max(a[0]["seed_ids"])
+    assert a[0]["cutoff"] == (f"20{last:02d}-12-31" if last % 2 else f"20{last:02d}-02-{29 if last % 4 == 0 else 28}")
+
+
+def test_numbered_without_one_task(spark):
+    from biblioloom.operators.lineage import numbered
+
+    got = numbered(spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("v")), ["v"], "n").collect()
+    assert sorted((r["v"], r["n"]) for r in got) == [(i, i + 1) for i in range(5000)]
+
+
+def test_feature_plan_stays_small(spark):
+    """Every feature's percentile comes from one pass: the plan does not double with each of them."""
+    papers = spark.createDataFrame([(i, "t", 2000 + i % 9, i * 3, "ICML" if i % 2 else None) for i in range(30)], "paper_id long, title string, year int, citation_count long, venue string")
+    e = edges(spark, [(i, j) for i in range(30) for j in range(i) if (i * j) % 5 == 1])
+    made = ranking.feature_pass(papers, e, ids(spark, [1, 2]), DEFAULT, 2026)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") < 10 and made.count() == 30
+    assert made.agg(F.min("quality"), F.max("quality")).first() == (0.0, 1.0)
+
+
+def test_removal_and_restoration(spark):
+    log = spark.createDataFrame([(1, 1, 5, "SEED_ADDED", "USER", 0), (2, 1, 6, "GC_SWEPT", "SYSTEM", 3)], "id long, session_id long, paper_id long, event_type string, actor string, depth int")
+    nodes = spark.createDataFrame([(1, 5, "SEED", 2)], "session_id long, paper_id long, state string, depth int")
+    both = spark.createDataFrame([(1, 5), (1, 9)], "session_id long, paper_id long")
+    left, more = events.remove(nodes, log, both)
+    assert left.count() == 0 and more.count() == 3 and more.where("id = 3").first()["depth"] == 2
+    back, last, refused = events.restore(left, more, both.unionByName(spark.createDataFrame([(1, 6)], both.schema)))
+    assert {(r["paper_id"], r["state"], r["depth"]) for r in back.collect()} == {(5, "CANDIDATE", 2), (6, "CANDIDATE", 3)}
+    assert last.count() == 5 and [r["paper_id"] for r in refused.collect()] == [9]
+    assert events.parse_states(" seed, ,LIKED") == ["SEED", "LIKED"] and events.parse_states(" ") is None
+    assert events.in_states(nodes, []).count() == 0 and events.in_states(nodes, None).count() == 1
+    with pytest.raises(ValueError):
+        events.parse_states("SEDE")
+
+
+def test_signals_are_absent_below_the_floor(spark):
+    nodes = spark.createDataFrame([(1, "METADATA"), (2, "METADATA"), (3, "STUB")], "paper_id long, crawl_state string")
+    e = edges(spark, [(1, 2), (2, 1), (1, 3)])
+    got = {r["paper_id"]: (r["in_degree"], r["rank"]) for r in graph.signals(nodes, e, 0.6).collect()}
+    assert got[3] == (1, None) and got[1][1] == pytest.approx(0.5)
+    assert all(r["rank"] is None and r["in_degree"] == 1 for r in graph.signals(nodes, e, 0.7).collect())
+    assert sum(as_map(graph.plain_pagerank(nodes, e)).values()) == pytest.approx(1.0)
+
+
+def test_zipped_snapshot_and_offline_cache(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(f"{tmp_path}/s.zip", "w") as z:
+        z.writestr("a.json", '{"id":"1","categories":"cs.LG","update_date":"2020"}\n{bad\n')
+    assert [r["arxiv_id"] for r in metadata.read_snapshot(spark, f"{tmp_path}/s.zip").collect()] == ["1"]
+    asked = spark.createDataFrame([("/p", {"id": "7"})], "endpoint string, params map<string,string>")
+    none = spark.createDataFrame([], "endpoint string, params_hash string, status_code int, response string, fetched_at string")
+    assert metadata.cache_get(none, asked).first()["hit"] is False
+    with pytest.raises(Exception, match="not in the cache"):
+        metadata.cache_get(none, asked, offline=True).collect()
+    assert metadata.harvest_params("2020-01-01") == {"verb": "ListRecords", "metadataPrefix": "arXiv", "set": "cs", "from": "2020-01-01"}
+    assert metadata.harvest_params(token="t") == {"verb": "ListRecords", "resumptionToken": "t"}
+
+
+def test_policy_file(tmp_path):
+    from biblioloom import config
+
+    (tmp_path / "p.json").write_text('{"year_floor": 2010, "core_allow": ["cs.LG"], "weights": {"hub": 0}}')
+    p = config.load(str(tmp_path / "p.json"))
+    assert p.year_floor == 2010 and p.core_allow == ("cs.LG",) and p.weights["overlap"] == 2.0 and p.version != DEFAULT.version
 
 
 def test_sources(spark):
