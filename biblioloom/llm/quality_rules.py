@@ -5,8 +5,12 @@ Every line with a word is one position of a chain; its two labels are *content*
 shouting, repetition, length), transitions tie neighbouring lines, and Viterbi decoding picks
 the best joint labelling. The share of word bytes in content lines decides whether a text stays.
 
-The chain is trained on a bounded sample of labelled texts (``TRAIN_DOCS``): all lines of a
-text take the label of the text. Without usable labels the fixed ``PRIOR`` weights are used.
+The chain is trained on a bounded sample of labelled texts (``TRAIN_DOCS``). Labels say only whether
+a text as a whole is good, so its lines get weak labels of their own (``weak_lines``): a line of a
+bad text is boilerplate if it shows any mark of it, a line of a good text only if it shows many, and a
+bad text without any mark is boilerplate throughout. So chains change their label within a text,
+and what the transitions learn is where content begins and ends. Without usable labels the fixed
+``PRIOR`` weights are used.
 
 Defined results: null or empty text: no words, base_failed, not kept. Rows repeat as they
 repeat in the input; a null doc_id stays null. Other columns of the input are not read.
@@ -108,25 +112,41 @@ def chain_of(text: bytes) -> list[list[int]]:
     return chain
 
 
-def train(chains: list[tuple[list[list[int]], int]], rounds: int = 80, rate: float = 0.1, shrink: float = 1e-3) -> dict:
-    """Maximum-likelihood weights by Adam; ``chains`` are (features by line, label of the text)."""
+#: Marks (bucket levels of all features but length, and a repeat) from which a line of a bad or a good text is boilerplate.
+MARKS = {0: 1, 1: 4}
+
+
+def marks(found: list[int]) -> int:
+    """How many bucket levels above the plain ones a line shows, and one if it repeats an earlier line."""
+    level = sum(f - OFFSETS[n] for n, e in EDGES.items() if n != "words" for f in found if OFFSETS[n] <= f <= OFFSETS[n] + len(e))
+    return level + (SEEN in found)
+
+
+def weak_lines(chain: list[list[int]], good: int) -> list[int]:
+    """A label (1: content) for each line of a text of which only the quality is known."""
+    lines = [int(marks(found) < MARKS[good]) for found in chain]
+    return [0] * len(chain) if not good and all(lines) else lines
+
+
+def train(chains: list[tuple[list[list[int]], list[int]]], rounds: int = 200, rate: float = 0.1, shrink: float = 1e-4) -> dict:
+    """Maximum-likelihood weights by Adam; ``chains`` are (features by line, labels by line)."""
     chains = sorted((c for c in chains if c[0]), key=lambda c: -len(c[0]))
-    if len({label for _, label in chains}) < 2:
+    if len({label for _, lines in chains for label in lines}) < 2:
         return PRIOR
     lengths = np.array([len(c) for c, _ in chains])
-    gold = np.array([label for _, label in chains])
     width, depth = len(chains), int(lengths[0])
-    x = np.zeros((depth, width, N_FEATURES), np.float32)
-    for j, (chain, _) in enumerate(chains):
-        for t, found in enumerate(chain):
+    x, want = np.zeros((depth, width, N_FEATURES), np.float32), np.zeros((depth, width, 2))
+    for j, (chain, lines) in enumerate(chains):
+        for t, (found, label) in enumerate(zip(chain, lines, strict=True)):
             x[t, j, found] = 1
+            want[t, j, label] = 1
+    # texts that are mostly content and the others weigh the same, however the sample is mixed
+    gold = np.array([sum(lines) * 2 > len(lines) for _, lines in chains])
     live = [int((lengths > t).sum()) for t in range(depth)]
-    # both classes weigh the same, however the sample is mixed
     weight = np.where(gold == 1, 0.5 / max(1, (gold == 1).sum()), 0.5 / max(1, (gold == 0).sum())) / lengths.mean()
     parts = {"emit": np.zeros((N_FEATURES, 2)), "step": np.zeros((2, 2)), "start": np.zeros(2)}
     first = {k: np.zeros_like(v) for k, v in parts.items()}
     second = {k: np.zeros_like(v) for k, v in parts.items()}
-    want = np.eye(2)[gold]
     for turn in range(1, rounds + 1):
         scores = x @ parts["emit"].astype(np.float32)
         alpha = np.zeros((depth, width, 2))
@@ -142,7 +162,7 @@ def train(chains: list[tuple[list[list[int]], int]], rounds: int = 80, rate: flo
         grad = {k: -shrink * v for k, v in parts.items()}
         for t in range(depth):
             n = live[t]
-            miss = (want[:n] - np.exp(alpha[t, :n] + beta[t, :n] - total[:n, None])) * weight[:n, None]
+            miss = (want[t, :n] - np.exp(alpha[t, :n] + beta[t, :n] - total[:n, None])) * weight[:n, None]
             grad["emit"] = grad["emit"] + x[t, :n].T @ miss
             if t == 0:
                 grad["start"] = grad["start"] + miss.sum(0)
@@ -150,7 +170,7 @@ def train(chains: list[tuple[list[list[int]], int]], rounds: int = 80, rate: flo
                 pair = np.exp(
                     alpha[t - 1, :n, :, None] + parts["step"] + (scores[t, :n] + beta[t, :n])[:, None, :] - total[:n, None, None]
                 )
-                true = want[:n, :, None] * want[:n, None, :]
+                true = want[t - 1, :n, :, None] * want[t, :n, None, :]
                 grad["step"] = grad["step"] + ((true - pair) * weight[:n, None, None]).sum(0)
         for k in parts:
             first[k] = 0.9 * first[k] + 0.1 * grad[k]
@@ -242,7 +262,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict:
         .collect()
     )
     rows.sort(key=lambda r: r["doc_id"])
-    return train([(chain_of(r["text"].encode()), int(known[r["doc_id"]] > 0)) for r in rows])
+    chains = [(chain_of(r["text"].encode("utf-8", "surrogatepass")), int(known[r["doc_id"]] > 0)) for r in rows]
+    return train([(chain, weak_lines(chain, good)) for chain, good in chains])
 
 
 def assess(documents: DataFrame, model: dict) -> DataFrame:

@@ -193,6 +193,33 @@ def test_quality_learns_junk(spark):
     assert quality_rules.fit(table, labels.limit(0)) is quality_rules.PRIOR
 
 
+def test_lines_of_mixed_texts_get_their_own_labels(spark):
+    r = random.Random(16)
+    line = lambda: prose(r, r.randint(10, 25)).capitalize() + "."
+    junk = lambda: r.choice([" | ".join(prose(r, 15).split()) + " |", " ".join(w.upper() + "!!" for w in prose(r, 12).split()), " ".join(w + "***" for w in prose(r, 14).split())])
+
+    def text(bad):  # runs of content and of junk, the larger part decides what the label of the text says
+        first, second = (line, junk) if r.random() < 0.5 else (junk, line)
+        n, m = (5, 1) if (first is line) != bad else (1, 5)
+        return [(f(), int(f is line)) for f in [first] * n + [second] * m]
+
+    made = [text(i % 2 == 1) for i in range(160)]
+    table = docs(spark, [(i, "\n".join(x for x, _ in t)) for i, t in enumerate(made)])
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    model = quality_rules.fit(table, labels)
+    assert model["step"][0, 1] != model["step"][1, 0] or model["step"][0, 0] > model["step"][0, 1]
+    right = total = 0
+    for t in made[80:]:
+        got = quality_rules.viterbi(quality_rules.chain_of("\n".join(x for x, _ in t).encode()), model)
+        right += sum(a == b for a, (_, b) in zip(got, t, strict=True))
+        total += len(t)
+    assert right / total >= 0.95
+    got = {x["doc_id"]: x for x in quality_rules.assess(table, model).collect()}
+    assert sum(0 < got[i]["content_share"] < 1 for i in range(80, 160)) >= 70
+    assert sum(got[i]["kept"] == (i % 2 == 0) for i in range(80, 160)) >= 76
+    assert quality_rules.weak_lines([[0], [0]], 0) == [0, 0] and quality_rules.weak_lines([[0], [quality_rules.SEEN]], 0) == [1, 0]
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
