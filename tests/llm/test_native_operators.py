@@ -216,3 +216,68 @@ def test_boosting_learns_and_calibrates():
         mine = kinds == k
         assert y[mine][s[mine] >= t].mean() >= 0.97
     assert "CASE WHEN p.digits" in model.sql("p") and pii.Boosted([], {}).accepts("p") == "false"
+
+
+def test_pii_adds_spans_beyond_the_base(spark):
+    """Precision and recall on made texts of another seed, and sentences of another make."""
+    model = pii.fit(docs(spark, []))
+    assert {0, 2, 3} <= set(model.thresholds)
+    made = pii.made_texts(400, 77)
+    rows = pii.with_spans(docs(spark, [(i, t, "", "", 0) for i, (t, _) in enumerate(made)]), model).select("doc_id", "_base", "_spans").collect()
+    right = wrong = 0
+    for r in rows:
+        base = set(map(tuple, r["_base"]))
+        for x in set(map(tuple, r["_spans"])) - base:
+            s, k, e = x
+            hit = any(k == kind and s < b and a < e for kind, a, b in made[r["doc_id"]][1])
+            right += hit
+            wrong += not hit
+    assert right / (right + wrong) >= 0.97 and right >= 0.8 * sum(len(h) for _, h in made)
+    found = [
+        ("Please call 030 5551234 before noon.", "phone"), ("His mobile is 0171-5558899, she said", "phone"), ("Tel. (415) 555-2671", "phone"),
+        ("Write to jane.doe (at) example (dot) org today", "email"), ("pay with card 4111.1111.1111.1111 now", "card"),
+    ]
+    clean = ["Between 1998-2004 the price was 1.250.000 in all", "ISBN 978-3-16-148410-0 on page 120-145", "On 2021-03-04 version 10.2.4471 came out", "order 123456789012 of 12 300 450 items", "npm install left@4.17.21", "", None]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs(spark, [*((i, t, "", "", 0) for i, (t, _) in enumerate(found)), *((100 + i, t, "", "", 0) for i, t in enumerate(clean))]), model).collect()}
+    assert [got[i].split(":")[0] for i in range(len(found))] == [k for _, k in found]
+    assert [got[100 + i] for i in range(len(clean))] == [""] * len(clean)
+
+
+def test_pii_redacts_many_spans_and_odd_columns(spark):
+    import time
+
+    none = pii.Boosted([], {})
+    many = " ".join(f"a{i}@b.com x" for i in range(8000))
+    kind = "doc_id long, text string, _text string, _new string, _row string, _spans map<string,int>, n_chars long"
+    rows = [(1, many, "secret", "b", "c", {"k": 1}, 7), (None, None, None, None, None, None, None), (1, "", "x", "y", "z", None, 0), (2, "me@b.org", "x", "y", "z", None, 8)]
+    table = spark.createDataFrame(rows, kind)
+    pii.redact(table.limit(1), none).collect()
+    began = time.time()
+    out = pii.redact(table, none)
+    got = out.collect()
+    assert time.time() - began < 20
+    assert out.columns == table.columns and out.dtypes == table.dtypes
+    first = next(r for r in got if r["n_chars"] and r["n_chars"] > 100)
+    assert first["text"] == " ".join("[EMAIL] x" for _ in range(8000)) and first["n_chars"] == len(first["text"])
+    assert (first["_text"], first["_new"], first["_row"], first["_spans"]) == ("secret", "b", "c", {"k": 1})
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in got if r is not first and r["text"] is not None) == [(1, "", 0), (2, "[EMAIL]", 7)]
+    assert sum(r["text"] is None and r["doc_id"] is None for r in got) == 1
+    assert pii.redact(table.limit(0), none).collect() == []
+
+
+def test_pii_merges_overlapping_spans(spark):
+    r, cases = random.Random(5), []
+    for _ in range(60):
+        spans = sorted((s := r.randint(0, 300), r.randint(0, 3), s + r.randint(1, 12)) for _ in range(r.choice([0, 1, 5, 300])))
+        cases.append(spans)
+    table = spark.createDataFrame([(i, [{"s": s, "k": k, "e": e} for s, k, e in c]) for i, c in enumerate(cases)], "i int, spans array<struct<s:int,k:int,e:int>>")
+    from pyspark.sql import functions as F
+
+    for row in table.select("i", pii._merged(F.col("spans")).alias("m")).collect():
+        want = []
+        for s, k, e in cases[row["i"]]:
+            if want and want[-1][2] > s:
+                want[-1][2] = max(want[-1][2], e)
+            else:
+                want.append([s, k, e])
+        assert [[x["s"], x["k"], x["e"]] for x in row["m"]] == want
