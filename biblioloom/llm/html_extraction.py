@@ -10,7 +10,8 @@ Weights are trained by maximum likelihood (the same messages give the expected f
 labelled pages made by ``labelled_pages``: articles in many layouts with menus, site headers,
 footers, sidebars, notices, adverts, forms and reader comments around them.
 
-Heads, scripts, styles and comments never hold text. Character references are decoded, white space
+Heads, scripts, styles, what stands in for them or for frames, and comments never hold text; the text of
+formulas and drawings does. Attributes are read as browsers do. Character references are decoded, white space
 inside a block becomes one space, blocks are joined in page order by one space; nothing is capped.
 
 Defined results: null or empty html gives an empty text; broken markup (unclosed or cut tags,
@@ -36,11 +37,12 @@ THRESHOLD = 0.5
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 
 # Elements by their role in the tree.
-RAW = frozenset("script style noscript template iframe noembed noframes xmp svg math title textarea".split())
+RAW = frozenset("script style noscript template iframe noembed noframes title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup"
-    " time tt u var label".split()
+    " time tt u var label svg math g text tspan textpath path circle ellipse rect line polygon polyline defs use symbol desc"
+    " mi mo mn ms mrow msup msub msubsup mfrac msqrt mroot mtext mstyle mspace mover munder munderover mtable mtr mtd semantics annotation".split()
 )
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption summary address".split())
 SPECIAL = frozenset("nav aside footer header form menu dialog button select fieldset".split())
@@ -72,9 +74,19 @@ BASE = len(TAGS) + 1
 N_FEATURES = BASE + len(CUES) + len(LENGTHS) + 1 + len(LINKS) + 1 + 1
 N_EDGES = 3
 
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: Quotes hold a value only after ``=``; elsewhere, and where none closes them, they are characters like others.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)*+)>")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 WORDS = re.compile(r"[a-z]+")
+XMP_END = re.compile(r"</xmp[^>]*>", re.I)
+MARK = "data-y="
+
+
+def marked(block: Block, attributes: str) -> None:
+    """The label of a page made for training (``labelled_pages``)."""
+    at = attributes.find(MARK)
+    if at >= 0:
+        block.label = int(attributes[at + len(MARK) + 1] == "1")
 
 
 class Block:
@@ -88,8 +100,11 @@ class Block:
         self.last = ""
 
 
-def parse(page: str) -> tuple[list[Block], list[list]]:
-    """Blocks in page order (parents first), and [block, text] segments in page order."""
+def parse(page: str, told=None) -> tuple[list[Block], list[list]]:
+    """Blocks in page order (parents first), and [block, text] segments in page order.
+
+    ``told`` (block, attributes as they stand) sees every block; training reads its labels by it.
+    """
     blocks, stack, segments = [Block("#root", -1, "")], [0], []
     at, n, in_link, fresh = 0, len(page), 0, True
 
@@ -144,11 +159,17 @@ def parse(page: str) -> tuple[list[Block], list[list]]:
             if end:
                 at = end.end() if end.group()[1] == "/" else end.start()
             continue
+        if tag == "xmp":  # text as it stands
+            end = XMP_END.search(page, at)
+            fresh = True
+            add(page[at : end.start()] if end else page[at:])
+            at, fresh = end.end() if end else n, True
+            continue
         if tag in RAW:
             if not m.group(3).endswith("/"):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
                 at = n if not end else max(page.find(">", end.start()) + 1, end.end())
-            fresh = fresh or tag not in ("svg", "math")
+            fresh = True
             continue
         if tag == "br" or tag == "wbr" or tag in VOID:
             if tag == "br":
@@ -180,8 +201,8 @@ def parse(page: str) -> tuple[list[Block], list[list]]:
         found = m.group(3)
         names = " ".join(x or y or z for x, y, z in NAMES.findall(found)) if found and not found.isspace() else ""
         blocks.append(Block(tag, stack[-1], names))
-        if "data-y=" in found:  # only the pages made for training carry labels
-            blocks[-1].label = int(found[found.index("data-y=") + 8] == "1")
+        if told is not None:
+            told(blocks[-1], found)
         stack.append(len(blocks) - 1)
         fresh, in_link = True, 0
     out = []
@@ -195,7 +216,7 @@ def parse(page: str) -> tuple[list[Block], list[list]]:
 
 
 def edge_kind(tag: str) -> int:
-    return 0 if tag in TEXTS else 1 if tag in SPECIAL else 2
+    return 2 if tag in ("td", "th") else 0 if tag in TEXTS else 1 if tag in SPECIAL else 2
 
 
 def features(blocks: list[Block]) -> list[list[int]]:
@@ -265,7 +286,7 @@ def train(pages: list[str], rounds: int = 90, rate: float = 0.4, shrink: float =
     """Maximum-likelihood node weights and edge tables from pages whose blocks carry labels."""
     data = []
     for page in pages:
-        blocks, _ = parse(page)
+        blocks, _ = parse(page, marked)
         gold = [b.label for b in blocks]
         size, good = [0] * len(blocks), [0] * len(blocks)
         for i in range(len(blocks) - 1, -1, -1):
@@ -304,7 +325,7 @@ def train(pages: list[str], rounds: int = 90, rate: float = 0.4, shrink: float =
     return node.tolist(), np.exp(edge).tolist()
 
 
-def labelled_pages(n: int = 200, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 320, seed: int = 5) -> list[str]:
     """Pages with labels (``data-y``), made from layouts and invented words."""
     r = random.Random(seed)
     syllables = "an ba ce di el fo ga hi in jo ka le mo nu or pe qui ra se ti un ve wa xi yo za".split()
@@ -364,7 +385,9 @@ def labelled_pages(n: int = 200, seed: int = 5) -> list[str]:
             return "".join(parts)
         for _ in range(r.randint(1, 12)):
             kind = r.random()
-            if odd < 0.25:  # without sentences: junk, lists of words, one word over and over
+            if odd >= 0.25 and r.random() < 0.06:  # text without a paragraph of its own
+                parts.append(f"<div>{pick((text(1, 2), sentence(), words(2, 8)))}</div>")
+            elif odd < 0.25:  # without sentences: junk, lists of words, one word over and over
                 parts.append(f"<p>{pick((words(1, 60), f'{word()} ' * r.randint(5, 80), ' | '.join(words(5, 60).split()), '*** '.join(words(5, 60).split())))}</p>")
             elif kind < 0.78:
                 parts.append(pick((f"<p>{text(1, 6)}</p>", f"<p>{word()}.</p>", f"<p><b>{sentence()}<br><p>{text()}</p>", f"<p>{text(1, 2)}")))
@@ -372,8 +395,10 @@ def labelled_pages(n: int = 200, seed: int = 5) -> list[str]:
                 parts.append(f"<h2>{words(1, 6)}</h2>")
             elif kind < 0.92:
                 parts.append("<ul>" + "".join(f"<li>{text(1, 2)}</li>" for _ in range(r.randint(2, 4))) + "</ul>")
-            elif kind < 0.95:
+            elif kind < 0.935:
                 parts.append(f"<blockquote><p>{text(1, 2)}</p></blockquote>")
+            elif kind < 0.95:
+                parts.append(pick((f"<div>{pick((text(1, 2), words(2, 5)))}</div>", f"<pre>{words(2, 20)}</pre>", f"<figure><figcaption>{sentence()}</figcaption></figure>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>")))
             else:
                 parts.append(pick((advert, side, notice))())
         return "".join(parts)
@@ -396,6 +421,11 @@ def labelled_pages(n: int = 200, seed: int = 5) -> list[str]:
         middle = inner if bare else article
         if r.random() < 0.3 and not bare:
             middle = f'<div class="{pick(("wrapper", "container", "layout"))}">{article}{side() if r.random() < 0.5 else ""}</div>'
+        if r.random() < 0.2 and not bare:  # tables that hold the page together, mostly without telling names
+            cell = lambda y, x, names: f'<td data-y="{y}"{attrs(names) if r.random() < 0.5 else ""}>{x}</td>'
+            flat = "<br>".join(f'<a href="/{word()}">{words(1, 2)}</a>' for _ in range(r.randint(2, 8)))
+            cells = [cell(0, flat, ["nav", "menu"]), cell(1, inner, ["content", "main"])]
+            middle = f"<table><tr>{''.join(cells)}</tr><tr>{cell(0, 'Copyright ' + words(2, 4), ['footer', 'legal'])}</tr></table>"
         pages.append(f"<html><body{' data-y=\"1\"' if bare else ''}>" + "".join([*before, middle, *after]) + pick(("</body></html>", "")))
     return pages
 
