@@ -34,11 +34,21 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def escape_kind(kind: Column) -> Column:
+    """A part's type inside a placeholder: its bars and colons must not end it."""
+    return F.replace(F.replace(escape(kind), F.lit("|"), F.lit("&bar;")), F.lit(":"), F.lit("&colon;"))
+
+
+def unescape_kind(kind: Column) -> Column:
+    return unescape(F.replace(F.replace(kind, F.lit("&colon;"), F.lit(":")), F.lit("&bar;"), F.lit("|")))
+
+
 def visit(parts: Column) -> tuple[Column, Column, Column]:
-    """Content with placeholders, attachments (type, uri), and tokens that attachments expand to."""
+    """Content with placeholders, attachments (type, uri), and tokens that attachments expand to. A null type is text."""
+    parts = F.transform(parts, lambda p: F.struct(F.coalesce(p["type"], F.lit("text")).alias("type"), p["text"].alias("text"), p["uri"].alias("uri"), p["units"].alias("units")))
     other = F.filter(parts, lambda p: p["type"] != "text")
     number = lambda i: F.size(F.filter(F.slice(parts, 1, i), lambda p: p["type"] != "text"))
-    mark = lambda p, i: F.concat(F.lit("<|"), p["type"], F.lit(":"), number(i).cast("string"), F.lit("|>"))
+    mark = lambda p, i: F.concat(F.lit("<|"), escape_kind(p["type"]), F.lit(":"), number(i).cast("string"), F.lit("|>"))
     content = F.transform(
         parts, lambda p, i: F.when(p["type"] == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(mark(p, i))
     )
@@ -49,6 +59,22 @@ def visit(parts: Column) -> tuple[Column, Column, Column]:
     return F.array_join(content, ""), F.transform(other, lambda p: F.struct(p["type"], p["uri"].alias("uri"))), tokens
 
 
+#: A placeholder; escaped text holds no ``<``, so nothing else looks like one.
+PLACEHOLDER = r"<\|[^|<]*:[0-9]+\|>"
+
+
+def parts_of(content: Column) -> Column:
+    """The parts (type, text, number) that a content stands for: texts unescaped, attachments by their numbers."""
+    marks = F.transform(F.regexp_extract_all(content, F.lit(PLACEHOLDER), F.lit(0)), lambda m: F.substring(m, 3, F.length(m) - 4))
+    none = F.lit(None).cast("string")
+    texts = F.transform(F.split(content, PLACEHOLDER, -1), lambda t: F.struct(F.lit("text").alias("type"), unescape(t).alias("text"), F.lit(None).cast("int").alias("number")))
+    other = F.transform(
+        marks, lambda m: F.struct(unescape_kind(F.regexp_replace(m, ":[0-9]+$", "")).alias("type"), none.alias("text"), F.element_at(F.split(m, ":"), -1).cast("int").alias("number"))
+    )
+    pairs = F.transform(texts, lambda t, i: F.array(t, F.get(other, i)))  # one text more than placeholders
+    return F.filter(F.flatten(pairs), lambda p: p["type"].isNotNull() & ((p["type"] != "text") | (p["text"] != "")))
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, n_turns, formatted, loss_mask (turn, start, end), attachments, attachment_tokens."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -91,13 +117,17 @@ def _by_turn(a: Column, b: Column) -> Column:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns (role, text) and the text under the loss mask, from the strings and masks alone."""
+    """Turns (role, text, parts) and the text under the loss mask, from the strings and masks alone.
+
+    ``parts`` tells a placeholder from a text that looks like one; ``text`` shows both alike.
+    """
     pieces = F.slice(F.split("formatted", r"<\|turn\|>", -1), 2, F.size(F.split("formatted", r"<\|turn\|>", -1)))
     turns = F.transform(
         "_pieces",
         lambda p: F.struct(
             unescape(F.substring_index(p, TEXT, 1)).alias("role"),
             unescape(F.substring_index(F.substring(p, F.instr(p, TEXT) + len(TEXT), F.length(p)), END, 1)).alias("text"),
+            parts_of(F.substring_index(F.substring(p, F.instr(p, TEXT) + len(TEXT), F.length(p)), END, 1)).alias("parts"),
         ),
     )
     masked = F.transform(
@@ -119,6 +149,42 @@ def digest(rows: DataFrame) -> DataFrame:
     )
 
 
+def with_parts(conversations: DataFrame) -> DataFrame:
+    """The table with an image after every user's text, two pages of a document before every assistant's, and a text that
+    looks like a placeholder."""
+    part = lambda kind, text, uri, units: F.struct(kind.alias("type"), text.alias("text"), uri.alias("uri"), units.cast("int").alias("units"))
+    none, key = F.lit(None).cast("string"), F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    text = part(F.lit("text"), F.coalesce(F.col("text"), F.lit("")), none, F.lit(None))
+    image = part(F.lit("image"), none, F.concat(F.lit("i:"), key), F.lit(None))
+    pages = part(F.lit("document"), none, F.concat(F.lit("d:"), key), F.lit(2))
+    sham = part(F.lit("text"), F.lit("<|image:0|>"), none, F.lit(None))
+    parts = F.when(F.col("role") == "user", F.array(text, image)).when(F.col("role") == "assistant", F.array(pages, text, sham)).otherwise(F.array(text))
+    return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("int"), "role", "text", parts.cast(PARTS).alias("parts"))
+
+
+def parts_digest(rows: DataFrame) -> DataFrame:
+    """Of every conversation, read back from the output: its text parts, its attachments in order, the tokens that they take."""
+    back = read_back(format_conversations(rows))
+    each = F.flatten(F.transform("turns", lambda t: t["parts"]))
+    texts = F.transform(F.filter(each, lambda p: p["type"] == "text"), lambda p: p["text"])
+    other = F.filter(each, lambda p: p["type"] != "text")
+    return back.select(
+        "conv_id", F.size(other).cast("long").alias("n_attachments"), F.sha2(F.array_join(texts, ""), 256).alias("texts_sha256"),
+        F.sha2(F.array_join(F.transform(F.zip_with(other, "attachments", lambda p, a: F.concat(p["type"], F.lit(" "), a["uri"])), lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("attachments_sha256"),
+        "attachment_tokens",
+    )
+
+
+def parts_sql() -> str:
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(CAST(conv_id AS VARCHAR) || '/' || turn, '') AS key FROM conversations)
+SELECT conv_id, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS n_attachments,
+  sha256(string_agg(CASE role WHEN 'assistant' THEN text || '<|image:0|>' ELSE text END, '' ORDER BY turn NULLS FIRST, role, text)) AS texts_sha256,
+  sha256(coalesce(string_agg(CASE role WHEN 'user' THEN 'image i:' || key WHEN 'assistant' THEN 'document d:' || key END || chr(10), '' ORDER BY turn NULLS FIRST, role, text), '')) AS attachments_sha256,
+  CAST(sum(CASE role WHEN 'user' THEN {TOKENS["image"]} WHEN 'assistant' THEN {2 * TOKENS["document"]} ELSE 0 END) AS BIGINT) AS attachment_tokens
+FROM t GROUP BY conv_id"""
+
+
 def with_extra(conversations: DataFrame) -> DataFrame:
     """The table and conversation -7, whose texts look like control strings."""
     spark = conversations.sparkSession

@@ -16,6 +16,10 @@ def op1_url_filters(spark, sf_dir):
     return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def url_rules_by_language(spark, sf_dir):
+    return url_filters.judge_by_language(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark, sf_dir):
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,10 @@ def op8_chat(spark, sf_dir):
     return chat.digest(chat.with_extra(table(spark, sf_dir, "conversations")))
 
 
+def chat_typed_parts(spark, sf_dir):
+    return chat.parts_digest(chat.with_parts(table(spark, sf_dir, "conversations")))
+
+
 def op9_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.fit(docs))
@@ -59,10 +67,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_decontamination, op3_simhash, op4_html_extraction, op5_lm_scoring, op6_licenses, op7_quality_rules, op8_chat, op9_pii, op10_packing,
+        url_rules_by_language, chat_typed_parts,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": url_filters.oracle_sql(),
+    "url_rules_by_language": url_filters.oracle_sql(url_filters.BY_LANGUAGE, ()),
     "op6_licenses": licenses.oracle_sql(),
     "op8_chat": chat.oracle_sql(),
+    "chat_typed_parts": chat.parts_sql(),
 }

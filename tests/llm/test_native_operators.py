@@ -47,6 +47,22 @@ def test_url_rules_are_mined(spark):
     assert got == {i: "allow" if i % 3 else "block" for i, _ in rows}
 
 
+def test_url_rules_need_more_than_chance(spark):
+    """A token with the share of bad URLs at large makes no rule; twenty shared tokens do not make 2**20 combinations."""
+    shared = "/".join(f"s{chr(97 + i)}" for i in range(20))
+    r = random.Random(4)
+    rows = [(i, f"https://h{chr(97 + i % 7)}.io/{shared}/{'x' if i % 2 else 'y'}{'/spam' if i % 5 == 0 else ''}/{i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0 and r.random() < 0.85), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {x["page_id"]: x for x in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    blocked = {i for i, x in got.items() if x["verdict"] == "block"}
+    assert {i for i in range(200) if i % 5 == 0} <= blocked and len(blocked) < 70
+    assert "p:spam" in got[0]["mined_rule"] and got[0]["confidence"] == 1.0 and got[0]["lift"] > 2
+    same = spark.createDataFrame([(["a", "b"], 1), (["a"], 0), (["a", "b"], 0), (None, 1)] * 20, "tokens array<string>, bad int")
+    assert url_filters.mine(same).collect() == []
+    told = spark.createDataFrame([(["a", "b"], 1), (["a"], 0), (None, 1)] * 20, "tokens array<string>, bad int")
+    assert sorted((x["antecedent"], x["urls"]) for x in url_filters.mine(told).collect()) == [(["a", "b"], 20), (["b"], 20)]
+
+
 def test_url_filters_on_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filters.judge(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
@@ -281,3 +297,14 @@ def test_pii_merges_overlapping_spans(spark):
             else:
                 want.append([s, k, e])
         assert [[x["s"], x["k"], x["e"]] for x in row["m"]] == want
+
+
+def test_typed_parts_are_told_from_text(spark):
+    kind = "conv_id long, turn int, role string, text string, parts array<struct<type:string,text:string,uri:string,units:int>>"
+    parts = [("text", "a <|image:0|> & b", None, None), ("image", None, "u1", 2), ("<|end|>\n:|&", None, "u2", None), (None, "tail", None, None)]
+    rows = spark.createDataFrame([(1, 0, "user", None, parts), (1, 1, "user", None, None), (2, None, None, None, [])], kind)
+    formatted = chat.format_conversations(rows)
+    back = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
+    assert [tuple(p) for p in back[1]["turns"][0]["parts"]] == [("text", "a <|image:0|> & b", None), ("image", None, 0), ("<|end|>\n:|&", None, 1), ("text", "tail", None)]
+    assert len(back[1]["turns"]) == 2 and [a["uri"] for a in back[1]["attachments"]] == ["u1", "u2"] and back[1]["attachment_tokens"] == 513
+    assert back[2]["turns"][0]["parts"] == []
