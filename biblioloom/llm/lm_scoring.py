@@ -1,17 +1,23 @@
-"""Operator 5, stupid-backoff scores of every text under the bigram model of all texts.
+"""Operator 5, stupid-backoff scores of every text under the trigram model of all other texts.
 
-S(w | v) = c(v w) / c(v) if c(v w) >= ``MIN_COUNT``, else ``BACKOFF`` * c(w) / N. Counts cover the
-whole corpus; the first word of a text follows a start mark, whose count is the number of texts.
+S(w | u v) = c(u v w) / c(u v) if that trigram occurs, else ``BACKOFF`` * c(v w) / c(v) if that bigram does,
+else ``BACKOFF`` squared * c(w) / N. Counts are those of the whole corpus as they are, less what the text
+itself adds (else no n-gram of a text would ever be unseen); a word that no other text has counts once.
+Two start marks stand before a text, whose count is the number of texts with words.
 
-The counting is relational: texts are dealt to batches; a batch asks once for each distinct n-gram,
-with its own count (so even the most common one costs a row for each batch, not for each text);
+The counting is relational: texts are dealt to batches of ``BATCH_BYTES``; a batch asks once for each distinct
+n-gram, with its own count (so even the most common one costs a row for each batch, not for each text);
 requests are partitioned by n-gram hash, where equal keys are summed; the totals go back and join
-the batch, which sums the scores of its texts. A request is seven bytes and a count: keys are
-64-bit hashes whose first byte is the upper part of the partition number. Two n-grams with equal
-64-bit hashes would share a count, which at 10**9 distinct ones has a chance of 3 in 100.
+the batch, which sums the scores of its texts. A trigram lies with its last two words, so one partition
+counts both, and the context of a word is the bigram of the word before it: a text asks for one trigram a word.
+
+A bigram is a 64-bit hash whose first byte is the upper part of the partition number, a trigram its
+bigram and 32 bits of its first word. Two bigrams share a count with a chance of 3 in 100 among 10**9.
 
 Defined results: null and empty texts have no words, a score of 0 and no perplexity; repeated rows
-are counted and scored each; a null doc_id stays null; an empty table gives no rows.
+are counted and scored each (a second copy is another text); a null doc_id stays null; an empty table
+gives no rows; the only text of a table has nothing to be scored by but the unseen word; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -24,12 +30,12 @@ from pyspark.sql import functions as F
 
 from biblioloom.llm.common import small_batches
 
-MIN_COUNT, BACKOFF = 2, 0.4
-#: Texts of one batch: what a task holds in memory at once.
-BATCH_DOCS = 3000
-SCHEMA = "doc_id bigint, n_words bigint, n_backed_off bigint, log_score double, perplexity double"
-ASK = "part int, rank int, batch int, keys binary, counts binary"
-TOLD = "batch int, rank int, part int, totals binary"
+BACKOFF = 0.4
+#: Text of one batch: what a task holds in memory at once, besides one text.
+BATCH_BYTES = 24 << 20
+SCHEMA = "doc_id bigint, n_words bigint, n_backed_off bigint, n_unseen bigint, log_score double, perplexity double"
+ASK = "part int, rank int, batch int, keys binary, groups binary, tags binary, counts binary"
+TOLD = "batch int, rank int, part int, totals binary, more binary"
 START, ALL = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\0start", b"\0all"))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,6 +47,18 @@ def pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32)) ^ (left << np.uint64(1))
 
 
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of whole numbers, first all last bytes: what is alike compresses."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def whole(raw: bytes, width: int) -> np.ndarray:
+    own = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros((own.shape[1], 8), np.uint8)
+    out[:, :width] = own.T
+    return out.view("<u8").ravel()
+
+
 class Batch:
     """The words of some texts as hashes, and the distinct n-grams in them."""
 
@@ -56,108 +74,163 @@ class Batch:
             parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
         self.sizes = np.array([len(p) for p in parts], np.int64)
         words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        before = np.empty(len(words), np.uint64)
-        before[1:] = words[:-1]
-        starts = np.cumsum(np.r_[0, self.sizes[:-1]]) if parts else np.zeros(0, np.int64)
-        before[starts[self.sizes > 0]] = START
-        self.one, self.own, n1 = np.unique(words, return_inverse=True, return_counts=True)
-        self.two, self.pair, n2 = np.unique(pairs(before, words), return_inverse=True, return_counts=True)
-        self.before = before
-        extra = np.array([START, ALL], np.uint64)
-        keys = np.concatenate([self.one, extra])
-        counts = np.concatenate([n1, [int((self.sizes > 0).sum()), len(words)]])
-        order = np.argsort(keys, kind="stable")
-        self.one, self.n1 = keys[order], counts[order]
-        self.n2 = n2
-        self.words = words
-
-    def asked(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        return [(1, self.one, self.n1), (2, self.two, self.n2)]
-
-    def scores(self, one: np.ndarray, two: np.ndarray) -> list[tuple]:
+        starts = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
+        self.starts = starts
+        before, first = np.empty_like(words), np.empty_like(words)
+        before[1:], first[2:] = words[:-1], words[:-2]
+        before[starts] = START
+        first[starts] = START
+        first[(starts + 1)[self.sizes[self.sizes > 0] > 1]] = START
+        one, n1 = np.unique(np.r_[words, START, ALL], return_inverse=True)
+        self.one, self.word = one, n1[:-2].astype(np.int32)
+        counts = np.bincount(n1, minlength=len(one))
+        self.start, self.all = int(n1[-2]), int(n1[-1])
+        counts[self.start], counts[self.all] = len(starts), len(words)
+        self.n1 = counts
+        self.before = np.searchsorted(one, before).astype(np.int32)
+        self.two, pair = np.unique(pairs(before, words), return_inverse=True)
+        self.pair = pair.astype(np.int32)
+        tag = (first * MIX) >> np.uint64(32)
+        three, tri, self.n3 = np.unique((pair.astype(np.uint64) << np.uint64(32)) | tag, return_inverse=True, return_counts=True)
+        self.triple = tri.astype(np.int32)
+        self.tags = three & np.uint64(0xFFFFFFFF)
+        #: how many trigrams each bigram has
+        self.groups = np.bincount((three >> np.uint64(32)).astype(np.int64), minlength=len(self.two))
+
+    def asked(self, bits: int):
+        """Requests (part, rank, keys, groups, tags, counts)."""
+        for s, e, part in _parts(self.one, bits):
+            yield part, 1, planes(self.one[s:e], 7), b"", b"", planes(self.n1[s:e], 4)
+        ends = np.r_[0, np.cumsum(self.groups)]
+        for s, e, part in _parts(self.two, bits):
+            a, b = int(ends[s]), int(ends[e])
+            yield part, 2, planes(self.two[s:e], 7), planes(self.groups[s:e], 4), planes(self.tags[a:b], 4), planes(self.n3[a:b], 4)
+
+    def scores(self, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> list[tuple]:
         """Figures of each text from the totals of the distinct n-grams."""
-        at = lambda keys: one[np.searchsorted(self.one, keys)].astype(np.float64)
-        together = two[self.pair].astype(np.float64)
-        seen = together >= MIN_COUNT
-        whole = at(np.array([ALL], np.uint64))[0]
-        with np.errstate(divide="ignore"):
-            logs = np.where(seen, np.log(together / at(self.before)), np.log(BACKOFF * at(self.words) / max(whole, 1.0)))
+        n = len(self.word)
+        c1, c2, c3 = one[self.word].astype(np.float64), two[self.pair].astype(np.float64), three[self.triple].astype(np.float64)
+        context = one[self.before].astype(np.float64)
+        rest = np.empty(n)  # words of other texts
         ends = np.cumsum(self.sizes)
-        out = []
-        for n, e in zip(self.sizes.tolist(), ends.tolist(), strict=True):
-            s = float(logs[e - n : e].sum())
-            out.append((n, int(n - seen[e - n : e].sum()), round(s, 6), round(float(np.exp(-s / n)), 6) if n else None))
+        for size, e in zip(self.sizes.tolist(), ends.tolist(), strict=True):
+            if not size:
+                continue
+            s = e - size
+            own = _counts(self.word[s:e])
+            c1[s:e] -= own
+            c2[s:e] -= _counts(self.pair[s:e])
+            c3[s:e] -= _counts(self.triple[s:e])
+            context[s] -= 1
+            context[s + 1 : e] -= own[:-1]
+            rest[s:e] = one[self.all] - size
+        above = np.empty(n)  # how often the two words before occur
+        above[1:] = c2[:-1]
+        above[self.starts] = float(one[self.start]) - 1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unseen = np.where(c1 > 0, c1 / np.maximum(rest, 1), 1 / (rest + 1))
+            logs = np.where(c3 > 0, np.log(c3 / above), np.where(c2 > 0, np.log(BACKOFF * c2 / context), np.log(BACKOFF**2 * unseen)))
+        back, new, out = c3 <= 0, c1 <= 0, []
+        for size, e in zip(self.sizes.tolist(), ends.tolist(), strict=True):
+            s = float(logs[e - size : e].sum())
+            out.append((size, int(back[e - size : e].sum()), int(new[e - size : e].sum()), round(s, 6), round(float(np.exp(-s / size)), 6) if size else None))
         return out
 
 
+def _counts(values: np.ndarray) -> np.ndarray:
+    """How often each value occurs among all of them."""
+    _, same, n = np.unique(values, return_inverse=True, return_counts=True)
+    return n[same]
+
+
+def _parts(keys: np.ndarray, bits: int):
+    """Runs (from, to, part) of sorted keys with equal upper bits."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
+    return [(s, e, int(part[s])) for s, e in zip(new.tolist(), [*new[1:].tolist(), len(keys)], strict=False)]
+
+
+def totals(rank: int, held: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """For each request (batch, keys, groups, tags, counts) of one part the totals of its keys, and of its trigrams."""
+    keys = np.concatenate([whole(k, 7) for _, k, _, _, _ in held])
+    counts = np.concatenate([whole(c, 4) for *_, c in held]).astype(np.float64)
+    _, same = np.unique(keys, return_inverse=True)
+    sizes = [len(k) // 7 for _, k, _, _, _ in held]
+    if rank == 1:
+        total = np.bincount(same, weights=counts)[same].astype("<u8")
+        return [(planes(x, 8), b"") for x in np.split(total, np.cumsum(sizes)[:-1])]
+    groups = np.concatenate([whole(g, 4) for _, _, g, _, _ in held]).astype(np.int64)
+    wide = np.repeat(same, groups)
+    total = np.bincount(wide, weights=counts)[same].astype("<u8")
+    tags = np.concatenate([whole(t, 4) for _, _, _, t, _ in held])
+    _, triple = np.unique((wide.astype(np.uint64) << np.uint64(32)) | tags, return_inverse=True)
+    three = np.bincount(triple, weights=counts)[triple].astype("<u8")
+    more = [len(t) // 4 for _, _, _, t, _ in held]
+    both = zip(np.split(total, np.cumsum(sizes)[:-1]), np.split(three, np.cumsum(more)[:-1]), strict=True)
+    return [(planes(x, 8), planes(y, 8)) for x, y in both]
+
+
 def score(documents: DataFrame) -> DataFrame:
-    spark = documents.sparkSession
-    small_batches(spark)
-    n = documents.count()
-    batches = max(1, -(-n // BATCH_DOCS))
-    bits = max(8, (2 * batches - 1).bit_length())  # parts of the key space grow with the input
+    """Words, words scored by a shorter context, words of no other text, log score and perplexity of every row."""
+    small_batches(documents.sparkSession)
+    size = documents.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    batches = max(1, -(-size // BATCH_BYTES))
+    bits = max(8, (4 * batches - 1).bit_length())  # parts of the key space grow with the input
     spread = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(batches)).cast("int")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = texts.select(spread.alias("batch"), "doc_id", "text").repartition(batches, "batch")
+    binary = pa.binary()
 
     def ask(rows):
-        held: dict[int, list] = {}
+        """One batch at a time; rows come sorted by it."""
+        fields = pa.schema([("part", pa.int32()), ("rank", pa.int32()), ("batch", pa.int32()), *((c, binary) for c in ("keys", "groups", "tags", "counts"))])
+
+        def requests(b, texts):
+            out = [(part, rank, b, *rest) for part, rank, *rest in Batch(texts).asked(bits)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
+
+        at, held = None, []
         for r in rows:
             for b, t in zip(r.column(0).to_pylist(), r.column(2).to_pylist(), strict=True):
-                held.setdefault(b, []).append(t)
-        for b in sorted(held):
-            out = []
-            for rank, keys, counts in Batch(held.pop(b)).asked():
-                part = (keys >> np.uint64(64 - bits)).astype(np.int64)
-                new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-                for s, e in zip(new.tolist(), [*new[1:].tolist(), len(keys)], strict=True):
-                    out.append((int(part[s]), rank, b, raw[s:e].tobytes(), counts[s:e].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("part", "rank", "batch", "keys", "counts"), x, strict=True)) for x in out],
-                schema=pa.schema([("part", pa.int32()), ("rank", pa.int32()), ("batch", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]),
-            )
+                if b != at and held:
+                    yield requests(at, held)
+                    held = []
+                at = b
+                held.append(t)
+        if held:
+            yield requests(at, held)
 
     def answer(rows):
         group, held = None, []
 
         def settle():
-            keys = [np.frombuffer(k, np.uint8).reshape(-1, 7) for _, k, _ in held]
-            wide = np.zeros((sum(map(len, keys)), 8), np.uint8)
-            wide[:, :7] = np.concatenate(keys)
-            counts = np.concatenate([np.frombuffer(c, "<u4") for _, _, c in held])
-            _, same = np.unique(wide.view("<u8").ravel(), return_inverse=True)
-            totals = np.bincount(same, weights=counts)[same].astype("<u8")
-            ends = np.cumsum([len(k) for k in keys])
-            made = [totals[e - len(k) : e].tobytes() for k, e in zip(keys, ends.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b for b, _, _ in held], pa.int32()), pa.array([group[1]] * len(held), pa.int32()),
-                    pa.array([group[0]] * len(held), pa.int32()), pa.array(made, pa.binary()),
-                ],
-                names=["batch", "rank", "part", "totals"],
-            )
+            made = totals(group[1], held)
+            ints = [[b for b, *_ in held], [group[1]] * len(held), [group[0]] * len(held)]
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in ints), *(pa.array([m[i] for m in made], binary) for i in (0, 1))], names=["batch", "rank", "part", "totals", "more"])
 
         for r in rows:
-            for p, k, b, keys, counts in zip(*(r.column(i).to_pylist() for i in range(5)), strict=True):
+            for p, k, b, *rest in zip(*(r.column(i).to_pylist() for i in range(7)), strict=True):
                 if (p, k) != group and held:
                     yield settle()
                     held = []
                 group = (p, k)
-                held.append((b, keys, counts))
+                held.append((b, *rest))
         if held:
             yield settle()
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         batch = Batch(left.column("text").to_pylist())
-        order = sorted(range(right.num_rows), key=lambda i: right.column("part")[i].as_py())
-        ranks, totals = right.column("rank").to_pylist(), right.column("totals")
-        of = lambda k: np.concatenate([np.frombuffer(totals[i].as_py(), "<u8") for i in order if ranks[i] == k] or [np.zeros(0, "<u8")])
-        made = list(zip(*batch.scores(of(1), of(2)), strict=True)) or [()] * 4
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        parts, ranks = right.column("part").to_pylist(), right.column("rank").to_pylist()
+        order = sorted(range(right.num_rows), key=parts.__getitem__)
+
+        def of(rank: int, column: str) -> np.ndarray:
+            raw = right.column(column)
+            return np.concatenate([whole(raw[i].as_py(), 8) for i in order if ranks[i] == rank] or [np.zeros(0, "<u8")])
+
+        made = list(zip(*batch.scores(of(1, "totals"), of(2, "totals"), of(2, "more")), strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([left.column("doc_id").combine_chunks(), *(pa.array(c, t) for c, t in zip(made, kinds, strict=True))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    requests = dealt.mapInArrow(ask, ASK)
+    requests = dealt.sortWithinPartitions("batch").mapInArrow(ask, ASK)
     told = requests.repartition("part").sortWithinPartitions("part", "rank", "batch").mapInArrow(answer, TOLD)
-    both = dealt.groupBy("batch").cogroup(told.groupBy("batch"))
-    return both.applyInArrow(finish, SCHEMA)
+    return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, SCHEMA)
