@@ -8,7 +8,7 @@ words of the longest known sentence. The identifiers found, in the order of thei
 fits where its identifiers follow one another, unknown sentences between them not counting. The
 first rule that fits names the text's licence; all rules that fit are listed.
 
-Every known sentence holds one of ``CUES``, so a text without any of them is not cut at all.
+Every known sentence matches ``CUE``, so a text without any of them is not cut at all.
 
 Defined results: null and empty texts have no sentences and no licence; repeated rows are judged
 each; a null doc_id stays null; other columns are not read. ``oracle_sql`` has the reading by single lines only;
@@ -51,6 +51,17 @@ SENTENCES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-grant",
     "this is free and unencumbered software released into the public domain": "unlicense-notice",
     "this work is dedicated to the public domain": "public-domain-notice",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-grant",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-subject",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0": "epl2-notice",
+    "distributed under the boost software license version 1 0": "bsl1-notice",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-dedication",
     "all rights reserved": "all-rights",
 }
 # Rules in order of precedence.
@@ -59,7 +70,17 @@ RULES = (
     ("mit-text", "MIT", ("mit-include", "mit-warranty")),
     ("bsd-3-clause-text", "BSD-3-Clause", ("bsd-source", "bsd-binary", "bsd-endorse")),
     ("bsd-2-clause-text", "BSD-2-Clause", ("bsd-source", "bsd-binary")),
+    ("agpl-3.0-header", "AGPL-3.0", ("agpl3-grant",)),
+    ("lgpl-3.0-header", "LGPL-3.0", ("lgpl3-grant",)),
+    ("lgpl-2.1-header", "LGPL-2.1", ("lgpl21-grant",)),
+    ("gpl-3.0-header", "GPL-3.0", ("gpl3-grant",)),
+    ("gpl-2.0-header", "GPL-2.0", ("gpl2-grant",)),
     ("gpl-header", "GPL", ("gpl-warranty", "gpl-details")),
+    ("mpl-2.0-header", "MPL-2.0", ("mpl2-subject",)),
+    ("epl-2.0-notice", "EPL-2.0", ("epl2-notice",)),
+    ("zlib-grant", "Zlib", ("zlib-grant",)),
+    ("cc0-1.0-dedication", "CC0-1.0", ("cc0-dedication",)),
+    ("bsl-1.0-notice", "BSL-1.0", ("bsl1-notice",)),
     ("agpl-3.0-notice", "AGPL-3.0", ("agpl3-notice",)),
     ("lgpl-3.0-notice", "LGPL-3.0", ("lgpl3-notice",)),
     ("gpl-3.0-notice", "GPL-3.0", ("gpl3-notice",)),
@@ -74,7 +95,6 @@ RULES = (
     ("public-domain-notice", "public-domain", ("public-domain-notice",)),
     ("all-rights-reserved", "proprietary", ("all-rights",)),
 )
-CUES = ("licen", "copyright", "warranty", "permission", "public domain", "rights reserved", "public license")
 CUE = "(?i)licen|copyright|warranty|permission|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved"
 CUT, OTHER = "[.!?]+[ \\t\\r\\n]+|\\n+", "[^a-z0-9]+"
 #: Where a run of lines ends: the cuts but single line ends.

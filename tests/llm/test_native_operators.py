@@ -122,8 +122,27 @@ GNU General Public License for more details.
 """
 
 
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file,
+You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
 def test_wrapped_licences(spark):
-    whole = [(MIT, "MIT", "mit-text"), (BSD, "BSD-2-Clause", "bsd-2-clause-text"), (BSD3, "BSD-3-Clause", "bsd-3-clause-text"), (GPL, "GPL", "gpl-header")]
+    whole = [(MIT, "MIT", "mit-text"), (BSD, "BSD-2-Clause", "bsd-2-clause-text"), (BSD3, "BSD-3-Clause", "bsd-3-clause-text"), (GPL, "GPL", "gpl-header"), (GPL3 + "\n" + GPL, "GPL-3.0", "gpl-3.0-header"), (ZLIB, "Zlib", "zlib-grant"), (MPL, "MPL-2.0", "mpl-2.0-header")]
     narrow = GPL.replace(" ", "\n")
     marks = [lambda t, m=m: "".join(m + line for line in t.splitlines(True)) for m in ("", " * ", "# ", "// ", "-- ")]
     cases = [(mark(t), name, rule) for t, name, rule in whole for mark in marks] + [(t.replace("\n", "\r\n"), n, r) for t, n, r in whole] + [(narrow, "GPL", "gpl-header")]
