@@ -174,3 +174,14 @@ def dislike_proximity(edges: DataFrame, disliked: DataFrame) -> DataFrame:
     near = neighbours(edges, edges.select(F.col("citing_id").alias("paper_id")).unionByName(edges.select(F.col("cited_id").alias("paper_id"))))
     bad = disliked.select(F.col("paper_id").alias("other"), F.lit(1).alias("_bad")).distinct()
     return near.select("paper_id", "other").distinct().join(bad, "other", "left").groupBy("paper_id").agg(F.avg(F.coalesce("_bad", F.lit(0))).alias("proximity"))
+
+
+def group_labels(rows: DataFrame, by: str, text: str, top: int) -> DataFrame:
+    """The ``top`` words that tell each group from the others, by TF-IDF over groups; planned extension."""
+    words = rows.select(by, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("word")).where("word <> ''")
+    counts = words.groupBy(by, "word").agg(F.count("*").alias("n"))
+    held = counts.groupBy("word").agg(F.count("*").alias("groups"))
+    size = rows.agg(F.countDistinct(by).alias("_all"))
+    weighed = counts.join(held, "word").join(F.broadcast(size)).withColumn("weight", F.col("n") * F.log(F.col("_all") / F.col("groups")))  # one row
+    w = Window.partitionBy(by).orderBy(F.desc("weight"), "word")
+    return weighed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select(by, "word", "weight", "place")

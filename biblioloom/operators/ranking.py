@@ -81,6 +81,17 @@ def rescore(nodes: DataFrame, weights: dict[str, float]) -> DataFrame:
     return nodes.withColumn("score", F.when(~bare, score)).withColumn("breakdown", F.when(~bare, terms))
 
 
+def sweep(nodes: DataFrame, grid: list[dict[str, float]]) -> DataFrame:
+    """(run, …, score) of every node under each weight configuration of ``grid``, from the stored feature maps.
+
+    One pass over the nodes, however many configurations: each row yields all of its scores.
+    """
+    found = lambda n: F.coalesce(F.try_element_at("features", F.lit(n)), F.lit(0.0))
+    total = lambda weights: sum((F.lit(float(w)) * found(n) for n, w in sorted(weights.items())), F.lit(0.0))
+    each = F.array(*[F.struct(F.lit(i).alias("run"), total(w).alias("score")) for i, w in enumerate(grid)])
+    return nodes.where(F.size("features") > 0).select("*", F.explode(each).alias("_x")).select("*", "_x.run", "_x.score").drop("_x")
+
+
 def build_pool(edges: DataFrame, papers: DataFrame, frontier: DataFrame, excluded: DataFrame, policy: Policy, as_of: int) -> DataFrame:
     """Neighbours of all frontier papers in one grouping: distinct anchors, direction, intents, influence, age, prescore.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from biblioloom.config import AS_OF_YEAR, PROXY
 from biblioloom.functions import dates, scores, text
 from biblioloom.operators import corpus, evaluation, events, filters, graph, legacy, ranking, runs
-from biblioloom.operators.lineage import numbered
+from biblioloom.operators.lineage import cut, numbered
 from biblioloom.plans import proxy
 from biblioloom.sources import metadata
 
@@ -26,7 +26,9 @@ class Data:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("px_"):
-            return proxy.frame(self.spark, self.sf_dir, name)
+            made = proxy.frame(self.spark, self.sf_dir, name)
+            setattr(self, name, made)
+            return made
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
@@ -73,7 +75,7 @@ pool AS (SELECT g.*, p.title, p.year, p.citation_count, greatest(0.0, coalesce(C
 
 def pool_of(d: Data) -> DataFrame:
     swept = d.px_events.where("event_type = 'GC_SWEPT'").select("paper_id")
-    return ranking.build_pool(d.px_cites, d.px_papers, d.px_anchors, swept, PROXY, AS_OF_YEAR)
+    return ranking.build_pool(cut(d.px_cites), d.px_papers, d.px_anchors, swept, PROXY, AS_OF_YEAR)
 
 
 # Pooling, ranking, pages ----------------------------------------------------------------------
@@ -192,6 +194,13 @@ def weight_sweep(d):
     return d.px_papers.withColumn("weight", w).select("paper_id", "weight", F.round(F.col("weight") * scores.ranked_rate(F.col("citation_count"), F.col("year"), AS_OF_YEAR), 6).alias("score"))
 
 
+@query("r10_grid_sweep", f"""SELECT paper_id, g.run, round(g.a * ({RATE}) + g.b * ({RECENCY}), 6) AS score FROM px_papers, (VALUES (0, 0.4, 0.3), (1, 1.0, 0.0), (2, 0.0, 1.0), (3, -0.5, 2.0)) g(run, a, b)""")
+def grid_sweep(d):
+    made = F.create_map(F.lit("quality"), scores.ranked_rate(F.col("citation_count"), F.col("year"), AS_OF_YEAR), F.lit("recency"), scores.recency(F.col("year"), AS_OF_YEAR))
+    grid = [{"quality": a, "recency": b} for a, b in ((0.4, 0.3), (1.0, 0.0), (0.0, 1.0), (-0.5, 2.0))]
+    return ranking.sweep(d.px_papers.select("paper_id", made.alias("features")), grid).select("paper_id", "run", F.round("score", 6).alias("score"))
+
+
 # Graph ----------------------------------------------------------------------------------------
 
 
@@ -947,6 +956,19 @@ def dislike_proximity(d):
     return legacy.dislike_proximity(d.px_edges, d.px_anchors).select("paper_id", F.round("proximity", 6).alias("proximity"))
 
 
+@query("x14_group_labels", """WITH w AS (SELECT venue, unnest(string_split_regex(lower(title), '[^a-z0-9]+')) AS word FROM px_papers),
+c AS (SELECT venue, word, count(*) AS n FROM w WHERE word <> '' GROUP BY venue, word), h AS (SELECT word, count(*) AS k FROM c GROUP BY word),
+r AS (SELECT c.venue, c.word, row_number() OVER (PARTITION BY c.venue ORDER BY c.n * ln((SELECT count(DISTINCT venue) FROM px_papers) / CAST(h.k AS DOUBLE)) DESC, c.word) AS place FROM c JOIN h ON h.word = c.word)
+SELECT venue, word, place FROM r WHERE place <= 5""")
+def group_labels(d):
+    return legacy.group_labels(d.px_papers, "venue", "title", 5).select("venue", "word", F.col("place").cast("long").alias("place"))
+
+
+@query("x_cell", "SELECT p_partkey, rpad(CASE WHEN p_partkey % 3 = 0 THEN '-' WHEN length(p_name) > 12 THEN substr(p_name, 1, 11) || '…' ELSE p_name END, 12, ' ') AS cell FROM part")
+def cells(d):
+    return d.part.select("p_partkey", text.cell(F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")), 12).alias("cell"))
+
+
 @query("x14_rocchio", """WITH e AS (SELECT label AS session_id, unnest(range(1, 65)) AS pos, unnest(embedding) AS v, vec_id FROM embeddings),
 m AS (SELECT session_id, pos, avg(v) FILTER (WHERE vec_id % 3 = 0) AS l, avg(v) FILTER (WHERE vec_id % 3 = 1) AS n FROM e GROUP BY session_id, pos)
 SELECT session_id, round(sum(0.75 * coalesce(l, 0) - 0.15 * coalesce(n, 0)), 4) AS total FROM m GROUP BY session_id""")
