@@ -14,9 +14,18 @@ PART_ROWS, PARTS = 500_000, 12
 HEAVY = 64
 
 
-def tree(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that hold ``members`` together: a binary heap from the least one on, so no node gets more than three."""
-    own = np.sort(members)
+def parts(rows: int) -> int:
+    """How many parts a table of so many small rows is kept in."""
+    return max(PARTS, -(-rows // PART_ROWS))
+
+
+def tree(members: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that hold ``members`` (indices) together: a binary heap by their ``order``, so no node gets more than three.
+
+    Each member's parent is a lesser one, so labels that jump to the label of their label are at the root
+    after a number of rounds that grows with the logarithm of the depth.
+    """
+    own = members[np.argsort(order[members], kind="stable")]
     at = np.arange(1, len(own))
     return own[at], own[(at - 1) // 2]
 
@@ -34,19 +43,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round takes the label of a node's label and then the least label among its neighbours, so the
     rounds grow with the logarithm of the longest chain. State is cut once a round, into parts of
-    ``PART_ROWS``. Rows with a null end are ignored; repeated edges and loops do no harm; no edges, no rows.
+    ``PART_ROWS``. ``edges`` are counted first, so they should be a stored table. Rows with a null end are ignored; repeated edges and loops do no harm; no edges, no rows.
     """
+    n = parts(2 * edges.count())
     ends = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    both = cut(ends.where("x is not null and y is not null").distinct())
-    n = both.count()
-    parts = max(PARTS, -(-n // PART_ROWS))
-    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")).coalesce(parts))
+    both = cut(ends.where("x is not null and y is not null").distinct().coalesce(n))
+    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("label")).coalesce(n))
     total = labels.count()
     while True:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))  # every label is a node itself
         jumped = of_label(labels, up, total).select("node", F.col("label").alias("old"), F.least("label", "up").alias("label"))
         near = both.join(jumped.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        state = cut(jumped.join(near, "node").select("node", "old", F.least("label", "near").alias("label")).coalesce(parts))
+        state = cut(jumped.join(near, "node").select("node", "old", F.least("label", "near").alias("label")).coalesce(n))
         labels = state.select("node", "label")
         if state.where("label < old").isEmpty():
             return labels

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblioloom.llm.common import cut, small_batches
-from biblioloom.llm.components import connected_components, of_label, tree
+from biblioloom.llm.components import HEAVY, connected_components, of_label, parts, tree
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Bits of the six blocks; any three of them are a key.
@@ -122,12 +122,14 @@ def near(fp: np.ndarray, table: np.ndarray, one: int, many: np.ndarray, radius:
     return many[distances(fp[many], fp[one : one + 1])[:, 0] <= radius]
 
 
-def forest(fp: np.ndarray, radius: int = RADIUS, pivots: np.ndarray = PIVOTS, proved=None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (two index arrays) that hold the linked components of one group together, by trees of degree three.
+def forest(fp: np.ndarray, radius: int = RADIUS, pivots: np.ndarray = PIVOTS, proved=None, order=None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (two index arrays) that hold the linked components of one group together, by trees of degree three
+    in the ``order`` of the nodes' values (of the fingerprints as signed longs, if it is not given).
 
     ``proved`` (one, many) may drop fingerprints that are near, but whose texts are not.
     """
     table, todo = pivot_table(fp, pivots), np.arange(len(fp))
+    order = np.ascontiguousarray(fp).view(np.int64) if order is None else order
     left, right = [], []
     while len(todo) > 1:
         queue, todo = [int(todo[0])], todo[1:]
@@ -142,7 +144,7 @@ def forest(fp: np.ndarray, radius: int = RADIUS, pivots: np.ndarray = PIVOTS, pr
                 queue += found.tolist()
                 todo = todo[~np.isin(todo, found, assume_unique=True)]
         if len(met) > 1:
-            x, y = tree(np.array(met))
+            x, y = tree(np.array(met), order)
             left.append(x)
             right.append(y)
     none = np.zeros(0, int)
@@ -289,11 +291,17 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``documents``."""
     marked = cut(fingerprints(documents))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    n = parts(marked.count())
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).coalesce(n))
     labels = connected_components(links(distinct)).withColumnRenamed("node", "fp")
     joined = labels.join(distinct, "fp")
     least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
     # a fingerprint without links is its own component; only linked ones carry a label
     linked = of_label(labels, least, labels.count()).select("fp", "component_id", F.lit(True).alias("_linked"))
-    named = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(linked, "fp", "left").select("fp", "rows", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    named = cut(named.coalesce(n))
+    # a fingerprint that many rows carry goes to them instead of them to it; there are at most HEAVY of these
+    often = named.where(F.col("rows") > F.lit(named.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] // HEAVY)).drop("rows")
+    few = marked.join(F.broadcast(often), "fp", "left_anti").join(named.drop("rows"), "fp")
+    told = few.unionByName(marked.join(F.broadcast(often), "fp"))
+    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
