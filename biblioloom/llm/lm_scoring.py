@@ -32,7 +32,7 @@ from biblioloom.llm.common import small_batches
 
 BACKOFF = 0.4
 #: Text of one batch: what a task holds in memory at once, besides one text.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 14 << 20
 SCHEMA = "doc_id bigint, n_words bigint, n_backed_off bigint, n_unseen bigint, log_score double, perplexity double"
 ASK = "part int, rank int, batch int, keys binary, groups binary, tags binary, counts binary"
 TOLD = "batch int, rank int, part int, totals binary, more binary"
@@ -75,7 +75,7 @@ class Batch:
         self.sizes = np.array([len(p) for p in parts], np.int64)
         words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         starts = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
-        self.starts = starts
+        del parts, known
         before, first = np.empty_like(words), np.empty_like(words)
         before[1:], first[2:] = words[:-1], words[:-2]
         before[starts] = START
@@ -85,12 +85,14 @@ class Batch:
         self.one, self.word = one, n1[:-2].astype(np.int32)
         counts = np.bincount(n1, minlength=len(one))
         self.start, self.all = int(n1[-2]), int(n1[-1])
+        del n1
         counts[self.start], counts[self.all] = len(starts), len(words)
         self.n1 = counts
         self.before = np.searchsorted(one, before).astype(np.int32)
         self.two, pair = np.unique(pairs(before, words), return_inverse=True)
         self.pair = pair.astype(np.int32)
         tag = (first * MIX) >> np.uint64(32)
+        del words, before, first
         three, tri, self.n3 = np.unique((pair.astype(np.uint64) << np.uint64(32)) | tag, return_inverse=True, return_counts=True)
         self.triple = tri.astype(np.int32)
         self.tags = three & np.uint64(0xFFFFFFFF)
@@ -108,32 +110,27 @@ class Batch:
 
     def scores(self, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> list[tuple]:
         """Figures of each text from the totals of the distinct n-grams."""
-        n = len(self.word)
-        c1, c2, c3 = one[self.word].astype(np.float64), two[self.pair].astype(np.float64), three[self.triple].astype(np.float64)
-        context = one[self.before].astype(np.float64)
-        rest = np.empty(n)  # words of other texts
-        ends = np.cumsum(self.sizes)
-        for size, e in zip(self.sizes.tolist(), ends.tolist(), strict=True):
+        out, e = [], 0
+        others, starts = int(one[self.all]), float(one[self.start]) - 1
+        for size in self.sizes.tolist():
             if not size:
+                out.append((0, 0, 0, 0.0, None))
                 continue
-            s = e - size
+            s, e = e, e + size
             own = _counts(self.word[s:e])
-            c1[s:e] -= own
-            c2[s:e] -= _counts(self.pair[s:e])
-            c3[s:e] -= _counts(self.triple[s:e])
-            context[s] -= 1
-            context[s + 1 : e] -= own[:-1]
-            rest[s:e] = one[self.all] - size
-        above = np.empty(n)  # how often the two words before occur
-        above[1:] = c2[:-1]
-        above[self.starts] = float(one[self.start]) - 1
-        with np.errstate(divide="ignore", invalid="ignore"):
-            unseen = np.where(c1 > 0, c1 / np.maximum(rest, 1), 1 / (rest + 1))
-            logs = np.where(c3 > 0, np.log(c3 / above), np.where(c2 > 0, np.log(BACKOFF * c2 / context), np.log(BACKOFF**2 * unseen)))
-        back, new, out = c3 <= 0, c1 <= 0, []
-        for size, e in zip(self.sizes.tolist(), ends.tolist(), strict=True):
-            s = float(logs[e - size : e].sum())
-            out.append((size, int(back[e - size : e].sum()), int(new[e - size : e].sum()), round(s, 6), round(float(np.exp(-s / size)), 6) if size else None))
+            c1 = one[self.word[s:e]].astype(np.float64) - own
+            c2 = two[self.pair[s:e]].astype(np.float64) - _counts(self.pair[s:e])
+            c3 = three[self.triple[s:e]].astype(np.float64) - _counts(self.triple[s:e])
+            context = one[self.before[s:e]].astype(np.float64)
+            context[0] -= 1
+            context[1:] -= own[:-1]
+            rest = others - size  # words of other texts
+            above = np.r_[starts, c2[:-1]]  # how often the two words before occur
+            with np.errstate(divide="ignore", invalid="ignore"):
+                unseen = np.where(c1 > 0, c1 / max(rest, 1), 1 / (rest + 1))
+                logs = np.where(c3 > 0, np.log(c3 / above), np.where(c2 > 0, np.log(BACKOFF * c2 / context), np.log(BACKOFF**2 * unseen)))
+            total = float(logs.sum())
+            out.append((size, int((c3 <= 0).sum()), int((c1 <= 0).sum()), round(total, 6), round(float(np.exp(-total / size)), 6)))
         return out
 
 
