@@ -174,6 +174,12 @@ def review(decisions: DataFrame, papers: DataFrame, session_id: int, outcome: st
     return rows.join(F.broadcast(total)).select("id", "paper_id", "title", "stage", "reason", "year", "total", (F.col("total") > limit).alias("truncated"))  # one row
 
 
+def count_by_reason(decisions: DataFrame, session_id: int | None = None) -> DataFrame:
+    """Decisions by outcome and reason: all of them, or those that hold in a session (its own and the global ones)."""
+    own = decisions if session_id is None else decisions.where(F.col("session_id").isNull() | (F.col("session_id") == session_id))
+    return own.groupBy("outcome", "reason").agg(F.count("*").alias("n"))
+
+
 def review_counts(decisions: DataFrame, session_id: int, outcome: str) -> DataFrame:
     own = decisions.where((F.col("outcome") == outcome) & (F.col("session_id").isNull() | (F.col("session_id") == session_id)))
     return own.groupBy("reason").agg(F.count("*").alias("n"))

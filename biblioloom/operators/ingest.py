@@ -66,3 +66,16 @@ def labels_table(rows: DataFrame, protected: tuple = ("seed",)) -> DataFrame:
     held = F.max(F.col("label").isin(*protected)).over(w)
     last = F.row_number().over(w.orderBy(F.desc(F.col("label").isin(*protected)), F.desc("seq")))
     return rows.withColumn("_held", held).withColumn("_n", last).where("_n = 1").select("paper_id", "label")
+
+
+def without_label(papers: DataFrame, label: str, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Papers without those of a label, and the edges that have both ends left."""
+    gone = papers.where(F.col("label") == label).select("paper_id")
+    left = papers.where(~F.col("label").eqNullSafe(F.lit(label)))
+    one = edges.join(gone.withColumnRenamed("paper_id", "citing_id"), "citing_id", "left_anti")
+    return left, one.join(gone.withColumnRenamed("paper_id", "cited_id"), "cited_id", "left_anti").select(edges.columns)
+
+
+def log_seeds(log: DataFrame, titles: DataFrame) -> DataFrame:
+    """The log of seed titles (title, first_seen_at) with new ones; a title keeps the time it was first seen."""
+    return log.unionByName(titles).groupBy("title").agg(F.min("first_seen_at").alias("first_seen_at"))

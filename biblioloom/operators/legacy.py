@@ -43,22 +43,30 @@ def boosted(score: Column, recommended: Column, by: float = 0.15) -> Column:
     return F.when(F.coalesce(recommended, F.lit(False)), F.least(score + by, F.lit(1.0))).otherwise(score)
 
 
-def expand_levels(edges: DataFrame, seeds: DataFrame, depth: int, cap: int, citations: DataFrame) -> DataFrame:
-    """Breadth-first expansion by levels: each level adds its ``cap`` most cited new neighbours, the
-    seeds' own references all of them."""
+def expand_levels(edges: DataFrame, seeds: DataFrame, depth: int, cap: int, citations: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """(paper_id, level, connections): breadth-first expansion by levels. Each level adds its ``cap`` most cited new
+    neighbours, while there are fewer than ``max_nodes`` papers in all; the seeds' own references are added whatever the caps.
+
+    ``connections`` are the seeds that reach a paper through the papers that brought it in.
+    """
     from biblioloom.operators.lineage import cut
 
-    seen = cut(seeds.select("paper_id").distinct().withColumn("level", F.lit(0)))
+    own = seeds.select("paper_id").distinct()
+    seen = cut(own.select("paper_id", F.lit(0).alias("level"), F.array("paper_id").alias("connections")))
     rim = seen
     for step in range(1, depth + 1):
-        near = neighbours(edges, rim)
-        new = near.groupBy(F.col("other").alias("paper_id")).agg(F.max((F.col("direction") == "out").cast("int")).alias("ref")).join(seen, "paper_id", "left_anti")
-        new = new.join(citations.select("paper_id", "citation_count"), "paper_id", "left").na.fill(0, ["citation_count"])
-        best = new.orderBy(F.desc("citation_count"), F.asc("paper_id")).limit(cap).select("paper_id")
+        near = neighbours(edges, rim).join(rim.select("paper_id", F.col("connections").alias("_c")), "paper_id")
+        new = near.groupBy(F.col("other").alias("paper_id")).agg(
+            F.max((F.col("direction") == "out").cast("int")).alias("ref"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_c")))).alias("connections")
+        )
+        new = new.join(seen, "paper_id", "left_anti").join(citations.select("paper_id", "citation_count"), "paper_id", "left").na.fill(0, ["citation_count"])
+        new = cut(new)
+        room = cap if max_nodes is None else max(0, min(cap, max_nodes - seen.count()))
+        best = new.orderBy(F.desc("citation_count"), F.asc("paper_id")).limit(room)
         if step == 1:
-            best = best.unionByName(new.where("ref = 1").select("paper_id")).distinct()
-        rim = cut(best.withColumn("level", F.lit(step)))
-        seen = seen.unionByName(rim)
+            best = best.unionByName(new.where("ref = 1")).dropDuplicates(["paper_id"])
+        rim = cut(best.select("paper_id", F.lit(step).alias("level"), "connections"))
+        seen = cut(seen.unionByName(rim))
     return seen
 
 
@@ -185,3 +193,8 @@ def group_labels(rows: DataFrame, by: str, text: str, top: int) -> DataFrame:
     weighed = counts.join(held, "word").join(F.broadcast(size)).withColumn("weight", F.col("n") * F.log(F.col("_all") / F.col("groups")))  # one row
     w = Window.partitionBy(by).orderBy(F.desc("weight"), "word")
     return weighed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select(by, "word", "weight", "place")
+
+
+def best_h_index(authors: Column) -> Column:
+    """The greatest h-index among a paper's authors, 0 where none is known; planned extension."""
+    return F.coalesce(F.array_max(F.transform(authors, lambda a: a["hIndex"])), F.lit(0))

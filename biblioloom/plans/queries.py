@@ -364,10 +364,13 @@ n1 AS (SELECT o AS paper_id, max(ref) AS ref FROM n WHERE p IN (SELECT paper_id
 b1 AS (SELECT n1.paper_id FROM n1 LEFT JOIN c ON c.paper_id = n1.paper_id ORDER BY coalesce(c.citation_count, 0) DESC, n1.paper_id LIMIT 25),
 r1 AS (SELECT paper_id FROM b1 UNION SELECT paper_id FROM n1 WHERE ref = 1),
 n2 AS (SELECT DISTINCT o AS paper_id FROM n WHERE p IN (SELECT paper_id FROM r1) AND o NOT IN (SELECT paper_id FROM s0) AND o NOT IN (SELECT paper_id FROM r1)),
-r2 AS (SELECT n2.paper_id FROM n2 LEFT JOIN c ON c.paper_id = n2.paper_id ORDER BY coalesce(c.citation_count, 0) DESC, n2.paper_id LIMIT 25)
-SELECT paper_id, 0 AS level FROM s0 UNION ALL SELECT paper_id, 1 FROM r1 UNION ALL SELECT paper_id, 2 FROM r2""")
+r2 AS (SELECT n2.paper_id FROM n2 LEFT JOIN c ON c.paper_id = n2.paper_id ORDER BY coalesce(c.citation_count, 0) DESC, n2.paper_id LIMIT 25),
+k1 AS (SELECT r1.paper_id, list(DISTINCT n.p) AS k FROM r1 JOIN n ON n.o = r1.paper_id WHERE n.p IN (SELECT paper_id FROM s0) GROUP BY r1.paper_id),
+k2 AS (SELECT r2.paper_id, list_distinct(flatten(list(k1.k))) AS k FROM r2 JOIN n ON n.o = r2.paper_id JOIN k1 ON k1.paper_id = n.p GROUP BY r2.paper_id)
+SELECT paper_id, 0 AS level, CAST(paper_id AS VARCHAR) AS connections FROM s0 UNION ALL SELECT paper_id, 1, array_to_string(list_sort(k), ',') FROM k1 UNION ALL SELECT paper_id, 2, array_to_string(list_sort(k), ',') FROM k2""")
 def expand_levels(d):
-    return legacy.expand_levels(d.px_edges, d.px_anchors, 2, 25, d.px_papers)
+    found = legacy.expand_levels(d.px_edges, d.px_anchors, 2, 25, d.px_papers)
+    return found.select("paper_id", "level", F.concat_ws(",", F.transform("connections", lambda c: c.cast("string"))).alias("connections"))
 
 
 @query("a14_neighbour_counts", "SELECT p AS paper_id, count(*) AS n FROM (SELECT citing_id AS p FROM px_edges UNION ALL SELECT cited_id FROM px_edges) GROUP BY p ORDER BY n, paper_id LIMIT 100")
@@ -502,7 +505,13 @@ def report(d):
 
 @query("a03_count_by_reason", CASCADE_SQL + "SELECT split_part(v, '|', 1) AS outcome, split_part(v, '|', 3) AS reason, count(*) AS n FROM judged GROUP BY 1, 2")
 def count_by_reason(d):
-    return decisions_of(d).groupBy("outcome", "reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+    return filters.count_by_reason(decisions_of(d)).orderBy(F.desc("n"), "reason")
+
+
+@query("a03_count_by_reason_session", CASCADE_SQL + "SELECT split_part(v, '|', 1) AS outcome, split_part(v, '|', 3) AS reason, count(*) AS n FROM judged WHERE paper_id % 3 <> 2 GROUP BY 1, 2")
+def count_by_reason_session(d):
+    scoped = decisions_of(d).withColumn("session_id", F.when(F.col("paper_id") % 3 > 0, F.col("paper_id") % 3))
+    return filters.count_by_reason(scoped, 1)
 
 
 @query("a10_summary", CASCADE_SQL + "SELECT count(*) FILTER (WHERE v LIKE 'ACCEPT%') AS accepted, count(*) FILTER (WHERE v LIKE 'QUARANTINE%') AS quarantined, count(*) FILTER (WHERE v LIKE 'REJECT%') AS rejected FROM judged")
@@ -1157,9 +1166,8 @@ def evaluate(d):
 
 @query("j15_references", "SELECT e.citing_id AS case_id, e.cited_id AS paper_id, CASE WHEN p.paper_id % 2 = 0 THEN '1999-05' ELSE CAST(p.year AS VARCHAR) END AS date FROM px_edges e JOIN px_papers p ON p.paper_id = e.cited_id")
 def references(d):
-    p = d.px_papers.select(F.col("paper_id").alias("cited_id"), F.when(F.col("paper_id") % 2 == 0, "1999-05").alias("publication_date"), "year")
-    e = d.px_edges.join(p, "cited_id")
-    return e.select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"), F.coalesce("publication_date", F.col("year").cast("string")).alias("date"))
+    rows = evaluation.dated_references(d.px_edges, dated(d))
+    return rows.select(F.col("citing_id").alias("case_id"), F.col("cited_id").alias("paper_id"), "date")
 
 
 @query("x14_fuse", "SELECT paper_id, round(sum(1.0 / (60 + rank)), 9) AS fused FROM (SELECT paper_id, row_number() OVER (ORDER BY citation_count DESC, paper_id) AS rank FROM px_papers UNION ALL SELECT paper_id, row_number() OVER (ORDER BY year DESC NULLS LAST, paper_id) FROM px_papers) GROUP BY paper_id")
@@ -1265,7 +1273,7 @@ def completeness_by(d):
 @query("a15_best_h_index", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE greatest(p_size, 3) END AS h FROM part")
 def best_h(d):
     authors = F.when(F.col("p_partkey") % 4 == 0, F.array().cast("array<struct<hIndex:int>>")).otherwise(F.array(F.struct(F.col("p_size").alias("hIndex")), F.struct(F.lit(3).alias("hIndex")), F.struct(F.lit(None).cast("int").alias("hIndex"))))
-    return d.part.select("p_partkey", F.coalesce(F.array_max(F.transform(authors, lambda a: a["hIndex"])), F.lit(0)).alias("h"))
+    return d.part.select("p_partkey", legacy.best_h_index(authors).alias("h"))
 
 
 @query("k03_show_order", f"WITH {REPLAY} SELECT n.paper_id, n.state, row_number() OVER (ORDER BY CASE WHEN n.state = 'SEED' THEN 0 ELSE 1 END, p.citation_count DESC, n.paper_id) AS place FROM px_nodes n JOIN px_papers p ON p.paper_id = n.paper_id WHERE n.session_id = 1")
@@ -1362,6 +1370,21 @@ def label_table(d):
     return ingest.labels_table(d.orders.select(F.col("o_custkey").alias("paper_id"), F.col("o_orderpriority").alias("label"), F.col("o_orderkey").alias("seq")), ("1-URGENT",))
 
 
+@query("t11_delete_by_label", "SELECT citing_id, cited_id FROM px_edges WHERE citing_id % 4 <> 1 AND cited_id % 4 <> 1")
+def delete_by_label(d):
+    from biblioloom.operators import ingest
+
+    return ingest.without_label(labelled(d), "liked", d.px_edges)[1]
+
+
+@query("t11_seed_log", "SELECT o_clerk AS title, min(o_orderdate) AS first_seen_at FROM (SELECT o_orderpriority AS o_clerk, o_orderdate FROM orders) x GROUP BY o_clerk")
+def seed_log(d):
+    from biblioloom.operators import ingest
+
+    rows = d.orders.select(F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("first_seen_at"), "o_orderkey")
+    return ingest.log_seeds(rows.where("o_orderkey % 2 = 0").drop("o_orderkey"), rows.where("o_orderkey % 2 = 1").drop("o_orderkey"))
+
+
 @query("w07_unique_ranking", f"WITH {REPEATED} SELECT case_id, paper_id, row_number() OVER (PARTITION BY case_id ORDER BY min(rank)) AS rank FROM twice WHERE rank <= 20 GROUP BY case_id, paper_id")
 def unique_ranking(d):
     return evaluation.unique_ranking(repeated(d), 20).select("case_id", "paper_id", F.col("rank").cast("long").alias("rank"))
