@@ -33,6 +33,8 @@ from biblioloom.llm.common import small_batches
 BACKOFF = 0.4
 #: Text of one batch: what a task holds in memory at once, besides one text.
 BATCH_BYTES = 14 << 20
+#: Batches of a small table, so that its tasks are still shared out.
+BATCHES = 8
 SCHEMA = "doc_id bigint, n_words bigint, n_backed_off bigint, n_unseen bigint, log_score double, perplexity double"
 ASK = "part int, rank int, batch int, keys binary, groups binary, tags binary, counts binary"
 TOLD = "batch int, rank int, part int, totals binary, more binary"
@@ -171,7 +173,7 @@ def score(documents: DataFrame) -> DataFrame:
     """Words, words scored by a shorter context, words of no other text, log score and perplexity of every row."""
     small_batches(documents.sparkSession)
     size = documents.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-    batches = max(1, -(-size // BATCH_BYTES))
+    batches = max(BATCHES, -(-size // BATCH_BYTES))
     bits = max(8, (4 * batches - 1).bit_length())  # parts of the key space grow with the input
     spread = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(batches)).cast("int")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
