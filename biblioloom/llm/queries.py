@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from biblioloom.llm import chat, decontamination, html_extraction, licenses, lm_scoring, packing, pii, quality_rules, simhash, url_filters
+from biblioloom.llm import chat, decontamination, html_extraction, licenses, lm_scoring, packing, pii, quality_rules, simhash, url_filters, vector_codes
 from biblioloom.llm.common import table
 
 
@@ -63,10 +63,15 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_decontamination, op3_simhash, op4_html_extraction, op5_lm_scoring, op6_licenses, op7_quality_rules, op8_chat, op9_pii, op10_packing,
+        op11_vector_codes,
         url_rules_by_language, chat_typed_parts,
     )
 }
@@ -76,4 +81,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_licenses": licenses.oracle_sql(),
     "op8_chat": chat.oracle_sql(),
     "chat_typed_parts": chat.parts_sql(),
+    "op11_vector_codes": vector_codes.oracle_sql(),
 }
