@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from biblioloom.llm import chat, decontamination, html_extraction, licenses, lm_scoring, packing, pii, quality_rules, simhash, url_filters, vector_codes
+from biblioloom.llm import chat, decontamination, html_extraction, licenses, lm_scoring, packing, pii, quality_rules, secret_scan, simhash, url_filters, vector_codes
 from biblioloom.llm.common import table
 
 
@@ -67,11 +67,15 @@ def op11_vector_codes(spark, sf_dir):
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_secret_scan(spark, sf_dir):
+    return secret_scan.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_decontamination, op3_simhash, op4_html_extraction, op5_lm_scoring, op6_licenses, op7_quality_rules, op8_chat, op9_pii, op10_packing,
-        op11_vector_codes,
+        op11_vector_codes, op13_secret_scan,
         url_rules_by_language, chat_typed_parts,
     )
 }

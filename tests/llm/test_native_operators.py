@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
-from biblioloom.llm import chat, licenses, pii, url_filters
+from pyspark.sql.functions import lit as F_lit
+
+from biblioloom.llm import chat, licenses, pii, secret_scan, url_filters
 
 
 def docs(spark, rows):
@@ -327,3 +329,92 @@ def test_typed_parts_are_told_from_text(spark):
     assert [tuple(p) for p in back[1]["turns"][0]["parts"]] == [("text", "a <|image:0|> & b", None), ("image", None, 0), ("<|end|>\n:|&", None, 1), ("text", "tail", None)]
     assert len(back[1]["turns"]) == 2 and [a["uri"] for a in back[1]["attachments"]] == ["u1", "u2"] and back[1]["attachment_tokens"] == 513
     assert back[2]["turns"][0]["parts"] == []
+
+
+# 13 -----------------------------------------------------------------------------------------------
+
+
+def brute_secret_base(t):
+    a = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found = [(m.start(), 0, m.end()) for m in a.finditer(t) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+def brute_windows(value, is_hex):
+    """Stretches by recounting every window."""
+    from collections import Counter
+
+    s, w, out = value.lower() if is_hex else value, secret_scan.WINDOW, []
+    for i in range(len(s) - w + 1):
+        x = s[i : i + w]
+        total = sum(secret_scan.weight(n) for n in Counter(x).values())
+        digits, upper, lower = (sum(c in a for c in x) for a in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        bits, needs = (
+            (secret_scan.HEX_BITS, secret_scan.HEX_NEEDS) if is_hex
+            else (secret_scan.BOTH_CASES_BITS, secret_scan.BOTH_CASES_NEEDS) if upper and lower
+            else (secret_scan.ONE_CASE_BITS, secret_scan.ONE_CASE_NEEDS)
+        )
+        if total <= secret_scan.most(bits) and digits >= needs[0] and upper + lower >= needs[1]:
+            if out and out[-1][1] >= i:
+                out[-1][1] = i + w
+            else:
+                out.append([i, i + w])
+    return [tuple(x) for x in out]
+
+
+def test_entropy_windows_match_recounting(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(13)
+    base, hexes = secret_scan.ALPHABET, "0123456789abcdefABCDEF"
+    values = ["".join(r.choices(r.choice([base, base[:36], "abc123", "aB3", hexes]), k=r.randint(20, 90))) for _ in range(120)]
+    values += ["".join(r.choices("ab1", k=200)) + "".join(r.choices(base, k=40)) + "a1B" * 60 + "".join(r.choices(base, k=30)), "a" * 20, "Z9" * 5000 + "".join(r.choices(base, k=50))]
+    rows = spark.createDataFrame([(v, set(v) <= set(hexes)) for v in values], "v string, h boolean").withColumn("w", secret_scan.windows(F.col("v"), F.col("h"))).collect()
+    hit = 0
+    for x in rows:
+        want = brute_windows(x["v"], x["h"])
+        assert [(w["s"], w["e"]) for w in x["w"]] == want, x["v"]
+        hit += bool(want)
+    assert 20 < hit < 120
+
+
+def test_secrets(spark):
+    r = random.Random(31)
+    base64, hexes = secret_scan.ALPHABET[:64], "0123456789abcdef"
+    draw = lambda a, n: "".join(r.choices(a, k=n))
+    texts = [
+        None, "", 'Token="abcdef"', "token=token: abcdef", "api_key : 'x1.y=/+-_' and APIKEY=12345", "passwd=" + " " * 50 + "secret1", "é\U0001f600 ſecret=abcdefg toKen=abcdefg",
+        "AKIA" + draw("ABC123", 16) + " AKIAABC xAKIAAKIA" + draw("ABC123", 20), draw(hexes, 24) + "g" + draw(hexes, 23) + " " + draw(hexes, 40), "password password= =secret==abcdefgh",
+        "token=" * 2000 + "abcdefg", draw(hexes, 5000), "a1" * 30000,
+    ]
+    table = docs(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)] + [(None, texts[2], "", "", 0), (2, texts[2], "", "", 0)])
+    got = secret_scan.find(table.withColumn("_text", F_lit("clash")).withColumn("spans", F_lit("clash"))).collect()
+    assert len(got) == len(texts) + 2
+    for x in got:
+        t = texts[x["doc_id"]] if x["doc_id"] is not None else texts[2]
+        want = brute_secret_base(t or "")
+        shown = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in want)
+        assert x["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
+        assert (x["n_assign"], x["n_access"], x["n_hex"]) == tuple(sum(k == i for _, k, _ in want) for i in range(3))
+        assert set(filter(None, shown.split(","))) <= set(x["spans"].split(","))
+    assert secret_scan.find(docs(spark, [])).count() == 0
+
+
+def test_secrets_beyond_the_base(spark):
+    r = random.Random(5)
+    base64 = secret_scan.ALPHABET[:64]
+    draw = lambda a, n: "".join(r.choices(a, k=n))
+    planted = [f"the key é is {draw(base64, 40)} here" for _ in range(60)] + [f"id {draw('0123456789ABCDEF', 40)}." for _ in range(20)] + [f"k={draw('abcdefghijklmnopqrstuvwxyz0123456789', 40)}" for _ in range(20)]
+    planted = [t for t in planted if not re.search("AKIA|[0-9a-f]{24}", t)]
+    clean = [
+        "Donaudampfschifffahrtsgesellschaftskapitaen", "see https://a.org/2024/05/17/some-long-article-title-about-nothing-9", "getUserAccountSettingsByIdentifier2", "550e8400-e29b-41d4-a716-446655440000",
+        "sha256: " + draw(base64, 44), "commit " + draw("0123456789ABCDEF", 40), "data:image/png;base64," + draw(base64, 80), "key YOUR_API_KEY_EXAMPLE_1a2B3c4D5e", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+        "12345678901234567890123456789", "ab" * 30 + "1", "2024-01-02T03-04-05_backup_of_the_server", "---------------------------------", "x" * 5000,
+    ]
+    rows = secret_scan.findings(docs(spark, [(i, t, "", "", 0) for i, t in enumerate(planted + clean)])).where("kind = 'entropy'").collect()
+    found = {x["doc_id"] for x in rows}
+    assert len([i for i in found if i < len(planted)]) >= 0.97 * len(planted)
+    assert not [clean[i - len(planted)] for i in found if i >= len(planted)]
+    for x in rows:
+        assert planted[x["doc_id"]][x["start"] : x["start"] + 4] == x["masked"][:4] and set(x["masked"][4:]) == {"*"}
