@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from biblioloom.llm import chat, decontamination, html_extraction, licenses, lm_scoring, packing, pii, quality_rules, secret_scan, simhash, url_filters, vector_codes
+from pyspark.sql import functions as F
+
+from biblioloom.llm import chat, decontamination, hard_negatives, html_extraction, licenses, lm_scoring, packing, pii, quality_rules, secret_scan, simhash, url_filters, vector_codes
 from biblioloom.llm.common import table
 
 
@@ -67,6 +69,12 @@ def op11_vector_codes(spark, sf_dir):
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
+
+
 def op13_secret_scan(spark, sf_dir):
     return secret_scan.find(table(spark, sf_dir, "documents"))
 
@@ -75,7 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_decontamination, op3_simhash, op4_html_extraction, op5_lm_scoring, op6_licenses, op7_quality_rules, op8_chat, op9_pii, op10_packing,
-        op11_vector_codes, op13_secret_scan,
+        op11_vector_codes, op12_hard_negatives, op13_secret_scan,
         url_rules_by_language, chat_typed_parts,
     )
 }
@@ -86,4 +94,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat": chat.oracle_sql(),
     "chat_typed_parts": chat.parts_sql(),
     "op11_vector_codes": vector_codes.oracle_sql(),
+    "op12_hard_negatives": hard_negatives.oracle_sql(),
 }

@@ -40,10 +40,10 @@ LIMIT = float(2**19)
 WIDE = 1_000
 
 
-def whole_vectors(rows: DataFrame, column: str = "embedding", keep: tuple = ("vec_id", "label"), parts: int = PARTS) -> DataFrame:
+def whole_vectors(rows: DataFrame, column: str = "embedding", keep: tuple = ("vec_id", "label"), parts: int = PARTS, limit: float = LIMIT) -> DataFrame:
     """``keep`` and the vector as ``_x`` (doubles) of the rows that take part, but for the common length."""
     x = rows[column].cast("array<double>")
-    fine = (F.size(x) > 0) & (F.size(x) % parts == 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < LIMIT))
+    fine = (F.size(x) > 0) & (F.size(x) % parts == 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < limit))
     return rows.select(*[rows[k] for k in keep], x.alias("_x")).where(F.coalesce(fine, F.lit(False)))
 
 

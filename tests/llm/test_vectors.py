@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from biblioloom.llm import vector_codes
+from biblioloom.llm import hard_negatives, vector_codes
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -93,3 +93,76 @@ def test_codebooks_need_no_order(spark):
         assert (vector_codes.fit(whole.repartition(11), rounds=3) == want).all()
     finally:
         vector_codes.WIDE = wide
+
+
+# 12 -----------------------------------------------------------------------------------------------
+
+
+def brute_negatives(rows, every):
+    kept = [(i, label, np.array([math.floor(256 * x) for x in v])) for i, v, label in rows if i is not None and label is not None and fits(v, 1) and all(abs(x) < 2**15 for x in v)]
+    if not kept:
+        return []
+    size = len(min(kept, key=lambda r: (r[0], r[2].tolist()))[2])
+    kept = [r for r in kept if len(r[2]) == size]
+    out = []
+    for i, label, v in [r for r in kept if r[0] % every == 0]:
+        scored = sorted(((-int(v @ w), j, other) for j, other, w in kept), key=lambda x: x[:2])
+        positives = [(j, -s) for s, j, other in scored if other == label and j != i][: hard_negatives.POSITIVES]
+        for p, ps in positives:
+            own = [(j, -s) for s, j, other in scored if other != label and 30 * ps <= -100 * s <= 90 * ps][: hard_negatives.NEGATIVES]
+            out += [(i, p, rank, j, ps, s) for rank, (j, s) in enumerate(own, 1)]
+    return sorted(out)
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, value in (("ROWS", 8), ("ANCHORS", 4), ("GROUP", 8), ("SAMPLE", 600)):
+        monkeypatch.setattr(hard_negatives, name, value)
+
+
+def clustered(seed, n=500, size=12, kinds=6, spread=0.05):
+    r = random.Random(seed)
+    centres = [[r.gauss(0, 1) for _ in range(size)] for _ in range(kinds)]
+    return [(i, [float(np.float32(x + r.gauss(0, spread))) for x in r.choice(centres)], r.randrange(3)) for i in range(n)]
+
+
+@pytest.mark.parametrize("spread", [0.03, 0.8])
+def test_hard_negatives_match_brute_force(spark, small_blocks, spread):
+    rows = clustered(4, spread=spread)
+    odd = [
+        (600, None, 1), (601, [0.1] * 11 + [None], 1), (602, [float("inf")] * 12, 1), (610, [0.5] * 12, None), (None, [0.5] * 12, 1), (620, [1e6] * 12, 1), (630, [0.1] * 4, 1), (640, [0.0] * 12, 0),
+        rows[10], rows[11], (650, [-0.3] * 12, 99), (-10, [0.9] * 12, 1),
+    ]
+    got = hard_negatives.mine(vectors(spark, rows + odd).repartition(5), every=10)
+    assert sorted(map(tuple, got.collect())) == brute_negatives(rows + odd, 10)
+
+
+def test_hard_negatives_of_equal_vectors_and_odd_tables(spark, small_blocks):
+    rows = clustered(9, n=120) + [(200 + i, [0.5] * 12, i % 4) for i in range(120)]
+    table = vectors(spark, rows).selectExpr("*", "1 as a", "2 as c", "3 as _x", "4 as score", "'b' as block")
+    assert sorted(map(tuple, hard_negatives.mine(table, every=20).collect())) == brute_negatives(rows, 20)
+    empty = hard_negatives.mine(vectors(spark, []))
+    assert empty.count() == 0 and hard_negatives.mine(vectors(spark, [(1, [0.5] * 4, 1), (2, [0.5] * 4, 2)])).count() == 0
+    assert empty.dtypes == hard_negatives.mine(vectors(spark, rows), every=20).dtypes
+
+
+def test_node_pairs_are_pruned_and_none_is_lost(spark, small_blocks):
+    """With clusters most pairs of blocks go; every pair whose scores reach the bound stays."""
+    from pyspark.sql import functions as F
+
+    rows = clustered(5, n=800, kinds=8, spread=0.02)
+    table = hard_negatives.whole_vectors(vectors(spark, rows), parts=1).select("vec_id", F.col("label").cast("long").alias("label"), F.transform("_x", lambda v: F.floor(v * 256).cast("int")).alias("_x"))
+    own = table.where("vec_id % 10 = 0")
+    tree, top = hard_negatives.fit(table, 800, 8), hard_negatives.fit(own, 80, 4)
+    assert tree.depth > hard_negatives.STEP
+    candidates, anchors = hard_negatives.blocks(table, tree, top, 8, 800), hard_negatives.blocks(own, top, tree, 4, 80)
+    assert candidates.agg(F.max("n"), F.sum("n")).first() == (8, 800)
+    least = 600_000
+    bounds = {"least": F.lit(float(least)), "most": F.lit(1e18)}
+    above = hard_negatives.children(anchors, top, bounds, {k: F.first(k) for k in bounds})
+    pairs = {tuple(r) for r in hard_negatives.descend(above, hard_negatives.children(candidates, tree, {}, {}), False).collect()}
+    a, c = ({r["block"]: r for r in x.collect()} for x in (anchors, candidates))
+    x = lambda r: np.frombuffer(r["x"], np.int32).reshape(r["n"], -1).astype(np.int64)
+    mixed = lambda p, q: len({*p["labels"], *q["labels"]}) > 1
+    needed = {(i, j) for i, p in a.items() for j, q in c.items() if mixed(p, q) and (x(p) @ x(q).T).max() >= least}
+    assert needed and needed <= pairs and len(pairs) < len(a) * len(c) / 2
