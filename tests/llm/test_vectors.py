@@ -152,10 +152,10 @@ def test_node_pairs_are_pruned_and_none_is_lost(spark, small_blocks):
 
     rows = clustered(5, n=800, kinds=8, spread=0.02)
     table = hard_negatives.whole_vectors(vectors(spark, rows), parts=1).select("vec_id", F.col("label").cast("long").alias("label"), F.transform("_x", lambda v: F.floor(v * 256).cast("int")).alias("_x"))
-    own = table.where("vec_id % 10 = 0")
-    tree, top = hard_negatives.fit(table, 800, 8), hard_negatives.fit(own, 80, 4)
+    own = table.where("vec_id % 2 = 0")
+    tree, top = hard_negatives.fit(table, 800, 8), hard_negatives.fit(own, 400, 8)
     assert tree.depth > hard_negatives.STEP
-    candidates, anchors = hard_negatives.blocks(table, tree, top, 8, 800), hard_negatives.blocks(own, top, tree, 4, 80)
+    candidates, anchors = hard_negatives.blocks(table, tree, top, 8, 800), hard_negatives.blocks(own, top, tree, 8, 400)
     assert candidates.agg(F.max("n"), F.sum("n")).first() == (8, 800)
     least = 600_000
     bounds = {"least": F.lit(float(least)), "most": F.lit(1e18)}
