@@ -3,8 +3,8 @@
 A text is cut into sentences (at closing marks before white space, and at line ends), each is
 normalised (A-Z lower-cased, everything but a-z and 0-9 one space) and looked up among known
 licence sentences. As files wrap their licences, runs of adjacent lines without a closing mark or a
-blank line between them are looked up as well (comment marks fall to the normalisation), up to the
-words of the longest known sentence. The identifiers found, in the order of their first lines, are matched against ordered rules: a rule
+blank line between them are looked up as well (comment marks fall to the normalisation), each run only as
+long as a known sentence begins with it, so a text needs memory in proportion to its length. The identifiers found, in the order of their first lines, are matched against ordered rules: a rule
 fits where its identifiers follow one another, unknown sentences between them not counting. The
 first rule that fits names the text's licence; all rules that fit are listed.
 
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biblioloom.llm.pii import let
+
 # Known sentences (normalised) with their identifiers.
 SENTENCES = {
     "licensed under the apache license version 2 0": "apache2-notice",
@@ -111,16 +113,29 @@ def scan(documents: DataFrame) -> DataFrame:
     blocks = F.split(F.regexp_replace(F.translate(text, UPPER + BREAK, LOWER + "_"), STOP, BREAK), BREAK, -1)
     lines = lambda block: F.transform(F.split(block, "\\n", -1), lambda s: F.trim(F.regexp_replace(s, OTHER, " ")))
 
-    def runs(own):
-        """Of each line: itself, and the runs of lines that it begins."""
-        longer = lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(LINES), F.size(own) - i)), lambda n: F.array_join(F.slice(own, i + 1, n), " ")
-        )
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(own) - 1), longer))
-
-    read = F.filter(F.flatten(F.transform(F.transform(blocks, lines), runs)), lambda s: F.length(s) <= LONGEST)
-    ids = F.filter(F.transform(read, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
+    every = F.lit("\n" + "\n".join(SENTENCES))
+    begins = lambda s: (F.length(s) <= LONGEST) & F.contains(every, F.concat(F.lit("\n"), s))
+
+    def runs(own):
+        """Of each line: the known sentences among itself and the runs of lines that it begins, each only as long as a sentence begins so."""
+
+        def longer(acc, s):
+            def noted(read):
+                found = F.try_element_at(known, read)
+                return F.struct(read.alias("read"), F.when(found.isNotNull(), F.concat(acc["ids"], F.array(found))).otherwise(acc["ids"]).alias("ids"))
+
+            more = F.concat_ws(" ", acc["read"], s)
+            return F.when(acc["read"].isNull(), acc).otherwise(let(F.when(begins(more), more), noted))
+
+        def of_line(line, i):
+            first = F.try_element_at(known, line)
+            start = F.struct(line.alias("read"), F.when(first.isNotNull(), F.array(first)).otherwise(none).alias("ids"))
+            return F.when(begins(line), F.aggregate(F.slice(own, i + 2, LINES - 1), start, longer, lambda acc: acc["ids"])).otherwise(none)
+
+        return F.flatten(F.transform(own, of_line))
+
+    ids = F.flatten(F.transform(F.transform(blocks, lines), runs))
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(CUE), ids).otherwise(none).alias("ids"))
     line = F.concat(F.lit("|"), F.array_join("ids", "||"), F.lit("|"))
     fits = lambda rule: F.contains(line, F.lit("|" + "||".join(rule[2]) + "|"))
