@@ -111,8 +111,8 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
 
 def _by_turn(a: Column, b: Column) -> Column:
-    """Turn (nulls first), role, text."""
-    key = lambda x: F.struct(x["turn"], x["role"], x["text"])
+    """Turn (nulls first), role, text, then the parts by what they become."""
+    key = lambda x: F.struct(x["turn"], x["role"], x["text"], x["content"], x["attachments"], x["tokens"])
     return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
 
 
