@@ -330,7 +330,7 @@ def made_texts(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]
 
 
 @cache
-def _trained(session: int, texts: int, seed: int) -> Boosted:
+def _trained(application: str, texts: int, seed: int) -> Boosted:
     spark = SparkSession.active()
     made = made_texts(texts, seed)
     table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
@@ -344,7 +344,7 @@ def _trained(session: int, texts: int, seed: int) -> Boosted:
 
 def fit(documents: DataFrame, texts: int = MADE_TEXTS, seed: int = SEED) -> Boosted:
     """Trees and thresholds from ``texts`` made texts; ``documents`` only names the session."""
-    return _trained(id(documents.sparkSession), texts, seed)
+    return _trained(documents.sparkSession.sparkContext.applicationId, texts, seed)
 
 
 def with_spans(documents: DataFrame, model: Boosted) -> DataFrame:
