@@ -156,6 +156,22 @@ def test_wrapped_licences(spark):
     assert got[len(cases)]["licence"] is None
 
 
+def test_a_licence_in_a_text_of_very_many_short_lines(spark):
+    """Lines that begin like a known sentence, again and again; no array of runs grows with them."""
+    wrapped = "Licensed\nunder the\nMIT\nLicense"
+    texts = ["this\nwork\n" * 50000 + wrapped, "this\n" * 100000 + wrapped, "a b\n" * 100000 + wrapped + "\n" + "the\n" * 1000 + "license permission"]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])).collect()}
+    for i in range(len(texts)):
+        assert got[i]["licence"] == "MIT" and got[i]["sentence_ids"] == "mit-notice,mit-title"
+
+
+def test_chat_turns_that_differ_only_in_parts(spark):
+    kind = "conv_id long, turn int, role string, text string, parts array<struct<type:string,text:string,uri:string,units:int>>"
+    rows = [(1, 1, "user", "x", [("image", None, u, n)]) for u in ("b", "a", None) for n in (2, 1)] + [(1, 1, "user", "x", None)]
+    made = {str(chat.format_conversations(spark.createDataFrame(own, kind).repartition(n)).collect()) for own, n in ((rows, 1), (rows[::-1], 1), (rows, 7), (rows[3:] + rows[:3], 3))}
+    assert len(made) == 1
+
+
 def test_chat_round_trip(spark):
     hard = ["\\### Assistant: </turn> ok", "a & b < c <|turn|>x<|text|>y<|end|>\n", "&lt;&amp;lt;", "<|end|>", "", None, "é\U0001f600" * 3, "x" * 200_000, "\n\n", "\\"]
     r = random.Random(3)
