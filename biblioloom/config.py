@@ -62,6 +62,84 @@ class Policy:
         return replace(self, **override)
 
 
+# Fields of the older broad gate.
+ALLOWED_FIELDS = ("Computer Science", "Mathematics")
+EXCLUDED_FIELDS = (
+    "Biology", "Medicine", "Chemistry", "Physics", "Economics", "Finance", "Business", "Engineering", "Geology", "Geography",
+    "Political Science", "Psychology", "Sociology", "History", "Art", "Philosophy", "Environmental Science",
+    "Agricultural And Food Sciences", "Materials Science", "Linguistics",
+)
+# Topic groups of the view in order of precedence, each with category prefixes and title terms.
+TOPIC_GROUPS = {
+    "biochem": (
+        ("q-bio.",),
+        ("metabolic", "metabolite", "biosynth", "retrobiosynth", "enzym", "catalytic residue", "active site", "reactive site", "substrate specificity",
+         "binding site", "binding affinity", "protein-ligand", "drug target", "docking", "protein", "proteom", "peptide", "antibody", "nanobody",
+         "amino acid", "gene ontology", "go term", "biolog", "biomedical", "bioinformatic", "genom", "molecular dynamics"),
+    ),
+    "chem": (("physics.", "cond-mat."), ("retrosynth", "reaction", "reactivity", "synthesis", "molecul", "chemi", "catalys", "compound", "drug discovery")),
+    "cs": (("cs.", "stat.", "math."), ()),
+}
+
+
+@dataclass(frozen=True)
+class GateTerms:
+    # Vocabularies of the older strict gate, all lower case, matched as plain substrings.
+    core: tuple = (
+        "neural network", "neural networks", "neural", "deep learning", "transformer", "attention mechanism", "self-attention",
+        "convolutional", "recurrent network", "diffusion model", "mixture-of-experts", "mixture of experts", "state space model",
+        "language model", "language models", "llm", "large language model", "natural language processing", "nlp", "text generation",
+        "machine translation", "question answering", "summarization", "tokenization", "prompt", "prompting", "in-context learning",
+        "chain-of-thought", "chain of thought", "instruction tuning", "fine-tuning", "pretraining", "pre-training",
+        "machine learning", "reinforcement learning", "rlhf", "supervised learning", "unsupervised learning", "self-supervised",
+        "semi-supervised", "transfer learning", "meta-learning", "few-shot", "zero-shot", "contrastive learning", "curriculum learning",
+        "federated learning", "continual learning", "active learning", "agent", "agents", "agentic", "tool use", "tool learning",
+        "planning", "reasoning", "multi-agent", "memory", "retrieval", "retrieval-augmented", "rag", "information retrieval",
+        "embedding", "embeddings", "vector search", "knowledge graph", "semantic search", "dense retrieval",
+        "computer vision", "image classification", "object detection", "segmentation", "multimodal", "vision-language",
+        "speech recognition", "text-to-speech", "data mining", "recommender system", "recommendation",
+        "clustering", "classification", "regression", "time series", "graph neural", "representation learning", "dimensionality reduction",
+        "bayesian", "probabilistic model", "variational", "generative model", "optimization", "gradient descent", "stochastic gradient",
+        "statistical learning", "feature selection", "benchmark", "evaluation", "dataset", "scaling law", "scaling laws",
+        "interpretability", "explainability", "alignment", "hallucination", "quantization", "distillation", "pruning", "sparsity",
+        "inference efficiency", "parameter-efficient", "lora", "residual learning", "residual network", "resnet",
+        "normalization", "batch norm", "layer norm", "lstm", "long short-term memory", "gru", "rnn", "cnn",
+        "encoder", "decoder", "sequence to sequence", "seq2seq", "autoencoder", "auto-encoding", "variational bayes",
+        "adversarial", "generative adversarial", "gan", "backpropagation", "gradient", "dropout", "regularization",
+        "overfitting", "loss function", "objective function", "image recognition", "image generation", "perceptron",
+        "attention", "self-supervision", "latent space", "hyperparameter", "model architecture", "training dynamics",
+        "stochastic optimization", "convergence",
+    )
+    venues: tuple = (
+        "neurips", "neural information processing systems", "nips", "icml", "international conference on machine learning",
+        "iclr", "international conference on learning representations", "aaai", "ijcai", "jmlr", "journal of machine learning research",
+        "acl", "annual meeting of the association for computational linguistics", "emnlp", "empirical methods in natural language processing",
+        "naacl", "coling", "tacl", "conll", "eacl", "cvpr", "computer vision and pattern recognition",
+        "iccv", "eccv", "international conference on computer vision", "sigir", "kdd", "knowledge discovery and data mining",
+        "wsdm", "recsys", "the web conference", "machine learning", "neural computation", "artificial intelligence",
+        "pattern analysis and machine intelligence", "tpami", "uai", "aistats", "colt",
+    )
+    applied: tuple = (
+        "chemistry", "chemical", "molecule", "molecular", "drug discovery", "drug design", "protein", "compound screening", "catalysis",
+        "materials discovery", "crystal structure", "biochemistry", "medicine", "medical", "medicinal", "clinical", "clinician",
+        "diagnosis", "diagnostic", "patient", "patients", "hospital", "disease", "cancer", "oncology", "tumor", "radiology", "radiograph",
+        "healthcare", "health care", "biomedical", "genomics", "genome", "electronic health record", "drug", "therapy", "therapeutic",
+        "epidemiolog", "pathology", "surgery", "surgical", "psychiatric", "finance", "financial", "trading", "stock market", "portfolio",
+        "credit risk", "fraud detection", "banking", "insurance", "investment", "asset pricing", "cryptocurrency", "accounting",
+        "economic forecasting", "algorithmic trading", "manufacturing", "industrial", "supply chain", "predictive maintenance",
+        "fault diagnosis", "production line", "assembly line", "logistics", "quality inspection", "smart factory",
+        "robot", "robotic", "robotics", "manipulation", "grasping", "autonomous driving", "self-driving", "drone", "uav",
+        "motion planning", "locomotion", "actuator", "teleoperation", "cybersecurity", "cyber security", "intrusion detection", "malware",
+        "phishing", "network security", "vulnerability detection", "penetration testing", "ransomware", "botnet", "spam detection",
+        "agriculture", "agricultural", "crop", "climate", "weather forecasting", "remote sensing", "satellite imagery", "geospatial",
+        "legal", "law", "court", "judicial", "education", "student performance", "e-learning", "energy grid", "power system", "smart grid",
+        "traffic", "transportation", "urban planning", "astronomy", "astrophysic", "particle physics",
+        "sports analytics", "marketing", "advertising", "e-commerce",
+    )
+    allowed: tuple = ALLOWED_FIELDS
+    excluded: tuple = EXCLUDED_FIELDS
+
+
 DEFAULT = Policy()
 #: For the proxy corpus of the test tables.
 PROXY = Policy(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biblioloom.config import Policy
+from biblioloom.config import ALLOWED_FIELDS, EXCLUDED_FIELDS, TOPIC_GROUPS, GateTerms, Policy
 from biblioloom.functions.scores import survey_rate
 
 # Title patterns of the type stage.
@@ -195,15 +195,38 @@ def sanity(title: Column, year: Column, retracted: Column) -> Column:
     )
 
 
-def broad_gate(fields: Column, allowed: tuple) -> Column:
-    """The older broad gate: any field in common; papers without fields pass."""
-    low = F.transform(fields, F.lower)
-    return F.coalesce(F.size(fields) == 0, F.lit(True)) | F.arrays_overlap(low, F.array(*[F.lit(f.lower()) for f in allowed]))
-
-
-def strict_gate(title: Column, venue: Column, core: tuple, venues: tuple, applied: tuple) -> tuple[Column, Column, Column]:
-    """The older strict gate by plain substrings: (passes, core terms found, applied terms found)."""
-    text = F.lower(F.concat_ws(" ", title))
-    found = lambda terms: F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
-    place = any_term(venue, tuple(v.lower() for v in venues))
-    return ((F.size(found(core)) > 0) | place) & (F.size(found(applied)) == 0), found(core), found(applied)
+def broad_gate(fields: Column, allowed: tuple = ALLOWED_FIELDS, excluded: tuple = EXCLUDED_FIELDS) -> Column:
+    """The older broad gate: papers without fields pass, and those with an allowed field; else a single excluded field drops a paper.
+
+    Fields that are in neither list say nothing.
+    """
+    fields = F.coalesce(fields, F.array().cast("array<string>"))
+    any_of = lambda names: F.exists(fields, lambda f: f.isin(*names))
+    return F.coalesce(any_of(allowed), F.lit(False)) | ~F.coalesce(any_of(excluded), F.lit(False))
+
+
+def strict_gate(title: Column, venue: Column, abstract: Column, fields: Column, terms: GateTerms | None = None) -> tuple[Column, Column, Column]:
+    """The older strict gate by plain substrings: (passes, core terms found, applied terms found).
+
+    Behind the broad gate, terms are looked for in title, venue and abstract together; a core venue stands in
+    for a core term, and one applied term anywhere rejects.
+    """
+    terms = terms or GateTerms()
+    text = F.lower(F.concat_ws(" ", *[F.when(c != "", c) for c in (title, venue, abstract)]))
+    found = lambda names: F.filter(F.array(*map(F.lit, names)), lambda t: F.contains(text, t))
+    core, applied = found(terms.core), found(terms.applied)
+    passes = broad_gate(fields, terms.allowed, terms.excluded) & (text != "") & ((F.size(core) > 0) | any_term(venue, terms.venues)) & (F.size(applied) == 0)
+    return passes, core, applied
+
+
+def topic_group(title: Column, category: Column, groups: dict = TOPIC_GROUPS) -> Column:
+    """The view's group of a paper: the first of ``groups`` whose category prefixes or title terms fit, else ``other``."""
+    low, made = F.lower(F.coalesce(title, F.lit(""))), None
+    for name, (prefixes, terms) in groups.items():
+        fits = F.lit(False)
+        for p in prefixes:
+            fits = fits | F.coalesce(category.startswith(p), F.lit(False))
+        for t in terms:
+            fits = fits | low.contains(t)
+        made = F.when(fits, name) if made is None else made.when(fits, name)
+    return made.otherwise("other")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from biblioloom.config import Policy
 from biblioloom.functions import scores
-from biblioloom.operators import graph
+from biblioloom.operators import filters, graph
 from biblioloom.operators.lineage import cut, numbered
 
 
@@ -50,14 +50,18 @@ def percentiles(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
 
 
 def feature_pass(papers: DataFrame, edges: DataFrame, anchors: DataFrame, policy: Policy, as_of: int) -> DataFrame:
-    """Percentile features of every paper of the session, its score and the map of its terms."""
+    """Percentile features of every paper of the session (``papers``), its score and the map of its terms.
+
+    Overlap, co-citation and coupling count over the whole corpus; ``hub`` is the in-degree among the
+    session's papers only. A venue counts by its acronym or full name (``filters.core_venue``).
+    """
     own, edges = anchors.select("paper_id").distinct(), cut(edges)
     near = graph.incident(edges, own)
     pairs = near.select(F.col("citing_id").alias("a"), F.col("cited_id").alias("p")).unionByName(near.select(F.col("cited_id").alias("a"), F.col("citing_id").alias("p")))
     overlap = pairs.join(own.withColumnRenamed("paper_id", "a"), "a", "left_semi").groupBy(F.col("p").alias("paper_id")).agg(F.countDistinct("a").alias("overlap_raw"))
     raw = (
         papers.join(overlap, "paper_id", "left")
-        .join(edges.groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("hub_raw")), "paper_id", "left")
+        .join(graph.induced(edges, papers).groupBy(F.col("cited_id").alias("paper_id")).agg(F.count("*").alias("hub_raw")), "paper_id", "left")
         .join(graph.cocitation(edges, own).withColumnRenamed("cocited", "cocite_raw"), "paper_id", "left")
         .join(graph.coupling(edges, own).withColumnRenamed("coupled", "bibcoup_raw"), "paper_id", "left")
         .na.fill(0, ["overlap_raw", "hub_raw", "cocite_raw", "bibcoup_raw"])
@@ -68,7 +72,7 @@ def feature_pass(papers: DataFrame, edges: DataFrame, anchors: DataFrame, policy
     made = percentiles(raw, "paper_id", [f"{f}_raw" for f in names])
     for f in names:
         made = made.withColumnRenamed(f"{f}_raw_pct", f)
-    made = made.withColumn("venue_hit", F.coalesce(F.col("venue").isin(*policy.core_venues), F.lit(False)).cast("double"))
+    made = made.withColumn("venue_hit", filters.core_venue(F.col("venue"), policy).cast("double"))
     score, terms = scores.weighted({**{n: F.col(n) for n in names}, "venue": F.col("venue_hit")}, policy.weights)
     return made.withColumn("score", score).withColumn("breakdown", terms)
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioloom.config import AS_OF_YEAR, PROXY
+from biblioloom.config import AS_OF_YEAR, PROXY, GateTerms
 from biblioloom.functions import dates, scores, text
 from biblioloom.operators import corpus, evaluation, events, filters, graph, legacy, ranking, runs
 from biblioloom.operators.lineage import cut, numbered
@@ -163,6 +164,24 @@ def features(d):
     return f.select("paper_id", *[F.round(c, 6).alias(c) for c in ("overlap", "hub", "bibcoup", "cocite", "quality", "recency")], "venue_hit", F.round("score", 6).alias("score"))
 
 
+#: Papers of session 1, some at a core venue under another name; edges from and to papers outside count for all features but ``hub``.
+SESSION_FEATURES = (
+    FEATURES.replace("WITH own AS", "WITH " + REPLAY.strip() + ",\nmine AS (SELECT paper_id FROM px_nodes WHERE session_id = 1),\nown AS", 1)
+    .replace("FROM px_edges GROUP BY cited_id)", "FROM px_edges WHERE citing_id IN (SELECT paper_id FROM mine) GROUP BY cited_id)", 1)
+    .replace("USING (paper_id)),\npct", "USING (paper_id) WHERE p.paper_id IN (SELECT paper_id FROM mine)),\npct", 1)
+    .replace("venue IN ('Brand#11', 'Brand#22')", "venue IN ('Brand#11', 'Brand#22', 'Brand#3')", 1)
+)
+
+
+@query("r08_session_features", SESSION_FEATURES + """ SELECT paper_id, round(overlap, 6) AS overlap, round(hub, 6) AS hub, round(bibcoup, 6) AS bibcoup,
+  round(cocite, 6) AS cocite, venue AS venue_hit, round(2.0 * overlap + 0.4 * quality + 0.3 * recency + 0.2 * venue - 0.6 * hub, 6) AS score FROM pct""")
+def session_features(d):
+    named = F.when(F.col("venue") == "Brand#3", "Proc. of the International Conference on Learning Representations").when(F.col("venue") == "Brand#11", "the brand#11 2003 workshops")
+    papers = d.px_papers.join(nodes_of(d, 1).select("paper_id"), "paper_id", "left_semi").withColumn("venue", F.coalesce(named, "venue"))
+    f = ranking.feature_pass(papers, d.px_edges, d.px_anchors, PROXY, AS_OF_YEAR)
+    return f.select("paper_id", *[F.round(c, 6).alias(c) for c in ("overlap", "hub", "bibcoup", "cocite")], "venue_hit", F.round("score", 6).alias("score"))
+
+
 @query("r09_rescore", f"SELECT paper_id, CASE WHEN citation_count > 20 THEN round(1.5 * ({RATE}) + 0.5 * ({RECENCY}), 6) END AS score FROM px_papers")
 def rescore(d):
     p = d.px_papers
@@ -531,17 +550,23 @@ def review_counts(d):
     return filters.review_counts(decisions_of(d), 1, "QUARANTINE")
 
 
-GATE = ("the", "learning"), ("src1",), ("idiot", "clown")
+#: Fields of a document for the gates: none, a known one or one of neither list, by its language.
+FIELDS = "CASE lang WHEN 'en' THEN {a}'Computer Science', 'History'{b} WHEN 'de' THEN {a}'History'{b} WHEN 'fr' THEN {a}'Alchemy'{b} ELSE NULL END"
 
 
-@query("f14_broad_gate", "SELECT doc_id, lang IN ('en', 'de') AS relevant FROM documents")
+@query("f14_broad_gate", "SELECT doc_id, lang IS DISTINCT FROM 'de' AS relevant FROM documents")
 def broad_gate(d):
-    return d.documents.select("doc_id", filters.broad_gate(F.array("lang"), ("EN", "DE")).alias("relevant"))
+    return d.documents.select("doc_id", filters.broad_gate(F.expr(FIELDS.format(a="array(", b=")"))).alias("relevant"))
 
 
-@query("f15_strict_gate", "SELECT doc_id, (contains(lower(text), 'the') OR contains(lower(text), 'learning') OR contains(source, 'src1')) AND NOT (contains(lower(text), 'idiot') OR contains(lower(text), 'clown')) AS core FROM documents")
+@query("f15_strict_gate", """WITH t AS (SELECT doc_id, lang, source, lower(left(text, 40) || ' ' || source || ' ' || text) AS x FROM documents)
+SELECT doc_id, lang IS DISTINCT FROM 'de' AND (contains(x, 'the') OR contains(x, 'learning') OR contains(lower(source), 'src1'))
+  AND NOT (contains(x, 'idiot') OR contains(x, 'src2')) AS core,
+  CAST(contains(x, 'the') AS INT) + CAST(contains(x, 'learning') AS INT) AS n_core, CAST(contains(x, 'idiot') AS INT) + CAST(contains(x, 'src2') AS INT) AS n_applied FROM t""")
 def strict_gate(d):
-    return d.documents.select("doc_id", filters.strict_gate(F.col("text"), F.col("source"), *GATE)[0].alias("core"))
+    terms = replace(GateTerms(), core=("the", "learning"), venues=("src1",), applied=("idiot", "src2"))
+    core, one, other = filters.strict_gate(F.substring("text", 1, 40), F.col("source"), F.col("text"), F.expr(FIELDS.format(a="array(", b=")")), terms)
+    return d.documents.select("doc_id", core.alias("core"), F.size(one).alias("n_core"), F.size(other).alias("n_applied"))
 
 
 @query("x14_sanity", "SELECT paper_id, CASE WHEN paper_id % 13 = 0 THEN 'REJECT|SANITY|RETRACTED' WHEN year IS NULL THEN 'QUARANTINE|SANITY|NO_DATE' ELSE 'ACCEPT|SANITY|OK' END AS verdict FROM px_papers")
@@ -734,11 +759,20 @@ def query_match(d):
     return d.px_papers.select("paper_id", legacy.matches(F.col("title"), "RE").alias("found"))
 
 
-@query("p10_topic_group", "SELECT paper_id, CASE WHEN category = 'LARGE' OR contains(lower(title), 'protein') THEN 'biochem' WHEN category = 'MEDIUM' THEN 'chem' WHEN category IN ('STANDARD', 'PROMO') THEN 'cs' ELSE 'other' END AS topic FROM px_papers")
+#: The order tables hold no preprint categories; one stands for each of their own, and a few titles get a word of the view's terms.
+VIEWED = """SELECT paper_id,
+  CASE category WHEN 'LARGE' THEN 'q-bio.BM' WHEN 'MEDIUM' THEN 'cond-mat.soft' WHEN 'SMALL' THEN 'physics.chem-ph' WHEN 'STANDARD' THEN 'cs.LG' WHEN 'PROMO' THEN 'math.OC' WHEN 'ECONOMY' THEN NULL END AS category,
+  concat(title, CASE CAST(paper_id % 11 AS INT) WHEN 0 THEN ' of Enzymatic reaction' WHEN 1 THEN ' Synthesis' WHEN 2 THEN ' PROTEINS' WHEN 3 THEN ' of molecules' ELSE '' END) AS title
+FROM px_papers"""
+
+
+@query("p10_topic_group", f"""SELECT paper_id, CASE
+  WHEN category LIKE 'q-bio.%' OR contains(lower(title), 'enzym') OR contains(lower(title), 'protein') THEN 'biochem'
+  WHEN category LIKE 'cond-mat.%' OR category LIKE 'physics.%' OR contains(lower(title), 'synthesis') OR contains(lower(title), 'molecul') THEN 'chem'
+  WHEN category LIKE 'cs.%' OR category LIKE 'math.%' THEN 'cs' ELSE 'other' END AS topic FROM ({VIEWED})""")
 def topic_group(d):
-    c = F.col("category")
-    bio = filters.in_categories(c, PROXY.applied_deny) | filters.any_term(F.col("title"), PROXY.biochem_terms)
-    return d.px_papers.select("paper_id", F.when(bio, "biochem").when(filters.in_categories(c, PROXY.borderline), "chem").when(filters.in_categories(c, PROXY.core_allow), "cs").otherwise("other").alias("topic"))
+    papers = d.spark.sql(VIEWED.replace("px_papers", "{p}"), p=d.px_papers)
+    return papers.select("paper_id", filters.topic_group(F.col("title"), F.col("category")).alias("topic"))
 
 
 @query("p12_title_search", "SELECT paper_id, title FROM px_papers WHERE title ILIKE '%A%' ORDER BY paper_id LIMIT 50")
