@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblioloom.operators.lineage import cut
+from biblioloom.operators.lineage import cut, join_hot
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -129,8 +129,12 @@ def completeness(nodes: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(paper_id, component): the least id reachable; isolated nodes are their own."""
-    ids = nodes.select("paper_id").distinct()
+    """(paper_id, component): the least id reachable; isolated nodes are their own.
+
+    The label of a node's label is looked up by ``join_hot``, as a giant component's label is most nodes' label.
+    """
+    ids = cut(nodes.select("paper_id").distinct())
+    n = ids.count()
     pairs = undirected(induced(edges, ids))
     both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(ids.select("paper_id", F.col("paper_id").alias("component")))
@@ -138,7 +142,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("paper_id", "b"), "b").groupBy(F.col("a").alias("paper_id")).agg(F.min("component").alias("near"))
         lower = cut(labels.join(near, "paper_id", "left").select("paper_id", F.col("component").alias("old"), F.least("component", "near").alias("component")))
         up = lower.select(F.col("paper_id").alias("component"), F.col("component").alias("up"))
-        jumped = cut(lower.join(up, "component").select("paper_id", F.least("component", "up").alias("component"), "old"))
+        jumped = cut(join_hot(lower, up, "component", n).select("paper_id", F.least("component", "up").alias("component"), "old"))
         labels = jumped.select("paper_id", "component")
         if jumped.where("component < old").isEmpty():
             return labels

@@ -46,3 +46,18 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # one row for each part
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return rows.withColumn("_place", place).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+
+
+#: Keys that hold more than this share of the rows (at most 64 of them) are joined by broadcast.
+HEAVY = 64
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` (stored, ``total`` of them) with the columns of ``values`` (``key`` unique), where few keys may hold most rows.
+
+    Such keys, of which there are at most ``HEAVY``, meet a broadcast of their values; the others are shuffled.
+    """
+    heavy = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > total // HEAVY).select(key)
+    heavy = F.broadcast(heavy)  # fewer than HEAVY + 1 rows
+    few = rows.join(heavy, key, "left_anti").join(values, key)
+    return few.unionByName(rows.join(F.broadcast(values.join(heavy, key, "left_semi")), key))

@@ -1521,3 +1521,6 @@ def seed_lines(d):
 @query("x14_applied_terms", "SELECT doc_id, CASE WHEN contains(lower(text), 'idiot') THEN 'QUARANTINE' ELSE 'ACCEPT' END AS outcome FROM documents")
 def applied_terms(d):
     return d.documents.select("doc_id", F.when(filters.any_term(F.col("text"), ("idiot",)), "QUARANTINE").otherwise("ACCEPT").alias("outcome"))
+
+
+from biblioloom.plans import more  # noqa: E402, F401  (registers further queries)
