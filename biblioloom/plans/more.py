@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from biblioloom.operators import communities
+from biblioloom.operators import communities, graph, vectors
 from biblioloom.operators.lineage import cut
 from biblioloom.plans.queries import query
 
@@ -25,3 +25,68 @@ def modularity(d):
 def leiden(d):
     links = cut(communities.links_of(d.px_edges))
     return communities.leiden(links).select(F.col("node").alias("paper_id"), F.col("community").alias("community_id"))
+
+# Vectors --------------------------------------------------------------------------------------
+
+COSINE = "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
+
+
+@query("x14_vector_search", f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+scored AS (SELECT q.id AS query, b.id, {COSINE.format(a="q.x", b="b.x")} AS cosine FROM v q JOIN v b ON q.id % 100 = 0 AND q.id <> b.id)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank, id, round(cosine, 6) AS cosine FROM scored
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) <= 10""")
+def vector_search(d):
+    rows = d.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = vectors.Index(rows).search(rows.where("id % 100 = 0"), 10)
+    return found.select("query", "rank", "id", F.round("cosine", 6).alias("cosine"))
+
+
+@query("x14_embedding_channel", f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+scored AS (SELECT q.id AS query, b.id, {COSINE.format(a="q.x", b="b.x")} AS cosine FROM v q JOIN v b ON q.id < 10 AND q.id <> b.id),
+best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank FROM scored QUALIFY rank <= 20),
+near AS (SELECT paper_id AS p FROM px_anchors UNION SELECT cited_id FROM px_edges WHERE citing_id IN (SELECT paper_id FROM px_anchors)
+  UNION SELECT citing_id FROM px_edges WHERE cited_id IN (SELECT paper_id FROM px_anchors))
+SELECT query, rank, id, round(cosine, 6) AS cosine FROM best WHERE id NOT IN (SELECT p FROM near)""")
+def embedding_channel(d):
+    """What the vectors propose for the anchors and the citation graph does not, within one step."""
+    rows = d.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.join(d.px_anchors.select(F.col("paper_id").alias("id")), "id", "left_semi")
+    found = vectors.Index(rows).search(asked, 20)
+    return vectors.unreached(found, graph.reach(d.px_edges, d.px_anchors, 1)).select("query", "rank", "id", F.round("cosine", 6).alias("cosine"))
+
+
+#: The vectors with near copies of every fifth and equal copies of every ninth.
+COPIED = """SELECT vec_id AS id, {whole} AS vector FROM embeddings
+UNION ALL SELECT vec_id + 1000000, {jittered} FROM embeddings WHERE vec_id % 5 = 0
+UNION ALL SELECT vec_id + 2000000, {whole} FROM embeddings WHERE vec_id % 9 = 0"""
+SPARK_COPIED = COPIED.format(whole="CAST(embedding AS ARRAY<DOUBLE>)", jittered="transform(embedding, (x, i) -> CAST(x AS DOUBLE) + 0.01D * CAST((vec_id + i) % 7 - 3 AS DOUBLE))").replace("FROM embeddings", "FROM {e}")
+DUCK_COPIED = COPIED.format(whole="CAST(embedding AS DOUBLE[])", jittered="list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + CAST(0.01 AS DOUBLE) * CAST((vec_id + i - 1) % 7 - 3 AS DOUBLE))")
+
+
+def copied(d):
+    return d.spark.sql(SPARK_COPIED, e=d.embeddings)
+
+
+@query("x14_duplicate_pairs", f"""WITH v AS ({DUCK_COPIED}), u AS (SELECT min(id) AS id, vector AS x FROM v GROUP BY vector)
+SELECT a.id AS a, b.id AS b, round({COSINE.format(a="a.x", b="b.x")}, 6) AS cosine FROM u a JOIN u b ON a.id < b.id WHERE {COSINE.format(a="a.x", b="b.x")} > 0.97""")
+def duplicate_pairs(d):
+    return vectors.duplicates(copied(d)).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query("x14_duplicate_classes", f"WITH v AS ({DUCK_COPIED}) SELECT id, min(id) OVER (PARTITION BY vector) AS representative FROM v")
+def duplicate_classes(d):
+    return vectors.classes(copied(d))
+
+
+@query("x14_duplicate_review", f"""WITH v AS ({DUCK_COPIED}), u AS (SELECT min(id) AS id, vector AS x FROM v GROUP BY vector),
+pairs AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id WHERE {COSINE.format(a="a.x", b="b.x")} > 0.97),
+papers AS (SELECT vec_id AS paper_id, CASE WHEN vec_id % 2 = 0 THEN 'Paper no ' ELSE 'One Paper, No. ' END || vec_id AS title FROM embeddings
+  UNION ALL SELECT vec_id + 1000000, 'Paper no ' || vec_id FROM embeddings),
+plain AS (SELECT paper_id, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS t FROM papers)
+SELECT a, b, round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)), 6) AS title_likeness
+FROM pairs JOIN plain x ON x.paper_id = a JOIN plain y ON y.paper_id = b
+WHERE 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) >= 0.9""")
+def duplicate_review(d):
+    titles = d.spark.sql("""SELECT vec_id AS paper_id, concat(CASE WHEN vec_id % 2 = 0 THEN 'Paper no ' ELSE 'One Paper, No. ' END, vec_id) AS title FROM {e}
+        UNION ALL SELECT vec_id + 1000000, concat('Paper no ', vec_id) FROM {e}""", e=d.embeddings)
+    return vectors.review(vectors.duplicates(copied(d)), titles, 0.9).select("a", "b", F.round("title_likeness", 6).alias("title_likeness"))
