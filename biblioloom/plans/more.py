@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from biblioloom.operators import communities, graph, vectors
-from biblioloom.operators.lineage import cut
-from biblioloom.plans.queries import query
+from biblioloom.config import PROXY
+from biblioloom.operators import communities, events, graph, vectors
+from biblioloom.operators.lineage import cut, shared_folder
+from biblioloom.plans import proxy
+from biblioloom.plans.queries import REPLAY, query
+from biblioloom.sources.stored import Versioned
+from biblioloom.streaming import replay
 
 # Communities ----------------------------------------------------------------------------------
 
@@ -90,3 +96,53 @@ def duplicate_review(d):
     titles = d.spark.sql("""SELECT vec_id AS paper_id, concat(CASE WHEN vec_id % 2 = 0 THEN 'Paper no ' ELSE 'One Paper, No. ' END, vec_id) AS title FROM {e}
         UNION ALL SELECT vec_id + 1000000, concat('Paper no ', vec_id) FROM {e}""", e=d.embeddings)
     return vectors.review(vectors.duplicates(copied(d)), titles, 0.9).select("a", "b", F.round("title_likeness", 6).alias("title_likeness"))
+
+# Streams --------------------------------------------------------------------------------------
+
+
+def streamed(d, name, **options):
+    """A given table as a stream of its files, whether it is one file or a folder of them."""
+    table = d.spark.read.parquet(f"{d.sf_dir}/{name}.parquet")
+    stream = d.spark.readStream.schema(table.schema).options(**options)
+    if table.inputFiles()[0].endswith(f"/{name}.parquet"):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(d.sf_dir)
+    return stream.parquet(f"{d.sf_dir}/{name}.parquet")
+
+
+@query("t_replay_state", f"WITH {REPLAY} SELECT session_id, paper_id, state FROM px_nodes")
+def replay_state(d):
+    """The log as a stream into keyed state and from there into stored nodes; the same rows as the replay in batch."""
+    top = f"{shared_folder(d.spark)}/replay-{uuid.uuid4().hex}"
+    nodes = Versioned(d.spark, f"{top}/nodes")
+    events = d.spark.sql(proxy.EVENTS, events=streamed(d, "events"))
+    replay.replay_into(events, nodes, f"{top}/checkpoint").awaitTermination()
+    return replay.nodes_of(nodes.read("nodes")).select("session_id", "paper_id", "state")
+
+
+LABELLED = """SELECT session_id, paper_id, CASE WHEN paper_id % 3 = 0 THEN 'LIKED' WHEN paper_id % 3 = 1 THEN 'DISLIKED' ELSE 'CANDIDATE' END AS to_state, paper_id AS seq
+FROM px_nodes WHERE session_id < 3"""
+
+
+@query("t_label_batches", f"""WITH {REPLAY}, asked AS ({LABELLED}),
+changed AS (SELECT n.session_id, n.paper_id, n.state AS from_state, a.to_state FROM px_nodes n JOIN asked a USING (session_id, paper_id) WHERE n.state <> a.to_state AND n.state <> 'SEED'),
+after AS (SELECT n.session_id, n.paper_id, coalesce(c.to_state, n.state) AS state FROM px_nodes n LEFT JOIN changed c USING (session_id, paper_id)),
+losing AS (SELECT DISTINCT session_id FROM changed WHERE from_state = 'LIKED'),
+near AS (SELECT citing_id AS a, cited_id AS b FROM px_edges UNION SELECT cited_id, citing_id FROM px_edges),
+links AS (SELECT x.session_id, n.a, n.b FROM near n JOIN after x ON x.paper_id = n.a JOIN after y ON y.paper_id = n.b AND y.session_id = x.session_id),
+d0 AS (SELECT session_id, paper_id FROM after WHERE state IN ('SEED', 'LIKED')),
+d1 AS (SELECT * FROM d0 UNION SELECT l.session_id, l.b FROM d0 JOIN links l ON l.session_id = d0.session_id AND l.a = d0.paper_id),
+writer AS (SELECT session_id, paper_id, CASE WHEN paper_id % 4 = 1 THEN 'SYSTEM' ELSE arg_max(actor, id) END AS actor FROM px_events GROUP BY session_id, paper_id),
+swept AS (SELECT x.session_id, x.paper_id FROM after x JOIN losing USING (session_id) LEFT JOIN writer w ON w.session_id = x.session_id AND w.paper_id = x.paper_id
+  WHERE x.state = 'CANDIDATE' AND (x.session_id, x.paper_id) NOT IN (SELECT session_id, paper_id FROM d1)
+    AND NOT coalesce(w.actor = 'USER', false) AND (x.session_id, x.paper_id) NOT IN (SELECT session_id, paper_id FROM changed))
+SELECT x.session_id, x.paper_id, x.state FROM after x LEFT JOIN swept s ON s.session_id = x.session_id AND s.paper_id = x.paper_id WHERE s.paper_id IS NULL""")
+def label_batches(d):
+    """Label requests in one atomic batch against stored nodes and log, delivered twice; every fourth paper is held by no user."""
+    store = Versioned(d.spark, f"{shared_folder(d.spark)}/labels-{uuid.uuid4().hex}")
+    nodes = events.replay(d.px_events).withColumn("depth", F.lit(0))
+    store.commit({"nodes": nodes, "log": d.px_events.select("id", "session_id", "paper_id", "event_type", F.when(F.col("paper_id") % 4 == 1, "SYSTEM").otherwise(F.col("actor")).alias("actor"), "depth")})
+    asked = d.spark.sql(LABELLED.replace("px_nodes", "{n}"), n=store.read("nodes"))
+    writer = replay.LabelWriter(store, d.px_edges, PROXY.merged(max_depth=1))
+    writer.write(asked, 0)
+    writer.write(asked, 0)
+    return store.read("nodes").select("session_id", "paper_id", "state")
