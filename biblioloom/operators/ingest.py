@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioloom.config import Policy
 from biblioloom.operators import filters
+from biblioloom.operators.lineage import cut, join_hot, numbered
 
 
 def ingest(records: DataFrame, policy: Policy, as_of: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -51,13 +51,26 @@ def equal_quota(counts: list[tuple[int, int]], budget: int) -> list[tuple[int, i
 
 
 def quota(citations: DataFrame, budget: int) -> DataFrame:
-    """``equal_quota`` for each session over (session_id, paper_id, n); a session's anchors fit one task."""
+    """``equal_quota`` for each session over (session_id, paper_id, n), without bringing a session together.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = equal_quota(list(zip(pdf["paper_id"].tolist(), pdf["n"].tolist(), strict=True)), budget)
-        return pd.DataFrame([(int(pdf["session_id"].iloc[0]), p, n) for p, n in rows], columns=["session_id", "paper_id", "taken"])
-
-    return citations.groupBy("session_id").applyInPandas(run, "session_id long, paper_id long, taken long")
+    In the order of n, anchors are taken whole as long as n is no more than an equal share of what is left; from
+    the first that has more, all get that share, and the last ones one more where it does not come out even. So
+    places, sums of the smaller ones and that first place of each session say everything.
+    """
+    rows = citations.select("session_id", "paper_id", F.col("n").cast("long").alias("n"))
+    placed = cut(numbered(rows, ["session_id", "n", "paper_id"], "i", total="n"))
+    count = placed.count()
+    starts = placed.groupBy("session_id").agg((F.min("i")).alias("_i"), F.min("n_before").alias("_n"), F.count("*").alias("c"))
+    own = join_hot(placed, starts, "session_id", count)
+    own = cut(own.select("session_id", "paper_id", "n", "c", (F.col("i") - F.col("_i")).alias("i"), (F.lit(budget) - (F.col("n_before") - F.col("_n"))).alias("left")))
+    share = F.call_function("div", F.col("left"), F.col("c") - F.col("i"))
+    first = own.where(F.col("n") > share).groupBy("session_id").agg(F.min(F.struct("i", "left")).alias("_f"))
+    bounds = own.select("session_id").distinct().join(first, "session_id", "left").select("session_id", F.col("_f.i").alias("_s"), F.col("_f.left").alias("_l"))
+    found = join_hot(own, bounds, "session_id", count)
+    rest = F.col("c") - F.col("_s")
+    even = F.call_function("div", F.col("_l"), rest) + (F.col("i") - F.col("_s") >= rest - F.pmod(F.col("_l"), rest)).cast("long")
+    taken = F.when(F.col("_s").isNull() | (F.col("i") < F.col("_s")), F.col("n")).otherwise(even)
+    return found.select(F.col("session_id").cast("long").alias("session_id"), F.col("paper_id").cast("long").alias("paper_id"), taken.alias("taken"))
 
 
 def labels_table(rows: DataFrame, protected: tuple = ("seed",)) -> DataFrame:

@@ -37,15 +37,30 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(plain, spark)
 
 
-def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list, name: str, total: str | None = None) -> DataFrame:
     """``rows`` with their place (from 1) in ``order``: sorted parts, numbered each, moved on by the sizes of
-    the parts before. Only the counts of parts meet in one task."""
+    the parts before. Only the counts of parts meet in one task. With ``total``, a column of numbers,
+    ``<total>_before`` is its sum over all rows before."""
+    value = F.lit(0) if total is None else F.coalesce(F.col(total), F.lit(0))
     rows = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # one row for each part
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return rows.withColumn("_place", place).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"), F.sum(value).alias("_sum"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_before"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_lead"))  # one row for each part
+    own = Window.partitionBy("_part").orderBy(*order)
+    placed = rows.withColumn("_place", F.row_number().over(own))
+    if total is not None:
+        placed = placed.withColumn("_run", F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - value)
+    placed = placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_place") + F.col("_before"))
+    if total is not None:
+        placed = placed.withColumn(f"{total}_before", F.col("_run") + F.col("_lead")).drop("_run")
+    return placed.drop("_part", "_place", "_before", "_lead")
+
+
+def ranked_within(rows: DataFrame, group: str, order: list, name: str) -> DataFrame:
+    """``rows`` with their place (from 1) in ``order`` inside each ``group``, also where one group has most rows."""
+    placed = cut(numbered(rows, [group, *order], name))
+    starts = placed.groupBy(group).agg((F.min(name) - 1).alias("_start"))
+    return join_hot(placed, starts, group, placed.count()).withColumn(name, F.col(name) - F.col("_start")).drop("_start").select(*placed.columns)
 
 
 #: Keys that hold more than this share of the rows (at most 64 of them) are joined by broadcast.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from biblioloom.config import Policy
 from biblioloom.functions import scores
 from biblioloom.operators import filters, graph
-from biblioloom.operators.lineage import cut, numbered
+from biblioloom.operators.lineage import cut, numbered, ranked_within
 
 
 def rank_percentile(rows: DataFrame, value: str, name: str, by: list[str]) -> DataFrame:
@@ -152,12 +153,8 @@ def candidate_order(key: str) -> list[Column]:
     return [F.desc_nulls_last(key), F.asc("paper_id")]
 
 
-def choose(pool: list[dict], budget: int, policy: Policy) -> list[dict]:
-    """Picks within a budget: score floor, recency lane, floors for both directions, then by score,
-    with at most a share of the budget from one source unless places would stay empty."""
-    fit = sorted((p for p in pool if p["score"] >= policy.score_floor), key=lambda p: (-p["score"], p["paper_id"]))
-    if budget <= 0 or not fit:
-        return []
+def picks(fit: list[dict], budget: int, policy: Policy) -> list[dict]:
+    """The first picks from rows in falling order: recency lane, floors for both directions, then by score."""
     lane = max(1, int(policy.recency_lane * budget))
     picked = [p for p in fit if p["age_years"] < 1.0][:lane]
     seen = {p["paper_id"] for p in picked}
@@ -173,53 +170,121 @@ def choose(pool: list[dict], budget: int, policy: Policy) -> list[dict]:
         if p["paper_id"] not in seen:
             picked.append(p)
             seen.add(p["paper_id"])
-    return spread_sources(picked, fit, max(1, int(policy.source_cap * budget)), budget)
+    return picked
+
+
+class Choice:
+    """A session's choice under the source cap: ``kept`` rows, ``dropped`` ones, and how often each source is used.
 
+    Rows are dicts of paper_id, score and sources. ``refill`` may be called with block after block of the pool in falling order.
+    """
 
-def spread_sources(picked: list[dict], fit: list[dict], cap: int, budget: int) -> list[dict]:
-    """``picked`` with at most ``cap`` rows of a source: the best stay, others of ``fit`` that keep the cap take
-    the free places, and only what then is free goes back to the rows that were dropped."""
-    best = lambda rows: sorted(rows, key=lambda p: (-p["score"], p["paper_id"]))
-    used: Counter = Counter()
+    def __init__(self, budget: int, policy: Policy, state: str | None = None):
+        self.budget, self.cap = budget, max(1, int(policy.source_cap * budget))
+        held = json.loads(state) if state else {"kept": [], "dropped": [], "used": [], "taken": []}
+        self.kept, self.dropped = held["kept"], held["dropped"]
+        self.used, self.taken = Counter(dict(held["used"])), set(held["taken"])
 
-    def admit(p: dict) -> bool:
-        sources = [] if p["sources"] is None else list(p["sources"])
-        if any(used[s] >= cap for s in sources):
+    def _admit(self, p: dict) -> bool:
+        if any(self.used[s] >= self.cap for s in p["sources"]):
             return False
-        used.update(sources)
+        self.used.update(p["sources"])
         return True
 
-    kept, dropped = [], []
-    for p in best(picked):
-        (kept if admit(p) else dropped).append(p)
-    if dropped:
-        taken = {p["paper_id"] for p in picked}
-        for p in fit:
-            if len(kept) >= budget:
+    def start(self, picked: list[dict]) -> Choice:
+        self.taken = {p["paper_id"] for p in picked}
+        for p in self.best(picked):
+            (self.kept if self._admit(p) else self.dropped).append(p)
+        return self
+
+    @property
+    def done(self) -> bool:
+        return not self.dropped or len(self.kept) >= self.budget
+
+    def refill(self, rows: list[dict]) -> Choice:
+        for p in rows:
+            if self.done:
                 break
-            if p["paper_id"] not in taken and admit(p):
-                kept.append(p)
-        kept += dropped[: max(0, budget - len(kept))]
-    return best(kept)
+            if p["paper_id"] not in self.taken and self._admit(p):
+                self.kept.append(p)
+        return self
+
+    def rows(self) -> list[dict]:
+        """The chosen rows; places that nothing else fills go back to the rows that were dropped."""
+        return self.best(self.kept + self.dropped[: max(0, self.budget - len(self.kept))])
+
+    @staticmethod
+    def best(rows: list[dict]) -> list[dict]:
+        return sorted(rows, key=lambda p: (-p["score"], p["paper_id"]))
+
+    def state(self) -> str:
+        return json.dumps({"kept": self.kept, "dropped": self.dropped, "used": list(self.used.items()), "taken": sorted(self.taken)})
+
+
+def choose(pool: list[dict], budget: int, policy: Policy) -> list[dict]:
+    """Picks of a small pool within a budget: score floor, lanes and floors, then at most a share of the budget from
+    one source unless places would stay empty."""
+    fit = Choice.best([{**p, "sources": [] if p["sources"] is None else list(p["sources"])} for p in pool if p["score"] >= policy.score_floor])
+    if budget <= 0 or not fit:
+        return []
+    return Choice(budget, policy).start(picks(fit, budget, policy)).refill(fit).rows()
+
+
+#: Rows of a session that one step of the refill looks at, for each place of the budget.
+BLOCK = 64
 
 
 def allocate(pool: DataFrame, budget: int, policy: Policy) -> DataFrame:
-    """``choose`` for each session; only what a choice can take reaches the session's task.
+    """``choose`` for each session, (session_id, paper_id, position, score), without bringing a session's pool together.
 
-    Picks come from the best ``width`` rows of a session and of its lanes. The refill after the source
-    cap goes through the whole pool, but of rows with one set of sources it takes the best that are not
-    picked yet, no more than ``budget``; as many may be picked already, so twice as many stay of each set.
+    The first picks come from the best rows of the session, of its recent papers and of each direction; each of these
+    is cut by rank before anything is shuffled. Only sessions whose source cap left places open go on: their rows, numbered
+    by sorted parts, are walked through in blocks of ``BLOCK * budget`` in falling order until every place is taken or
+    the pool ends, so the choice is exact and a task holds one block and the session's choice.
     """
-    width = 8 * max(1, budget)
-    w = Window.partitionBy("session_id").orderBy(F.desc("score"), F.asc("paper_id"))
-    lanes = Window.partitionBy("session_id", "direction", F.col("age_years") < 1.0).orderBy(F.desc("score"), F.asc("paper_id"))
-    alike = Window.partitionBy("session_id", "sources").orderBy(F.desc("score"), F.asc("paper_id"))
-    near = pool.withColumn("_all", F.row_number().over(w)).withColumn("_lane", F.row_number().over(lanes)).withColumn("_alike", F.row_number().over(alike))
-    near = near.where((F.col("_all") <= width) | (F.col("_lane") <= width) | (F.col("_alike") <= 2 * budget))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = choose(pdf.to_dict("records"), budget, policy)
-        made = [(int(pdf["session_id"].iloc[0]), r["paper_id"], i + 1, r["score"]) for i, r in enumerate(rows)]
-        return pd.DataFrame(made, columns=["session_id", "paper_id", "position", "score"])
-
-    return near.groupBy("session_id").applyInPandas(run, "session_id long, paper_id long, position int, score double")
+    made = "session_id long, paper_id long, position int, score double"
+    fit = pool.where(F.col("score") >= policy.score_floor).select(F.col("session_id").cast("long").alias("session_id"), F.col("paper_id").cast("long").alias("paper_id"), "score", "age_years", "direction", F.coalesce("sources", F.array().cast("array<long>")).alias("sources"))
+    if budget <= 0:
+        return fit.select("session_id", "paper_id", F.lit(0).alias("position"), "score").where("false")
+    fit = cut(fit)
+    order = [F.desc("score"), F.asc("paper_id")]
+
+    def top(rows: DataFrame, *by: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("session_id", *by).orderBy(*order))
+        return rows.withColumn("_n", place).where(F.col("_n") <= 2 * budget).drop("_n")
+
+    near = top(fit).unionByName(top(fit.where("age_years < 1.0"))).unionByName(top(fit, "direction")).dropDuplicates(["session_id", "paper_id"])
+    state = "session_id long, state binary, done boolean"
+    records = lambda pdf: [{"paper_id": int(i), "score": float(s), "sources": [int(x) for x in own]} for i, s, own in zip(pdf["paper_id"], pdf["score"], pdf["sources"], strict=True)]
+    told = lambda session, c: pd.DataFrame({"session_id": [int(session)], "state": [c.state().encode()], "done": [c.done]})
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "paper_id"], ascending=[False, True])
+        rows = [{**r, "age_years": a, "direction": d} for r, a, d in zip(records(pdf), pdf["age_years"], pdf["direction"], strict=True)]
+        chosen = [{k: p[k] for k in ("paper_id", "score", "sources")} for p in picks(rows, budget, policy)]
+        return told(pdf["session_id"].iloc[0], Choice(budget, policy).start(chosen))
+
+    def go_on(held: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if held.empty:
+            return pd.DataFrame({"session_id": pd.Series([], dtype="int64"), "state": pd.Series([], dtype="object"), "done": pd.Series([], dtype="bool")})
+        rows = records(pdf.sort_values("_at"))
+        return told(held["session_id"].iloc[0], Choice(budget, policy, held["state"].iloc[0]).refill(rows))
+
+    def finish(frames):
+        for pdf in frames:
+            rows = [(s, p["paper_id"], i + 1, p["score"]) for s, x in zip(pdf["session_id"], pdf["state"], strict=True) for i, p in enumerate(Choice(budget, policy, x).rows())]
+            yield pd.DataFrame(rows, columns=["session_id", "paper_id", "position", "score"])
+
+    now = cut(near.groupBy("session_id").applyInPandas(begin, state))
+    done, pending = now.where("done"), now.where("not done")
+    if not pending.isEmpty():
+        placed = cut(ranked_within(fit.join(pending.select("session_id"), "session_id", "left_semi").select("session_id", "paper_id", "score", "sources"), "session_id", order, "_at"))
+        longest, block = placed.agg(F.max("_at")).first()[0], BLOCK * budget
+        for low in range(0, longest, block):
+            rows = placed.where(F.col("_at").between(low + 1, low + block))
+            moved = cut(pending.groupBy("session_id").cogroup(rows.groupBy("session_id")).applyInPandas(go_on, state))
+            done, pending = done.unionByName(moved.where("done")), moved.where("not done")
+            if pending.isEmpty():
+                break
+        done = done.unionByName(pending)
+    return done.mapInPandas(finish, made)
