@@ -43,10 +43,13 @@ def merge_papers(sightings: DataFrame, guarded: tuple = ("citation_count",), opt
 
 
 def merge_nodes(writes: DataFrame) -> DataFrame:
-    """State and depth of the latest write; score and added_by of the latest that names them."""
+    """State and depth of the latest write; score, added_by and, where the writes have them, features, breakdown and the position
+    (x, y, together) of the latest that names them."""
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
     return writes.groupBy("session_id", "paper_id").agg(
-        F.max_by("state", "seq").alias("state"), F.max_by("depth", "seq").alias("depth"), known("score"), known("added_by")
+        F.max_by("state", "seq").alias("state"), F.max_by("depth", "seq").alias("depth"), known("score"), known("added_by"),
+        *[known(c) for c in ("features", "breakdown") if c in writes.columns],
+        *([F.max_by(c, F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("seq"))).alias(c) for c in ("x", "y")] if {"x", "y"} <= set(writes.columns) else []),
     )
 
 

@@ -15,10 +15,16 @@ HARVEST = "id string, categories string, created string, updated string"
 
 def snapshot(lines: DataFrame) -> DataFrame:
     """JSON lines (value) to (arxiv_id, primary_category, categories, updated); bad lines are skipped."""
+    good = _parsed(lines).where("_good")
+    return good.select("arxiv_id", F.element_at("categories", 1).alias("primary_category"), "categories", "updated")
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Every line, with ``_good`` where it has an id and a category."""
     row = F.from_json("value", "id string, categories string, update_date string")
     found = lines.select(row.alias("r")).select(F.col("r.id").alias("arxiv_id"), F.split(F.trim("r.categories"), r"\s+").alias("categories"), F.col("r.update_date").alias("updated"))
-    good = found.where(F.col("arxiv_id").isNotNull() & (F.length(F.trim("arxiv_id")) > 0) & (F.element_at("categories", 1) != ""))
-    return good.select("arxiv_id", F.element_at("categories", 1).alias("primary_category"), "categories", "updated")
+    good = F.col("arxiv_id").isNotNull() & (F.length(F.trim("arxiv_id")) > 0) & (F.try_element_at("categories", F.lit(1)) != "")
+    return found.withColumn("_good", F.coalesce(good, F.lit(False)))
 
 
 def read_snapshot(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -49,22 +55,23 @@ def _unzipped(frames):
 
 
 def watermark(lines: DataFrame) -> DataFrame:
-    """One row: lines loaded, lines skipped, the latest update."""
-    loaded = snapshot(lines).agg(F.count("*").alias("loaded"), F.max("updated").alias("watermark"))
-    return loaded.join(lines.agg(F.count("*").alias("_all"))).select("loaded", (F.col("_all") - F.col("loaded")).alias("skipped"), "watermark")
+    """One row: lines loaded, lines skipped, the latest update; one pass over the lines."""
+    found = _parsed(lines)
+    return found.agg(F.count_if("_good").alias("loaded"), F.count_if(~F.col("_good")).alias("skipped"), F.max(F.when(F.col("_good"), F.col("updated"))).alias("watermark"))
 
 
-def harvest_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def harvest_pages(pages: DataFrame, keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """Whole answers (page_id, value) to (records, (page_id, token)); names count without their namespaces.
 
-    An empty or missing resumption token is null, which ends a harvest; a page that is no XML has neither.
+    An empty or missing resumption token is null, which ends a harvest; a page that is no XML has neither. Records have
+    the columns ``keep`` of their page beside their own.
     """
     bare = F.regexp_replace(F.regexp_replace("value", r"<(/?)[A-Za-z_][\w.-]*:", "<$1"), r"\s(?:xmlns(?::[\w.-]+)?|[\w.-]+:[\w.-]+)=(\"[^\"]*\"|'[^']*')", "")
-    clean = pages.select("page_id", bare.alias("value"))
-    blocks = clean.select("page_id", F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<record\b.*?</record>"), F.lit(0))).alias("record"))
-    inner = blocks.select("page_id", F.regexp_extract("record", r"(?s)<arXiv\b[^>]*>.*?</arXiv>", 0).alias("value")).where("value <> ''")
+    clean = pages.select("page_id", *[c for c in keep if c != "page_id"], bare.alias("value"))
+    blocks = clean.select(*keep, F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<record\b.*?</record>"), F.lit(0))).alias("record"))
+    inner = blocks.select(*keep, F.regexp_extract("record", r"(?s)<arXiv\b[^>]*>.*?</arXiv>", 0).alias("value")).where("value <> ''")
     token = F.trim(F.regexp_extract("value", r"(?s)<resumptionToken\b[^>]*>([^<]*)</resumptionToken>", 1))
-    return harvest(inner), clean.select("page_id", F.when(token != "", token).alias("token"))
+    return harvest(inner, keep), clean.select("page_id", F.when(token != "", token).alias("token"))
 
 
 def harvest_params(since: str | None = None, kind: str = "cs", token: str | None = None) -> dict[str, str]:
@@ -74,15 +81,16 @@ def harvest_params(since: str | None = None, kind: str = "cs", token: str | None
     return {"verb": "ListRecords", "metadataPrefix": "arXiv", "set": kind, **({"from": since} if since else {})}
 
 
-def harvest(records: DataFrame) -> DataFrame:
-    """XML records (value) to the same shape; ``updated`` else ``created``."""
+def harvest(records: DataFrame, keep: tuple = ()) -> DataFrame:
+    """XML records (value) to the same shape, with the columns ``keep``; ``updated`` else ``created``."""
     r = F.from_xml("value", HARVEST)
-    found = records.select(r.alias("r"))
+    found = records.select(*keep, r.alias("r"))
     return found.where(F.col("r.id").isNotNull() & (F.trim(F.coalesce("r.categories", F.lit(""))) != "")).select(
         F.col("r.id").alias("arxiv_id"),
         F.element_at(F.split(F.trim("r.categories"), r"\s+"), 1).alias("primary_category"),
         F.split(F.trim("r.categories"), r"\s+").alias("categories"),
         F.coalesce("r.updated", "r.created").alias("updated"),
+        *keep,
     )
 
 

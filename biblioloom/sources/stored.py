@@ -5,6 +5,9 @@ table, the version that holds it and the last batch that is in. A write puts its
 writes the manifest last, so a reader sees all of a batch or nothing, and a crash before the manifest leaves the version
 before it. A batch id that the manifest has seen is not applied again. One writer at a time.
 
+A table may be kept in buckets of its key (``merge``): a merge reads and writes only the buckets that its changes touch, and
+the manifest goes on naming the older folders of all others.
+
 Files go through Spark and Hadoop's file system, so the folder may lie in any store that Spark reads.
 """
 
@@ -14,6 +17,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Versioned:
@@ -45,10 +49,33 @@ class Versioned:
     def is_new(self, batch_id: int | None) -> bool:
         return batch_id is None or batch_id > self.manifest()["batch"]
 
-    def read(self, name: str) -> DataFrame | None:
-        """The table as of now; None where no version holds it."""
-        folder = self.manifest()["tables"].get(name)
-        return None if folder is None else self.spark.read.parquet(f"{self.path}/{folder}")
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame | None:
+        """The table as of now, of a bucketed one only some ``buckets`` where they are given; None where no version holds it."""
+        tables = self.manifest()["tables"]
+        if name in tables:
+            return self.spark.read.parquet(f"{self.path}/{tables[name]}")
+        held = {int(k.rsplit("#", 1)[1]): f"{self.path}/{f}" for k, f in tables.items() if k.rsplit("#", 1)[0] == name and "#" in k}
+        paths = [f for b, f in sorted(held.items()) if buckets is None or b in buckets]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def merge(self, name: str, changes: DataFrame, key: list[str], fold, batch_id: int | None = None, buckets: int = 64, also: dict[str, DataFrame] | None = None) -> bool:
+        """Folds ``changes`` into a bucketed table; False where the batch is in already.
+
+        ``fold`` gets old and new rows of the touched buckets together, with a column ``_new`` (0 and 1), and gives the rows of the
+        table. ``also`` are other tables that change with it. The number of buckets belongs to the table and must stay.
+        """
+        if not self.is_new(batch_id):
+            return False
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+        fresh = self.stage(changes, batch_id, f"{name}-changes")
+        touched = [r[0] for r in fresh.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        both, old = fresh.withColumn("_new", F.lit(1)), self.read(name, touched)
+        if old is not None:
+            both = old.withColumn("_new", F.lit(0)).unionByName(both, allowMissingColumns=True)
+        made = fold(both).withColumn("_bucket", bucket)
+        folder = f"data/{self.manifest()['version'] + 1:012d}-{uuid.uuid4().hex}"
+        made.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}/{name}")
+        return self.commit(also or {}, batch_id, {f"{name}#{b}": f"{folder}/{name}/_bucket={b}" for b in touched})
 
     def stage(self, df: DataFrame, batch_id: int | None, name: str) -> DataFrame:
         """``df`` written beside the versions and read again, for results that a batch uses more than once."""
@@ -56,8 +83,8 @@ class Versioned:
         df.write.parquet(folder)
         return self.spark.read.parquet(folder)
 
-    def commit(self, tables: dict[str, DataFrame], batch_id: int | None = None) -> bool:
-        """Writes the tables as one new version; False where the batch is in already."""
+    def commit(self, tables: dict[str, DataFrame], batch_id: int | None = None, folders: dict[str, str] | None = None) -> bool:
+        """Writes the tables as one new version, with ``folders`` that are written already; False where the batch is in already."""
         now = self.manifest()
         if batch_id is not None and batch_id <= now["batch"]:
             return False
@@ -66,7 +93,7 @@ class Versioned:
         for name, df in tables.items():
             written[name] = f"{folder}/{name}"
             df.write.parquet(f"{self.path}/{written[name]}")
-        new = {"version": version, "batch": now["batch"] if batch_id is None else batch_id, "tables": {**now["tables"], **written}}
+        new = {"version": version, "batch": now["batch"] if batch_id is None else batch_id, "tables": {**now["tables"], **(folders or {}), **written}}
         draft = self._at(f"manifests/.{version:012d}-{uuid.uuid4().hex}.tmp")
         out = self._fs.create(draft, True)
         try:
