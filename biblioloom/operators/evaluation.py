@@ -182,3 +182,35 @@ def evaluate(runs: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 def fuse(rankings: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of several rankings (paper_id, rank); planned extension."""
     return rankings.groupBy("paper_id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("fused"))
+
+
+def sweep_metrics(cases: DataFrame, truth: DataFrame, grid: list[dict[str, float]], k: int) -> DataFrame:
+    """(run, recall, hit, rr, ndcg, cases): mean metrics at k of every weight configuration of ``grid``.
+
+    ``cases`` (case_id, paper_id, features) are all candidates, each once for a case, ranked by falling score, ties by id. All
+    configurations go through one pass without sorting a case: a first aggregate keeps, for each configuration and
+    case, the k best rows, a second one counts how many rows stand before the best true one. Both combine before
+    the shuffle. A case of ``truth`` without candidates counts as 0.
+    """
+    true = truth.select("case_id", "paper_id").distinct()
+    size = true.groupBy("case_id").agg(F.count("*").alias("n_true"))
+    weigh = lambda w: sum((F.lit(float(x)) * F.coalesce(F.try_element_at("features", F.lit(n)), F.lit(0.0)) for n, x in sorted(w.items())), F.lit(0.0))
+    scored = cases.select("case_id", "paper_id", F.posexplode(F.array(*[weigh(w) for w in grid])).alias("run", "score"))
+    marked = scored.join(true.withColumn("_true", F.lit(True)), ["case_id", "paper_id"], "left").withColumn("_true", F.col("_true").isNotNull())
+    # by (score, -id) the greatest come first; max_by and the top-k keep bounded state for each group
+    order = F.struct(F.col("score").alias("score"), (-F.col("paper_id")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("run", "case_id").orderBy(F.desc("score"), F.asc("paper_id")))
+    top = marked.withColumn("rank", place).where(F.col("rank") <= k)  # cut to k rows a group in every task before the shuffle
+    got = top.where("_true").groupBy("run", "case_id").agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    best = marked.where("_true").groupBy("run", "case_id").agg(F.max(order).alias("_best"))
+    before = marked.join(best, ["run", "case_id"]).where(order > F.col("_best")).groupBy("run", "case_id").agg(F.count("*").alias("_before"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_true", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    runs = cases.sparkSession.range(len(grid)).select(F.col("id").cast("int").alias("run"))
+    whole = size.join(F.broadcast(runs))  # one row for each configuration of the grid
+    each = whole.join(got, ["run", "case_id"], "left").join(best.select("run", "case_id", F.lit(True).alias("_met")), ["run", "case_id"], "left").join(before, ["run", "case_id"], "left")
+    found = F.coalesce("found", F.lit(0))
+    return each.groupBy("run").agg(
+        F.avg(found / F.col("n_true")).alias("recall"), F.avg((found > 0).cast("double")).alias("hit"),
+        F.avg(F.when(F.col("_met"), 1.0 / (F.coalesce("_before", F.lit(0)) + 1)).otherwise(0.0)).alias("rr"),
+        F.avg(F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"), F.count("*").alias("cases"),
+    )

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from biblioloom.config import PROXY
-from biblioloom.operators import communities, events, graph, vectors
+from biblioloom.config import AS_OF_YEAR, PROXY
+from biblioloom.functions import scores
+from biblioloom.operators import communities, evaluation, events, graph, vectors
 from biblioloom.operators.lineage import cut, shared_folder
 from biblioloom.plans import proxy
-from biblioloom.plans.queries import REPLAY, query
+from biblioloom.plans.queries import RANKED, RATE, RECENCY, REPLAY, candidates_of, query, truth_of
 from biblioloom.sources.stored import Versioned
 from biblioloom.streaming import replay
 
@@ -146,3 +147,24 @@ def label_batches(d):
     writer.write(asked, 0)
     writer.write(asked, 0)
     return store.read("nodes").select("session_id", "paper_id", "state")
+
+
+# Evaluation of a weight grid ------------------------------------------------------------------
+
+
+@query("x14_grid_metrics", f"""WITH {RANKED.split("truth AS")[0].rstrip().rstrip(",")}, truth AS (SELECT citing_id AS case_id, cited_id AS paper_id FROM px_edges WHERE cited_id % 3 = 0),
+n AS (SELECT case_id, count(*) AS n FROM truth GROUP BY case_id),
+grid AS (SELECT CAST(i * 10 + j AS INT) AS run, CAST(i AS DOUBLE) / 10 AS a, CAST(j AS DOUBLE) / 10 AS b FROM range(10) x(i), range(10) y(j)),
+scored AS (SELECT g.run, c.case_id, c.paper_id, 0.0 + g.a * ({RATE}) + g.b * ({RECENCY}) AS score FROM cand c JOIN px_papers p ON p.paper_id = c.paper_id, grid g),
+placed AS (SELECT *, row_number() OVER (PARTITION BY run, case_id ORDER BY score DESC, paper_id) AS rank FROM scored),
+hit AS (SELECT p.run, p.case_id, min(rank) AS best, count(*) FILTER (rank <= 20) AS f, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 20), 0) AS dcg
+  FROM placed p JOIN truth t ON t.case_id = p.case_id AND t.paper_id = p.paper_id GROUP BY p.run, p.case_id),
+ideal AS (SELECT case_id, n, (SELECT sum(1 / log2(i + 1)) FROM (SELECT unnest(range(1, 21)) AS i) WHERE i <= n.n) AS idcg FROM n)
+SELECT g.run, round(avg(coalesce(f, 0) / CAST(n AS DOUBLE)), 6) AS recall, round(avg(CAST(coalesce(f, 0) > 0 AS INT)), 6) AS hit, round(avg(coalesce(1.0 / best, 0)), 6) AS rr,
+  round(avg(coalesce(dcg, 0) / idcg), 6) AS ndcg, count(*) AS cases
+FROM ideal i CROSS JOIN grid g LEFT JOIN hit h ON h.case_id = i.case_id AND h.run = g.run GROUP BY g.run""")
+def grid_metrics(d):
+    made = F.create_map(F.lit("quality"), scores.ranked_rate(F.col("citation_count"), F.col("year"), AS_OF_YEAR), F.lit("recency"), scores.recency(F.col("year"), AS_OF_YEAR))
+    grid = [{"quality": i / 10, "recency": j / 10} for i in range(10) for j in range(10)]
+    found = evaluation.sweep_metrics(candidates_of(d).withColumn("features", made), truth_of(d).where("paper_id % 3 = 0"), grid, 20)
+    return found.select("run", *[F.round(c, 6).alias(c) for c in ("recall", "hit", "rr", "ndcg")], "cases")

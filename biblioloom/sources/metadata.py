@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from biblioloom.sources.archive import read_archives
+
 PAPER = (
     "paperId string, title string, year int, publicationDate string, venue string, citationCount long, referenceCount long,"
     " externalIds struct<DOI:string,ArXiv:string>, fieldsOfStudy array<string>, publicationTypes array<string>,"
@@ -30,30 +32,12 @@ def _parsed(lines: DataFrame) -> DataFrame:
 def read_snapshot(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """A snapshot file or folder: JSON lines, or zip archives of them; at most ``limit`` lines where it is given.
 
-    An archive cannot be split, so each is read in one task, line by line.
+    Archives are read member by member (``archive``), whatever their size.
     """
-    if not path.endswith(".zip"):
-        lines = spark.read.text(path)
-    else:
-        lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unzipped, "value string")
+    lines = read_archives(spark, path).select("value") if path.endswith(".zip") else spark.read.text(path)
     return snapshot(lines if limit is None else lines.limit(limit))
 
 
-def _unzipped(frames):
-    import io
-    import zipfile
-
-    import pandas as pd
-
-    for frame in frames:
-        for content in frame["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for name in z.namelist():
-                    with z.open(name) as f:
-                        while lines := f.readlines(8 << 20):
-                            yield pd.DataFrame({"value": [x.decode("utf-8", "replace").rstrip("\r\n") for x in lines]})
-
-
 def watermark(lines: DataFrame) -> DataFrame:
     """One row: lines loaded, lines skipped, the latest update; one pass over the lines."""
     found = _parsed(lines)
