@@ -119,9 +119,11 @@ def enforce_cutoff(candidates: DataFrame, date: str, cutoff: str) -> DataFrame:
     return candidates.where(visible(F.col(date), F.col(cutoff)))
 
 
-def eligible_targets(edges: DataFrame, papers: DataFrame, low: int, high: int, least: int, limit: int) -> DataFrame:
+def eligible_targets(edges: DataFrame, papers: DataFrame, low: int, high: int, least: int, limit: int | None) -> DataFrame:
+    """Papers of the years ``low`` to ``high`` with at least ``least`` references; the first ``limit`` by id, or all."""
     refs = edges.groupBy(F.col("citing_id").alias("paper_id")).agg(F.countDistinct("cited_id").alias("n_refs")).where(F.col("n_refs") >= least)
-    return refs.join(papers.where(F.col("year").between(low, high)).select("paper_id", "year"), "paper_id").orderBy("paper_id").limit(limit)
+    found = refs.join(papers.where(F.col("year").between(low, high)).select("paper_id", "year"), "paper_id")
+    return found if limit is None else found.orderBy("paper_id").limit(limit)
 
 
 def make_cases(targets: DataFrame, references: DataFrame, least: int = MIN_REFERENCES, seeds: int = SEEDS, seed: int = SEED) -> DataFrame:

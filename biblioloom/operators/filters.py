@@ -195,6 +195,11 @@ def sanity(title: Column, year: Column, retracted: Column) -> Column:
     )
 
 
+def applied(title: Column, policy: Policy) -> Column:
+    """Planned stage: a term of an applied domain puts a paper into quarantine, never out."""
+    return F.when(any_term(title, policy.applied_terms), verdict("QUARANTINE", "APPLIED", "APPLIED_TERM")).otherwise(verdict("ACCEPT", "APPLIED", "OK"))
+
+
 def broad_gate(fields: Column, allowed: tuple = ALLOWED_FIELDS, excluded: tuple = EXCLUDED_FIELDS) -> Column:
     """The older broad gate: papers without fields pass, and those with an allowed field; else a single excluded field drops a paper.
 

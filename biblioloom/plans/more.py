@@ -12,6 +12,7 @@ from biblioloom.operators import communities, evaluation, events, graph, vectors
 from biblioloom.operators.lineage import cut, shared_folder
 from biblioloom.plans import proxy
 from biblioloom.plans.queries import RANKED, RATE, RECENCY, REPLAY, candidates_of, query, truth_of
+from biblioloom.sources import archive, metadata
 from biblioloom.sources.stored import Versioned
 from biblioloom.streaming import replay
 
@@ -168,3 +169,45 @@ def grid_metrics(d):
     grid = [{"quality": i / 10, "recency": j / 10} for i in range(10) for j in range(10)]
     found = evaluation.sweep_metrics(candidates_of(d).withColumn("features", made), truth_of(d).where("paper_id % 3 = 0"), grid, 20)
     return found.select("run", *[F.round(c, 6).alias(c) for c in ("recall", "hit", "rr", "ndcg")], "cases")
+
+
+# Sources --------------------------------------------------------------------------------------
+
+
+@query("s11_neighbour_papers", """SELECT 'c' || l_orderkey AS center, 'BACKWARD' AS direction, 'p' || l_partkey AS s2_paper_id, p_name AS title, CAST(p_size AS INT) AS year,
+  CASE WHEN p_partkey % 2 = 0 THEN l_linenumber ELSE 0 END AS citation_count, CASE WHEN p_partkey % 3 = 0 THEN '10.1/' || p_partkey END AS doi, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS n_authors
+FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 7 <> 0""")
+def neighbour_papers(d):
+    rows = d.lineitem.join(d.part, F.col("p_partkey") == F.col("l_partkey"))
+    k, odd = F.col("p_partkey"), F.col("p_partkey") % 2
+    author = lambda i, n: F.struct(F.lit(i).cast("string").alias("authorId"), F.lit(n).cast("string").alias("name"))
+    paper = F.struct(
+        F.concat(F.lit("p"), k.cast("string")).alias("paperId"), F.when(k % 7 != 0, F.col("p_name")).alias("title"), F.col("p_size").alias("year"),
+        F.when(odd == 0, F.col("l_linenumber")).alias("citationCount"), F.struct(F.when(k % 3 == 0, F.concat(F.lit("10.1/"), k.cast("string"))).alias("DOI")).alias("externalIds"),
+        F.when(odd == 0, F.array(author("1", "A"), author(None, "B"), author("2", None))).alias("authors"),
+    )
+    center = F.concat(F.lit("c"), F.col("l_orderkey").cast("string"))
+    own = F.struct(F.struct(center.alias("paperId"), F.lit("itself").alias("title")).alias("citedPaper"))
+    value = F.concat(F.lit('{"data":['), F.to_json(F.struct(paper.alias("citedPaper"))), F.lit(","), F.to_json(own), F.lit("]}"))
+    found = metadata.neighbour_papers(rows.select(center.alias("center"), F.lit("BACKWARD").alias("direction"), value.alias("value")))
+    return found.select("center", "direction", "s2_paper_id", "title", "year", "citation_count", "doi", F.greatest(F.size("authors"), F.lit(0)).alias("n_authors"))
+
+
+@query("s15_export", "SELECT paper_id, title, venue, year, citation_count FROM px_papers")
+def export(d):
+    """Written as CSV and read back."""
+    path = f"{shared_folder(d.spark)}/export-{uuid.uuid4().hex}"
+    rows = d.px_papers.select("paper_id", "title", "venue", "year", "citation_count")
+    metadata.export(rows, path, "csv")
+    return d.spark.read.schema(rows.schema).csv(path, header=True)
+
+
+@query("s02_archive_snapshot", """SELECT count(*) FILTER (WHERE p_partkey % 10 <> 0) AS loaded, count(*) FILTER (WHERE p_partkey % 10 = 0) AS skipped, max(CASE WHEN p_partkey % 10 <> 0 THEN '20' || lpad(CAST(p_size AS VARCHAR), 2, '0') END) AS watermark FROM part""")
+def archive_snapshot(d):
+    """Lines of the parts, written as compressed archives by Spark's tasks and read member by member."""
+    path = f"{shared_folder(d.spark)}/archives-{uuid.uuid4().hex}"
+    k = F.col("p_partkey")
+    good = F.to_json(F.struct(F.concat(F.lit("id"), k.cast("string")).alias("id"), F.lit("cs.X").alias("categories"), F.concat(F.lit("20"), F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("update_date")))
+    lines = d.part.select(F.when(k % 10 == 0, F.lit("{")).otherwise(good).alias("value"))
+    archive.write_archives(lines, path)
+    return metadata.watermark(archive.read_archives(d.spark, path, 4096).select("value"))

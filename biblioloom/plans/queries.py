@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioloom.config import AS_OF_YEAR, PROXY, GateTerms
+from biblioloom.config import AS_OF_YEAR, DEFAULT, PROXY, GateTerms
 from biblioloom.functions import dates, scores, text
 from biblioloom.operators import corpus, evaluation, events, filters, graph, legacy, ranking, runs
 from biblioloom.operators.lineage import cut, numbered
@@ -1164,7 +1164,7 @@ def eligible(d):
 
 @query("e08_make_cases")
 def cases(d):
-    targets = evaluation.eligible_targets(d.px_edges, d.px_papers, 1995, 2000, 15, 50)
+    targets = evaluation.eligible_targets(d.px_edges, d.px_papers, 1995, 2000, 15, None)
     return evaluation.make_cases(targets, evaluation.dated_references(d.px_edges, dated(d)))
 
 
@@ -1351,17 +1351,19 @@ def full_reach(d):
     return graph.reach(d.px_edges, d.px_anchors.where("paper_id = 3"), None).select("paper_id")
 
 
-@query("g14_cascade_delete", """WITH RECURSIVE e AS (SELECT citing_id AS a, cited_id AS b FROM px_edges WHERE citing_id % 5 = 0 AND cited_id % 5 = 0 UNION SELECT cited_id, citing_id FROM px_edges WHERE citing_id % 5 = 0 AND cited_id % 5 = 0),
+@query("g14_cascade_delete", """WITH RECURSIVE one AS (SELECT citing_id, min(cited_id) AS cited_id FROM px_edges WHERE cited_id > citing_id GROUP BY citing_id),
+e AS (SELECT citing_id AS a, cited_id AS b FROM one UNION SELECT cited_id, citing_id FROM one),
 walk AS (SELECT paper_id AS p FROM px_anchors UNION SELECT e.b FROM walk w JOIN e ON e.a = w.p) SELECT paper_id FROM px_papers WHERE paper_id NOT IN (SELECT p FROM walk)""")
 def cascade_delete(d):
-    links = d.px_edges.where("citing_id % 5 = 0 and cited_id % 5 = 0")  # a sparse graph, so that some papers go
+    # of every paper the citation of the next paper by id: a sparse graph, so that some papers go
+    links = d.px_edges.where("cited_id > citing_id").groupBy("citing_id").agg(F.min("cited_id").alias("cited_id"))
     return graph.reachable(links, d.px_anchors, d.px_papers.select("paper_id"))[1]
 
 
 @query("g15_explore_node", "SELECT other FROM (SELECT cited_id AS other FROM px_edges WHERE citing_id = 3 UNION SELECT citing_id FROM px_edges WHERE cited_id = 3) x JOIN px_papers p ON p.paper_id = x.other WHERE p.category IN ('STANDARD', 'PROMO')")
 def explore_node(d):
     near = legacy.neighbours(d.px_edges, d.px_papers.where("paper_id = 3")).select("other").distinct()
-    gate = d.px_papers.where(filters.broad_gate(F.array("category"), ("standard", "promo"))).select(F.col("paper_id").alias("other"))
+    gate = d.px_papers.where(filters.broad_gate(F.array("category"), ("STANDARD", "PROMO"), ("LARGE", "MEDIUM", "SMALL", "ECONOMY"))).select(F.col("paper_id").alias("other"))
     return near.join(gate, "other", "left_semi")
 
 
@@ -1518,9 +1520,13 @@ def seed_lines(d):
     return metadata.seed_lines(d.part.select(k.alias("pos"), F.when(k % 10 == 0, " # x").when(k % 5 == 0, "  ").otherwise(F.concat("p_name", F.lit(" "))).alias("value")))
 
 
-@query("x14_applied_terms", "SELECT doc_id, CASE WHEN contains(lower(text), 'idiot') THEN 'QUARANTINE' ELSE 'ACCEPT' END AS outcome FROM documents")
+#: The policy's terms, and one that the invented texts hold.
+APPLIED = (*DEFAULT.applied_terms, "idiot")
+
+
+@query("x14_applied_terms", "SELECT doc_id, CASE WHEN " + " OR ".join(f"contains(lower(text), '{t}')" for t in APPLIED) + " THEN 'QUARANTINE|APPLIED|APPLIED_TERM' ELSE 'ACCEPT|APPLIED|OK' END AS verdict FROM documents")
 def applied_terms(d):
-    return d.documents.select("doc_id", F.when(filters.any_term(F.col("text"), ("idiot",)), "QUARANTINE").otherwise("ACCEPT").alias("outcome"))
+    return d.documents.select("doc_id", told(filters.applied(F.col("text"), DEFAULT.merged(applied_terms=APPLIED))).alias("verdict"))
 
 
 from biblioloom.plans import more  # noqa: E402, F401  (registers further queries)

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_BYTES, PIECE = 64 << 20, 4 << 20
@@ -143,3 +144,27 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     """(archive, member, value) of the archive or folder of archives at ``path``."""
     spark.dataSource.register(ArchiveLines)
     return spark.read.format("archive_lines").option("range_bytes", range_bytes).load(path)
+
+
+def write_archives(lines: DataFrame, path: str, stored: bool = True) -> None:
+    """Lines (value) as archives in the folder ``path``, one for each partition, written by the tasks."""
+    kind = zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED
+    system, folder = located(path)
+    system.create_dir(folder, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        system, folder = located(path)
+        target = f"{folder}/part-{context.partitionId():05d}.zip"
+        draft, rows = f"{folder}/.part-{context.partitionId():05d}-{context.taskAttemptId()}", 0
+        with system.open_output_stream(draft) as f, zipfile.ZipFile(f, "w", kind) as z, z.open("lines.json", "w", force_zip64=True) as m:
+            for b in batches:
+                for v in b.column(0).to_pylist():
+                    m.write(((v or "") + "\n").encode())
+                    rows += 1
+        system.move(draft, target)  # a task that runs again writes the same file
+        yield pa.RecordBatch.from_arrays([pa.array([rows])], ["n"])
+
+    lines.select("value").mapInArrow(write, "n long").agg(F.sum("n")).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +89,21 @@ def latest_metadata(rows: DataFrame, seq: str = "seq") -> DataFrame:
 
 def papers(pages: DataFrame) -> DataFrame:
     """API papers (JSON in value) to rows; without id or title they are dropped, null counts are 0."""
-    p = F.from_json("value", PAPER)
-    return pages.select(p.alias("p")).where("p.paperId is not null and p.title is not null").select(
-        F.col("p.paperId").alias("s2_paper_id"), F.col("p.title").alias("title"), F.col("p.year").alias("year"), F.col("p.venue").alias("venue"),
+    return _paper_rows(pages.select(F.from_json("value", PAPER).alias("p")))
+
+
+def neighbour_papers(pages: DataFrame) -> DataFrame:
+    """Neighbour pages (center, direction, value) to the paper at the other end of each edge, as ``papers`` gives it, beside its center and
+    direction: what ``ingest`` takes. Papers without id or title and the center itself are dropped."""
+    paper = "struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", PAPER) + ">"
+    each = pages.select("center", "direction", F.explode(F.from_json("value", f"data array<struct<citedPaper:{paper},citingPaper:{paper}>>")["data"]).alias("d"))
+    other = each.select("center", "direction", F.when(F.col("direction") == "BACKWARD", F.col("d.citedPaper")).otherwise(F.col("d.citingPaper")).alias("p"))
+    return _paper_rows(other.where("p.paperId <> center"), "center", "direction")
+
+
+def _paper_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.where("p.paperId is not null and p.title is not null").select(
+        *keep, F.col("p.paperId").alias("s2_paper_id"), F.col("p.title").alias("title"), F.col("p.year").alias("year"), F.col("p.venue").alias("venue"),
         F.coalesce("p.citationCount", F.lit(0)).alias("citation_count"), F.col("p.externalIds.DOI").alias("doi"), F.col("p.externalIds.ArXiv").alias("arxiv"),
         F.filter("p.authors", lambda a: a["authorId"].isNotNull() & a["name"].isNotNull()).alias("authors"),
     )
