@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioloom.functions.dates import latest, visible
-from biblioloom.operators.lineage import ranked_within
+from biblioloom.operators.lineage import cut, ranked_within
 
 RESAMPLES, SEED, BLOCKS = 1000, 20260916, 10
+#: Names of runs that are sent to every task at most.
+FEW_RUNS = 10_000
 MIN_REFERENCES, SEEDS = 15, 3
 
 
@@ -22,8 +24,8 @@ def unique_ranking(ranked: DataFrame, k: int | None = None) -> DataFrame:
     The list is cut before repeats collapse, so a repeat within it takes a place and brings nothing new.
     ``rank`` counts anew, ``first`` is the place in the list as it came.
     """
-    cut = ranked if k is None else ranked.where(F.col("rank") <= k)
-    first = cut.groupBy("case_id", "paper_id").agg(F.min("rank").alias("first"))
+    head = ranked if k is None else ranked.where(F.col("rank") <= k)
+    first = head.groupBy("case_id", "paper_id").agg(F.min("rank").alias("first"))
     w = Window.partitionBy("case_id").orderBy("first", "paper_id")
     return first.select("case_id", "paper_id", F.row_number().over(w).alias("rank"), "first")
 
@@ -170,7 +172,8 @@ def bfs_baseline(candidates: DataFrame) -> DataFrame:
 def evaluate(runs: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Mean metrics with bootstrap intervals of each run of ``runs`` (run, case_id, paper_id, rank)."""
     named = runs.withColumn("_case", F.struct("run", "case_id"))
-    cases = truth.select("case_id", "paper_id").distinct().join(F.broadcast(runs.select("run").distinct()))  # a few runs
+    names = cut(runs.select("run").distinct())
+    cases = truth.select("case_id", "paper_id").distinct().join(F.broadcast(names) if names.count() <= FEW_RUNS else names)
     scored = metrics(
         named.select(F.col("_case").alias("case_id"), "paper_id", "rank"),
         cases.select(F.struct("run", "case_id").alias("case_id"), "paper_id"), k,

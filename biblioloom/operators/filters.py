@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from biblioloom.config import ALLOWED_FIELDS, EXCLUDED_FIELDS, TOPIC_GROUPS, GateTerms, Policy
 from biblioloom.functions.scores import survey_rate
+from biblioloom.operators.lineage import counted
 
 # Title patterns of the type stage.
 SURVEY = r"(?i)^(?:(?:a|an|the)\s+)?(?:\w+\s+){0,2}(survey|review|overview)\b(?=\s+(?:of|on|in|for)\b|\s*[:\-]|$)"
@@ -146,6 +147,15 @@ def cached_cascade(papers: DataFrame, decisions: DataFrame, policy: Policy, as_o
     return judged.withColumn("hit", F.col("known").isNotNull()).withColumn("verdict", F.coalesce("known", "verdict")).drop("known")
 
 
+def counted_cascade(papers: DataFrame, decisions: DataFrame, policy: Policy, as_of: int) -> tuple[DataFrame, Observation]:
+    """``cached_cascade`` and what it met (papers, hits, accepted, quarantined, rejected), counted in the pass that uses it."""
+    outcome = lambda o: F.count_if(F.col("verdict.outcome") == o)
+    return counted(
+        cached_cascade(papers, decisions, policy, as_of), papers=F.count("*"), hits=F.count_if("hit"),
+        accepted=outcome("ACCEPT"), quarantined=outcome("QUARANTINE"), rejected=outcome("REJECT"),
+    )
+
+
 def record(decisions: DataFrame, fresh: DataFrame) -> DataFrame:
     """Decisions after ``fresh`` ones replaced those of the same paper, scope and version."""
     same = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(plain, spark)
 
 
+def counted(df: DataFrame, **counts) -> tuple[DataFrame, Observation]:
+    """``df`` with aggregates that are taken while an action passes over its rows, without another pass.
+
+    ``observation.get`` has them after the first action; a task that runs again counts once.
+    """
+    seen = Observation()
+    return df.observe(seen, *[c.alias(n) for n, c in counts.items()]), seen
+
+
 def numbered(rows: DataFrame, order: list, name: str, total: str | None = None) -> DataFrame:
     """``rows`` with their place (from 1) in ``order``: sorted parts, numbered each, moved on by the sizes of
     the parts before. Only the counts of parts meet in one task. With ``total``, a column of numbers,

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from biblioloom.config import AS_OF_YEAR, PROXY
 from biblioloom.functions import scores
-from biblioloom.operators import communities, evaluation, events, graph, vectors
+from biblioloom.operators import communities, evaluation, events, filters, graph, vectors
 from biblioloom.operators.lineage import cut, shared_folder
 from biblioloom.plans import proxy
-from biblioloom.plans.queries import RANKED, RATE, RECENCY, REPLAY, candidates_of, query, truth_of
+from biblioloom.plans.queries import CASCADE_SQL, RANKED, RATE, RECENCY, REPLAY, candidates_of, query, titled, truth_of
 from biblioloom.sources import archive, metadata
 from biblioloom.sources.stored import Versioned
 from biblioloom.streaming import replay
@@ -211,3 +211,18 @@ def archive_snapshot(d):
     lines = d.part.select(F.when(k % 10 == 0, F.lit("{")).otherwise(good).alias("value"))
     archive.write_archives(lines, path)
     return metadata.watermark(archive.read_archives(d.spark, path, 4096).select("value"))
+
+
+@query("f11_counted_cascade", CASCADE_SQL + """SELECT count(*) AS papers, count(*) FILTER (paper_id % 4 = 0) AS hits, count(*) FILTER (outcome = 'ACCEPT') AS accepted,
+  count(*) FILTER (outcome = 'QUARANTINE') AS quarantined, count(*) FILTER (outcome = 'REJECT') AS rejected
+FROM (SELECT paper_id, CASE WHEN paper_id % 4 = 0 THEN 'REJECT' ELSE split_part(v, '|', 1) END AS outcome FROM judged)""")
+def counted_cascade(d):
+    """Verdicts are written once; the counts come from that same pass."""
+    known = d.px_papers.where("paper_id % 4 = 0").select(
+        "paper_id", F.lit(None).cast("long").alias("session_id"), F.lit(PROXY.version).alias("config_version"),
+        F.lit("REJECT").alias("outcome"), F.lit("TYPE").alias("stage"), F.lit("IS_DATASET").alias("reason"),
+    )
+    judged, seen = filters.counted_cascade(titled(d), known, PROXY, AS_OF_YEAR)
+    judged.write.parquet(f"{shared_folder(d.spark)}/judged-{uuid.uuid4().hex}")
+    names = ("papers", "hits", "accepted", "quarantined", "rejected")
+    return d.spark.createDataFrame([tuple(seen.get[n] for n in names)], ", ".join(f"{n} long" for n in names))

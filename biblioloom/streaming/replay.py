@@ -86,11 +86,18 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def replay_into(events: DataFrame, nodes: Versioned, checkpoint: str):
-    """Starts the stream from ``events`` to the stored nodes over all that is there now; it goes on from its checkpoint when started again."""
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    writer = state_changes(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(lambda rows, batch_id: upsert(nodes, rows, batch_id)).trigger(availableNow=True).start()
+    """Starts the stream from ``events`` to the stored nodes over all that is there now; it goes on from its checkpoint when started again.
+
+    A stream keeps the settings that hold when it starts, so the session's own state store is set back at once.
+    """
+    conf, name = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKS)
+    try:
+        writer = state_changes(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        return writer.foreachBatch(lambda rows, batch_id: upsert(nodes, rows, batch_id)).trigger(availableNow=True).start()
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 class LabelWriter:
