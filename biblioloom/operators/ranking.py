@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from biblioloom.config import Policy
 from biblioloom.functions import scores
 from biblioloom.operators import filters, graph
-from biblioloom.operators.lineage import cut, numbered, ranked_within
+from biblioloom.operators.lineage import cut, join_hot, numbered, ranked_within
 
 
 def rank_percentile(rows: DataFrame, value: str, name: str, by: list[str]) -> DataFrame:
@@ -78,6 +78,29 @@ def feature_pass(papers: DataFrame, edges: DataFrame, anchors: DataFrame, policy
     return made.withColumn("score", score).withColumn("breakdown", terms)
 
 
+#: Fixed value: h-indices from here on say no more.
+MOST_H = 60
+
+
+def author_prior(papers: DataFrame, bylines: DataFrame, authors: DataFrame, young: Column | None = None) -> DataFrame:
+    """(paper_id, h_index, known, authors, author_prior): what the authors say of papers that nothing else speaks of yet.
+
+    ``bylines`` (paper_id, author_id, position) are joined with ``authors`` (author_id, name, h_index): the greatest known
+    h-index of a paper's authors (null where none is known), how many are known, and the names in the order of the byline.
+    ``author_prior`` is the percentile of that h-index (from ``MOST_H`` on all count alike) among the papers that have one; with ``young``, a condition on ``papers``, only
+    papers that fulfil it have a prior and count for it. An author with very many papers is joined by ``join_hot``.
+    """
+    own = cut(bylines.select("paper_id", "author_id", "position").where("author_id is not null"))
+    table = authors.groupBy("author_id").agg(F.max("name").alias("name"), F.max("h_index").alias("h_index"))
+    met = join_hot(own, table, "author_id", own.count())
+    byline = F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda a: a["name"])
+    found = met.groupBy("paper_id").agg(F.max("h_index").alias("h_index"), F.count("h_index").alias("known"), byline.alias("authors"))
+    rows = papers.select("paper_id", (F.lit(True) if young is None else F.coalesce(young, F.lit(False))).alias("_young")).join(found, "paper_id", "left")
+    rows = rows.withColumn("_h", F.when(F.col("_young"), F.least("h_index", F.lit(MOST_H))))
+    made = percentiles(rows, "paper_id", ["_h"]).withColumnRenamed("_h_pct", "author_prior")
+    return made.select("paper_id", "h_index", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), "author_prior")
+
+
 def rescore(nodes: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Scores from stored feature maps; a node without features has none."""
     found = {n: F.try_element_at("features", F.lit(n)) for n in weights}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from biblioloom.config import AS_OF_YEAR, PROXY
 from biblioloom.functions import scores
-from biblioloom.operators import communities, evaluation, events, filters, graph, vectors
+from biblioloom.operators import communities, evaluation, events, filters, graph, ranking, vectors
 from biblioloom.operators.lineage import cut, shared_folder
 from biblioloom.plans import proxy
 from biblioloom.plans.queries import CASCADE_SQL, RANKED, RATE, RECENCY, REPLAY, candidates_of, query, titled, truth_of
@@ -226,3 +226,22 @@ def counted_cascade(d):
     judged.write.parquet(f"{shared_folder(d.spark)}/judged-{uuid.uuid4().hex}")
     names = ("papers", "hits", "accepted", "quarantined", "rejected")
     return d.spark.createDataFrame([tuple(seen.get[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+# Author prior ---------------------------------------------------------------------------------
+
+
+@query("x14_author_prior", """WITH byline AS (SELECT l_partkey AS paper_id, o_custkey AS author_id, min(l_orderkey) AS position FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1 GROUP BY 1, 2),
+author AS (SELECT c_custkey AS author_id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 60 END AS h_index FROM customer),
+found AS (SELECT paper_id, max(h_index) AS h, count(h_index) AS known, string_agg(name, ';' ORDER BY position, name) AS authors FROM byline JOIN author USING (author_id) GROUP BY paper_id),
+rows AS (SELECT p.paper_id, f.h, coalesce(f.known, 0) AS known, coalesce(f.authors, '') AS authors, CASE WHEN p.year >= 1999 THEN f.h END AS own FROM px_papers p LEFT JOIN found f ON f.paper_id = p.paper_id),
+pct AS (SELECT own, dense_rank() OVER (ORDER BY own) - 1 AS i FROM (SELECT DISTINCT own FROM rows WHERE own IS NOT NULL))
+SELECT r.paper_id, r.h AS h_index, r.known, r.authors, round(CASE WHEN (SELECT count(*) FROM pct) = 1 AND r.own IS NOT NULL THEN 0.5 ELSE i / CAST((SELECT max(i) FROM pct) AS DOUBLE) END, 9) AS author_prior
+FROM rows r LEFT JOIN pct ON pct.own = r.own""")
+def author_prior(d):
+    first = d.lineitem.where("l_linenumber = 1").join(d.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    bylines = first.groupBy(F.col("l_partkey").alias("paper_id"), F.col("o_custkey").alias("author_id")).agg(F.min("l_orderkey").alias("position"))
+    k = F.col("c_custkey")
+    authors = d.customer.select(k.alias("author_id"), F.col("c_name").alias("name"), F.when(k % 3 != 0, k % 60).alias("h_index"))
+    found = ranking.author_prior(d.px_papers, bylines, authors, F.col("year") >= 1999)
+    return found.select("paper_id", "h_index", "known", F.array_join("authors", ";").alias("authors"), F.round("author_prior", 9).alias("author_prior"))
