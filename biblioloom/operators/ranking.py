@@ -96,7 +96,7 @@ def author_prior(papers: DataFrame, bylines: DataFrame, authors: DataFrame, youn
     byline = F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda a: a["name"])
     found = met.groupBy("paper_id").agg(F.max("h_index").alias("h_index"), F.count("h_index").alias("known"), byline.alias("authors"))
     rows = papers.select("paper_id", (F.lit(True) if young is None else F.coalesce(young, F.lit(False))).alias("_young")).join(found, "paper_id", "left")
-    rows = rows.withColumn("_h", F.when(F.col("_young"), F.least("h_index", F.lit(MOST_H))))
+    rows = rows.withColumn("_h", F.when(F.col("_young") & F.col("h_index").isNotNull(), F.least("h_index", F.lit(MOST_H))))
     made = percentiles(rows, "paper_id", ["_h"]).withColumnRenamed("_h_pct", "author_prior")
     return made.select("paper_id", "h_index", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), "author_prior")
 
