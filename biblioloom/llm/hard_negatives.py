@@ -93,7 +93,7 @@ def grow(x: np.ndarray, depth: int) -> Tree:
 def fit(rows: DataFrame, count: int, block: int) -> Tree:
     """A tree for ``count`` rows with about ``block`` in each leaf, fitted on at most ``SAMPLE`` rows chosen by a hash of their id."""
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "_x").limit(SAMPLE).select("_x").toArrow()
-    x = np.array([v.as_py() for v in some.column(0)], float)
+    x = matrix(some.column(0).combine_chunks()).astype(float)
     depth = max(0, min(math.ceil(math.log2(max(1, count / block))), int(math.log2(max(1, len(x) / 32))), DEEPEST))
     return grow(x, depth)
 
