@@ -70,12 +70,21 @@ def duplicate_groups(keyed: DataFrame) -> DataFrame:
 def title_matches(probes: DataFrame, papers: DataFrame) -> DataFrame:
     """Least paper with an equal title whose year and first author's surname do not contradict.
 
-    A title without letters or digits is no key and matches nothing.
+    A title without letters or digits is no key and matches nothing. Papers are folded to their least id for each title,
+    year and surname, each of which is known, unknown or (for probes that do not know it) any; probes look up at most four
+    of these keys, so rows of a very frequent title never meet each other.
     """
-    p = papers.select("paper_id", normalize_title(F.col("title")).alias("t"), F.col("year").alias("py"), surname_of(F.col("author")).alias("ps")).where("t <> ''")
-    q = probes.select("probe_id", normalize_title(F.col("title")).alias("t"), F.col("year").alias("qy"), surname_of(F.col("author")).alias("qs")).where("t <> ''")
-    fits = (F.coalesce(F.col("py") == F.col("qy"), F.lit(True))) & (F.coalesce(F.col("ps") == F.col("qs"), F.lit(True)))
-    return q.join(p, "t").where(fits).groupBy("probe_id").agg(F.min("paper_id").alias("paper_id"))
+    raw = ["title", "year", "author"]
+    keyed = lambda rows: rows.withColumns({"t": normalize_title(F.col("title")), "s": surname_of(F.col("author"))}).where("t <> ''")
+    key = lambda kind, v, none: F.struct(F.lit(kind).alias("kind"), F.coalesce(v, F.lit(none)).alias("v"))
+    held = lambda v, none: F.array(F.when(v.isNull(), key("unknown", v, none)).otherwise(key("is", v, none)), key("any", F.lit(None), none))
+    asked = lambda v, none: F.when(v.isNull(), F.array(key("any", v, none))).otherwise(F.array(key("is", v, none), key("unknown", F.lit(None), none)))
+    at = lambda rows, side: rows.withColumn("_y", F.explode(side(F.col("year").cast("long"), 0))).withColumn("_s", F.explode(side(F.col("s"), "")))
+    p = at(keyed(papers.groupBy(*raw).agg(F.min("paper_id").alias("paper_id"))), held).groupBy("t", "_y", "_s").agg(F.min("paper_id").alias("paper_id"))
+    q = at(keyed(probes.select(*raw).distinct()), asked)
+    found = q.join(p, ["t", "_y", "_s"]).groupBy(*raw).agg(F.min("paper_id").alias("paper_id"))
+    same = [F.col(f"q.{c}").eqNullSafe(F.col(f"f.{c}")) for c in raw]
+    return probes.alias("q").join(found.alias("f"), same).groupBy("probe_id").agg(F.min("f.paper_id").alias("paper_id"))
 
 
 def shorter_distance(writes: DataFrame) -> DataFrame:
