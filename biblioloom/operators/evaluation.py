@@ -6,16 +6,20 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioloom.functions.dates import latest, visible
-from biblioloom.operators.lineage import cut, ranked_within
+from biblioloom.operators.lineage import cut, ranked_within, written
 
 RESAMPLES, SEED, BLOCKS = 1000, 20260916, 10
 #: Names of runs that are sent to every task at most.
 FEW_RUNS = 10_000
 MIN_REFERENCES, SEEDS = 15, 3
+#: Rows of a case that one task scores whole, rows of a part of wider cases, and scores held at once.
+WIDE, PART, CELLS = 100_000, 50_000, 1 << 20
+SUMS = ("recall", "hit", "rr", "ndcg", "cases")
 
 
 def unique_ranking(ranked: DataFrame, k: int | None = None) -> DataFrame:
@@ -30,6 +34,11 @@ def unique_ranking(ranked: DataFrame, k: int | None = None) -> DataFrame:
     return first.select("case_id", "paper_id", F.row_number().over(w).alias("rank"), "first")
 
 
+def _ideal(k: int):
+    """The greatest discounted gain at k of a case of ``n_true`` true papers."""
+    return F.aggregate(F.sequence(F.lit(1), F.least("n_true", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+
+
 def metrics(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """recall, hit and NDCG at k and the reciprocal rank of every case of ``truth``.
 
@@ -41,7 +50,7 @@ def metrics(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     got = unique_ranking(ranked, k).join(true, ["case_id", "paper_id"]).groupBy("case_id")
     got = got.agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     best = ranked.join(true, ["case_id", "paper_id"]).groupBy("case_id").agg(F.min("rank").alias("best"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_true", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    ideal = _ideal(k)
     return size.join(got, "case_id", "left").join(best, "case_id", "left").select(
         "case_id",
         (F.coalesce("found", F.lit(0)) / F.col("n_true")).alias("recall"),
@@ -189,33 +198,159 @@ def fuse(rankings: DataFrame, k: int = 60) -> DataFrame:
     return rankings.groupBy("paper_id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("fused"))
 
 
+class _Sweep:
+    """Scores and ranks of whole blocks of candidates for all weight configurations at once (rows sorted by case, id, truth)."""
+
+    def __init__(self, grid: list[dict[str, float]], k: int):
+        self.names = sorted({n for w in grid for n in w})
+        self.weights = np.array([[float(w.get(n, 0.0)) for n in self.names] for w in grid]).reshape(len(grid), len(self.names))
+        self.k, self.discount = k, 1 / np.log2(np.arange(k) + 2.0)
+
+    def scores(self, features: np.ndarray, runs: slice = slice(None)) -> np.ndarray:
+        """runs x the shape of the rows, whose features come last; summed in the order of names."""
+        out = np.zeros((len(self.weights[runs]), *features.shape[:-1]))
+        for j in range(len(self.names)):
+            out += self.weights[runs, j].reshape(-1, *[1] * (features.ndim - 1)) * features[..., j]
+        return out
+
+    def order(self, scores: np.ndarray) -> np.ndarray:
+        """Falling scores along the last axis, equal ones as they come; NaN counts as the greatest, as in Spark."""
+        return np.argsort(np.where(np.isnan(scores), -np.inf, -scores), axis=-1, kind="stable")
+
+    @staticmethod
+    def marked(case: np.ndarray, paper: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows are true candidates, and which are the first row of a true paper."""
+        same = (case[1:] == case[:-1]) & (paper[1:] == paper[:-1])
+        return ~truth & np.append(same & truth[1:], False), truth & ~np.append(False, same & truth[:-1])
+
+    def sums(self, case: np.ndarray, paper: np.ndarray, truth: np.ndarray, features: np.ndarray, into: np.ndarray) -> None:
+        """Adds recall, hit, reciprocal rank, NDCG and the number of whole cases to ``into`` (runs x 5)."""
+        if not len(case):
+            return
+        hit, first = self.marked(case, paper, truth)
+        start = np.flatnonzero(np.append(True, case[1:] != case[:-1]))
+        n_true, n_hit = np.add.reduceat(first, start, dtype=np.int64), np.add.reduceat(hit, start, dtype=np.int64)
+        into[:, 4] += (n_true > 0).sum()
+        rows = np.flatnonzero(~truth)
+        n = np.add.reduceat(~truth, start, dtype=np.int64)
+        at = np.cumsum(n) - n
+        ideal = np.cumsum(self.discount)
+        wide = np.where(n <= 64, -(-n // 8) * 8, 2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+        for m in np.unique(wide[n_hit > 0]):
+            cases = np.flatnonzero((wide == m) & (n_hit > 0))
+            runs = max(1, min(len(self.weights), CELLS // int(m)))
+            some = max(1, CELLS // int(m * runs))
+            for c in (cases[i : i + some] for i in range(0, len(cases), some)):
+                inside = np.arange(m) < n[c, None]
+                own = rows[np.where(inside, at[c, None] + np.arange(m), at[c, None])]
+                true, values = hit[own] & inside, features[own]
+                for r in range(0, len(self.weights), runs):
+                    scores = np.where(inside, self.scores(values, slice(r, r + runs)), -np.inf)  # what fills up comes last
+                    placed = np.take_along_axis(np.broadcast_to(true, scores.shape), self.order(scores), -1)
+                    head = placed[..., : self.k]
+                    found = head.sum(axis=-1)
+                    dcg = head @ self.discount[: head.shape[-1]]
+                    part = into[r : r + runs]
+                    part[:, 0] += (found / n_true[c]).sum(axis=-1)
+                    part[:, 1] += (found > 0).sum(axis=-1)
+                    part[:, 2] += (1.0 / (placed.argmax(axis=-1) + 1)).sum(axis=-1)
+                    part[:, 3] += (dcg / ideal[np.minimum(n_true[c], self.k) - 1]).sum(axis=-1)
+
+
 def sweep_metrics(cases: DataFrame, truth: DataFrame, grid: list[dict[str, float]], k: int) -> DataFrame:
     """(run, recall, hit, rr, ndcg, cases): mean metrics at k of every weight configuration of ``grid``.
 
-    ``cases`` (case_id, paper_id, features) are all candidates, each once for a case, ranked by falling score, ties by id. All
-    configurations go through one pass without sorting a case: a first aggregate keeps, for each configuration and
-    case, the k best rows, a second one counts how many rows stand before the best true one. Both combine before
-    the shuffle. A case of ``truth`` without candidates counts as 0.
+    ``cases`` (case_id, paper_id, features) are all candidates, each once for a case, ranked by falling score, ties by id. They are
+    shuffled once by case, with their features: a task scores its cases for all configurations and gives one sum for each. Cases of over ``WIDE``
+    rows are dealt to parts instead: a part gives its k best rows and its best true one, then counts the rows before
+    the best true one of the case. A case of ``truth`` without candidates counts as 0; rows without an id take no part.
     """
-    true = truth.select("case_id", "paper_id").distinct()
-    size = true.groupBy("case_id").agg(F.count("*").alias("n_true"))
-    weigh = lambda w: sum((F.lit(float(x)) * F.coalesce(F.try_element_at("features", F.lit(n)), F.lit(0.0)) for n, x in sorted(w.items())), F.lit(0.0))
-    scored = cases.select("case_id", "paper_id", F.posexplode(F.array(*[weigh(w) for w in grid])).alias("run", "score"))
-    marked = scored.join(true.withColumn("_true", F.lit(True)), ["case_id", "paper_id"], "left").withColumn("_true", F.col("_true").isNotNull())
-    # by (score, -id) the greatest come first; max_by and the top-k keep bounded state for each group
-    order = F.struct(F.col("score").alias("score"), (-F.col("paper_id")).alias("at"))
+    spark, sweep, n_runs = cases.sparkSession, _Sweep(grid, k), len(grid)
+    names = [f"f{j}" for j in range(len(sweep.names))]
+    ids = [F.col(c).cast("long").alias(c) for c in ("case_id", "paper_id")]
+    rows = cases.select(*ids, F.lit(False).alias("truth"), *[F.coalesce(F.try_element_at("features", F.lit(n)).cast("double"), F.lit(0.0)).alias(f) for f, n in zip(names, sweep.names, strict=True)])
+    true = truth.select(*ids, F.lit(True).alias("truth"), *[F.lit(0.0).alias(f) for f in names])
+    rows, drop = written(rows.unionByName(true).where("case_id is not null and paper_id is not null"))
+    wide = cut(rows.groupBy("case_id").agg(F.count("*").alias("n")).where(F.col("n") > WIDE).select("case_id", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    block = lambda t: (t["case_id"].to_numpy(), t["paper_id"].to_numpy(), t["truth"].to_numpy(zero_copy_only=False), np.stack([t[f].to_numpy() for f in names], axis=1) if names else np.zeros((t.num_rows, 0)))
+
+    def small(batches):
+        into, left = np.zeros((n_runs, 5)), None
+        for batch in batches:
+            own = block(batch)
+            if not len(own[0]):
+                continue
+            left = own if left is None else tuple(np.concatenate(x) for x in zip(left, own, strict=True))
+            if left[0][-1] != left[0][0]:
+                cut_at = np.searchsorted(left[0], left[0][-1])  # the last case may go on
+                sweep.sums(*[x[:cut_at] for x in left], into)
+                left = tuple(x[cut_at:] for x in left)
+        if left is not None:
+            sweep.sums(*left, into)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_runs, dtype=np.int32)), *[pa.array(x) for x in into.T]], names=["run", *SUMS])
+
+    # as many wide cases as rows / WIDE
+    met = rows.join(F.broadcast(wide), "case_id", "left_anti").repartition("case_id").sortWithinPartitions("case_id", "paper_id", "truth")
+    summed = met.mapInArrow(small, "run int, " + ", ".join(f"{c} double" for c in SUMS))
+    if not wide.isEmpty():
+        summed = summed.unionByName(_wide_sums(rows.join(F.broadcast(wide), "case_id"), wide, sweep, names))
+    whole = cut(summed.groupBy("run").agg(*[F.sum(c).alias(c) for c in SUMS]).where("cases > 0"))
+    drop()
+    return whole.select("run", *[(F.col(c) / F.col("cases")).alias(c) for c in SUMS[:-1]], F.col("cases").cast("long").alias("cases"))
+
+
+def _wide_sums(rows: DataFrame, wide: DataFrame, sweep: _Sweep, names: list[str]) -> DataFrame:
+    """The sums of cases that are dealt to parts of about ``PART`` rows."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("paper_id"), F.col("parts")).cast("int"))
+    n_runs, key = len(sweep.weights), ["case_id", "part"]
+
+    def sorted_part(pdf: pd.DataFrame):
+        pdf = pdf.sort_values(["paper_id", "truth"])
+        case, paper, truth = pdf["case_id"].to_numpy(), pdf["paper_id"].to_numpy(), pdf["truth"].to_numpy(bool)
+        hit, first = sweep.marked(case, paper, truth)
+        return case[0], paper[~truth], hit[~truth], int(first.sum()), pdf[names].to_numpy(float).reshape(len(pdf), len(names))[~truth]
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        case, paper, hit, n_true, features = sorted_part(pdf)
+        out = [pd.DataFrame({"case_id": [case], "run": [-1], "paper_id": [n_true], "score": [0.0], "hit": [False]})]
+        for r in range(n_runs if len(paper) else 0):
+            score = sweep.scores(features, slice(r, r + 1))[0]
+            order = sweep.order(score)
+            take = order[: sweep.k]
+            if hit.any() and not hit[take].any():
+                take = np.append(take, order[hit[order].argmax()])  # behind k rows of its own part, so never among the k best
+            out.append(pd.DataFrame({"case_id": case, "run": r, "paper_id": paper[take], "score": score[take], "hit": hit[take]}))
+        return pd.concat(out)
+
+    def before(pdf: pd.DataFrame, bests: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or bests.empty:
+            return pd.DataFrame({"case_id": [], "run": [], "before": []})
+        case, paper, _, _, features = sorted_part(pdf)
+        made = []
+        for r, top, at in zip(bests["run"], bests["score"], bests["paper_id"], strict=True):
+            score = sweep.scores(features, slice(r, r + 1))[0]
+            if np.isnan(top):
+                ahead = np.isnan(score) & (paper < at)
+            else:
+                ahead = np.isnan(score) | (score > top) | ((score == top) & (paper < at))
+            made.append((case, r, int(ahead.sum())))
+        return pd.DataFrame(made, columns=["case_id", "run", "before"])
+
+    told = cut(rows.groupBy(*key).applyInPandas(best, "case_id long, run int, paper_id long, score double, hit boolean"))
+    size = told.where("run < 0").groupBy("case_id").agg(F.sum("paper_id").alias("n_true")).where("n_true > 0")
     place = F.row_number().over(Window.partitionBy("run", "case_id").orderBy(F.desc("score"), F.asc("paper_id")))
-    top = marked.withColumn("rank", place).where(F.col("rank") <= k)  # cut to k rows a group in every task before the shuffle
-    got = top.where("_true").groupBy("run", "case_id").agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    best = marked.where("_true").groupBy("run", "case_id").agg(F.max(order).alias("_best"))
-    before = marked.join(best, ["run", "case_id"]).where(order > F.col("_best")).groupBy("run", "case_id").agg(F.count("*").alias("_before"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_true", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-    runs = cases.sparkSession.range(len(grid)).select(F.col("id").cast("int").alias("run"))
-    whole = size.join(F.broadcast(runs))  # one row for each configuration of the grid
-    each = whole.join(got, ["run", "case_id"], "left").join(best.select("run", "case_id", F.lit(True).alias("_met")), ["run", "case_id"], "left").join(before, ["run", "case_id"], "left")
+    top = told.where("run >= 0").withColumn("rank", place).where((F.col("rank") <= sweep.k) & F.col("hit"))
+    got = top.groupBy("run", "case_id").agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    first = told.where("hit").groupBy("run", "case_id").agg(F.max(F.struct("score", (-F.col("paper_id")).alias("at"))).alias("_b"))
+    first = first.select("case_id", "run", F.col("_b.score").alias("score"), (-F.col("_b.at")).alias("paper_id"))
+    dealt = first.join(F.broadcast(wide), "case_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    ahead = rows.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(before, "case_id long, run int, before long")
+    ahead = ahead.groupBy("run", "case_id").agg(F.sum("before").alias("before"))
+    runs = rows.sparkSession.range(n_runs).select(F.col("id").cast("int").alias("run"))
+    each = size.join(F.broadcast(runs)).join(got, ["run", "case_id"], "left").join(ahead, ["run", "case_id"], "left")
     found = F.coalesce("found", F.lit(0))
     return each.groupBy("run").agg(
-        F.avg(found / F.col("n_true")).alias("recall"), F.avg((found > 0).cast("double")).alias("hit"),
-        F.avg(F.when(F.col("_met"), 1.0 / (F.coalesce("_before", F.lit(0)) + 1)).otherwise(0.0)).alias("rr"),
-        F.avg(F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"), F.count("*").alias("cases"),
+        F.sum(found / F.col("n_true")).alias("recall"), F.sum((found > 0).cast("double")).alias("hit"),
+        F.sum(F.coalesce(1.0 / (F.col("before") + 1), F.lit(0.0))).alias("rr"),
+        F.sum(F.coalesce("dcg", F.lit(0.0)) / _ideal(sweep.k)).alias("ndcg"), F.count("*").cast("double").alias("cases"),
     )

@@ -1,10 +1,13 @@
 """Work that once grew faster than its tables: results against plain Python, on rows that meet under one key."""
 
 import contextlib
+import math
 import random
 import threading
 
-from biblioloom.operators import corpus
+import pytest
+
+from biblioloom.operators import corpus, evaluation
 
 
 @contextlib.contextmanager
@@ -40,3 +43,47 @@ def test_title_matches_by_pairs(spark):
         if fit:
             want[i] = min(fit)
     assert {x["probe_id"]: x["paper_id"] for x in corpus.title_matches(probes, table).collect()} == want
+
+
+@pytest.mark.parametrize("wide", [100_000, 12])
+def test_grid_metrics_of_small_and_wide_cases(spark, monkeypatch, wide):
+    """Each weight configuration by sorting, also where cases are dealt to parts; ties, cases without candidates, truth twice."""
+    monkeypatch.setattr(evaluation, "WIDE", wide)
+    monkeypatch.setattr(evaluation, "PART", 5)
+    monkeypatch.setattr(evaluation, "CELLS", 64)
+    r, k = random.Random(8), 4
+    grid = [{"a": i / 2, "b": j / 2} for i in range(3) for j in range(3)]
+    sizes = [*range(0, 40, 3), 90, 170]
+    rows = [(c, p, {"a": float(r.randrange(4)), "b": r.choice([0.5, 1.0, 2.0])} if p % 5 else {"b": 1.5}) for c, n in enumerate(sizes) for p in r.sample(range(200), n)]
+    truth = [(c, p) for c in range(len(sizes)) for p in r.sample(range(200), 30 if c % 4 else 0)]
+    table = spark.createDataFrame(rows, "case_id long, paper_id long, features map<string,double>").repartition(3)
+    got = {x["run"]: x for x in evaluation.sweep_metrics(table, spark.createDataFrame(truth + truth[:50], "case_id long, paper_id long"), grid, k).collect()}
+    true = {c: {p for d, p in truth if d == c} for c, _ in truth}
+    assert sorted(got) == list(range(9))
+    for i, w in enumerate(grid):
+        sums = [0.0] * 4
+        for c, own in true.items():
+            placed = [p for _, p in sorted((-sum(w[n] * f.get(n, 0.0) for n in "ab"), p) for d, p, f in rows if d == c)]
+            hits = [j for j, p in enumerate(placed) if p in own]
+            dcg = sum(1 / math.log2(j + 2) for j in hits if j < k)
+            best = sum(1 / math.log2(j + 2) for j in range(min(k, len(own))))
+            found = sum(j < k for j in hits)
+            sums = [s + x for s, x in zip(sums, (found / len(own), found > 0, 1 / (hits[0] + 1) if hits else 0, dcg / best), strict=True)]
+        assert [got[i][m] for m in ("recall", "hit", "rr", "ndcg")] == pytest.approx([s / len(true) for s in sums])
+        assert got[i]["cases"] == len(true)
+
+
+def shuffled(spark):
+    """Bytes that tasks have written for shuffles so far."""
+    return sum(x.totalShuffleWrite() for x in [spark._jsc.sc().statusStore().executorList(False).apply(0)])
+
+
+def test_grid_metrics_shuffle_candidates_once(spark):
+    """With a hundred times the configurations, as much goes through shuffles as candidates are, not a hundred times that."""
+    cases = spark.range(40_000).selectExpr("id % 4000 AS case_id", "id AS paper_id", "map('a', double(id % 7)) AS features")
+    wrote = []
+    for n in (1, 100):
+        before = shuffled(spark)
+        evaluation.sweep_metrics(cases, cases.where("paper_id % 3 = 0"), [{"a": i / 10} for i in range(n)], 20).collect()
+        wrote.append(shuffled(spark) - before)
+    assert 0 < wrote[1] < 2 * wrote[0]
