@@ -5,8 +5,8 @@ cells nearest to a query first; with ``exact`` it goes on to every cell whose an
 the k-th found, so the result is that of a full comparison, whatever the cells. Cells are scored in chunks of rows
 against blocks of queries, so neither a popular cell nor many queries meet in one task.
 
-Near duplicates are found by angular signatures: ``TABLES`` keys of ``BITS`` signs of random projections each. A pair at
-the threshold of 0.97 misses all keys with a probability below one in a million. Equal vectors are one class, named by
+Near duplicates are found by angular signatures: keys of signs of random projections, as many as it takes that a pair at the
+threshold misses all of them with a probability of one in a million (``keys_for``). Equal vectors are one class, named by
 its least id; pairs are between classes. Large groups of a key are compared in parts, part against part.
 
 Vectors that are null, empty, zero or not finite have no direction and take no part; neither do those of another length than
@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -29,8 +30,9 @@ from biblioloom.operators.lineage import cut
 
 #: Rows of a cell and queries that are scored at once; cells at most; cells that a search probes first.
 CHUNK, QUERIES, CELLS, PROBES = 8192, 256, 1024, 8
-TABLES, BITS, SEED = 64, 20, 14
-PART = 1024
+SEED = 14
+#: How seldom a pair at the threshold shares no key, signs of a sketch, rows of a part, groups that are compared at once.
+MISS, SKETCH, PART, FEW = 1e-6, 256, 2048, 48
 SLACK = 1e-9
 
 
@@ -138,40 +140,101 @@ def classes(rows: DataFrame) -> DataFrame:
     return own.join(least, "x").select("id", "representative")
 
 
+def keys_for(n: int, threshold: float) -> tuple[int, int, int]:
+    """(signs of a key, keys, differing bits of a sketch at most) for ``n`` vectors: some ten strangers share a key, a pair at ``threshold``
+    misses all keys with a probability of ``MISS`` and lies beyond the sketch's limit (6.5 deviations) far less often."""
+    differ = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    bits = min(24, max(8, math.ceil(math.log2(max(n, 1))) - 4))
+    tables = math.ceil(math.log(MISS) / math.log1p(-max((1 - differ) ** bits, 1e-9))) if differ > 0 else 1
+    return bits, tables, math.ceil(SKETCH * differ + 6.5 * math.sqrt(SKETCH * differ * (1 - differ))) + 1
+
+
 def duplicates(rows: DataFrame, threshold: float = 0.97) -> DataFrame:
-    """(a, b, cosine): pairs of classes with a cosine above ``threshold``, a below b."""
-    own = cut(directions(rows).groupBy("x").agg(F.min("id").alias("id")))
-    planes: dict[int, np.ndarray] = {}
+    """(a, b, cosine): pairs of classes with a cosine above ``threshold``, a below b.
 
-    def sign(frames):
-        for pdf in frames:
-            if not len(pdf):
+    Keys travel with a sketch of ``SKETCH`` signs instead of the vector; only pairs whose sketches are close meet their vectors.
+    """
+    own = cut(directions(rows).groupBy("x").agg(F.min("id").alias("id")))
+    n, length = own.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    if n < 2:
+        return own.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("cosine")).limit(0)
+    bits, tables, far = keys_for(n, threshold)
+    planes = np.random.default_rng(SEED).standard_normal((length, tables * bits + SKETCH))
+    words = [f"s{i}" for i in range(SKETCH // 64)]
+
+    def sign(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i in range(0, len(x), 512):
+                up = x[i : i + 512] @ planes > 0
+                some = len(up)
+                keys = (up[:, : tables * bits].reshape(some, tables, bits) * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+                sketch = np.packbits(up[:, tables * bits :], axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids[i : i + 512], tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), some)), pa.array(keys.ravel()), *[pa.array(np.repeat(sketch[:, j], tables)) for j in range(len(words))]],
+                    names=["id", "which", "bits", *words],
+                )
+
+    keyed = own.select("id", "x").mapInArrow(sign, "id long, which int, bits int, " + ", ".join(f"{w} long" for w in words))
+    wide = cut(keyed.groupBy("which", "bits").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("which", "bits", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    # a part of a wide key meets itself and every other part once; there are at most (rows of keys / PART) wide keys
+    dealt = keyed.join(F.broadcast(wide), ["which", "bits"], "left") if not wide.isEmpty() else keyed.withColumn("parts", F.lit(1))
+    dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = ["which", "bits", "low", "high"]
+    met = met.select("which", "bits", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "id", *words)
+
+    def near(batches):
+        left = None
+        for batch in batches:
+            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(own[0]):
                 continue
-            x = np.stack(pdf["x"].to_numpy())
-            if x.shape[1] not in planes:
-                planes[x.shape[1]] = np.random.default_rng(SEED).standard_normal((x.shape[1], TABLES * BITS))
-            bits = (x @ planes[x.shape[1]] > 0).reshape(len(x), TABLES, BITS)
-            keys = (bits * (1 << np.arange(BITS))).sum(axis=2).astype(np.int32)
-            yield pd.DataFrame({"id": pdf["id"], "keys": list(keys)})
-
-    keyed = own.mapInPandas(sign, "id long, keys array<int>").select("id", F.posexplode("keys").alias("which", "bits"))
-    keyed = cut(keyed)
-    shared = keyed.groupBy("which", "bits").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    held = keyed.join(shared, ["which", "bits"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # a part meets itself and every other part once
-    met = held.select("id", "which", "bits", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    met = met.select("id", "which", "bits", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).join(own, "id")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x, ids = np.stack(pdf["x"].to_numpy()), pdf["id"].to_numpy()
-        i, j = np.nonzero(np.triu(x @ x.T > threshold - SLACK, 1))
-        exact = (x[i] * x[j]).sum(axis=1)
-        keep = exact > threshold
-        return pd.DataFrame({"a": ids[i[keep]], "b": ids[j[keep]], "cosine": exact[keep]})
-
-    found = met.groupBy("which", "bits", "low", "high").applyInPandas(compare, "a long, b long, cosine double")
-    return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+            left = own if left is None else [np.concatenate(c) for c in zip(left, own, strict=True)]
+            last = np.logical_and.reduce([c == c[-1] for c in left[:4]])  # the last group may go on
+            cut_at = 0 if last.all() else len(last) - int(last[::-1].argmin())
+            if cut_at:
+                yield from _close([c[:cut_at] for c in left], far)
+                left = [c[cut_at:] for c in left]
+        if left is not None:
+            yield from _close(left, far)
+
+    candidates = met.repartition(*group).sortWithinPartitions(*group).mapInArrow(near, "a long, b long").distinct()
+    side = lambda c: own.select(F.col("id").alias(c), F.col("x").alias(f"x{c}"))
+
+    @F.pandas_udf("double")
+    def product(u: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series((np.stack(u.to_numpy()) * np.stack(v.to_numpy())).sum(axis=1) if len(u) else [], dtype=float)
+
+    return candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", product("xa", "xb").alias("cosine")).where(F.col("cosine") > threshold)
+
+
+def _close(rows: list[np.ndarray], far: int):
+    """Pairs (a, b) of ids, a below b, inside the groups of the first four columns whose sketches differ in ``far`` bits at most."""
+    ids, sketch = rows[4], np.stack(rows[5:], axis=1).view(np.uint64)
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in rows[:4]])
+    start = np.flatnonzero(np.append(True, new))
+    size = np.diff(np.append(start, len(ids)))
+    for g in np.unique(size[size > 1]):
+        at = start[size == g]
+        for d in range(1, g) if g <= FEW else ():  # many small groups at once
+            i = (at[:, None] + np.arange(g - d)).ravel()
+            yield from _told(ids, i, i + d, np.bitwise_count(sketch[i] ^ sketch[i + d]).sum(axis=1, dtype=np.int32) <= far)
+        for s in at if g > FEW else ():
+            for i in range(s, s + g, 128):
+                own = sketch[i : min(i + 128, s + g)]
+                apart = np.bitwise_count(own[:, None, :] ^ sketch[None, i : s + g, :]).sum(axis=2, dtype=np.int32)
+                u, v = np.nonzero(apart <= far)
+                yield from _told(ids, i + u, i + v, u < v)
+
+
+def _told(ids: np.ndarray, i: np.ndarray, j: np.ndarray, keep: np.ndarray):
+    if keep.any():
+        a, b = ids[i[keep]], ids[j[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def review(pairs: DataFrame, papers: DataFrame, least: float = 0.0) -> DataFrame:

@@ -5,9 +5,10 @@ import math
 import random
 import threading
 
+import numpy as np
 import pytest
 
-from biblioloom.operators import corpus, evaluation
+from biblioloom.operators import corpus, evaluation, vectors
 
 
 @contextlib.contextmanager
@@ -87,3 +88,20 @@ def test_grid_metrics_shuffle_candidates_once(spark):
         evaluation.sweep_metrics(cases, cases.where("paper_id % 3 = 0"), [{"a": i / 10} for i in range(n)], 20).collect()
         wrote.append(shuffled(spark) - before)
     assert 0 < wrote[1] < 2 * wrote[0]
+
+
+def test_duplicates_of_many_strangers(spark):
+    """Keys that strangers share make hundreds of thousands of small groups; they are compared many at once."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((30_000, 12))
+    near = x[::100] + 0.02 * r.standard_normal((300, 12))
+    u = np.vstack([x, near])
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(u.tolist())], "id long, vector array<double>").repartition(8)
+    with ends_within(spark, 60):
+        got = {(x["a"], x["b"]) for x in vectors.duplicates(table, 0.99).collect()}
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = set()
+    for i in range(0, len(u), 1000):
+        a, b = np.nonzero(u[i : i + 1000] @ u.T > 0.99)
+        want |= {(p, q) for p, q in zip((a + i).tolist(), b.tolist(), strict=True) if p < q}
+    assert len(want) >= 250 and got == want
