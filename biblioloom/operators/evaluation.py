@@ -47,9 +47,13 @@ def metrics(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """
     true = truth.select("case_id", "paper_id").distinct()
     size = true.groupBy("case_id").agg(F.count("*").alias("n_true"))
-    got = unique_ranking(ranked, k).join(true, ["case_id", "paper_id"]).groupBy("case_id")
+    # each paper of a case goes through one shuffle, with its first place, and meets the truth there
+    first = ranked.groupBy("case_id", "paper_id").agg(F.min("rank").alias("first"))
+    marked = first.join(true.withColumn("_true", F.lit(True)), ["case_id", "paper_id"], "left")
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("first", "paper_id"))
+    got = marked.where(F.col("first") <= k).withColumn("rank", place).where("_true").groupBy("case_id")
     got = got.agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    best = ranked.join(true, ["case_id", "paper_id"]).groupBy("case_id").agg(F.min("rank").alias("best"))
+    best = marked.where("_true").groupBy("case_id").agg(F.min("first").alias("best"))
     ideal = _ideal(k)
     return size.join(got, "case_id", "left").join(best, "case_id", "left").select(
         "case_id",
@@ -61,16 +65,22 @@ def metrics(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 
 def resampled_means(values: np.ndarray, first: int, count: int, seed: int = SEED) -> np.ndarray:
-    """Means of the resamples from ``first`` on, as ``random.Random(seed).choices`` draws them one after the other.
+    """Means of the resamples from ``first`` on, as ``random.Random(seed).choices`` draws them one after the other."""
+    return _resampled([values], first, count, seed)[0]
+
+
+def _resampled(columns: list[np.ndarray], first: int, count: int, seed: int = SEED) -> np.ndarray:
+    """The same for columns of equal length, which share their draws.
 
     numpy's generator takes over the state of Python's; the draws before ``first`` are passed over.
     """
     *words, at = random.Random(seed).getstate()[1]
-    stream, n = np.random.RandomState(), len(values)
+    stream, n = np.random.RandomState(), len(columns[0])
     stream.set_state(("MT19937", np.array(words, np.uint32), at))
     for _ in range(first):
         stream.random_sample(n)
-    return np.array([values[(stream.random_sample(n) * n).astype(np.int64)].mean() for _ in range(count)])
+    drawn = ((stream.random_sample(n) * n).astype(np.int64) for _ in range(count))
+    return np.array([[v[own].mean() for v in columns] for own in drawn]).reshape(count, len(columns)).T
 
 
 def bounds(resamples: int = RESAMPLES, level: float = 0.95) -> tuple[int, int]:
@@ -89,23 +99,29 @@ def interval(values: list[float], resamples: int = RESAMPLES, seed: int = SEED,
 
 
 def bootstrap(scored: DataFrame, by: str, value: str, order: str) -> DataFrame:
-    """The interval of each group, its values in ``order``; a group is one evaluation run, as many values as it has cases.
+    """The interval of each group, its values in ``order``; a group is one evaluation run, as many values as it has cases."""
+    return bootstraps(scored, by, [value], order).drop("metric")
+
+
+def bootstraps(scored: DataFrame, by: str, values: list[str], order: str) -> DataFrame:
+    """(by, metric, mean, low, high) for each group and column of ``values``, which go through shuffles and draws together.
 
-    A task draws ``RESAMPLES / BLOCKS`` of a group's resamples. It holds the group's values (8 bytes a case): a run
-    of ten million cases needs 80 MB in each of its tasks, and its draws take ten seconds a thousand million.
+    A task draws ``RESAMPLES / BLOCKS`` of a group's resamples. It holds the group's values (8 bytes a case and column): a run
+    of ten million cases needs 80 MB a column in each of its tasks, and its draws take ten seconds a thousand million.
     """
     kind, each = scored.schema[by].dataType.simpleString(), RESAMPLES // BLOCKS
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(order)[value].to_numpy(float)
-        means = resampled_means(values, int(pdf["_block"].iloc[0]) * each, each)
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * each, "mean": values.mean(), "drawn": means})
+        pdf = pdf.sort_values(order)
+        own = [pdf[v].to_numpy(float) for v in values]
+        means = _resampled(own, int(pdf["_block"].iloc[0]) * each, each)
+        return pd.concat([pd.DataFrame({by: [pdf[by].iloc[0]] * each, "metric": v, "mean": x.mean(), "drawn": m}) for v, x, m in zip(values, own, means, strict=True)])
 
-    rows = scored.select(by, value, order).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    means = rows.groupBy(by, "_block").applyInPandas(draw, f"{by} {kind}, mean double, drawn double")
+    rows = scored.select(by, *values, order).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    means = rows.groupBy(by, "_block").applyInPandas(draw, f"{by} {kind}, metric string, mean double, drawn double")
     low, high = bounds(each * BLOCKS)
-    ends = means.groupBy(by).agg(F.first("mean").alias("mean"), F.sort_array(F.collect_list("drawn")).alias("_m"))  # RESAMPLES numbers a group
-    return ends.select(by, "mean", F.get("_m", F.lit(low)).alias("low"), F.get("_m", F.lit(high)).alias("high"))
+    ends = means.groupBy(by, "metric").agg(F.first("mean").alias("mean"), F.sort_array(F.collect_list("drawn")).alias("_m"))  # RESAMPLES numbers a group
+    return ends.select(by, "metric", "mean", F.get("_m", F.lit(low)).alias("low"), F.get("_m", F.lit(high)).alias("high"))
 
 
 def baseline(candidates: DataFrame, key: str) -> DataFrame:
@@ -187,10 +203,9 @@ def evaluate(runs: DataFrame, truth: DataFrame, k: int) -> DataFrame:
         named.select(F.col("_case").alias("case_id"), "paper_id", "rank"),
         cases.select(F.struct("run", "case_id").alias("case_id"), "paper_id"), k,
     )
-    each = scored.select("case_id.run", F.col("case_id.case_id").alias("case_id"), F.explode(F.create_map(*[x for m in ("recall", "hit", "rr", "ndcg") for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "v"))
-    keyed = each.withColumn("key", F.concat_ws("|", "run", "metric"))
-    made = bootstrap(keyed, "key", "v", "case_id")
-    return made.select(F.split("key", "[|]")[0].alias("run"), F.split("key", "[|]")[1].alias("metric"), "mean", "low", "high")
+    names = ["recall", "hit", "rr", "ndcg"]
+    each = scored.select("case_id.run", F.col("case_id.case_id").alias("case_id"), *[F.col(m).cast("double").alias(m) for m in names])
+    return bootstraps(each, "run", names, "case_id")
 
 
 def fuse(rankings: DataFrame, k: int = 60) -> DataFrame:

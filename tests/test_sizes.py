@@ -8,7 +8,7 @@ import threading
 import numpy as np
 import pytest
 
-from biblioloom.operators import corpus, evaluation, vectors
+from biblioloom.operators import corpus, evaluation, lineage, vectors
 
 
 @contextlib.contextmanager
@@ -105,3 +105,21 @@ def test_duplicates_of_many_strangers(spark):
         a, b = np.nonzero(u[i : i + 1000] @ u.T > 0.99)
         want |= {(p, q) for p, q in zip((a + i).tolist(), b.tolist(), strict=True) if p < q}
     assert len(want) >= 250 and got == want
+
+
+def test_evaluate_shares_draws_and_keeps_names(spark):
+    """All metrics of a run go through one bootstrap, under any name; cases large enough to be ranked by parts give the same places."""
+    r, rows = random.Random(9), []
+    for run in ("a|b", "c"):
+        rows += [(run, c, p, i + 1) for c in range(30) for i, p in enumerate(r.sample(range(40), 12))]
+    truth = [(c, p) for c in range(30) for p in r.sample(range(40), 5)]
+    table, true = spark.createDataFrame(rows, "run string, case_id long, paper_id long, rank int"), spark.createDataFrame(truth, "case_id long, paper_id long")
+    got = {(x["run"], x["metric"]): x for x in evaluation.evaluate(table, true, 4).collect()}
+    for run in ("a|b", "c"):
+        found = [sum((run, c, p, i) in rows for i in range(1, 5) for d, p in truth if d == c) / 5 for c in range(30)]
+        x = got[run, "recall"]
+        assert (x["mean"], x["low"], x["high"]) == pytest.approx((sum(found) / 30, *evaluation.interval(found)))
+    assert len(got) == 8
+    ranks = [sorted(map(tuple, evaluation.baseline(table.where("run = 'c'"), "rank").collect())) for lineage.WHOLE in (100_000, 11)]
+    lineage.WHOLE = 100_000
+    assert ranks[0] == ranks[1] and len(ranks[0]) == 360
