@@ -23,11 +23,11 @@ def ends_within(spark, seconds):
 
 
 def test_title_matches_of_one_title(spark):
-    """100,000 papers of one title: 10,000 million pairs, none of which has to be made."""
-    papers = spark.range(100_000).selectExpr("id AS paper_id", "'On Graphs' AS title", "cast(if(id % 11 = 0, null, id % 10) AS int) AS year", "if(id % 7 = 3, null, concat('Ada X', id % 50)) AS author")
-    with ends_within(spark, 120):
+    """300,000 papers of one title: 90,000 million pairs, none of which has to be made."""
+    papers = spark.range(300_000).selectExpr("id AS paper_id", "'On Graphs' AS title", "cast(if(id % 11 = 0, null, id % 10) AS int) AS year", "if(id % 7 = 3, null, concat('Ada X', id % 50)) AS author")
+    with ends_within(spark, 60):
         rows = corpus.title_matches(papers.withColumnRenamed("paper_id", "probe_id"), papers).collect()
-    assert len(rows) == 100_000 and all(x["paper_id"] <= x["probe_id"] for x in rows)
+    assert len(rows) == 300_000 and all(x["paper_id"] <= x["probe_id"] for x in rows)
 
 
 def test_title_matches_by_pairs(spark):
