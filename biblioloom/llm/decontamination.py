@@ -4,9 +4,9 @@
    in it), once, in the shared folder; later passes read numbers only.
 2. Document frequencies of that vocabulary over all texts give the TF-IDF weights; words in over
    ``COMMON`` of the texts weigh nothing, but for items that consist mainly of such words.
-3. A randomised SVD of TF-IDF passages (all benchmark items and the passages of a bounded sample
-   of texts, ``SAMPLE_DOCS``) gives ``RANK`` latent directions: the sketch A'(A Omega) is summed
-   over the executors by term, its orthonormal basis Q is rotated by the eigenvectors of (AQ)'(AQ).
+3. A randomised SVD of TF-IDF passages (of all benchmark items and all texts) gives ``RANK`` latent directions:
+   one pass sums the sketch A'(A Omega) over the executors by term and the small matrix (A Omega)'(A Omega)
+   with it; both give the leading right singular directions (Nystroem's form of the randomised SVD).
 4. Every passage of every text (``WINDOW`` words, starting every ``STEP`` words) is compared with
    every item, or every window of an item of over ``LONG`` words, by the cosine in the latent space;
    those of ``MIN_COSINE`` and more are candidates.
@@ -16,8 +16,7 @@
    item's words to reach ``PARAPHRASE`` in any order; this bound is exact and loses nothing.
 
 A passage equal to an item has cosine 1 if the item lies in the latent space at all; items of which less
-than ``SEEN`` does add their own remainder as a direction. The sample only decides how many candidates
-are checked in vain. Items are handled in blocks of up to ``ITEMS`` and ``BLOCK_WORDS`` words that fit a
+than ``SEEN`` does add their own remainder as a direction. Items are handled in blocks of up to ``ITEMS`` and ``BLOCK_WORDS`` words that fit a
 broadcast; each block has its own vocabulary, weights and space.
 
 Defined results: null or empty texts and items match nothing, nor do items of fewer than ``LEAST`` words,
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 
 from biblioloom.llm.common import cut, small_batches
 
-RANK, OVERSAMPLE, SAMPLE_DOCS = 96, 8, 20_000
+RANK, OVERSAMPLE = 96, 8
 WINDOW, STEP, MIN_COSINE = 32, 16, 0.45
 LONG = 48  # items of more words are searched by their own windows
 COMMON, FLOOR, FEW = 0.2, 0.1, 5
@@ -48,6 +47,8 @@ BUCKETS, REACH = 1024, 128
 ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 LEAST, SEEN = 3, 0.02
 KNOWN_WORDS = 500_000
+#: Words whose rows are gathered at once.
+SLICE = 1 << 13
 EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SCHEMA = (
     "doc_id bigint, item_id bigint, cosine double, lcs_words bigint, item_words bigint, lcs_share double, answer_found boolean"
@@ -161,75 +162,86 @@ def passages(ids: np.ndarray, weights: np.ndarray, live: np.ndarray) -> np.ndarr
     return out
 
 
-def _sketch(ids: np.ndarray, idf: np.ndarray, live: np.ndarray, basis: np.ndarray, into: np.ndarray) -> np.ndarray:
-    """Adds A'(A basis) of one text to ``into``; gives A basis."""
-    z = passages(ids, basis, live)
-    at = live[ids].nonzero()[0]
-    if len(at):
-        per = WINDOW // STEP
-        total = z.copy()  # the windows that a step lies in
-        for d in range(1, per):
-            total[d:] += z[:-d]
-        np.add.at(into, ids[at], idf[ids[at], None] * total[at // STEP])
-    return z
-
-
-def latent_space(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """Vocabulary x RANK: the leading right singular directions of the TF-IDF passages."""
+def _sketch(texts: list[np.ndarray], idf: np.ndarray, live: np.ndarray, basis: np.ndarray, into: np.ndarray, core: np.ndarray) -> None:
+    """Adds A'(A basis) of some texts to ``into`` and (A basis)'(A basis) to ``core``."""
+    per = WINDOW // STEP
+    sizes = np.array([max(1, -(-len(t) // STEP)) + per - 1 for t in texts])  # empty steps keep texts apart
+    ends = np.cumsum(sizes)
+    found = [live[t].nonzero()[0] for t in texts]
+    words = np.concatenate([t[at] for t, at in zip(texts, found, strict=True)])
+    cells = np.concatenate([at // STEP + base for at, base in zip(found, ends - sizes, strict=True)])
+    steps = np.zeros((ends[-1], basis.shape[1]), np.float32)
+    for s in range(0, len(words), SLICE):
+        cell = cells[s : s + SLICE]
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        steps[cell[first]] += np.add.reduceat(basis[words[s : s + SLICE]], first, axis=0)
+    z = steps.copy()
+    for d in range(1, per):
+        z[:-d] += steps[d:]
+        z[ends - d] = 0
+    core += z.T @ z
+    total = z.copy()  # the windows that a step lies in
+    for d in range(1, per):
+        total[d:] += z[:-d]
+    for s in range(0, len(words), SLICE):
+        word = words[s : s + SLICE]
+        order = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.r_[True, word[order][1:] != word[order][:-1]])
+        own = word[order][first]
+        into[own] += idf[own, None] * np.add.reduceat(total[cells[s : s + SLICE][order]], first, axis=0)
+
+
+def _sketched(texts, idf: np.ndarray, live: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of ``_sketch`` over any number of texts, some at a time."""
+    into, core = np.zeros((len(idf), basis.shape[1])), np.zeros((basis.shape[1],) * 2)
+    some, n = [], 0
+    for ids in texts:
+        if len(ids):
+            some.append(ids)
+            n += len(ids)
+        if n >= SLICE:
+            _sketch(some, idf, live, basis, into, core)
+            some, n = [], 0
+    if some:
+        _sketch(some, idf, live, basis, into, core)
+    return into, core
+
+
+def latent_space(texts: DataFrame, items: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Vocabulary x RANK: the leading right singular directions of the TF-IDF passages of ``texts`` and ``items``."""
     n_words = len(idf)
     k = min(n_words, RANK + OVERSAMPLE)
     omega = np.random.default_rng(7).standard_normal((n_words, k)).astype(np.float32)
     kind = width(n_words)
     first = (idf[:, None] * omega).astype(np.float32)
-    sent = sample.sparkSession.sparkContext.broadcast((idf, weighing(idf), first))
+    sent = texts.sparkSession.sparkContext.broadcast((idf, weighing(idf), first))
 
     def partial(batches):
-        idf, live, basis = sent.value
-        into = np.zeros((n_words, k))
-        for batch in batches:
-            for raw in batch.column(0):
-                _sketch(np.frombuffer(raw.as_py(), kind), idf, live, basis, into)
+        into, core = _sketched((np.frombuffer(raw.as_py(), kind) for batch in batches for raw in batch.column(0)), *sent.value)
         terms = np.flatnonzero(into.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms.astype(np.int32)), pa.array([r.tobytes() for r in into[terms]], pa.binary())], names=["term", "row"]
-        )
+        rows = [core.astype(np.float32).tobytes(), *(r.tobytes() for r in into[terms].astype(np.float32))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, terms].astype(np.int32)), pa.array(rows, pa.binary())], names=["term", "row"])
 
     def summed(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for term, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[term] = total.get(term, 0) + np.frombuffer(row)
+                total[term] = total.get(term, 0) + np.frombuffer(row, np.float32).astype(np.float64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([r.tobytes() for r in total.values()], pa.binary())],
             names=["term", "row"],
         )
 
     kinds = "term int, row binary"
-    sketch = np.zeros((n_words, k))
-    for ids in items:
-        _sketch(ids, idf, weighing(idf), first, sketch)
-    for r in sample.select("ids").mapInArrow(partial, kinds).repartition(8, "term").mapInArrow(summed, kinds).toLocalIterator():
-        sketch[r["term"]] += np.frombuffer(r["row"])
-    q = np.linalg.qr(sketch)[0]
-    second = (idf[:, None] * q).astype(np.float32)
-    sent_q = sample.sparkSession.sparkContext.broadcast((second, weighing(idf)))
-
-    def gram(batches):
-        into = np.zeros((k, k))
-        for batch in batches:
-            for raw in batch.column(0):
-                z = passages(np.frombuffer(raw.as_py(), kind), *sent_q.value)
-                into += z.T @ z
-        yield pa.RecordBatch.from_arrays([pa.array([into.tobytes()], pa.binary())], names=["g"])
-
-    total = np.zeros((k, k))
-    for ids in items:
-        z = passages(ids, second, weighing(idf))
-        total += z.T @ z
-    for r in sample.select("ids").mapInArrow(gram, "g binary").toLocalIterator():  # one small matrix for each task
-        total += np.frombuffer(r["g"]).reshape(k, k)
-    values, vectors = np.linalg.eigh(total)
-    space = q @ vectors[:, ::-1][:, :RANK]
+    sketch, core = _sketched(items, idf, weighing(idf), first)
+    for r in texts.select("ids").mapInArrow(partial, kinds).repartition(8, "term").mapInArrow(summed, kinds).toLocalIterator():
+        if r["term"] < 0:
+            core += np.frombuffer(r["row"]).reshape(k, k)
+        else:
+            sketch[r["term"]] += np.frombuffer(r["row"])
+    values, vectors = np.linalg.eigh(core)
+    held = values > 1e-7 * values.max()
+    space = np.linalg.svd(sketch @ (vectors[:, held] / np.sqrt(values[held])), full_matrices=False)[0][:, :RANK]
     lost = []
     for ids in items:
         own = np.zeros(n_words)
@@ -424,8 +436,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         for i in items:  # the items are passages of the collection too
             counts[np.unique(i.words)] += 1
         idf = inverse_frequencies(counts, total + len(items), [i.ids for i in items])
-        sample = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-max(total, 1) // SAMPLE_DOCS))) == 0)
-        space = latent_space(sample, [i.ids for i in items], idf)
+        space = latent_space(ids, [i.ids for i in items], idf)
         result = result.unionByName(search(ids, items, idf, space))
     return (
         result.groupBy("doc_id", "item_id")

@@ -524,3 +524,30 @@ def test_bound_loses_no_pair_that_counts():
                 at, m = (p_ + start - int(base[k])) * decontamination.STEP, len(items[j_].ids)
                 assert not items[j_].compare(docs[k][max(0, at - m) : at + decontamination.WINDOW + m].tolist())[0]
     assert pruned > 1000
+
+
+def test_latent_space_of_all_texts(spark):
+    """Whichever text a direction comes from, the space has it: the leading directions of all passages, as of a dense SVD."""
+    r, n_words = np.random.default_rng(3), 300
+    texts = [r.integers(0, 20, 40) for _ in range(300)] + [r.integers(20, 40, 40) for _ in range(20)] + [np.zeros(0, int), np.full(5, -1), r.integers(40, 60, 333)]
+    idf = np.ones(n_words, np.float32)
+    rows = []
+    for ids in texts:
+        for at in range(0, len(ids), decontamination.STEP):
+            own = ids[at : at + decontamination.WINDOW]
+            rows.append(np.bincount(own[own >= 0], minlength=n_words))
+    _, sizes, want = np.linalg.svd(np.array(rows, float), full_matrices=False)
+    want = want[sizes > 0.01 * sizes[0]].T
+    table = spark.createDataFrame([(bytearray(t.astype("<i2").tobytes()),) for t in texts], "ids binary").repartition(5)
+    space = decontamination.latent_space(table, [], idf)
+    assert want.shape[1] > 50 and np.abs(space.T @ space - np.eye(space.shape[1])).max() < 1e-4
+    assert np.linalg.norm(want - space @ (space.T @ want)) < 0.05
+    rare = spark.createDataFrame([(i, " ".join(f"w{i % 9}x{j}" for j in range(50))) for i in range(30_000)], "doc_id long, text string")
+    seen, plain = [], decontamination.latent_space
+    decontamination.latent_space = lambda t, *a: seen.append(t.count()) or plain(t, *a)
+    try:
+        bench = spark.createDataFrame([(1, "w1x1 w1x2 w1x3 w1x4 w1x5")], "item_id long, text string")
+        assert decontamination.find_leaks(rare, bench).count() == len([i for i in range(30_000) if i % 9 == 1])
+    finally:
+        decontamination.latent_space = plain
+    assert seen == [30_000]  # of more than 20,000 texts every second one was left out before
