@@ -10,9 +10,12 @@ URLs that agree by chance make no rule.
 The rules are matched through an inverted index that holds each rule under its rarest token, so
 that very common tokens are seldom looked up. A matched URL carries its surest rule.
 
-Before mining, tokens that are too rare in bad URLs for any rule, or that every URL has, are dropped, and a URL
-keeps the ``ITEMS`` tokens with the greatest share of bad URLs: FP-growth lists every frequent
-combination, which would be 2 to the number of tokens that URLs share.
+Before mining, tokens that are too rare in bad URLs for any rule, or that every URL has, are dropped; no rule loses by
+that. Tokens that the same labelled URLs hold (told by 128 bits of hashes) are mined as one, as each may stand for the others:
+FP-growth lists every frequent combination, which would be 2 to the number of tokens that URLs share. A URL
+matches if it holds one token at least of each such class, and names the first rule in the alphabet that these tokens
+make. All other combinations are listed, so URLs of many tokens that overlap in part are costly. The SQL keeps the
+``ITEMS`` tokens of a URL with the greatest share of bad URLs; where a URL has more, this finds more rules.
 
 Labels belong to numbered documents; a URL is labelled by the last number in its path. A URL is
 bad if its document is of quality 0 or toxic. ``judge`` takes other labels as ``baskets``.
@@ -34,7 +37,7 @@ from biblioloom.llm.common import cut
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MIN_SUPPORT, MIN_COUNT, MIN_LIFT, Z, ITEMS = 0.002, 5, 1.5, 3.0, 8
 BAD = "label:bad"
-MINED = "antecedent array<string>, confidence double, lift double, urls long"
+MINED = "antecedent array<string>, confidence double, lift double, urls long, alike array<array<string>>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,21 +88,25 @@ def baskets_of(parts: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mine(baskets: DataFrame) -> DataFrame:
-    """The rules for bad URLs from (tokens, bad): antecedent (sorted), confidence, lift, labelled URLs that hold it."""
+    """The rules for bad URLs from (tokens, bad): antecedent (sorted), confidence, lift, labelled URLs that hold it.
+
+    ``alike`` has for each token of the antecedent those that the same labelled URLs hold, itself included.
+    """
     from pyspark.ml.fpm import FPGrowth
 
     spark = baskets.sparkSession
-    baskets = cut(baskets.select("tokens", F.col("bad").cast("int").alias("bad")))
+    baskets = cut(baskets.select("tokens", F.col("bad").cast("int").alias("bad"), F.monotonically_increasing_id().alias("id")))
     n, n_bad = baskets.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
     least = max(MIN_COUNT, math.ceil(MIN_SUPPORT * n))
     if n_bad < least:
         return spark.createDataFrame([], MINED)
-    seen = baskets.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("b"))
+    held_by = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    seen = baskets.select(F.explode(F.array_distinct("tokens")).alias("token"), "bad", "id").groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("b"), *held_by)
     # at most (tokens of a URL / MIN_SUPPORT) tokens are that frequent, whatever the input
-    useful = seen.where((F.col("b") >= least) & (F.col("n") < n)).agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct((-F.col("b") / F.col("n")).alias("s"), -F.col("n").alias("n"))))).alias("_useful"))
-    rated = lambda t: F.struct(F.try_element_at("_useful", t).alias("r"), t.alias("t"))
-    ranked = F.array_sort(F.filter(F.transform("tokens", rated), lambda x: x["r"].isNotNull()))
-    kept = F.transform(F.slice(ranked, 1, ITEMS), lambda x: x["t"])
+    classes = seen.where((F.col("b") >= least) & (F.col("n") < n)).groupBy("n", "h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    named = F.map_from_entries(F.collect_list(F.struct(F.element_at("members", 1).alias("t"), F.col("members"))))
+    useful = cut(classes.agg(named.alias("_useful")))
+    kept = F.filter(F.array_distinct("tokens"), lambda t: F.try_element_at("_useful", t).isNotNull())
     rows = baskets.join(F.broadcast(useful)).select(kept.alias("items"), "bad").where(F.size("items") > 0)  # one row
     rows = rows.select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
     sets = cut(FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=1.0).fit(_padded(rows, n)).freqItemsets)
@@ -109,7 +116,8 @@ def mine(baskets: DataFrame) -> DataFrame:
     p, base = F.col("b") / F.col("n"), n_bad / n
     low = (p + Z * Z / (2 * F.col("n")) - Z * F.sqrt((p * (1 - p) + Z * Z / (4 * F.col("n"))) / F.col("n"))) / (1 + Z * Z / F.col("n"))
     fit = (p >= min(MIN_LIFT * base, (1 + base) / 2)) & (low > base)
-    return held.join(bad, "antecedent").where(fit).select("antecedent", p.alias("confidence"), (p / base).alias("lift"), F.col("n").alias("urls"))
+    rules = held.join(bad, "antecedent").where(fit).select("antecedent", p.alias("confidence"), (p / base).alias("lift"), F.col("n").alias("urls"))
+    return rules.join(F.broadcast(useful)).select("*", F.transform("antecedent", lambda t: F.try_element_at("_useful", t)).alias("alike")).drop("_useful")
 
 
 def _padded(rows: DataFrame, n: int) -> DataFrame:
@@ -121,11 +129,16 @@ def _padded(rows: DataFrame, n: int) -> DataFrame:
 def matched(parts: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct URLs that hold all tokens of some rule, by the inverted index, with the surest of them."""
     urls = parts.select("url", "tokens").where(F.size("tokens") > 0).dropDuplicates(["url"])
-    posted = rules.select("*", F.explode("antecedent").alias("token"))
+    posted = rules.select("*", F.posexplode("alike").alias("k", "members")).select("*", F.explode("members").alias("token"))
     common = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    index = posted.join(common, "token").groupBy("antecedent", "confidence", "lift", "urls").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    hits = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    said = F.struct((-F.col("confidence")).alias("c"), (-F.col("urls")).alias("n"), F.array_join("antecedent", " ").alias("mined_rule"), "lift")
+    own = ["antecedent", "confidence", "lift", "urls", "alike"]
+    rated = posted.join(common, "token").groupBy(*own, "k", "members").agg(F.sum("n").alias("n"))
+    index = rated.groupBy(*own).agg(F.min_by("members", F.struct("n", "k")).alias("members")).select(*own, F.explode("members").alias("token"))
+    fits = F.forall("alike", lambda c: F.arrays_overlap(c, "tokens"))
+    hits = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(fits)
+    hits = hits.withColumn("_t", F.array_sort(F.array_intersect("tokens", F.flatten("alike"))))
+    last = F.array_max(F.transform("alike", lambda c: F.array_position("_t", F.array_min(F.array_intersect(c, "tokens")))))
+    said = F.struct((-F.col("confidence")).alias("c"), (-F.col("urls")).alias("n"), F.array_join(F.slice("_t", F.lit(1), last.cast("int")), " ").alias("mined_rule"), "lift")
     return hits.groupBy("url").agg(F.min(said).alias("_m"))
 
 

@@ -65,6 +65,21 @@ def test_url_rules_need_more_than_chance(spark):
     assert sorted((x["antecedent"], x["urls"]) for x in url_filters.mine(told).collect()) == [(["a", "b"], 20), (["b"], 20)]
 
 
+def test_url_rules_of_more_than_eight_tokens(spark):
+    """Bad URLs hold twelve tokens, each of which good ones hold too, all but one of them: only the whole combination tells."""
+    t = [f"p:{chr(97 + i)}" for i in range(12)]
+    rows = [(t, 1)] * 40 + [(t[:i] + t[i + 1 :], 0) for i in range(12) for _ in range(30)] + [(["q:z"], 0)]
+    found = {tuple(x["antecedent"]): (x["confidence"], x["urls"]) for x in url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, bad int")).collect()}
+    assert found[tuple(t)] == (1.0, 40)
+    # tokens that the same URLs hold make one rule, which each of them stands for
+    same = [f"p:{chr(97 + i)}{chr(97 + i)}x" for i in range(26)]
+    rows = [(same, 1)] * 20 + [(["q:z"], 0)] * 30
+    rules = url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, bad int"))
+    assert [(x["antecedent"], x["alike"]) for x in rules.collect()] == [(same[:1], [same])]
+    urls = spark.createDataFrame([("u", same[3:5]), ("v", ["q:z"]), ("w", [same[7], "q:z"])], "url string, tokens array<string>")
+    assert {x["url"]: x["_m"]["mined_rule"] for x in url_filters.matched(urls, rules).collect()} == {"u": same[3], "w": same[7]}
+
+
 def test_url_filters_on_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filters.judge(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
