@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -45,17 +47,17 @@ def metrics(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     The reciprocal rank is that of the first true paper in the whole list as it came; NDCG counts
     places after repeats collapsed.
     """
-    true = truth.select("case_id", "paper_id").distinct()
-    size = true.groupBy("case_id").agg(F.count("*").alias("n_true"))
+    true = truth.select("case_id", "paper_id", F.lit(None).cast(ranked.schema["rank"].dataType).alias("rank"), F.lit(True).alias("_true"))
     # each paper of a case goes through one shuffle, with its first place, and meets the truth there
-    first = ranked.groupBy("case_id", "paper_id").agg(F.min("rank").alias("first"))
-    marked = first.join(true.withColumn("_true", F.lit(True)), ["case_id", "paper_id"], "left")
+    rows = ranked.select("case_id", "paper_id", "rank", F.lit(False).alias("_true")).unionByName(true)
+    marked = rows.groupBy("case_id", "paper_id").agg(F.min("rank").alias("first"), F.max("_true").alias("_true"))
+    marked = marked.withColumn("_hit", F.col("_true") & F.expr("first is not null and case_id is not null and paper_id is not null"))
     place = F.row_number().over(Window.partitionBy("case_id").orderBy("first", "paper_id"))
-    got = marked.where(F.col("first") <= k).withColumn("rank", place).where("_true").groupBy("case_id")
+    got = marked.where(F.col("first") <= k).withColumn("rank", place).where("_hit").groupBy("case_id")
     got = got.agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    best = marked.where("_true").groupBy("case_id").agg(F.min("first").alias("best"))
+    size = marked.where("_true").groupBy("case_id").agg(F.count("*").alias("n_true"), F.min(F.when(F.col("_hit"), F.col("first"))).alias("best"))
     ideal = _ideal(k)
-    return size.join(got, "case_id", "left").join(best, "case_id", "left").select(
+    return size.join(got, "case_id", "left").select(
         "case_id",
         (F.coalesce("found", F.lit(0)) / F.col("n_true")).alias("recall"),
         (F.coalesce("found", F.lit(0)) > 0).cast("int").alias("hit"),
@@ -107,27 +109,39 @@ def bootstraps(scored: DataFrame, by: str, values: list[str], order: str) -> Dat
     """(by, metric, mean, low, high) for each group and column of ``values``, which go through shuffles and draws together.
 
     A task draws ``RESAMPLES / BLOCKS`` of a group's resamples. It holds the group's values (8 bytes a case and column): a run
-    of ten million cases needs 80 MB a column in each of its tasks, and its draws take ten seconds a thousand million.
+    of ten million cases needs 80 MB a column in each of its tasks, and its draws take ten seconds a thousand million. As all tasks of a
+    group get all of its values, these travel packed, many cases to a row.
     """
     kind, each = scored.schema[by].dataType.simpleString(), RESAMPLES // BLOCKS
 
+    def pack(batches):
+        for pdf in batches:
+            pdf = pdf.sort_values(order)
+            for _, rows in pdf.groupby(by, dropna=False, sort=False):
+                packed = zlib.compress(pickle.dumps((rows[order].to_numpy(), *[rows[v].to_numpy(float) for v in values])), 6)
+                yield pd.DataFrame({by: [rows[by].iloc[0]], "_packed": [packed]})
+
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        own = [pdf[v].to_numpy(float) for v in values]
+        at, *own = [np.concatenate(x) for x in zip(*[pickle.loads(zlib.decompress(x)) for x in pdf["_packed"]], strict=True)]
+        sort = pd.Series(at).sort_values(kind="stable").index.to_numpy()
+        own = [v[sort] for v in own]
         means = _resampled(own, int(pdf["_block"].iloc[0]) * each, each)
         return pd.concat([pd.DataFrame({by: [pdf[by].iloc[0]] * each, "metric": v, "mean": x.mean(), "drawn": m}) for v, x, m in zip(values, own, means, strict=True)])
 
-    rows = scored.select(by, *values, order).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    packed = scored.select(by, *values, order).mapInPandas(pack, f"{by} {kind}, _packed binary")
+    rows = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
     means = rows.groupBy(by, "_block").applyInPandas(draw, f"{by} {kind}, metric string, mean double, drawn double")
     low, high = bounds(each * BLOCKS)
     ends = means.groupBy(by, "metric").agg(F.first("mean").alias("mean"), F.sort_array(F.collect_list("drawn")).alias("_m"))  # RESAMPLES numbers a group
     return ends.select(by, "metric", "mean", F.get("_m", F.lit(low)).alias("low"), F.get("_m", F.lit(high)).alias("high"))
 
 
-def baseline(candidates: DataFrame, key: str) -> DataFrame:
-    """Ranks of a case's candidates by falling key, ties by id; an unknown key counts as 0. A case may have any number of candidates."""
+def baseline(candidates: DataFrame, key: str, size: str | None = None) -> DataFrame:
+    """Ranks of a case's candidates by falling key, ties by id; an unknown key counts as 0. A case may have any number of candidates,
+    which ``size`` names a column for."""
     rows = candidates.select("case_id", "paper_id", F.coalesce(key, F.lit(0)).alias("_key"))
-    return ranked_within(rows, "case_id", [F.desc("_key"), F.asc("paper_id")], "rank").select("case_id", "paper_id", F.col("rank").cast("int").alias("rank"))
+    ranked = ranked_within(rows, "case_id", [F.desc("_key"), F.asc("paper_id")], "rank", size)
+    return ranked.select("case_id", "paper_id", F.col("rank").cast("int").alias("rank"), *([] if size is None else [size]))
 
 
 def random_baseline(candidates: DataFrame, seed: int = SEED) -> DataFrame:
@@ -194,11 +208,17 @@ def bfs_baseline(candidates: DataFrame) -> DataFrame:
     return ranked_within(rows, "case_id", ["level", "paper_id"], "rank").select("case_id", "paper_id", F.col("rank").cast("int").alias("rank"))
 
 
-def evaluate(runs: DataFrame, truth: DataFrame, k: int) -> DataFrame:
-    """Mean metrics with bootstrap intervals of each run of ``runs`` (run, case_id, paper_id, rank)."""
+def evaluate(runs: DataFrame, truth: DataFrame, k: int, names: list[str] | None = None) -> DataFrame:
+    """Mean metrics with bootstrap intervals of each run of ``runs`` (run, case_id, paper_id, rank).
+
+    Where the caller knows the ``names`` of all runs, ``runs`` are not computed once more to find them.
+    """
     named = runs.withColumn("_case", F.struct("run", "case_id"))
-    names = cut(runs.select("run").distinct())
-    cases = truth.select("case_id", "paper_id").distinct().join(F.broadcast(names) if names.count() <= FEW_RUNS else names)
+    if names is None:
+        listed = cut(runs.select("run").distinct())
+    else:
+        listed = runs.sparkSession.createDataFrame([(x,) for x in names], runs.select("run").schema)
+    cases = truth.select("case_id", "paper_id").join(F.broadcast(listed) if listed.count() <= FEW_RUNS else listed)
     scored = metrics(
         named.select(F.col("_case").alias("case_id"), "paper_id", "rank"),
         cases.select(F.struct("run", "case_id").alias("case_id"), "paper_id"), k,

@@ -123,3 +123,43 @@ def test_evaluate_shares_draws_and_keeps_names(spark):
     ranks = [sorted(map(tuple, evaluation.baseline(table.where("run = 'c'"), "rank").collect())) for lineage.WHOLE in (100_000, 11)]
     lineage.WHOLE = 100_000
     assert ranks[0] == ranks[1] and len(ranks[0]) == 360
+
+
+def shuffled(spark) -> int:
+    """Bytes that stages have written for shuffles so far."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    empty = gateway.jvm.java.util.ArrayList()
+    return sum(x.shuffleWriteBytes() for x in gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(empty, False, False, gateway.new_array(gateway.jvm.double, 0), empty)))
+
+
+def test_evaluate_shuffles_runs_once_and_values_packed(spark):
+    """A known run is not computed again for its name, and the bootstrap's ten copies of a run's values are small."""
+    n = 200_000
+    ranked = spark.range(n).selectExpr("'c' AS run", "id % 20000 AS case_id", "id AS paper_id", "CAST(id DIV 20000 + 1 AS INT) AS rank")
+    true = spark.range(0, n, 3).selectExpr("id % 20000 AS case_id", "id AS paper_id")
+    before = shuffled(spark)
+    known = evaluation.evaluate(ranked.repartition(4), true, 4, ["c"]).collect()
+    wrote = shuffled(spark) - before
+    print("shuffled", wrote)
+    found, known = (sorted(map(tuple, x)) for x in (evaluation.evaluate(ranked, true, 4).collect(), known))
+    for x, y in zip(found, known, strict=True):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:])
+    assert wrote < 12_000_000
+
+
+def test_metrics_of_unknown_ids(spark):
+    """A truth without an id counts as never found, and a ranked row without one takes its place."""
+    ranked = spark.createDataFrame([(1, None, 1), (1, 5, 2), (2, 7, 1), (None, 5, 1)], "case_id long, paper_id long, rank int")
+    true = spark.createDataFrame([(1, None), (1, 5), (2, None), (None, 5)], "case_id long, paper_id long")
+    got = {x["case_id"]: (x["recall"], x["hit"], x["rr"]) for x in evaluation.metrics(ranked, true, 3).collect()}
+    assert got == {1: (0.5, 1, 0.5), 2: (0.0, 0, 0.0), None: (0.0, 0, 0.0)}
+
+
+def test_size_of_a_group_comes_with_its_ranks(spark, monkeypatch):
+    table = spark.createDataFrame([(c, i, float(i % 4)) for c in range(4) for i in range(5 * c + 1)], "case_id long, paper_id long, v double")
+    for whole in (100_000, 7):
+        monkeypatch.setattr(lineage, "WHOLE", whole)
+        rows = evaluation.baseline(table, "v", "n").collect()
+        assert {(x["case_id"], x["n"]) for x in rows} == {(c, 5 * c + 1) for c in range(4)}
+        assert all(sorted(x["rank"] for x in rows if x["case_id"] == c) == list(range(1, 5 * c + 2)) for c in range(4))
